@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 from pathloom.llm.common import whole_text
 
 CHUNK = re.compile("[^\t-\r ]+")
-CACHE_CHUNKS = 600_000
+#: Stands between chunks that are encoded together; its one token comes from no other text.
+MARK = "\x01"
+CACHE_CHUNKS = 1_000_000
 BLOCK_TOKENS = 1 << 22
 
 
@@ -42,19 +44,36 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
+        (self.mark,) = self.of.encode(MARK, add_special_tokens=False).ids
         self.cache: dict[str, bytes] = {}
 
     def ids(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         if len(self.cache) > CACHE_CHUNKS:
             self.cache.clear()
-        chunks = [CHUNK.findall(t) for t in texts]
-        new = list({c for cs in chunks for c in cs} - self.cache.keys())
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for c, e in zip(part, self.of.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[c] = np.array(e.ids, "<u4").tobytes()
-        end, cache = np.array([end_id], "<u4").tobytes(), self.cache
-        return [np.frombuffer(b"".join([cache[c] for c in cs]) + end, "<u4") for cs in chunks]
+        cache, found, open_, new = self.cache, [], [], set()
+        for t in texts:
+            chunks = CHUNK.findall(t)
+            known = list(map(cache.get, chunks))
+            if None in known:
+                new.update([c for c, ids in zip(chunks, known, strict=True) if ids is None])
+                open_.append((len(found), chunks))
+            found.append(known)
+        self.learn(new)
+        for k, chunks in open_:
+            found[k] = [cache[c] if ids is None else ids for c, ids in zip(chunks, found[k], strict=True)]
+        end = np.array([end_id], "<u4").tobytes()
+        return [np.frombuffer(b"".join(known) + end, "<u4") for known in found]
+
+    def learn(self, new: set[str]) -> None:
+        joined = [c for c in new if MARK not in c]
+        for a in range(0, len(joined), 256):
+            part = joined[a : a + 256]
+            ids = np.array(self.of.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            raw, cuts = ids.tobytes(), np.flatnonzero(ids == self.mark).tolist()
+            for c, i, j in zip(part, [-1, *cuts], [*cuts, len(ids)], strict=True):
+                self.cache[c] = raw[4 * i + 4 : 4 * j]
+        for c in new - set(joined):
+            self.cache[c] = np.array(self.of.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @functools.cache

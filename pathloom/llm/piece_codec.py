@@ -168,7 +168,7 @@ class PieceModel:
         """Encode the units of these texts that the cache lacks."""
         if len(self.cache) > CACHE_UNITS:
             self.cache.clear()
-        new = list({u for units in texts for u in units} - self.cache.keys())
+        new = [u for u in set().union(*texts) if u not in self.cache]
         for u, symbols in zip(new, self.merge(new), strict=True) if new else ():
             ids = self.ids_of(symbols)
             text = self.text_of(ids)

@@ -183,7 +183,8 @@ class Model:
             self.a, self.b = self.a + 0.2 * ga / total, self.b + 0.2 * gb / total
         self.least = [2.0] * len(KINDS)
         for k in range(len(KINDS)):
-            own = sorted(((self.probability(x), n, pos) for x, n, pos in held if x[0] == k), reverse=True)
+            mine = [r for r in held if r[0][0] == k] or [r for r in fit if r[0][0] == k]
+            own = sorted(((self.probability(x), n, pos) for x, n, pos in mine), reverse=True)
             n_all = pos_all = 0.0
             for p, n, pos in own:
                 n_all, pos_all = n_all + n, pos_all + pos

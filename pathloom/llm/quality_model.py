@@ -89,7 +89,7 @@ class Vectors:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         docs, cache = [WORD.findall(t) for t in texts], self.cache
-        for x in {w for d in docs for w in d} - cache.keys():
+        for x in (w for w in set().union(*docs) if w not in cache):
             cache[x] = self.word.get(x, 0), self.shape.get(shape(x), 0)
         out = np.zeros((len(texts), 2 * DIM + 2), np.float32)
         for k, d in enumerate(docs):

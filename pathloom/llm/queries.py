@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import chat, fingerprints, packing, pii, piece_codec, quality_model, quality_rules
+from pathloom.llm import chat, fingerprints, jaccard_join, packing, pii, piece_codec, quality_model, quality_rules
 from pathloom.llm.common import table
 
 END_ID, CAPACITY, LEAST_SCORE = 2, 4096, 0.3
@@ -24,6 +24,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("host_risk")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op4_pii, op5_quality_classifier, op6_chat_formatting, op8_packing, op9_fingerprints, op10_sentencepiece)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op3_jaccard_join, op4_pii, op5_quality_classifier, op6_chat_formatting, op8_packing, op9_fingerprints, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE}
