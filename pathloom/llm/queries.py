@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import chat, fingerprints, jaccard_join, packing, pii, piece_codec, quality_model, quality_rules
+from pathloom.llm import chat, fingerprints, jaccard_join, packing, pii, piece_codec, quality_model, quality_rules, suffix_dedup
 from pathloom.llm.common import table
 
 END_ID, CAPACITY, LEAST_SCORE = 2, 4096, 0.3
@@ -44,6 +44,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(turns, with_text=False).drop("rewrites")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), END_ID, CAPACITY, with_ids=False)
 
@@ -56,5 +60,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op3_jaccard_join, op4_pii, op5_quality_classifier, op6_chat_formatting, op8_packing, op9_fingerprints, op10_sentencepiece)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op3_jaccard_join, op4_pii, op5_quality_classifier, op6_chat_formatting, op7_suffix_dedup, op8_packing, op9_fingerprints, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE}
