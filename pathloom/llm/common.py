@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -43,3 +44,12 @@ def slots(spark: SparkSession) -> int:
 def whole_text(c: str = "text") -> Column:
     """A text column with null as empty."""
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is: in the folder PATHLOOM_TOKENIZERS, or where its package has it."""
+    if folder := os.environ.get("PATHLOOM_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

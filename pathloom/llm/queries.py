@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import chat, fingerprints, jaccard_join, packing, pii, piece_codec, quality_model, quality_rules, suffix_dedup
-from pathloom.llm.common import table
+import corpus_pipeline
+from pathloom.llm import chat, fingerprints, jaccard_join, line_dedup, packing, pii, piece_codec, quality_model, quality_rules, suffix_dedup
+from pathloom.llm.common import table, vocabulary
 
 END_ID, CAPACITY, LEAST_SCORE = 2, 4096, 0.3
 
 
-def vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return os.environ.get("PATHLOOM_TOKENIZERS", "") + "/" + name if "PATHLOOM_TOKENIZERS" in os.environ else public_tokenizers.path(name)
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,5 +58,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op3_jaccard_join, op4_pii, op5_quality_classifier, op6_chat_formatting, op7_suffix_dedup, op8_packing, op9_fingerprints, op10_sentencepiece)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_jaccard_join, op4_pii, op5_quality_classifier, op6_chat_formatting, op7_suffix_dedup, op8_packing, op9_fingerprints, op10_sentencepiece)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE}
