@@ -35,7 +35,8 @@ from pathloom.llm.shingles import BLOCK_BYTES, letters, mix, powers, utf8
 
 LENGTH, SPAN, KMER = 200, 100, 16
 SURE = LENGTH - SPAN + 1
-HOT, NEAR_ROWS = 20_000, 500_000
+HOT, BATCH = 20_000, 20_000
+NEAR_ROWS, NEAR_SPANS = 200_000, 1_000_000
 NO_ID = -(1 << 63)
 
 
@@ -170,29 +171,28 @@ def merged(runs: list[Iterator[tuple[int, bytes, bytes, int, int]]]) -> Iterator
             node //= 2
 
 
-def repeated(group: list[tuple[bytes, bytes, int, int]]) -> list[tuple[int, int, int]]:
-    """(id, start, end) of the stretch of each context's windows that another context of the group has too."""
-    if len(group) < 2:
+def repeated(groups: list[list[tuple[bytes, bytes, int, int]]]) -> list[tuple[int, int, int]]:
+    """(id, start, end) of the stretch of each context's windows that another context of its group has too."""
+    every = [g for group in groups if len(group) > 1 for g in group]
+    if not every:
         return []
-    texts = [left[::-1] + suffix for suffix, left, _, _ in group]
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    size = np.array([len(t) for t in texts])
-    anchor = np.cumsum(size) - size + np.array([len(g[1]) for g in group])
-    lefts = np.array([len(g[1]) for g in group])
-    rights = size - lefts
-    block = Block(data, np.array([0, 0]))
-    low, high = np.full(len(group), LENGTH), np.full(len(group), -1)
+    number = mix(np.repeat(np.arange(len(groups), dtype=np.uint64), [len(g) if len(g) > 1 else 0 for g in groups]))
+    lefts, rights = np.array([len(g[1]) for g in every]), np.array([len(g[0]) for g in every])
+    size = lefts + rights
+    anchor = np.cumsum(size) - size + lefts
+    block = Block(np.frombuffer(b"".join([left[::-1] + suffix for suffix, left, _, _ in every]), np.uint8), np.array([0, 0]))
+    low, high = np.full(len(every), LENGTH), np.full(len(every), -1)
     for offset in range(min(SPAN, int(lefts.max()) + 1)):
         has = np.flatnonzero((lefts >= offset) & (rights >= LENGTH - offset))
         if len(has) < 2:
             continue
-        h = block.hashes(anchor[has] - offset, LENGTH)
-        order = np.argsort(h, kind="stable")
+        h = block.hashes(anchor[has] - offset, LENGTH) ^ number[has]
+        order = np.argsort(h)
         same = h[order][1:] == h[order][:-1]
         twice = has[order[np.r_[same, False] | np.r_[False, same]]]
         low[twice] = np.minimum(low[twice], offset)
         high[twice] = offset
-    return [(g[2], g[3] - int(b), g[3] - int(a) + LENGTH) for g, a, b in zip(group, low, high, strict=True) if b >= 0]
+    return [(g[2], g[3] - b, g[3] - a + LENGTH) for g, a, b in zip(every, low.tolist(), high.tolist(), strict=True) if b >= 0]
 
 
 def contexts(docs: DataFrame, hot: bool) -> DataFrame:
@@ -201,8 +201,11 @@ def contexts(docs: DataFrame, hot: bool) -> DataFrame:
     parts = 2 * slots(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def runs(bags: dict[int, list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(bags), pa.int32()), pa.array([len(v) for v in bags.values()], pa.int32()), pa.array([front_coded(v) for v in bags.values()], pa.binary())], names=["part", "n", "run"])
+
+        bags: dict[int, list] = {}
         for batch in batches:
-            bags: dict[int, list] = {}
             for a, block in blocks(batch.column(1)):
                 n = len(block.offsets) - 1
                 names = batch.column(0).slice(a, n).to_numpy(zero_copy_only=False)
@@ -222,8 +225,11 @@ def contexts(docs: DataFrame, hot: bool) -> DataFrame:
                     continue
                 for part, r, at, first, last in zip(where.tolist(), block.row[take].tolist(), block.at[take].tolist(), block.first[take].tolist(), block.last[take].tolist(), strict=True):
                     bags.setdefault(part, []).append((raw[at : last + LENGTH], raw[first:at][::-1], int(names[r]), at - int(block.offsets[r])))
-            if bags:
-                yield pa.RecordBatch.from_arrays([pa.array(list(bags), pa.int32()), pa.array([len(v) for v in bags.values()], pa.int32()), pa.array([front_coded(v) for v in bags.values()], pa.binary())], names=["part", "n", "run"])
+                if sum(map(len, bags.values())) > 2 * BATCH:
+                    yield runs(bags)
+                    bags = {}
+        if bags:
+            yield runs(bags)
 
     return docs.mapInArrow(run, "h1 long, h2 long, id long, start long" if hot else "part int, n int, run binary")
 
@@ -233,16 +239,16 @@ def merge_runs(runs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def give(part: list) -> Iterator[pd.DataFrame]:
-            group, out = [], []
+            groups, held = [[]], 0
             for known, *context in merged([decoded(blob, n) for n, blob in part]):
-                if known < SURE and group:
-                    out += repeated(group)
-                    group = []
-                group.append(tuple(context))
-                if len(out) > 50_000:
-                    yield pd.DataFrame(out, columns=["id", "start", "end"])
-                    out = []
-            yield pd.DataFrame(out + repeated(group), columns=["id", "start", "end"])
+                if known < SURE and groups[-1]:
+                    if held >= BATCH:
+                        yield pd.DataFrame(repeated(groups), columns=["id", "start", "end"])
+                        groups, held = [], 0
+                    groups.append([])
+                groups[-1].append(tuple(context))
+                held += 1
+            yield pd.DataFrame(repeated(groups), columns=["id", "start", "end"])
 
         now, held = None, []
         for batch in batches:
@@ -258,6 +264,25 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     return runs.repartition(slots(runs.sparkSession), "part").sortWithinPartitions("part").mapInPandas(run, "id long, start long, end long")
 
 
+def united(spans: DataFrame) -> DataFrame:
+    """id and its spans (array of start, end) as maximal runs: start, end, start, end, in order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for spans in batch["spans"]:
+                flat: list[int] = []
+                for start, end in sorted((s["start"], s["end"]) for s in spans):
+                    if flat and start <= flat[-1]:
+                        flat[-1] = max(flat[-1], end)
+                    else:
+                        flat += [start, end]
+                out.append(flat)
+            yield pd.DataFrame({"id": batch["id"], "spans": out})
+
+    return spans.mapInPandas(run, "id long, spans array<long>")
+
+
 def cut(docs: DataFrame, with_text: bool) -> DataFrame:
     """docs: doc_id, text, spans. What stays of each text."""
 
@@ -266,11 +291,9 @@ def cut(docs: DataFrame, with_text: bool) -> DataFrame:
             rows = []
             for text, spans in zip(batch["text"], batch["spans"], strict=True):
                 raw, kept, at, n = text.encode("utf-8", "surrogatepass"), [], 0, 0
-                for start, end in sorted((s["start"], s["end"]) for s in (spans if spans is not None else ())):
-                    if start > at or n == 0:
-                        kept.append(raw[at:start])
-                        n += 1
-                    at = max(at, end)
+                for start, end in np.reshape(spans if spans is not None else [], (-1, 2)).astype(int).tolist():
+                    kept.append(raw[at:start])
+                    n, at = n + 1, end
                 left = b"".join(kept) + raw[at:]
                 row = (len(raw), len(raw) - len(left), n, hashlib.sha256(left).hexdigest())
                 rows.append((*row, left.decode("utf-8", "replace")) if with_text else row)
@@ -298,8 +321,9 @@ def remove(docs: DataFrame, with_text: bool = True) -> DataFrame:
         again = windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
         found = found.unionByName(windows.join(again, ["h1", "h2"]).select("id", "start", (F.col("start") + LENGTH).alias("end")))
     whole = copied.select("id", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
-    spans = settle(found.unionByName(whole).groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
-    if spans.count() <= NEAR_ROWS:
+    spans = settle(united(found.unionByName(whole).groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))))
+    size = spans.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("spans")).alias("m")).first()
+    if size["n"] <= NEAR_ROWS and (size["m"] or 0) <= NEAR_SPANS:
         spans = F.broadcast(spans)
     joined = docs.join(spans, "id", "left").select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "text", "spans")
     return cut(joined, with_text)
