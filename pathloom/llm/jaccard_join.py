@@ -8,7 +8,8 @@
 3. Each region's smallest class is compared to the region's other members (over the first PROBES pivots of each
    window); the links found give components. After that only pairs across components matter: two sets of one
    component need no comparison, so a dense group of n costs about n comparisons.
-4. Regions of up to SMALL members compare their pairs across components. Larger ones are split recursively: two
+4. Regions of up to SMALL members give their pairs across components; pairs that meet in `least_common` of them are
+   compared. (A linked pair that doesn't has a pivot of a larger region in common.) Larger ones are split recursively: two
    members of different components are pivots, each member goes to the Voronoi cell of the nearer one and, if its two
    distances differ by at most 2 EPSILON, to the other cell too, until cells are small, within one component, or stop
    shrinking; then their pairs that the triangle inequality leaves open are compared.
@@ -38,8 +39,14 @@ from pathloom.llm.graph import components
 from pathloom.llm.shingles import shingle_sets
 
 EPSILON, LINK, OF = 0.2, 80, 100
-HOT_ROWS, HOT_PIVOTS, NEAR_NODES = 200, 1_000_000, 1_000_000
-PROBES, SMALL, BLOCK, DEPTH = 8, 64, 256, 8
+HOT_ROWS, HOT_PIVOTS, NEAR_NODES = 64, 1_000_000, 1_000_000
+PROBES, SHARED_PROBES = 8, 2
+SMALL, BLOCK, DEPTH = 64, 256, 8
+
+
+def least_common(n):
+    """How many pivots two linked sets, of at least n shingles each, have in common within their windows."""
+    return (n + 19) // 20
 
 
 def windows(docs: DataFrame, hot: Broadcast | None = None) -> DataFrame:
@@ -50,7 +57,7 @@ def windows(docs: DataFrame, hot: Broadcast | None = None) -> DataFrame:
         for batch in batches:
             n, key, cold_, hot_ = [], [], [], []
             for s in shingle_sets(batch.column(1)):
-                w = len(s) - (-(-LINK * len(s) // OF)) + 1 if len(s) else 0
+                w = len(s) - (-(-LINK * len(s) // OF)) + least_common(len(s))
                 busy = np.zeros(len(s), bool)
                 if len(known) and len(s):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -108,11 +115,11 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return settle(rows.select("a", "b", "set").mapInPandas(run, "a long, b long, common long, n_a long, n_b long"))
 
 
-UNION = F.col("n_a") + F.col("n_b") - F.col("common")
+UNION = "(n_a + n_b - common)"
 
 
 def linked(compared: DataFrame) -> DataFrame:
-    return compared.where(OF * F.col("common") >= LINK * UNION).select("a", "b")
+    return compared.where(f"{OF} * common >= {LINK} * {UNION}").select("a", "b")
 
 
 def likely(a: str, b: str) -> str:
@@ -121,7 +128,8 @@ def likely(a: str, b: str) -> str:
 
 
 def cold_pairs(members: DataFrame) -> DataFrame:
-    """Pairs across components in regions by pivot; regions over SMALL come out whole, as (region, node, comp, n)."""
+    """Pairs a, b across components in regions by pivot, n: in how many regions they must meet. Regions over SMALL come
+    out whole, as (region, a: node, b: -1, comp, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(s: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -140,7 +148,7 @@ def cold_pairs(members: DataFrame) -> DataFrame:
                 nx, ny, cx, cy = n[own][x], n[own][y], comp[own][x], comp[own][y]
                 good = (cx != cy) & (OF * np.minimum(nx, ny) >= LINK * np.maximum(nx, ny))
                 p, q = node[own][x[good]], node[own][y[good]]
-                a.append(np.minimum(p, q)), b.append(np.maximum(p, q)), c.append(np.zeros(len(p), np.int64)), m.append(np.zeros(len(p), np.int64)), region.append(np.full(len(p), np.int64(0)))
+                a.append(np.minimum(p, q)), b.append(np.maximum(p, q)), c.append(np.zeros(len(p), np.int64)), m.append(least_common(np.minimum(nx, ny)[good])), region.append(np.full(len(p), np.int64(0)))
             cols = [np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64) for v in (region, a, b, c, m)]
             return pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=["region", "a", "b", "comp", "n"])
 
@@ -186,7 +194,7 @@ def split_regions(docs: DataFrame, regions: DataFrame) -> DataFrame:
         ask = reduce(DataFrame.unionByName, [placed.where(f"node <> {p}").select(F.col(p).alias("a"), F.col("node").alias("b")) for p in ("p1", "p2")]).distinct()
         compared = compare(docs, ask)
         found.append(linked(compared))
-        far = compared.select("a", "b", F.coalesce(1 - F.try_divide(F.col("common"), UNION), F.lit(1.0)).alias("d"))
+        far = compared.select("a", "b", F.expr(f"coalesce(1 - try_divide(common, {UNION}), 1.0D)").alias("d"))
         for k in ("1", "2"):
             own = far.select(F.col("a").alias(f"p{k}"), F.col("b").alias("node"), F.col("d").alias(f"d{k}"))
             placed = placed.join(own, [f"p{k}", "node"], "left").withColumn(f"d{k}", F.when(F.col(f"p{k}") == F.col("node"), 0.0).otherwise(F.col(f"d{k}")))
@@ -211,15 +219,16 @@ def join(docs: DataFrame) -> DataFrame:
     classes = settle(known.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node")))
     members = known.join(classes.withColumnRenamed("node", "doc_id"), ["key", "doc_id"]).select(F.col("doc_id").alias("node"), "n", "cold", "hot").dropDuplicates(["node"])
 
-    probes = members.select("node", F.explode(F.slice(F.concat("cold", "hot"), 1, PROBES)).alias("s"))
+    probes = members.select("node", F.least("n", F.lit(SHARED_PROBES)).alias("need"), F.explode(F.slice(F.concat("cold", "hot"), 1, PROBES)).alias("s"))
     heads = probes.groupBy("s").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    stars = probes.join(heads, "s").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    stars = probes.join(heads, "s").where("a < node").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).where("c >= need").select("a", "b")
     links = linked(compare(docs, stars))
     labels = components(links)
 
     marked = settle(members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     cold = settle(cold_pairs(marked.select(F.explode("cold").alias("s"), "node", "comp", "n")))
-    more = linked(compare(docs, cold.where("b >= 0").select("a", "b").distinct()))
+    met = cold.where("b >= 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("need")).where("c >= need").select("a", "b")
+    more = linked(compare(docs, met))
     large = cold.where("b < 0").select(F.col("region").cast("string"), F.col("a").alias("node"), "comp", "n")
     busy = marked.select(F.explode("hot").alias("region"), "node", "comp", "n").withColumn("region", F.col("region").cast("string"))
     links = links.unionByName(more)
