@@ -30,7 +30,8 @@ from pathloom.llm.common import whole_text
 CHUNK = re.compile("[^\t-\r ]+")
 #: Stands between chunks that are encoded together; its one token comes from no other text.
 MARK = "\x01"
-CACHE_CHUNKS = 1_000_000
+TAILS = ".,;:!?*#$%&|"
+CACHE_CHUNKS = 1_200_000
 BLOCK_TOKENS = 1 << 22
 
 
@@ -46,10 +47,13 @@ class ChunkTokenizer:
         self.of = Tokenizer.from_file(path)
         (self.mark,) = self.of.encode(MARK, add_special_tokens=False).ids
         self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.ends = np.array([(self.of.id_to_token(i) or "").endswith("</w>") for i in range(self.of.get_vocab_size())])
 
     def ids(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         if len(self.cache) > CACHE_CHUNKS:
             self.cache.clear()
+            self.words.clear()
         cache, found, open_, new = self.cache, [], [], set()
         for t in texts:
             chunks = CHUNK.findall(t)
@@ -65,15 +69,42 @@ class ChunkTokenizer:
         return [np.frombuffer(b"".join(known) + end, "<u4") for known in found]
 
     def learn(self, new: set[str]) -> None:
-        joined = [c for c in new if MARK not in c]
+        """Chunks of letters and a tail of marks are two pre-tokens: words are encoded once for all their tails and,
+        in ASCII, cases, many in one text; their last token tells where each ends. Others go through MARK."""
+        plain, others = [], []
+        for c in new:
+            word = c.rstrip(TAILS)
+            if word.isalpha():
+                plain.append((c, word.lower() if word.isascii() else word, c[len(word) :]))
+            else:
+                others.append(c)
+        unknown = list({w for _, w, _ in plain if w not in self.words})
+        for a in range(0, len(unknown), 512):
+            part = unknown[a : a + 512]
+            ids = self.encode(" ".join(part))
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) != len(part):
+                raise ValueError("the tokenizer has no single last token of a word")
+            raw = ids.tobytes()
+            for w, i, j in zip(part, [0, *cuts], cuts, strict=False):
+                self.words[w] = raw[4 * i : 4 * j]
+        for tail in {t for _, _, t in plain} - self.words.keys():
+            self.words[tail] = self.encode(tail).tobytes()
+        for c, word, tail in plain:
+            self.cache[c] = self.words[word] + self.words[tail]
+        joined = [c for c in others if MARK not in c]
         for a in range(0, len(joined), 256):
             part = joined[a : a + 256]
-            ids = np.array(self.of.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = self.encode(f" {MARK} ".join(part))
             raw, cuts = ids.tobytes(), np.flatnonzero(ids == self.mark).tolist()
             for c, i, j in zip(part, [-1, *cuts], [*cuts, len(ids)], strict=True):
                 self.cache[c] = raw[4 * i + 4 : 4 * j]
-        for c in new - set(joined):
-            self.cache[c] = np.array(self.of.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+        for c in others:
+            if MARK in c:
+                self.cache[c] = self.encode(c).tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.of.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
 
 @functools.cache
