@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -74,7 +75,7 @@ class ChunkTokenizer:
         plain, others = [], []
         for c in new:
             word = c.rstrip(TAILS)
-            if word.isalpha():
+            if word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha()):
                 plain.append((c, word.lower() if word.isascii() else word, c[len(word) :]))
             else:
                 others.append(c)
