@@ -82,7 +82,7 @@ def peer_events(archive: Archive, window: Window = Window(), router_ip: str | No
     others = ["ts_collector", "seq", "session_id", "collector_id", "router_sysname", "peer_asn", "kind", "down_reason", "local_ip", "local_port", "remote_port"]
     events = latest(rows, EVENT_KEY, others, F.struct("ts_collector", *others[1:4]))
     if after is not None:
-        events = events.where(F.struct("ts_collector", "stream_seq") < F.struct(F.lit(after[0]), F.lit(after[1]).cast("long")))
+        events = events.where(F.struct("ts_collector", "stream_seq") < F.struct(F.lit(after[0]).cast(events.schema["ts_collector"].dataType), F.lit(after[1]).cast("long")))
     return events.orderBy(F.desc("ts_collector"), F.desc("stream_seq")).limit(limit)
 
 
