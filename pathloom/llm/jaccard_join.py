@@ -122,9 +122,24 @@ def linked(compared: DataFrame) -> DataFrame:
     return compared.where(f"{OF} * common >= {LINK} * {UNION}").select("a", "b")
 
 
-def likely(a: str, b: str) -> str:
-    """That the sizes let the sets be linked."""
-    return f"{OF} * least({a}, {b}) >= {LINK} * greatest({a}, {b})"
+def with_own(docs: DataFrame, regions: DataFrame) -> DataFrame:
+    """The members of regions with `own`: how many of their shingles no other member of any region has. They are lost
+    to every pair, so members with too many of them go, and so do regions that are then within one component. Regions
+    of the same members are one."""
+    sets = sets_of(docs, settle(regions.select("node").distinct()))
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(v) for v in values])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([*values, np.zeros(0, np.int64)]))], names=["node", "s"])
+
+    alone = sets.mapInArrow(numbers, "node long, s long").groupBy("s").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("c")).where("c = 1")
+    own = settle(alone.groupBy("node").agg(F.count(F.lit(1)).alias("own")))
+    left = regions.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(f"{OF} * (n - own) >= {LINK} * n")
+    left = settle(mixed_only(left).drop("size"))
+    same = left.groupBy("region").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64(F.lit("b"), "node").cast("decimal(38,0)")).alias("y"), F.count(F.lit(1)).alias("c"))
+    return left.join(same.groupBy("x", "y", "c").agg(F.min("region").alias("region")).select("region"), "region", "left_semi")
 
 
 def cold_pairs(members: DataFrame) -> DataFrame:
@@ -172,8 +187,9 @@ def mixed_only(regions: DataFrame) -> DataFrame:
 
 def cell_pairs(cells: DataFrame) -> DataFrame:
     """Pairs across components within a cell that sizes and the distances to the cell's pivots leave open."""
-    x, y = (cells.select("region", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "comp", "n", "d1", "d2"))) for side in "xy")
-    open_ = f"node_x < node_y and comp_x <> comp_y and {likely('n_x', 'n_y')} and abs(d1_x - d1_y) <= {EPSILON} + 1e-9 and abs(d2_x - d2_y) <= {EPSILON} + 1e-9"
+    x, y = (cells.select("region", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "comp", "n", "own", "d1", "d2"))) for side in "xy")
+    most = "least(n_x - own_x, n_y - own_y)"  # in common
+    open_ = f"node_x < node_y and comp_x <> comp_y and {OF} * {most} >= {LINK} * (n_x + n_y - {most}) and abs(d1_x - d1_y) <= {EPSILON} + 1e-9 and abs(d2_x - d2_y) <= {EPSILON} + 1e-9"
     return x.join(y, "region").where(open_).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
@@ -183,7 +199,7 @@ def relabel(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def split_regions(docs: DataFrame, regions: DataFrame) -> DataFrame:
-    """Links across components in large regions (region string, node, comp, n), by recursive Voronoi cells."""
+    """Links across components in large regions (region string, node, comp, n, own), by recursive Voronoi cells."""
     spark, found = docs.sparkSession, []
     for depth in range(DEPTH + 1):
         regions = settle(mixed_only(regions))
@@ -205,7 +221,7 @@ def split_regions(docs: DataFrame, regions: DataFrame) -> DataFrame:
         last = (F.col("size") <= SMALL) | (F.col("size") > 0.9 * F.col("before")) | F.lit(depth == DEPTH)
         rest = cell_pairs(cells.where(last))
         found.append(linked(compare(docs, rest)))
-        regions = cells.where(~last).select("region", "node", "comp", "n")
+        regions = cells.where(~last).select("region", "node", "comp", "n", "own")
         regions = relabel(regions, components(found[-1].union(regions.select("node", "comp"))))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "a long, b long")
 
@@ -235,6 +251,6 @@ def join(docs: DataFrame) -> DataFrame:
     final = components(links)
     regions = settle(mixed_only(relabel(large.unionByName(busy), final)).drop("size"))
     if not regions.isEmpty():
-        final = components(links.unionByName(split_regions(docs, regions)))
+        final = components(links.unionByName(split_regions(docs, with_own(docs, regions))))
     per_class = classes.join(final, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
     return known.join(per_class, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
