@@ -52,7 +52,8 @@ def covers(prefix: Column, address: str) -> Column:
     if isinstance(ip, ipaddress.IPv6Address) and ip.ipv4_mapped:
         ip = ip.ipv4_mapped
     net, length = F.substring_index(prefix, "/", 1), F.substring_index(prefix, "/", -1)
-    size = F.when(length.rlike("^[0-9]{1,3}$") & prefix.rlike("^[^/]+/[0-9]+$"), length.try_cast("int"))
+    right = v4_number(net).isNotNull() if ip.version == 4 else v6_hex(net).isNotNull()
+    size = F.when(right & length.rlike("^[0-9]{1,3}$") & prefix.rlike("^[^/]+/[0-9]+$"), length.try_cast("int"))
     width = 32 if ip.version == 4 else 128
     own = format(int(ip), f"0{width}b")
     net_bits = F.lpad(F.conv(v4_number(net).cast("string"), 10, 2), 32, "0") if ip.version == 4 else bits(F.unhex(v6_hex(net)))
