@@ -72,7 +72,7 @@ class Lines:
         self.row = np.sort(np.r_[np.arange(len(offsets) - 1), owner], kind="stable")
         self.place = np.arange(len(starts)) - np.searchsorted(self.row, self.row)
         self.start, self.size, self.data = starts, ends - starts, data
-        up, self.down = powers(1 << max(BLOCK_BYTES, n + 1).bit_length())
+        up, self.down = powers(max(BLOCK_BYTES, 1 << n.bit_length()))
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((letters()[data] ^ (data.astype(np.uint64) << np.uint64(17))) * up[:n], out=self.sums[1:])
         self.h1 = mix(self.part(self.start, ends) + self.size.astype(np.uint64))
@@ -136,8 +136,8 @@ def entry_runs(docs: DataFrame, segments: int, among: np.ndarray | None) -> Data
                 if shared is not None:
                     take = take[np.isin(lines.h1[take], shared.value)]
                 take = take[np.unique(lines.h1[take], return_index=True)[1]]
-                for a in range(0, len(take), 20_000):
-                    key, line, index = zip(*((k, lines.h1[x], np.full(len(k), i)) for k, x, i in lines.entries(take[a : a + 20_000], segments)), strict=True)
+                for a in range(0, len(take), 8_000):
+                    key, line, index = zip(*((k, lines.h1[x], np.full(len(k), i)) for k, x, i in lines.entries(take[a : a + 8_000], segments)), strict=True)
                     key, line, index = map(np.concatenate, (key, line, index))
                     order = np.argsort(key % np.uint64(parts) * np.uint64(1 << 40) + (key >> np.uint64(24)))
                     key, line, index = key[order], line[order], index[order]

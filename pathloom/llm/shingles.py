@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 SIZE = 5
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -65,8 +65,7 @@ def block_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     end = word.copy()
     end[:-1] &= ~word[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    n = max(BLOCK_BYTES, len(data))
-    up, down = powers(1 << n.bit_length())
+    up, down = powers(max(BLOCK_BYTES, 1 << len(data).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(letters()[data] * up[: len(data)], out=sums[1:])
     words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))

@@ -35,7 +35,7 @@ from pathloom.llm.shingles import BLOCK_BYTES, letters, mix, powers, utf8
 
 LENGTH, SPAN, KMER = 200, 100, 16
 SURE = LENGTH - SPAN + 1
-HOT, BATCH = 20_000, 20_000
+HOT, BATCH, RUN = 20_000, 8_000, 40_000
 NEAR_ROWS, NEAR_SPANS = 200_000, 1_000_000
 NO_ID = -(1 << 63)
 
@@ -45,7 +45,7 @@ class Block:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets, n = data, offsets, len(data)
-        up, down = powers(1 << max(BLOCK_BYTES, n + 1).bit_length())
+        up, down = powers(max(BLOCK_BYTES, 1 << n.bit_length()))
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((letters()[data] ^ (data.astype(np.uint64) << np.uint64(17))) * up[:n], out=self.sums[1:])
         self.down = down
@@ -225,7 +225,7 @@ def contexts(docs: DataFrame, hot: bool) -> DataFrame:
                     continue
                 for part, r, at, first, last in zip(where.tolist(), block.row[take].tolist(), block.at[take].tolist(), block.first[take].tolist(), block.last[take].tolist(), strict=True):
                     bags.setdefault(part, []).append((raw[at : last + LENGTH], raw[first:at][::-1], int(names[r]), at - int(block.offsets[r])))
-                if sum(map(len, bags.values())) > 2 * BATCH:
+                if sum(map(len, bags.values())) > RUN:
                     yield runs(bags)
                     bags = {}
         if bags:
