@@ -16,26 +16,65 @@ any length is kept whole, cut into pieces; an empty table gives no rows; other c
 from __future__ import annotations
 
 import functools
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pathloom.llm.common import whole_text
+from pathloom.llm.shingles import BLOCK_BYTES, letters, mix, powers, utf8, word_bounds
 
-CHUNK = re.compile("[^\t-\r ]+")
 #: Stands between chunks that are encoded together; its one token comes from no other text.
 MARK = "\x01"
 TAILS = ".,;:!?*#$%&|"
-CACHE_CHUNKS = 1_200_000
+TABLE_BITS, MOST_WORDS = 22, 2_400_000
 BLOCK_TOKENS = 1 << 22
 
 
+class WordTable:
+    """Ids by 64-bit hash of a word's bytes: open addressing in numpy arrays, looked up and filled many at a time."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at, self.n = (np.zeros(1 << TABLE_BITS, t) for t in (np.uint64, np.int64, np.int32))
+        self.ids, self.end, self.held = np.zeros(1 << 20, np.uint32), 0, 0
+
+    def slots(self, h: np.ndarray) -> np.ndarray:
+        """Where each hash is, or the free slot where its search ends."""
+        mask = np.uint64((1 << TABLE_BITS) - 1)
+        i = (h & mask).astype(np.int64)
+        open_ = np.flatnonzero((self.keys[i] != h) & (self.keys[i] != 0))
+        while len(open_):
+            i[open_] = (i[open_] + 1) & int(mask)
+            k = self.keys[i[open_]]
+            open_ = open_[(k != h[open_]) & (k != 0)]
+        return i
+
+    def add(self, h: np.ndarray, ids: list[bytes]) -> None:
+        """New, distinct hashes."""
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        while self.end + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.end : self.end + len(flat)] = flat
+        at = self.end + np.cumsum(size) - size
+        self.end, self.held = self.end + len(flat), self.held + len(h)
+        left = np.arange(len(h))
+        while len(left):  # of those that end at one free slot the first takes it
+            slot = self.slots(h[left])
+            _, first = np.unique(slot, return_index=True)
+            own = left[first]
+            self.keys[slot[first]], self.at[slot[first]], self.n[slot[first]] = h[own], at[own], size[own]
+            left = np.delete(left, first)
+
+
 class ChunkTokenizer:
     """Ids of whole texts by a tokenizer whose tokens never cross white space; each distinct chunk is encoded once."""
 
@@ -47,39 +86,57 @@ class ChunkTokenizer:
 
         self.of = Tokenizer.from_file(path)
         (self.mark,) = self.of.encode(MARK, add_special_tokens=False).ids
-        self.cache: dict[str, bytes] = {}
+        self.table = WordTable()
         self.words: dict[str, bytes] = {}
         self.ends = np.array([(self.of.id_to_token(i) or "").endswith("</w>") for i in range(self.of.get_vocab_size())])
 
-    def ids(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
+    def texts(self, column: pa.Array, end_id: int) -> Iterator[np.ndarray]:
+        """The ids of each row, an end id after them."""
+        data, offsets = utf8(column)
+        a = 0
+        while a < len(column):
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK_BYTES, "right")) - 1)
+            yield from self.block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end_id)
+            a = b
+
+    def block(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> Iterator[np.ndarray]:
+        starts, ends = word_bounds(data, offsets)
+        up, down = powers(max(BLOCK_BYTES, 1 << len(data).bit_length()))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((letters()[data] ^ (data.astype(np.uint64) << np.uint64(17))) * up[: len(data)], out=sums[1:])
+        h = np.maximum(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), np.uint64(1))
+        if self.table.held > MOST_WORDS:
+            self.table.clear()
+        slot = self.table.slots(h)
+        missing = np.flatnonzero(self.table.keys[slot] != h)
+        if len(missing):
+            new, first = np.unique(h[missing], return_index=True)
+            raw, at = data.tobytes(), missing[first]
+            self.table.add(new, self.learn([raw[i:j].decode("utf-8", "replace") for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
+            slot = self.table.slots(h)
+        size = self.table.n[slot].astype(np.int64)
+        before = np.r_[0, np.cumsum(size)]
+        flat = self.table.ids[np.repeat(self.table.at[slot] - before[:-1], size) + np.arange(before[-1])]
+        bounds = before[np.searchsorted(starts, offsets)]
+        flat = np.insert(flat, bounds[1:], np.uint32(end_id))
+        bounds += np.arange(len(bounds))
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield flat[i:j]
+
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks. Letters and a tail of marks are two pre-tokens: words are encoded once for all their tails
+        and, in ASCII, cases, many in one text; their last token tells where each ends. Others go through MARK."""
+        if len(self.words) > MOST_WORDS // 4:
             self.words.clear()
-        cache, found, open_, new = self.cache, [], [], set()
-        for t in texts:
-            chunks = CHUNK.findall(t)
-            known = list(map(cache.get, chunks))
-            if None in known:
-                new.update([c for c, ids in zip(chunks, known, strict=True) if ids is None])
-                open_.append((len(found), chunks))
-            found.append(known)
-        self.learn(new)
-        for k, chunks in open_:
-            found[k] = [cache[c] if ids is None else ids for c, ids in zip(chunks, found[k], strict=True)]
-        end = np.array([end_id], "<u4").tobytes()
-        return [np.frombuffer(b"".join(known) + end, "<u4") for known in found]
-
-    def learn(self, new: set[str]) -> None:
-        """Chunks of letters and a tail of marks are two pre-tokens: words are encoded once for all their tails and,
-        in ASCII, cases, many in one text; their last token tells where each ends. Others go through MARK."""
-        plain, others = [], []
-        for c in new:
+        words, found, others = self.words, [b""] * len(chunks), []
+        plain = []
+        for k, c in enumerate(chunks):
             word = c.rstrip(TAILS)
             if word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha()):
-                plain.append((c, word.lower() if word.isascii() else word, c[len(word) :]))
+                plain.append((k, word.lower() if word.isascii() else word, c[len(word) :]))
             else:
-                others.append(c)
-        unknown = list({w for _, w, _ in plain if w not in self.words})
+                others.append(k)
+        unknown = list({w for _, w, _ in plain if w not in words})
         for a in range(0, len(unknown), 512):
             part = unknown[a : a + 512]
             ids = self.encode(" ".join(part))
@@ -88,21 +145,22 @@ class ChunkTokenizer:
                 raise ValueError("the tokenizer has no single last token of a word")
             raw = ids.tobytes()
             for w, i, j in zip(part, [0, *cuts], cuts, strict=False):
-                self.words[w] = raw[4 * i : 4 * j]
-        for tail in {t for _, _, t in plain} - self.words.keys():
-            self.words[tail] = self.encode(tail).tobytes()
-        for c, word, tail in plain:
-            self.cache[c] = self.words[word] + self.words[tail]
-        joined = [c for c in others if MARK not in c]
+                words[w] = raw[4 * i : 4 * j]
+        for tail in {t for _, _, t in plain} - words.keys():
+            words[tail] = self.encode(tail).tobytes()
+        for k, word, tail in plain:
+            found[k] = words[word] + words[tail]
+        joined = [k for k in others if MARK not in chunks[k]]
         for a in range(0, len(joined), 256):
             part = joined[a : a + 256]
-            ids = self.encode(f" {MARK} ".join(part))
+            ids = self.encode(f" {MARK} ".join([chunks[k] for k in part]))
             raw, cuts = ids.tobytes(), np.flatnonzero(ids == self.mark).tolist()
-            for c, i, j in zip(part, [-1, *cuts], [*cuts, len(ids)], strict=True):
-                self.cache[c] = raw[4 * i + 4 : 4 * j]
-        for c in others:
-            if MARK in c:
-                self.cache[c] = self.encode(c).tobytes()
+            for k, i, j in zip(part, [-1, *cuts], [*cuts, len(ids)], strict=True):
+                found[k] = raw[4 * i + 4 : 4 * j]
+        for k in others:
+            if MARK in chunks[k]:
+                found[k] = self.encode(chunks[k]).tobytes()
+        return found
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.of.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -194,12 +252,12 @@ class Packer:
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096, with_ids: bool = True) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if with_ids, its ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, packer = tokenizer(tokenizer_path), Packer(capacity)
         names: dict[int, tuple[object, np.ndarray]] = {}
         sequence, doc, tokens = TaskContext.get().partitionId() << 36, 0, 0
 
-        def out(windows: Iterator[list[tuple[int, int, int]]]) -> pd.DataFrame:
+        def out(windows: Iterator[list[tuple[int, int, int]]]) -> pa.RecordBatch:
             nonlocal sequence
             rows = []
             for window in windows:
@@ -210,29 +268,28 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096
                     rows.append((name, start, length, zlib.crc32(piece.tobytes()), len(ids), sequence, offset, *([piece.astype("i4")] if with_ids else ())))
                     offset += length
                 sequence += 1
-            return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 7 + with_ids]).astype({"doc_id": "Int64"})
+            columns = list(zip(*rows, strict=True)) or [()] * (7 + with_ids)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 7 else pa.list_(pa.int32())) for k, c in enumerate(columns)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 7 + with_ids])
 
         def whole(d: int, n: int) -> Iterator[list[tuple[int, int, int]]]:
             for start in range(0, n - n % capacity, capacity):
                 yield [(d, start, capacity)]
 
         for batch in batches:
-            for a in range(0, len(batch), 256):
-                part = batch.iloc[a : a + 256]
-                for name, ids in zip(part["doc_id"], tok.ids(part["text"].tolist(), end_id), strict=True):
-                    names[doc] = None if pd.isna(name) else int(name), ids
-                    if len(ids) >= capacity:
-                        yield out(whole(doc, len(ids)))
-                    if len(ids) % capacity:
-                        packer.add(doc, len(ids) - len(ids) % capacity, len(ids) % capacity)
-                    tokens += len(ids)
-                    doc += 1
+            for name, ids in zip(batch.column(0).to_pylist(), tok.texts(batch.column(1), end_id), strict=True):
+                names[doc] = name, ids
+                if len(ids) >= capacity:
+                    yield out(whole(doc, len(ids)))
+                if len(ids) % capacity:
+                    packer.add(doc, len(ids) - len(ids) % capacity, len(ids) % capacity)
+                tokens += len(ids)
+                doc += 1
                 if tokens >= BLOCK_TOKENS:
                     yield out(packer.sequences(reserve=64))
-                    names = {d: names[d] for held in packer.items.values() for d, _ in held}
+                    names = {d: (names[d][0], names[d][1].copy()) for held in packer.items.values() for d, _ in held}
                     tokens = 0
         yield out(packer.sequences(reserve=0))
         yield out(packer.rest())
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", whole_text().alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, schema)

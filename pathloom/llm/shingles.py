@@ -55,8 +55,8 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
         a = b
 
 
-def block_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    rows = len(offsets) - 1
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends; no word crosses a row's end."""
     word = ~SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -64,7 +64,12 @@ def block_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     begin[1:] &= ~word[:-1] | edge[1:-1]
     end = word.copy()
     end[:-1] &= ~word[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    return np.flatnonzero(begin), np.flatnonzero(end) + 1
+
+
+def block_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    rows = len(offsets) - 1
+    starts, ends = word_bounds(data, offsets)
     up, down = powers(max(BLOCK_BYTES, 1 << len(data).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(letters()[data] * up[: len(data)], out=sums[1:])
