@@ -60,4 +60,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_jaccard_join, op4_pii, op5_quality_classifier, op6_chat_formatting, op7_suffix_dedup, op8_packing, op9_fingerprints, op10_sentencepiece)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE, "op3_jaccard_join": jaccard_join.ORACLE, "op6_chat_formatting": chat.ORACLE}
