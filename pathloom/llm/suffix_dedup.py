@@ -36,7 +36,7 @@ from pathloom.llm.shingles import BLOCK_BYTES, letters, mix, powers, utf8
 LENGTH, SPAN, KMER = 200, 100, 16
 SURE = LENGTH - SPAN + 1
 HOT, BATCH, RUN = 20_000, 8_000, 40_000
-NEAR_ROWS, NEAR_SPANS = 200_000, 1_000_000
+NEAR_IDS, NEAR_ROWS, NEAR_SPANS = 2_000_000, 200_000, 1_000_000
 NO_ID = -(1 << 63)
 
 
@@ -311,6 +311,9 @@ def remove(docs: DataFrame, with_text: bool = True) -> DataFrame:
     copies = settle(known.where(f"n_bytes >= {LENGTH}").groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     copied = settle(known.select("id", "n_bytes", "digest").join(copies, "digest").select("id", "n_bytes", (F.col("id") == F.col("first")).alias("stands")))
     spare = copied.groupBy("id").agg(F.max("stands").alias("stands")).where("not stands").select("id")
+    spare = settle(spare)
+    if spare.count() <= NEAR_IDS:  # else the anchors are dealt by id
+        spare = F.broadcast(spare)
     anchors = known.join(spare, "id", "left_anti").select("id", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("id", F.col("x.hashes").alias("h"), F.col("x.places").alias("place"))
     twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
     wanted = settle(anchors.join(twice, "h").groupBy("id", "hot").agg(F.collect_set("place").alias("places")))
