@@ -10,9 +10,9 @@
    component need no comparison, so a dense group of n costs about n comparisons.
 4. Regions of up to SMALL members give their pairs across components; pairs that meet in `least_common` of them are
    compared. (A linked pair that doesn't has a pivot of a larger region in common.) Larger ones are split recursively: two
-   members of different components are pivots, each member goes to the Voronoi cell of the nearer one and, if its two
-   distances differ by at most 2 EPSILON, to the other cell too, until cells are small, within one component, or stop
-   shrinking; then their pairs that the triangle inequality leaves open are compared.
+   members are pivots, each member goes to the Voronoi cell of the nearer one and, if its two distances differ by at
+   most 2 EPSILON, to the other cell too, until cells are small, within one component, or stop shrinking; then their
+   pairs that sizes and the triangle inequality leave open are compared, each once.
 
 Comparisons are exact. Links and components stay distributed; what is broadcast is bounded (HOT_PIVOTS, NEAR_NODES).
 
@@ -41,7 +41,8 @@ from pathloom.llm.shingles import shingle_sets
 EPSILON, LINK, OF = 0.2, 80, 100
 HOT_ROWS, HOT_PIVOTS, NEAR_NODES = 64, 1_000_000, 1_000_000
 PROBES, SHARED_PROBES = 8, 2
-SMALL, BLOCK, DEPTH = 64, 256, 8
+SMALL, BLOCK, DEPTH, ROUNDS = 64, 256, 8, 2
+CELL = 4096
 
 
 def least_common(n):
@@ -186,11 +187,50 @@ def mixed_only(regions: DataFrame) -> DataFrame:
 
 
 def cell_pairs(cells: DataFrame) -> DataFrame:
-    """Pairs across components within a cell that sizes and the distances to the cell's pivots leave open."""
-    x, y = (cells.select("region", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "comp", "n", "own", "d1", "d2"))) for side in "xy")
-    most = "least(n_x - own_x, n_y - own_y)"  # in common
-    open_ = f"node_x < node_y and comp_x <> comp_y and {OF} * {most} >= {LINK} * (n_x + n_y - {most}) and abs(d1_x - d1_y) <= {EPSILON} + 1e-9 and abs(d2_x - d2_y) <= {EPSILON} + 1e-9"
-    return x.join(y, "region").where(open_).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    """a, b: pairs across components within a cell that sizes and the distances to the cell's pivots leave open. A pair
+    that meets in many cells comes from the first of them alone. Cells over CELL members are dealt in blocks of them,
+    each two blocks to a task."""
+    spark = cells.sparkSession
+    numbered = settle(cells.withColumn("region", F.xxhash64("region")))
+    sizes = numbered.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))
+    homes = numbered.groupBy("node").agg(F.array_sort(F.collect_set("region")).alias("homes"))
+    own = numbered.join(sizes, "region").join(homes, "node").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
+
+    def pairs(g: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        g = g.sort_values("node")
+        node, comp, n, own_, d1, d2, part = (g[c].to_numpy() for c in ("node", "comp", "n", "own", "d1", "d2", "part"))
+        region, across = g["region"].iat[0], g["lo"].iat[0] != g["hi"].iat[0]
+        earlier = [h[: np.searchsorted(h, region)] for h in g["homes"]]
+        names = np.unique(np.concatenate(earlier))
+        bits = np.zeros((len(g), len(names) // 64 + 1), np.uint64)
+        for i, h in enumerate(earlier):
+            at = np.searchsorted(names, h)
+            np.bitwise_or.at(bits[i], at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
+        for i in range(len(g) - 1):
+            j = np.arange(i + 1, len(g))
+            most = np.minimum(n[i] - own_[i], n[j] - own_[j])
+            j = j[(comp[j] != comp[i]) & (OF * most >= LINK * (n[i] + n[j] - most)) & (abs(d1[j] - d1[i]) <= EPSILON + 1e-9) & (abs(d2[j] - d2[i]) <= EPSILON + 1e-9) & ((part[j] != part[i]) | (not across))]
+            j = j[~(bits[j] & bits[i]).any(axis=1)]
+            yield np.full(len(j), node[i]), node[j]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            keys = list(zip(rows["region"], rows["lo"], rows["hi"], strict=True))
+            held = rows[[k == keys[-1] for k in keys]] if keys else rows
+            for _, g in rows[[k != keys[-1] for k in keys]].groupby(["region", "lo", "hi"], sort=False) if keys else ():
+                yield give(g)
+        if held is not None and len(held):
+            yield give(held)
+
+    def give(g: pd.DataFrame) -> pd.DataFrame:
+        found = list(zip(*pairs(g), strict=True)) or [(), ()]
+        return pd.DataFrame({c: np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64) for c, v in zip("ab", found, strict=True)})
+
+    rows = dealt.repartition(slots(spark), "region", "lo", "hi").sortWithinPartitions("region", "lo", "hi")
+    return rows.select("region", "lo", "hi", "part", "node", "comp", "n", "own", "d1", "d2", "homes").mapInPandas(run, "a long, b long")
 
 
 def relabel(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -205,8 +245,9 @@ def split_regions(docs: DataFrame, regions: DataFrame) -> DataFrame:
         regions = settle(mixed_only(regions))
         if regions.isEmpty():
             break
-        pivots = regions.groupBy("region").agg(F.min(F.struct("comp", "node")).alias("p"), F.max(F.struct("comp", "node")).alias("q"))
-        placed = regions.join(pivots.select("region", F.col("p.node").alias("p1"), F.col("q.node").alias("p2")), "region")
+        central = F.struct("own", F.xxhash64(F.lit(depth), "node"))  # few shingles that others lack
+        pivots = regions.groupBy("region").agg(F.min_by("node", central).alias("p1"), F.max_by("node", F.struct("comp", "node")).alias("p2"))
+        placed = regions.join(pivots, "region")
         ask = reduce(DataFrame.unionByName, [placed.where(f"node <> {p}").select(F.col(p).alias("a"), F.col("node").alias("b")) for p in ("p1", "p2")]).distinct()
         compared = compare(docs, ask)
         found.append(linked(compared))
@@ -218,7 +259,7 @@ def split_regions(docs: DataFrame, regions: DataFrame) -> DataFrame:
         cell = F.explode(F.concat(F.when(F.expr(f"d1 - d2 <= 2 * {EPSILON} + 1e-9"), F.array(F.lit("1"))).otherwise(F.array().cast("array<string>")), F.when(F.expr(f"d2 - d1 <= 2 * {EPSILON} + 1e-9"), F.array(F.lit("2"))).otherwise(F.array().cast("array<string>"))))
         cells = placed.withColumn("cell", cell).withColumn("region", F.concat("region", F.lit("/"), "cell"))
         cells = settle(mixed_only(cells.withColumnRenamed("size", "before")))
-        last = (F.col("size") <= SMALL) | (F.col("size") > 0.9 * F.col("before")) | F.lit(depth == DEPTH)
+        last = (F.col("size") <= SMALL) | ((F.col("size") > 0.9 * F.col("before")) & F.lit(depth + 1 >= ROUNDS)) | F.lit(depth == DEPTH)
         rest = cell_pairs(cells.where(last))
         found.append(linked(compare(docs, rest)))
         regions = cells.where(~last).select("region", "node", "comp", "n", "own")
