@@ -7,9 +7,9 @@ A line is cut into TAU + 1 even segments, so at most TAU edits leave one segment
 its length and each choice of TAU segments that may be dirty, by a hash of the clean ones; and it probes the indexes of
 its own and up to TAU smaller lengths with its substrings at the places to which edits within the dirty segments can
 have moved the clean ones. Index and probe entries go to their partition as sorted blocks of numbers, one row a block.
-Where more than CAP pairs share a key, their lines are cut into more segments (LEVELS), of which all but TAU must
-match; what is still dense on the last level is compared pair by pair, in blocks. Candidates are verified by banded
-bit-parallel edit distance. Lines are named by 64-bit hashes between the steps, equal lines by 128 bits.
+Pairs whose byte counts rule TAU edits out are no candidates. Where more than CAP pairs share a key, their lines are
+cut into more segments (LEVELS), of which all but TAU must match; what is still dense on the last level is compared
+pair by pair, in blocks. Candidates are verified by banded bit-parallel edit distance. Lines are named by 64-bit hashes between the steps, equal lines by 128 bits.
 
 Defined results: null and empty texts have one empty line, which stays; repeated rows lose all but the first row's
 lines (a row's own repeated lines too); lines of any length are compared whole; rows of one doc_id are told apart by
@@ -35,8 +35,11 @@ from pathloom.llm.shingles import BLOCK_BYTES, letters, mix, powers, utf8
 
 TAU, LEAST = 2, 24
 LEVELS = (TAU + 1, 8, 16)
-CAP, NEAR = 4096, 4_000_000
+CAP, NEAR = 1 << 20, 4_000_000
 NO_ID = -(1 << 63)
+#: Sixteen classes of bytes, counted modulo 16 in four bits each.
+CLASS = (np.arange(256) * 0x9E37 >> 7) & 15
+BAG_PLACES = np.arange(0, 64, 4, dtype=np.uint64)
 
 
 @functools.cache
@@ -77,6 +80,10 @@ class Lines:
         np.cumsum((letters()[data] ^ (data.astype(np.uint64) << np.uint64(17))) * up[:n], out=self.sums[1:])
         self.h1 = mix(self.part(self.start, ends) + self.size.astype(np.uint64))
         self.long = self.size >= LEAST
+        line = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))  # a line end counts to the line before it
+        counts = np.bincount(line * 16 + CLASS[data], minlength=16 * len(starts)).reshape(-1, 16)
+        counts[line[joints], CLASS[10]] -= 1
+        self.bag = ((counts & 15).astype(np.uint64) << BAG_PLACES).sum(axis=1, dtype=np.uint64)
 
     def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.down[start]
@@ -125,7 +132,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def entry_runs(docs: DataFrame, segments: int, among: np.ndarray | None) -> DataFrame:
-    """part, n, run: sorted keys, then the lines' hashes, then which are index entries. among: only these lines."""
+    """part, n, run: sorted keys, then the lines' hashes and bags, then which are index entries. among: only these lines."""
     parts = 2 * slots(docs.sparkSession)
     shared = None if among is None else docs.sparkSession.sparkContext.broadcast(among)
 
@@ -137,41 +144,54 @@ def entry_runs(docs: DataFrame, segments: int, among: np.ndarray | None) -> Data
                     take = take[np.isin(lines.h1[take], shared.value)]
                 take = take[np.unique(lines.h1[take], return_index=True)[1]]
                 for a in range(0, len(take), 8_000):
-                    key, line, index = zip(*((k, lines.h1[x], np.full(len(k), i)) for k, x, i in lines.entries(take[a : a + 8_000], segments)), strict=True)
-                    key, line, index = map(np.concatenate, (key, line, index))
+                    key, line, index = map(np.concatenate, zip(*((k, x, np.full(len(k), i)) for k, x, i in lines.entries(take[a : a + 8_000], segments)), strict=True))
                     order = np.argsort(key % np.uint64(parts) * np.uint64(1 << 40) + (key >> np.uint64(24)))
-                    key, line, index = key[order], line[order], index[order]
+                    key, index, bag, line = key[order], index[order], lines.bag[line[order]], lines.h1[line[order]]
                     cut = np.searchsorted(key % np.uint64(parts), np.arange(parts + 1, dtype=np.uint64))
                     own = [(p, i, j) for p, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if j > i]
-                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in own], pa.int32()), pa.array([j - i for _, i, j in own], pa.int32()), pa.array([key[i:j].tobytes() + line[i:j].tobytes() + np.packbits(index[i:j]).tobytes() for _, i, j in own], pa.binary())], names=["part", "n", "run"])
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in own], pa.int32()), pa.array([j - i for _, i, j in own], pa.int32()), pa.array([key[i:j].tobytes() + line[i:j].tobytes() + bag[i:j].tobytes() + np.packbits(index[i:j]).tobytes() for _, i, j in own], pa.binary())], names=["part", "n", "run"])
 
     return docs.mapInArrow(run, "part int, n int, run binary")
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the bags of two lines let them be within TAU edits, each of which moves at most two counts by one."""
+    a, b = a.view(np.uint8).reshape(-1, 8), b.view(np.uint8).reshape(-1, 8)
+    total = np.zeros(len(a), np.int64)
+    for x, y in ((a & 15, b & 15), (a >> 4, b >> 4)):
+        d = (x - y) & 15
+        total += np.minimum(d, 16 - d).sum(axis=1, dtype=np.int64)
+    return total <= 2 * TAU
+
+
 def candidates(runs: DataFrame, last: bool) -> DataFrame:
     """a, b: lines that share a key (a < b). Of keys with over CAP pairs, dense: their lines as a, b null; on the last
     level all their pairs."""
 
-    def pairs(key: np.ndarray, line: np.ndarray, index: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(key: np.ndarray, line: np.ndarray, bag: np.ndarray, index: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         order = np.lexsort((line, key))
-        key, line, index = key[order], line[order], index[order]
+        key, line, bag, index = key[order], line[order], bag[order], index[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         ends = np.r_[starts[1:], len(key)]
         mixed = line[starts] != line[ends - 1]
         for i, j in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
-            x, y = np.unique(line[i:j][index[i:j]]), np.unique(line[i:j][~index[i:j]])
+            own, b, into = line[i:j], bag[i:j], index[i:j]
+            x, at = np.unique(own[into], return_index=True)
+            y, to = np.unique(own[~into], return_index=True)
+            bx, by = b[into][at], b[~into][to]
             if len(x) * len(y) > CAP and not last:
                 yield np.union1d(x, y), None
                 continue
-            step = max(1, (1 << 20) // max(1, len(y)))
+            step = max(1, (1 << 18) // max(1, len(y)))
             for a in range(0, len(x), step):
-                p, q = np.repeat(x[a : a + step], len(y)), np.tile(y, len(x[a : a + step]))
-                off = p != q
-                yield np.minimum(p, q)[off], np.maximum(p, q)[off]
+                m = len(x[a : a + step])
+                p, q = np.repeat(x[a : a + step], len(y)), np.tile(y, m)
+                good = (p != q) & alike(np.repeat(bx[a : a + step], len(y)), np.tile(by, m))
+                yield np.minimum(p, q)[good], np.maximum(p, q)[good]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def give(held: list) -> Iterator[pd.DataFrame]:
-            arrays = [(np.frombuffer(b, np.uint64, n), np.frombuffer(b, np.uint64, n, 8 * n), np.unpackbits(np.frombuffer(b, np.uint8, -1, 16 * n), count=n).astype(bool)) for n, b in held]
+            arrays = [(np.frombuffer(b, np.uint64, n), np.frombuffer(b, np.uint64, n, 8 * n), np.frombuffer(b, np.uint64, n, 16 * n), np.unpackbits(np.frombuffer(b, np.uint8, -1, 24 * n), count=n).astype(bool)) for n, b in held]
             out, size = [], 0
             for p, q in pairs(*map(np.concatenate, zip(*arrays, strict=True))):
                 out.append(pd.DataFrame({"a": p.view(np.int64), "b": pd.array(q.view(np.int64) if q is not None else [None] * len(p), "Int64")}))
