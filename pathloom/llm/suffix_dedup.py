@@ -317,10 +317,13 @@ def remove(docs: DataFrame, with_text: bool = True) -> DataFrame:
     anchors = known.join(spare, "id", "left_anti").select("id", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("id", F.col("x.hashes").alias("h"), F.col("x.places").alias("place"))
     twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
     wanted = settle(anchors.join(twice, "h").groupBy("id", "hot").agg(F.collect_set("place").alias("places")))
-    texts = docs.join(wanted, "id").select("id", "text", "places", "hot")
-    found = merge_runs(contexts(texts.where("not hot").select("id", "text", "places"), hot=False))
-    if not wanted.where("hot").isEmpty():
-        windows = settle(contexts(texts.where("hot").select("id", "text", "places"), hot=True))
+    found = merge_runs(contexts(docs.join(wanted.where("not hot"), "id").select("id", "text", "places"), hot=False))
+    busy = wanted.where("hot").select("id", "places")
+    size = busy.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("places")).alias("m")).first()
+    if size["n"]:
+        if size["n"] <= NEAR_ROWS and size["m"] <= NEAR_SPANS:
+            busy = F.broadcast(busy)
+        windows = settle(contexts(docs.join(busy, "id").select("id", "text", "places"), hot=True))
         again = windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
         found = found.unionByName(windows.join(again, ["h1", "h2"]).select("id", "start", (F.col("start") + LENGTH).alias("end")))
     whole = copied.select("id", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
