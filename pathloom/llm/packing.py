@@ -32,8 +32,8 @@ from pathloom.llm.shingles import BLOCK_BYTES, letters, mix, powers, utf8, word_
 #: Stands between chunks that are encoded together; its one token comes from no other text.
 MARK = "\x01"
 TAILS = ".,;:!?*#$%&|"
-TABLE_BITS, MOST_WORDS = 22, 2_400_000
-BLOCK_TOKENS = 1 << 22
+TABLE_BITS, MOST_WORDS = 21, 1_200_000
+BLOCK_TOKENS = 1 << 20
 
 
 class WordTable:

@@ -33,7 +33,7 @@ from pathloom.llm.common import whole_text
 WORD = re.compile("[^\t-\r ]+")
 DIM, NONZERO, WINDOW, HIDDEN = 32, 4, 2, 24
 MAX_ROWS = 4000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 RUNS = [(re.compile(p), by) for p, by in (("[^\\W\\d_]+", lambda m: "A" if m[0].isupper() else "a" if m[0].islower() else "Aa"), (r"\d+", "9"), (r"([^\w\s])\1+", r"\1\1"))]
 
 
