@@ -53,3 +53,8 @@ def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def arrow_rows(spark: SparkSession, rows: int) -> None:
+    """Rows in an Arrow batch from now on: few where whole texts go to Python, more for numbers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import settle, slots
+from pathloom.llm.common import arrow_rows, settle, slots
 from pathloom.llm.graph import components
 from pathloom.llm.shingles import BLOCK_BYTES, letters, mix, powers, utf8
 
@@ -303,6 +303,7 @@ def removals(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the repeated lines cut from text, n_lines, n_removed and kept_sha256 (names that docs has are left
     out). Texts without repeated lines stay byte for byte."""
+    arrow_rows(docs.sparkSession, 2000)
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     gone = settle(removals(plain))
     few = gone.count() <= 500_000

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import whole_text
+from pathloom.llm.common import arrow_rows, whole_text
 from pathloom.llm.shingles import BLOCK_BYTES, letters, mix, powers, utf8, word_bounds
 
 #: Stands between chunks that are encoded together; its one token comes from no other text.
@@ -291,5 +291,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096
         yield out(packer.sequences(reserve=0))
         yield out(packer.rest())
 
+    arrow_rows(docs.sparkSession, 2000)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import settle, slots
+from pathloom.llm.common import arrow_rows, settle, slots
 from pathloom.llm.shingles import BLOCK_BYTES, letters, mix, powers, utf8
 
 LENGTH, SPAN, KMER = 200, 100, 16
@@ -306,6 +306,7 @@ def cut(docs: DataFrame, with_text: bool) -> DataFrame:
 
 def remove(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if with_text, kept_text of every row."""
+    arrow_rows(docs.sparkSession, 2000)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = settle(scan(docs))
     copies = settle(known.where(f"n_bytes >= {LENGTH}").groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
