@@ -182,7 +182,7 @@ def candidates(runs: DataFrame, last: bool) -> DataFrame:
             if len(x) * len(y) > CAP and not last:
                 yield np.union1d(x, y), None
                 continue
-            step = max(1, (1 << 18) // max(1, len(y)))
+            step = max(1, (1 << 16) // max(1, len(y)))
             for a in range(0, len(x), step):
                 m = len(x[a : a + step])
                 p, q = np.repeat(x[a : a + step], len(y)), np.tile(y, m)
@@ -196,7 +196,7 @@ def candidates(runs: DataFrame, last: bool) -> DataFrame:
             for p, q in pairs(*map(np.concatenate, zip(*arrays, strict=True))):
                 out.append(pd.DataFrame({"a": p.view(np.int64), "b": pd.array(q.view(np.int64) if q is not None else [None] * len(p), "Int64")}))
                 size += len(p)
-                if size > 1 << 20:
+                if size > 1 << 17:
                     yield pd.concat(out).drop_duplicates()
                     out, size = [], 0
             if out:
