@@ -1,15 +1,21 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of at least LEAST bytes that are equal, or within TAU edits of each other (in UTF-8 bytes, transitively), are one
-class; of each class only the first line stays, by doc_id, then place. Shorter lines always stay.
-
-A line is cut into TAU + 1 even segments, so at most TAU edits leave one segment untouched. Every line is indexed under
-its length and each choice of TAU segments that may be dirty, by a hash of the clean ones; and it probes the indexes of
-its own and up to TAU smaller lengths with its substrings at the places to which edits within the dirty segments can
-have moved the clean ones. Index and probe entries go to their partition as sorted blocks of numbers, one row a block.
-Pairs whose byte counts rule TAU edits out are no candidates. Where more than CAP pairs share a key, their lines are
-cut into more segments (LEVELS), of which all but TAU must match; what is still dense on the last level is compared
-pair by pair, in blocks. Candidates are verified by banded bit-parallel edit distance. Lines are named by 64-bit hashes between the steps, equal lines by 128 bits.
+Lines of at least LEAST bytes that are equal, or within TAU edits of each other (in UTF-8 bytes), or, where both have
+LONG characters at least, within most_edits of the shorter one (in code points), transitively, are one class; of each
+class only the first line stays, by doc_id, then place. Shorter lines always stay.
+
+Lines under LONG characters: each is cut into TAU + 1 even segments, so at most TAU edits leave one
+segment untouched. Every line is indexed under its length and each choice of TAU segments that may be dirty, by a hash
+of the clean ones; and it probes the indexes of its own and up to TAU smaller lengths with its substrings at the places
+to which edits within the dirty segments can have moved the clean ones. Index and probe entries go to their partition
+as sorted blocks of numbers, one row a block. Pairs whose counts rule the edits out are no candidates. Where
+more than CAP pairs share a key, their lines are cut into more segments (LEVELS), of which all but TAU must match; what
+is still dense on the last level is compared pair by pair, in blocks.
+
+From LONG characters on, one edit fewer than there are segments of SEGMENT characters is allowed, so one segment is
+equal in both lines. Of every stretch of that length the grams of least hash are anchors: equal stretches have equal
+anchors, so lines that share one, at places that the edits allow, are candidates. Candidates are verified by banded
+bit-parallel edit distance. Lines are named by 64-bit hashes between the steps, equal lines by 128 bits.
 
 Defined results: null and empty texts have one empty line, which stays; repeated rows lose all but the first row's
 lines (a row's own repeated lines too); lines of any length are compared whole; rows of one doc_id are told apart by
@@ -34,6 +40,13 @@ from pathloom.llm.graph import components
 from pathloom.llm.shingles import BLOCK_BYTES, letters, mix, powers, utf8
 
 TAU, LEAST = 2, 24
+#: Characters in a segment of a long line, in the grams that anchors are chosen from, and in the shortest long line.
+SEGMENT, GRAM = 20, 12
+LONG = SEGMENT * (TAU + 2)
+WINDOW = SEGMENT - GRAM + 1
+#: The place of an anchor that a line has more than once, or far from its start.
+ANYWHERE = 0xFFFF
+PAIRS = 1 << 21
 LEVELS = (TAU + 1, 8, 16)
 CAP, NEAR = 1 << 20, 4_000_000
 NO_ID = -(1 << 63)
@@ -63,6 +76,11 @@ def layouts(segments: int) -> list[tuple[tuple[int, ...], list[tuple[int, tuple[
     return out
 
 
+def most_edits(chars):
+    """Edits (code points) allowed to a line of so many characters, the shorter of two: one in SEGMENT, less one."""
+    return np.maximum(TAU, chars // SEGMENT - 1)
+
+
 class Lines:
     """The lines of some whole texts: row, place, start and length in data, hash."""
 
@@ -80,7 +98,10 @@ class Lines:
         np.cumsum((letters()[data] ^ (data.astype(np.uint64) << np.uint64(17))) * up[:n], out=self.sums[1:])
         self.h1 = mix(self.part(self.start, ends) + self.size.astype(np.uint64))
         self.long = self.size >= LEAST
-        line = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))  # a line end counts to the line before it
+        begins = (data & 0xC0) != 0x80  # a character
+        before = np.r_[0, np.cumsum(begins)]
+        self.points, self.head, self.chars = np.r_[np.flatnonzero(begins), n], before[starts], before[ends] - before[starts]
+        self.line = line = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))  # a line end counts to the line before it
         counts = np.bincount(line * 16 + CLASS[data], minlength=16 * len(starts)).reshape(-1, 16)
         counts[line[joints], CLASS[10]] -= 1
         self.bag = ((counts & 15).astype(np.uint64) << BAG_PLACES).sum(axis=1, dtype=np.uint64)
@@ -109,6 +130,39 @@ class Lines:
                     key = mix(key) + mix(self.part(start + a, start + np.maximum(a, b)))
                 yield mix(key)[good], lines[good], shift is None
 
+    def anchors(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, line, place in the line) of the anchors of these lines, each key once a line."""
+        n, ends, line_of = len(self.points) - 1, self.head + self.chars, self.line[self.points[:-1]]
+        if n < SEGMENT or not len(lines):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.arange(n - GRAM + 1)
+        gram = mix(self.part(self.points[at], self.points[at + GRAM]))
+        least, width = gram, 1
+        while width < WINDOW:
+            step = min(width, WINDOW - width)
+            least, width = np.minimum(least[: len(least) - step], least[step:]), width + step
+        here, mine = line_of[: len(least)], np.zeros(len(self.start), bool)
+        mine[lines] = True
+        whole = mine[here] & (at[: len(least)] + SEGMENT <= ends[here])
+        chosen = np.zeros(len(gram), bool)
+        for d in range(WINDOW):
+            chosen[d : d + len(least)] |= whole & (least == gram[d : d + len(least)])
+        at = np.flatnonzero(chosen)
+        line, key = line_of[at], gram[at]
+        order = np.lexsort((key, line))
+        at, line, key = at[order], line[order], key[order]
+        new = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (key[1:] != key[:-1])]) if len(at) else np.zeros(0, np.int64)
+        once = np.diff(np.r_[new, len(at)]) == 1
+        at, line, key = at[new], line[new], key[new]
+        return key, line, np.where(once, np.minimum(at - self.head[line], ANYWHERE), ANYWHERE)
+
+    def char_bags(self) -> np.ndarray:
+        """As bag, of code points: an edit moves two counts at most."""
+        first, last = self.data[self.points[:-1]].astype(np.int64), self.data[self.points[1:] - 1].astype(np.int64)
+        line, inside = self.line[self.points[:-1]], first != 10
+        counts = np.bincount(line[inside] * 16 + CLASS[(8 * first + 249 * last & 255)[inside]], minlength=16 * len(self.start)).reshape(-1, 16)
+        return ((counts & 15).astype(np.uint64) << BAG_PLACES).sum(axis=1, dtype=np.uint64)
+
 
 def blocks(column: pa.Array) -> Iterator[tuple[int, int, Lines]]:
     data, offsets = utf8(column)
@@ -139,7 +193,7 @@ def entry_runs(docs: DataFrame, segments: int, among: np.ndarray | None) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, lines in blocks(batch.column(1)):
-                take = np.flatnonzero(lines.long)
+                take = np.flatnonzero(lines.long & (lines.chars < LONG + TAU))
                 if shared is not None:
                     take = take[np.isin(lines.h1[take], shared.value)]
                 take = take[np.unique(lines.h1[take], return_index=True)[1]]
@@ -154,14 +208,14 @@ def entry_runs(docs: DataFrame, segments: int, among: np.ndarray | None) -> Data
     return docs.mapInArrow(run, "part int, n int, run binary")
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the bags of two lines let them be within TAU edits, each of which moves at most two counts by one."""
+def alike(a: np.ndarray, b: np.ndarray, most: int | np.ndarray = TAU) -> np.ndarray:
+    """Whether the bags of two lines let them be within so many edits, each of which moves at most two counts by one."""
     a, b = a.view(np.uint8).reshape(-1, 8), b.view(np.uint8).reshape(-1, 8)
     total = np.zeros(len(a), np.int64)
     for x, y in ((a & 15, b & 15), (a >> 4, b >> 4)):
         d = (x - y) & 15
         total += np.minimum(d, 16 - d).sum(axis=1, dtype=np.int64)
-    return total <= 2 * TAU
+    return total <= 2 * most
 
 
 def candidates(runs: DataFrame, last: bool) -> DataFrame:
@@ -216,7 +270,106 @@ def candidates(runs: DataFrame, last: bool) -> DataFrame:
     return runs.repartition(slots(runs.sparkSession), "part").sortWithinPartitions("part").mapInPandas(run, "a long, b long")
 
 
-def within(a: bytes, b: bytes, most: int) -> bool:
+def anchor_runs(docs: DataFrame) -> DataFrame:
+    """part, n, m, run: keys (the half that part does not hold), lines and places of n anchors, then hashes, lengths
+    and bags of their m lines."""
+    parts = 2 * slots(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, lines in blocks(batch.column(1)):
+                take = np.flatnonzero(lines.chars >= LONG)
+                take, bag = take[np.unique(lines.h1[take], return_index=True)[1]], lines.char_bags()
+                for a in range(0, len(take), 60_000):
+                    key, line, place = lines.anchors(np.sort(take[a : a + 60_000]))
+                    part = (key >> np.uint64(32)) % np.uint64(parts)
+                    order = np.argsort(part, kind="stable")
+                    cut = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+                    rows = []
+                    for p, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                        if j > i:
+                            own = order[i:j]
+                            of, to = np.unique(line[own], return_inverse=True)
+                            rows.append((p, j - i, len(of), b"".join([key[own].astype(np.uint32).tobytes(), to.astype(np.uint16).tobytes(), place[own].astype(np.uint16).tobytes(), lines.h1[of].tobytes(), lines.chars[of].astype(np.uint32).tobytes(), bag[of].tobytes()])))
+                    if rows:
+                        columns = list(zip(*rows, strict=True))
+                        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary())], names=["part", "n", "m", "run"])
+
+    return docs.mapInArrow(run, "part int, n int, m int, run binary")
+
+
+def long_pairs(key: np.ndarray, line: np.ndarray, place: np.ndarray, size: np.ndarray, bag: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of lines (two rows of numbers, the smaller first) with an equal key at places that their edits allow."""
+    where = key.astype(np.uint64) << np.uint64(16) | place.astype(np.uint64)
+    order = np.argsort(where)
+    where, line = where[order], line[order]
+    group = where >> np.uint64(16)
+    more = np.r_[False, group[1:] == group[:-1]] if len(group) else np.zeros(0, bool)
+    more[:-1] |= more[1:].copy()
+    where, line, group = where[more], line[more], group[more]
+    place, most = (where & np.uint64(ANYWHERE)).astype(np.int64), most_edits(size[line])
+    at, any_ = np.arange(len(line)), place == ANYWHERE
+    last = group << np.uint64(16) | np.minimum(place + most, ANYWHERE - 1).astype(np.uint64)
+    begin = np.where(any_, np.searchsorted(group, group), at + 1)
+    end = np.where(any_, at, np.searchsorted(where, last, "right"))
+    total = np.cumsum(np.maximum(end - begin, 0))
+    a = 0
+    while a < len(line):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, "right")))
+        count = np.maximum(end[a:b] - begin[a:b], 0)
+        x = np.repeat(at[a:b], count)
+        y = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[a:b], count)
+        p, q = line[x], line[y]
+        longer, moved = size[q] - size[p], place[y] - place[x]
+        allowed = most_edits(np.minimum(size[p], size[q]))
+        good = (p != q) & (np.abs(longer) <= allowed) & (any_[x] | any_[y] | (np.abs(moved) + np.abs(longer - moved) <= allowed))
+        p, q, allowed = p[good], q[good], allowed[good]
+        good = alike(bag[p], bag[q], allowed)
+        both = np.sort(np.stack([p[good], q[good]]), axis=0)
+        yield np.unique(both, axis=1)
+        a = b
+
+
+def long_candidates(runs: DataFrame) -> DataFrame:
+    """a, b: long lines that share an anchor (a < b)."""
+
+    def give(held: list) -> Iterator[pd.DataFrame]:
+        keys, lines, places, names, sizes, bags, seen = [], [], [], [], [], [], 0
+        for n, m, b in held:
+            keys.append(np.frombuffer(b, np.uint32, n))
+            lines.append(np.frombuffer(b, np.uint16, n, 4 * n).astype(np.int64) + seen)
+            places.append(np.frombuffer(b, np.uint16, n, 6 * n))
+            names.append(np.frombuffer(b, np.uint64, m, 8 * n))
+            sizes.append(np.frombuffer(b, np.uint32, m, 8 * n + 8 * m))
+            bags.append(np.frombuffer(b, np.uint64, m, 8 * n + 12 * m))
+            seen += m
+        name, first, to = np.unique(np.concatenate(names).view(np.int64), return_index=True, return_inverse=True)
+        key, line, place = np.concatenate(keys), to[np.concatenate(lines)], np.concatenate(places)
+        once = np.unique(np.stack([line, key.astype(np.int64) << 16 | place]), axis=1, return_index=True)[1] if len(name) < seen else slice(None)
+        known = np.zeros(0, np.int64)
+        for p, q in long_pairs(key[once], line[once], place[once], np.concatenate(sizes).astype(np.int64)[first], np.concatenate(bags)[first]):
+            pair = p * len(name) + q
+            pair = pair[~np.isin(pair, known)]
+            known = np.union1d(known, pair) if len(known) < PAIRS else pair
+            if len(pair):
+                yield pd.DataFrame({"a": name[pair // len(name)], "b": name[pair % len(name)]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+        for batch in batches:
+            for part, n, m, blob in zip(batch["part"], batch["n"], batch["m"], batch["run"], strict=True):
+                if part != now and held:
+                    yield from give(held)
+                    held = []
+                now = part
+                held.append((n, m, blob))
+        if held:
+            yield from give(held)
+
+    return runs.repartition(slots(runs.sparkSession), "part").sortWithinPartitions("part").mapInPandas(run, "a long, b long")
+
+
+def within(a: str | bytes, b: str | bytes, most: int) -> bool:
     """Whether the edit distance is at most `most`, by bit-parallel columns of a band of 2 most + 1 diagonals."""
     n, m = len(a), len(b)
     if abs(n - m) > most:
@@ -226,7 +379,7 @@ def within(a: bytes, b: bytes, most: int) -> bool:
         for i in range(n):
             row = functools.reduce(lambda new, j, i=i, row=row: [*new, min(new[-1] + 1, row[j + 1] + 1, row[j] + (a[i] != b[j]))], range(m), [i + 1])
         return row[m] <= most
-    places: dict[int, int] = {}
+    places: dict[str | int, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
     width = 2 * most + 1
@@ -265,21 +418,34 @@ def texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
     return (found if few else found.join(names, "h1", "left_semi")).dropDuplicates(["h1"])
 
 
+def close(a: bytes, b: bytes) -> bool:
+    if min(len(a), len(b)) >= LONG:
+        x, y = a.decode("utf-8", "surrogateescape"), b.decode("utf-8", "surrogateescape")
+        if min(len(x), len(y)) >= LONG:
+            return within(x, y, int(most_edits(min(len(x), len(y)))))
+    return within(a, b, TAU)
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of lines that are within the edits allowed."""
+    pairs = settle(pairs)
+    lines = settle(texts_of(docs, settle(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())))
+    both = pairs.join(lines.withColumnsRenamed({"h1": "a", "line": "x"}), "a").join(lines.withColumnsRenamed({"h1": "b", "line": "y"}), "b")
+
+    @F.pandas_udf("boolean")
+    def near(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([close(p, q) for p, q in zip(x, y, strict=True)], dtype=bool)
+
+    return both.where(near("x", "y")).select("a", "b")
+
+
 def near_links(docs: DataFrame) -> DataFrame:
-    """a, b (hashes) of distinct lines within TAU edits."""
-    links, among = [], None
+    """a, b (hashes) of distinct lines within the edits allowed."""
+    links, among = [verified(docs, long_candidates(anchor_runs(docs)).distinct())], None
     for level, segments in enumerate(LEVELS):
         last = level == len(LEVELS) - 1
         found = settle(candidates(entry_runs(docs, segments, among), last))
-        pairs = settle(found.where("b is not null").distinct())
-        lines = settle(texts_of(docs, settle(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())))
-        both = pairs.join(lines.withColumnsRenamed({"h1": "a", "line": "x"}), "a").join(lines.withColumnsRenamed({"h1": "b", "line": "y"}), "b")
-
-        @F.pandas_udf("boolean")
-        def near(x: pd.Series, y: pd.Series) -> pd.Series:
-            return pd.Series([within(p, q, TAU) for p, q in zip(x, y, strict=True)], dtype=bool)
-
-        links.append(both.where(near("x", "y")).select("a", "b"))
+        links.append(verified(docs, found.where("b is not null").distinct()))
         dense = found.where("b is null").select("a").distinct()
         if last or dense.isEmpty():
             break

@@ -188,3 +188,44 @@ def test_line_dedup(spark, monkeypatch, cap):
 def test_empty_tables(spark):
     empty = table(spark, [])
     assert jaccard_join.join(empty).count() == suffix_dedup.remove(empty).count() == line_dedup.dedup(empty).count() == 0
+
+
+def long_line_rows():
+    """Lines of 80 characters and more with edits about the share allowed, words replaced, CJK and accents, repetitive lines."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghéü漢字") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    lines = []
+    for n in (12, 18, 30, 60, 90):
+        for _ in range(4):
+            base = [rng.choice(words) for _ in range(n)]
+            for _ in range(6):
+                w = list(base)
+                for _ in range(rng.randint(0, max(1, n // 20))):
+                    w[rng.randrange(n)] = rng.choice(words)
+                lines.append(edited(rng, " ".join(w), 2))
+    base = "".join(rng.choice("abcdefgh") for _ in range(90))
+    lines += [base + "漢", base, base[:30] + "éé" + base[32:], base[:30] + "üü" + base[32:], "q" * 9000, "q" * 9300, "ab" * 100, "ab" * 103 + "c", "x" * 79, "x" * 81]
+    rng.shuffle(lines)
+    return list(enumerate("\n".join(lines[i : i + 2]) for i in range(0, len(lines), 2)))
+
+
+def test_line_threshold_grows_with_length_in_characters(spark):
+    rows = long_line_rows()
+    places = defaultdict(list)
+    for d, t in rows:
+        for i, line in enumerate(t.split("\n")):
+            places[line].append((d, i))
+    u, lines = Union(), list(places)
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            most, x, y = (min(len(a), len(b)) // 20 - 1, a, b) if min(len(a), len(b)) >= 80 else (2, a.encode(), b.encode())
+            if abs(len(x) - len(y)) <= most and (len(set(a + b)) == 1 or distance(x, y) <= most):
+                u.join(min(places[a]), min(places[b]))
+    of = defaultdict(set)
+    for at in places.values():
+        of[u.find(min(at))].update(at)
+    gone = {p for at in of.values() for p in at if p != min(at)}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(table(spark, rows)).collect()}
+    assert len(gone) > 60
+    for d, t in rows:
+        assert got[d] == "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone)
