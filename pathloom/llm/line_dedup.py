@@ -1,8 +1,8 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of at least LEAST bytes that are equal, or within TAU edits of each other (in UTF-8 bytes), or, where both have
-LONG characters at least, within most_edits of the shorter one (in code points), transitively, are one class; of each
-class only the first line stays, by doc_id, then place. Shorter lines always stay.
+Lines that are equal, or of at least LEAST_NEAR bytes and within TAU edits of each other (in UTF-8 bytes), or, where
+both have LONG characters at least, within most_edits of the shorter one (in code points), transitively, are one class;
+of each class only the first line stays, by doc_id, then place. Blank lines (only spaces, tabs and the like) always stay.
 
 Lines under LONG characters: each is cut into TAU + 1 even segments, so at most TAU edits leave one
 segment untouched. Every line is indexed under its length and each choice of TAU segments that may be dirty, by a hash
@@ -37,9 +37,10 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.common import arrow_rows, settle, slots
 from pathloom.llm.graph import components
-from pathloom.llm.shingles import BLOCK_BYTES, letters, mix, powers, utf8
+from pathloom.llm.shingles import BLOCK_BYTES, SPACE, letters, mix, powers, utf8
 
-TAU, LEAST = 2, 24
+#: LEAST and LEAST_NEAR: bytes of a line that is compared for equality, and for edits.
+TAU, LEAST, LEAST_NEAR = 2, 1, 16
 #: Characters in a segment of a long line, in the grams that anchors are chosen from, and in the shortest long line.
 SEGMENT, GRAM = 20, 12
 LONG = SEGMENT * (TAU + 2)
@@ -97,7 +98,9 @@ class Lines:
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((letters()[data] ^ (data.astype(np.uint64) << np.uint64(17))) * up[:n], out=self.sums[1:])
         self.h1 = mix(self.part(self.start, ends) + self.size.astype(np.uint64))
-        self.long = self.size >= LEAST
+        filled = np.r_[0, np.cumsum(~SPACE[data])]
+        self.counts = (self.size >= LEAST) & (filled[ends] > filled[starts])
+        self.near = self.counts & (self.size >= LEAST_NEAR)
         begins = (data & 0xC0) != 0x80  # a character
         before = np.r_[0, np.cumsum(begins)]
         self.points, self.head, self.chars = np.r_[np.flatnonzero(begins), n], before[starts], before[ends] - before[starts]
@@ -121,7 +124,7 @@ class Lines:
             for delta, shift in [(0, None), *moves]:
                 base = size - delta  # the length of the indexed line
                 key = base.astype(np.uint64) * np.uint64(1024) + np.uint64(number)
-                good = base >= LEAST
+                good = base >= LEAST_NEAR
                 for k in clean:
                     a, b = base * k // segments, base * (k + 1) // segments
                     move = shift[k] if shift else 0
@@ -174,12 +177,12 @@ def blocks(column: pa.Array) -> Iterator[tuple[int, int, Lines]]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """h1, h2, id, place of every long line."""
+    """h1, h2, id, place of every line that is not blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, n, lines in blocks(batch.column(1)):
-                names, keep = batch.column(0).slice(a, n).to_numpy(zero_copy_only=False), lines.long
+                names, keep = batch.column(0).slice(a, n).to_numpy(zero_copy_only=False), lines.counts
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lines.h1[keep].view(np.int64), lines.h2()[keep].view(np.int64), names[lines.row[keep]], lines.place[keep])], names=["h1", "h2", "id", "place"])
 
     return docs.mapInArrow(run, "h1 long, h2 long, id long, place long")
@@ -193,7 +196,7 @@ def entry_runs(docs: DataFrame, segments: int, among: np.ndarray | None) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, lines in blocks(batch.column(1)):
-                take = np.flatnonzero(lines.long & (lines.chars < LONG + TAU))
+                take = np.flatnonzero(lines.near & (lines.chars < LONG + TAU))
                 if shared is not None:
                     take = take[np.isin(lines.h1[take], shared.value)]
                 take = take[np.unique(lines.h1[take], return_index=True)[1]]
@@ -278,7 +281,7 @@ def anchor_runs(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, lines in blocks(batch.column(1)):
-                take = np.flatnonzero(lines.chars >= LONG)
+                take = np.flatnonzero(lines.near & (lines.chars >= LONG))
                 take, bag = take[np.unique(lines.h1[take], return_index=True)[1]], lines.char_bags()
                 for a in range(0, len(take), 60_000):
                     key, line, place = lines.anchors(np.sort(take[a : a + 60_000]))
@@ -410,7 +413,7 @@ def texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
         for batch in batches:
             for _, _, lines in blocks(batch.column(1)):
                 h1, raw = lines.h1.view(np.int64), lines.data.tobytes()
-                take = np.flatnonzero(lines.long & np.isin(h1, shared.value)) if few else np.flatnonzero(lines.long)
+                take = np.flatnonzero(lines.near & np.isin(h1, shared.value)) if few else np.flatnonzero(lines.near)
                 take = take[np.unique(h1[take], return_index=True)[1]]
                 yield pa.RecordBatch.from_arrays([pa.array(h1[take]), pa.array([raw[i : i + n] for i, n in zip(lines.start[take].tolist(), lines.size[take].tolist(), strict=True)], pa.binary())], names=["h1", "line"])
 

@@ -229,3 +229,9 @@ def test_line_threshold_grows_with_length_in_characters(spark):
     assert len(gone) > 60
     for d, t in rows:
         assert got[d] == "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone)
+
+
+def test_short_lines_go_if_equal(spark):
+    rows = [(1, "Of.\n\n \t\nAll rights reserved.\né"), (2, "Of.\n\n \t\nAll rights reserved!\nOf,\nOf."), (3, "é\nIf.\n"), (4, None)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(table(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "\n \t\nOf,", 3: "If.\n", 4: None}
