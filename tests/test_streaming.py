@@ -65,3 +65,14 @@ def test_other_schema_versions_are_refused(spark, tmp_path):
     spark.createDataFrame([(1,)], "version int").write.json(f"{tmp_path}/x/_schema_version")
     with pytest.raises(WrongSchema):
         open_archive(spark, f"{tmp_path}/x", datetime(2024, 1, 1) + timedelta(0))
+
+
+@pytest.mark.parametrize(("options", "seqs"), [({}, set(range(20))), ({"dedup": "2 minutes"}, set(range(1, 20, 2)))])
+def test_late_envelopes_are_kept_by_default(spark, tmp_path, options, seqs):
+    source, path, all_ = f"{tmp_path}/in", f"{tmp_path}/archive", envelopes(spark, 20)
+    ingest.create(spark, path)
+    for f in (all_.where("seq % 2 = 1"), all_.where("seq % 2 = 0").withColumn("ts_collector", F.expr("ts_collector - interval 1 day"))):
+        f.coalesce(1).write.mode("append").parquet(source)
+        ingest.run(spark.readStream.schema(ingest.ENVELOPE_DDL).parquet(source), path, f"{tmp_path}/checkpoint", available_now=True, **options).awaitTermination()
+    for rows in (spark.read.parquet(f"{path}/route_unicast"), ingest.CurrentTables(spark, path).read("route_unicast")):
+        assert {r["seq"] for r in rows.select("seq").collect()} == seqs
