@@ -14,7 +14,8 @@ is still dense on the last level is compared pair by pair, in blocks.
 
 From LONG characters on, one edit fewer than there are segments of SEGMENT characters is allowed, so one segment is
 equal in both lines. Of every stretch of that length the grams of least hash are anchors: equal stretches have equal
-anchors, so lines that share one, at places that the edits allow, are candidates. Candidates are verified by banded
+anchors, so lines that share one, at places that the edits allow, are candidates: first one pair of each anchor, then all pairs
+that are not yet in one class. Candidates are verified by banded
 bit-parallel edit distance. Lines are named by 64-bit hashes between the steps, equal lines by 128 bits.
 
 Defined results: null and empty texts have one empty line, which stays; repeated rows lose all but the first row's
@@ -301,8 +302,9 @@ def anchor_runs(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "part int, n int, m int, run binary")
 
 
-def long_pairs(key: np.ndarray, line: np.ndarray, place: np.ndarray, size: np.ndarray, bag: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs of lines (two rows of numbers, the smaller first) with an equal key at places that their edits allow."""
+def long_pairs(key: np.ndarray, line: np.ndarray, place: np.ndarray, size: np.ndarray, bag: np.ndarray, label: np.ndarray | None) -> Iterator[np.ndarray]:
+    """Pairs of lines (two rows of numbers, the smaller first) with an equal key at places that their edits allow: all
+    of unlike labels, or without labels the first of each anchor."""
     where = key.astype(np.uint64) << np.uint64(16) | place.astype(np.uint64)
     order = np.argsort(where)
     where, line = where[order], line[order]
@@ -325,16 +327,32 @@ def long_pairs(key: np.ndarray, line: np.ndarray, place: np.ndarray, size: np.nd
         p, q = line[x], line[y]
         longer, moved = size[q] - size[p], place[y] - place[x]
         allowed = most_edits(np.minimum(size[p], size[q]))
-        good = (p != q) & (np.abs(longer) <= allowed) & (any_[x] | any_[y] | (np.abs(moved) + np.abs(longer - moved) <= allowed))
-        p, q, allowed = p[good], q[good], allowed[good]
-        good = alike(bag[p], bag[q], allowed)
+        good = (p != q if label is None else label[p] != label[q]) & (np.abs(longer) <= allowed) & (any_[x] | any_[y] | (np.abs(moved) + np.abs(longer - moved) <= allowed))
+        p, q, x, allowed = p[good], q[good], x[good], allowed[good]
+        good = np.flatnonzero(alike(bag[p], bag[q], allowed))
+        if label is None:
+            good = good[np.unique(x[good], return_index=True)[1]]
         both = np.sort(np.stack([p[good], q[good]]), axis=0)
         yield np.unique(both, axis=1)
         a = b
 
 
-def long_candidates(runs: DataFrame) -> DataFrame:
-    """a, b: long lines that share an anchor (a < b)."""
+def long_candidates(runs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """a, b: long lines that share an anchor (a < b). Without labels (node, comp) one pair of each anchor, else all pairs
+    that are not in one component yet."""
+    shared = None
+    if labels is not None:
+        known = labels.orderBy("node").toPandas() if labels.count() <= NEAR else None
+        shared = runs.sparkSession.sparkContext.broadcast(None if known is None else (known["node"].to_numpy(np.int64), known["comp"].to_numpy(np.int64)))
+
+    def label_of(name: np.ndarray) -> np.ndarray | None:
+        if shared is None:
+            return None
+        if shared.value is None or not len(shared.value[0]):
+            return name
+        node, comp = shared.value
+        at = np.minimum(np.searchsorted(node, name), len(node) - 1)
+        return np.where(node[at] == name, comp[at], name)
 
     def give(held: list) -> Iterator[pd.DataFrame]:
         keys, lines, places, names, sizes, bags, seen = [], [], [], [], [], [], 0
@@ -350,7 +368,7 @@ def long_candidates(runs: DataFrame) -> DataFrame:
         key, line, place = np.concatenate(keys), to[np.concatenate(lines)], np.concatenate(places)
         once = np.unique(np.stack([line, key.astype(np.int64) << 16 | place]), axis=1, return_index=True)[1] if len(name) < seen else slice(None)
         known = np.zeros(0, np.int64)
-        for p, q in long_pairs(key[once], line[once], place[once], np.concatenate(sizes).astype(np.int64)[first], np.concatenate(bags)[first]):
+        for p, q in long_pairs(key[once], line[once], place[once], np.concatenate(sizes).astype(np.int64)[first], np.concatenate(bags)[first], label_of(name)):
             pair = p * len(name) + q
             pair = pair[~np.isin(pair, known)]
             known = np.union1d(known, pair) if len(known) < PAIRS else pair
@@ -444,7 +462,9 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def near_links(docs: DataFrame) -> DataFrame:
     """a, b (hashes) of distinct lines within the edits allowed."""
-    links, among = [verified(docs, long_candidates(anchor_runs(docs)).distinct())], None
+    some = settle(verified(docs, long_candidates(anchor_runs(docs), None).distinct()))
+    rest = long_candidates(anchor_runs(docs), components(some))
+    links, among = [some, verified(docs, rest.distinct())], None
     for level, segments in enumerate(LEVELS):
         last = level == len(LEVELS) - 1
         found = settle(candidates(entry_runs(docs, segments, among), last))
