@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of one key from which it counts as hot, and how many hot keys are broadcast at most (about 32 bytes each).
+HOT_KEY, HOT_KEYS = 1000, 500_000
+BATCH_BYTES = 1 << 21
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or in local tests a temporary folder."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir. Only a session on one machine may lack it, as in
+    tests; it gets a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="pathloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return f"{path}/llm"
@@ -27,14 +39,26 @@ def settle(df: DataFrame) -> DataFrame:
     """df written to the shared folder as Parquet and read again: cuts the lineage, survives lost executors."""
     path = f"{work_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for f in frames:
+        if path := getattr(f, "settled_at", None):
+            remove_path(f.sparkSession, path)
 
 
 def clear_work(spark: SparkSession) -> None:
-    """Delete the intermediate tables of earlier runs. Only when no DataFrame still reads them."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(work_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all intermediate tables. Only when no DataFrame still reads them."""
+    remove_path(spark, work_dir(spark))
 
 
 def slots(spark: SparkSession) -> int:
@@ -46,6 +70,11 @@ def whole_text(c: str = "text") -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
+def digest_of(text: Column) -> Column:
+    """16 bytes that name a text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def vocabulary(name: str) -> str:
     """Where a public tokenizer's file is: in the folder PATHLOOM_TOKENIZERS, or where its package has it."""
     if folder := os.environ.get("PATHLOOM_TOKENIZERS"):
@@ -55,6 +84,37 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Rows in an Arrow batch from now on: few where whole texts go to Python, more for numbers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most, whatever the length of texts. Every operator asks for the same, so it
+    doesn't matter when a lazy frame runs."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which the worker gives its freed memory back: workers are kept for later tasks."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := _trim():
+                trim(0)
+
+    return tidy
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """rows joined with counted, which has a row for each key and in n how many rows have it. The most frequent keys
+    are broadcast, HOT_KEYS at most, so that no task gets all rows of one; the others meet by a shuffle."""
+    hot = settle(counted.where(F.col(n) > HOT_KEY).orderBy(F.desc(n)).limit(HOT_KEYS))
+    if hot.isEmpty():
+        return rows.join(counted, keys)
+    few = F.broadcast(hot.select(keys))
+    cold = rows.join(few, keys, "left_anti").join(counted.join(few, keys, "left_anti"), keys)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys).select(cold.columns))

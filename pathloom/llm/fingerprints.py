@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import arrow_rows, slots, whole_text
+from pathloom.llm.common import bounded_batches, slots, whole_text
 
 BANDS, RUN, PERIOD = 128, 4, 4096
 BLOCK_CHARS = 1 << 22
@@ -174,7 +174,7 @@ def edited(text: str, following: str) -> str:
 
 def compare_edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of every row's text and of its edited text, with their likeness and the next document's."""
-    arrow_rows(docs.sparkSession, 10_000)
+    bounded_batches(docs.sparkSession)
     dealt = chained(docs, slots(docs.sparkSession))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import arrow_rows, settle, slots
+from pathloom.llm.common import bounded_batches, release, settle, slots, tidied
 from pathloom.llm.graph import components
 from pathloom.llm.shingles import shingle_sets
 
@@ -269,7 +269,7 @@ def split_regions(docs: DataFrame, regions: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    arrow_rows(docs.sparkSession, 10_000)
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     counts = windows(docs).select(F.explode("cold").alias("s")).groupBy("s").count().where(F.col("count") > HOT_ROWS)
     hot = np.sort(np.array([r["s"] for r in counts.orderBy(F.desc("count"), "s").limit(HOT_PIVOTS).toLocalIterator()], np.int64).view(np.uint64))

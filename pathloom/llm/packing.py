@@ -26,39 +26,43 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import arrow_rows, whole_text
-from pathloom.llm.shingles import BLOCK_BYTES, letters, mix, powers, utf8, word_bounds
+from pathloom.llm.common import bounded_batches, tidied, whole_text
+from pathloom.llm.hashing import Stretches, text_blocks, word_bounds
 
 #: Stands between chunks that are encoded together; its one token comes from no other text.
 MARK = "\x01"
 TAILS = ".,;:!?*#$%&|"
-TABLE_BITS, MOST_WORDS = 21, 1_200_000
+TABLE_BITS, MOST_WORDS = 20, 600_000
 BLOCK_TOKENS = 1 << 20
 
 
 class WordTable:
-    """Ids by 64-bit hash of a word's bytes: open addressing in numpy arrays, looked up and filled many at a time."""
+    """Ids by two 64-bit hashes of a word's bytes (which are the word itself up to 16 bytes): open addressing in numpy
+    arrays, looked up and filled many at a time."""
 
     def __init__(self):
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at, self.n = (np.zeros(1 << TABLE_BITS, t) for t in (np.uint64, np.int64, np.int32))
+        self.keys, self.checks, self.at, self.n = (np.zeros(1 << TABLE_BITS, t) for t in (np.uint64, np.uint64, np.int64, np.int32))
         self.ids, self.end, self.held = np.zeros(1 << 20, np.uint32), 0, 0
 
-    def slots(self, h: np.ndarray) -> np.ndarray:
-        """Where each hash is, or the free slot where its search ends."""
+    def has(self, i: np.ndarray, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        return (self.keys[i] == h) & (self.checks[i] == check)
+
+    def slots(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Where each word is, or the free slot where its search ends."""
         mask = np.uint64((1 << TABLE_BITS) - 1)
         i = (h & mask).astype(np.int64)
-        open_ = np.flatnonzero((self.keys[i] != h) & (self.keys[i] != 0))
+        open_ = np.flatnonzero(~self.has(i, h, check) & (self.keys[i] != 0))
         while len(open_):
             i[open_] = (i[open_] + 1) & int(mask)
-            k = self.keys[i[open_]]
-            open_ = open_[(k != h[open_]) & (k != 0)]
+            own = i[open_]
+            open_ = open_[~self.has(own, h[open_], check[open_]) & (self.keys[own] != 0)]
         return i
 
-    def add(self, h: np.ndarray, ids: list[bytes]) -> None:
-        """New, distinct hashes."""
+    def add(self, h: np.ndarray, check: np.ndarray, ids: list[bytes]) -> None:
+        """New, distinct words."""
         size = np.array([len(x) // 4 for x in ids], np.int64)
         flat = np.frombuffer(b"".join(ids), "<u4")
         while self.end + len(flat) > len(self.ids):
@@ -68,10 +72,10 @@ class WordTable:
         self.end, self.held = self.end + len(flat), self.held + len(h)
         left = np.arange(len(h))
         while len(left):  # of those that end at one free slot the first takes it
-            slot = self.slots(h[left])
+            slot = self.slots(h[left], check[left])
             _, first = np.unique(slot, return_index=True)
-            own = left[first]
-            self.keys[slot[first]], self.at[slot[first]], self.n[slot[first]] = h[own], at[own], size[own]
+            own, to = left[first], slot[first]
+            self.keys[to], self.checks[to], self.at[to], self.n[to] = h[own], check[own], at[own], size[own]
             left = np.delete(left, first)
 
 
@@ -92,28 +96,22 @@ class ChunkTokenizer:
 
     def texts(self, column: pa.Array, end_id: int) -> Iterator[np.ndarray]:
         """The ids of each row, an end id after them."""
-        data, offsets = utf8(column)
-        a = 0
-        while a < len(column):
-            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK_BYTES, "right")) - 1)
-            yield from self.block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end_id)
-            a = b
+        for _, data, offsets in text_blocks(column):
+            yield from self.block(data, offsets, end_id)
 
     def block(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> Iterator[np.ndarray]:
         starts, ends = word_bounds(data, offsets)
-        up, down = powers(max(BLOCK_BYTES, 1 << len(data).bit_length()))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((letters()[data] ^ (data.astype(np.uint64) << np.uint64(17))) * up[: len(data)], out=sums[1:])
-        h = np.maximum(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), np.uint64(1))
+        h, check = Stretches(data).pairs(starts, ends)
+        h = np.maximum(h, np.uint64(1))
         if self.table.held > MOST_WORDS:
             self.table.clear()
-        slot = self.table.slots(h)
-        missing = np.flatnonzero(self.table.keys[slot] != h)
+        slot = self.table.slots(h, check)
+        missing = np.flatnonzero(~self.table.has(slot, h, check))
         if len(missing):
-            new, first = np.unique(h[missing], return_index=True)
-            raw, at = data.tobytes(), missing[first]
-            self.table.add(new, self.learn([raw[i:j].decode("utf-8", "replace") for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
-            slot = self.table.slots(h)
+            own = missing[np.lexsort((check[missing], h[missing]))]
+            raw, at = data.tobytes(), own[np.r_[True, (h[own[1:]] != h[own[:-1]]) | (check[own[1:]] != check[own[:-1]])]]
+            self.table.add(h[at], check[at], self.learn([raw[i:j].decode("utf-8", "replace") for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
+            slot = self.table.slots(h, check)
         size = self.table.n[slot].astype(np.int64)
         before = np.r_[0, np.cumsum(size)]
         flat = self.table.ids[np.repeat(self.table.at[slot] - before[:-1], size) + np.arange(before[-1])]
@@ -291,6 +289,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096
         yield out(packer.sequences(reserve=0))
         yield out(packer.rest())
 
-    arrow_rows(docs.sparkSession, 2000)
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(tidied(run), schema)

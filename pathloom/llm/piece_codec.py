@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from pathloom.llm.common import arrow_rows, whole_text
+from pathloom.llm.common import bounded_batches, tidied, whole_text
 
 MARK = "▁"
 NONE = np.int64(1 << 40)
@@ -217,6 +217,6 @@ def encode(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out
 
-    arrow_rows(docs.sparkSession, 2000)
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
-    return docs.select("doc_id", whole_text().alias("text")).mapInPandas(run, schema)
+    return docs.select("doc_id", whole_text().alias("text")).mapInPandas(tidied(run), schema)

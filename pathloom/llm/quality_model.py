@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import arrow_rows, whole_text
+from pathloom.llm.common import bounded_batches, tidied, whole_text
 
 WORD = re.compile("[^\t-\r ]+")
 DIM, NONZERO, WINDOW, HIDDEN = 32, 4, 2, 24
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: bytes, name: str = "score", columns: list[str]
             out[name] = p
             yield out if least is None else out[p >= least]
 
-    arrow_rows(docs.sparkSession, 2000)
+    bounded_batches(docs.sparkSession)
     types = dict(docs.dtypes)
     source = docs.select(*dict.fromkeys([*kept, "text"]))
-    return source.mapInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in kept) + f", `{name}` double")
+    return source.mapInPandas(tidied(run), ", ".join(f"`{c}` {types[c]}" for c in kept) + f", `{name}` double")

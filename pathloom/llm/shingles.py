@@ -2,85 +2,32 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SIZE = 5
-BLOCK_BYTES = 1 << 20
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
+from pathloom.llm.hashing import LOWER, Stretches, mix, text_blocks, word_bounds
 
-@functools.cache
-def letters() -> np.ndarray:
-    """A random number for each byte; A to Z have those of a to z."""
-    t = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    t[65:91] = t[97:123]
-    return t
-
-
-SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-BASE = 0xD1342543DE82EF95
+SIZE = 5
 PLACES = mix(np.arange(101, 101 + SIZE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-@functools.lru_cache(2)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    back = pow(BASE, -1, 1 << 64)
-    return tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, b, np.uint64)]) for b in (BASE, back))
-
-
-def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column (null: empty) and where each row begins and the last one ends."""
-    column = column.cast(pa.large_binary()).fill_null(b"")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """For each row the sorted distinct hashes of its shingles; of fewer words than a shingle has, of all its words."""
-    data, offsets = utf8(column)
-    a = 0
-    while a < len(column):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK_BYTES, "right")) - 1)
-        yield from block_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        a = b
-
-
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word begins and ends; no word crosses a row's end."""
-    word = ~SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    begin = word.copy()
-    begin[1:] &= ~word[:-1] | edge[1:-1]
-    end = word.copy()
-    end[:-1] &= ~word[1:] | edge[1:-1]
-    return np.flatnonzero(begin), np.flatnonzero(end) + 1
+    for _, data, offsets in text_blocks(column):
+        yield from block_sets(LOWER[data], offsets)
 
 
 def block_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    rows = len(offsets) - 1
     starts, ends = word_bounds(data, offsets)
-    up, down = powers(max(BLOCK_BYTES, 1 << len(data).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(letters()[data] * up[: len(data)], out=sums[1:])
-    words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    words = Stretches(data).hashes(starts, ends)
     first = np.searchsorted(starts, offsets)
     full = np.zeros(max(0, len(words) - SIZE + 1), np.uint64)
     for k in range(SIZE):
         full += words[k : k + len(full)] * PLACES[k]
     full = mix(full)
-    for r in range(rows):
-        i, j = first[r], first[r + 1]
+    for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if j - i >= SIZE:
             s = np.sort(full[i : j - SIZE + 1])
             yield s[np.r_[True, s[1:] != s[:-1]]]
