@@ -1,26 +1,28 @@
 """Line dedup by a segment-partition edit join.
 
-Lines that are equal, or of at least LEAST_NEAR bytes and within TAU edits of each other (in UTF-8 bytes), or, where
-both have LONG characters at least, within most_edits of the shorter one (in code points), transitively, are one class;
-of each class only the first line stays, by doc_id, then place. Blank lines (only spaces, tabs and the like) always stay.
-
-Lines under LONG characters: each is cut into TAU + 1 even segments, so at most TAU edits leave one
-segment untouched. Every line is indexed under its length and each choice of TAU segments that may be dirty, by a hash
-of the clean ones; and it probes the indexes of its own and up to TAU smaller lengths with its substrings at the places
-to which edits within the dirty segments can have moved the clean ones. Index and probe entries go to their partition
-as sorted blocks of numbers, one row a block. Pairs whose counts rule the edits out are no candidates. Where
-more than CAP pairs share a key, their lines are cut into more segments (LEVELS), of which all but TAU must match; what
-is still dense on the last level is compared pair by pair, in blocks.
-
-From LONG characters on, one edit fewer than there are segments of SEGMENT characters is allowed, so one segment is
-equal in both lines. Of every stretch of that length the grams of least hash are anchors: equal stretches have equal
-anchors, so lines that share one, at places that the edits allow, are candidates: first one pair of each anchor, then all pairs
-that are not yet in one class. Candidates are verified by banded
-bit-parallel edit distance. Lines are named by 64-bit hashes between the steps, equal lines by 128 bits.
-
-Defined results: null and empty texts have one empty line, which stays; repeated rows lose all but the first row's
-lines (a row's own repeated lines too); lines of any length are compared whole; rows of one doc_id are told apart by
-nothing, so their lines count as one document's; an empty table gives none; extra columns pass through.
+Lines that are equal, or of LEAST_NEAR characters at least and within most_edits of the shorter one (in code points),
+transitively, are one class; of each class only the first line stays, by doc_id, then the table's order, then place.
+Blank lines (only spaces, tabs and the like) always stay.
+
+Lines under LONG characters: each is cut into TAU + 1 even segments, so at most TAU edits leave one segment untouched.
+Every line is indexed under its length and each segment, by a hash; and it probes the indexes of its own and up to TAU
+smaller lengths with its substrings at the places to which edits within the other segments can have moved that one.
+
+From LONG characters on, the segments are STRETCH bytes at least, a sixth to a third of the line, and found by content:
+of every stretch the gram of least hash is an anchor, so equal stretches have equal anchors, wherever edits have moved
+them. Lines that share an anchor, at places that their edits allow, are candidates. So all lines within the edits that
+an equal stretch survives are found: 2 to 5 edits wherever they are, and any number allowed that leave one stretch alone,
+as a replaced word does. (Lines within the edits that share an anchor, but no whole stretch, may be found too.)
+
+Entries go to their partition as packed runs of numbers. Where lines share a key, the least of them is compared to the
+others; links give components. After that only keys that more than one component shares matter: those of many lines
+first get one more pivot, then the pairs across components are compared, in blocks of BLOCK lines, each under one key. Segments that over
+CAP lines of many components share are cut finer (LEVELS), of which all but TAU must match. Candidates are verified by
+banded bit-parallel edit distance. Lines are named by 128 bits for equality and by 64 of them for edits.
+
+Defined results: null and empty texts have one empty line, which stays; of repeated rows all but the first lose all
+lines that aren't blank (a row's own repeated lines go too); rows of one doc_id, or without one (they come first), are
+told apart; lines of any length are compared whole; an empty table gives none; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -36,27 +38,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import arrow_rows, settle, slots
+from pathloom.llm.common import bounded_batches, digest_of, join_counted, release, settle, slots, tidied, whole_text
+from pathloom.llm.edit_distance import MOST, within
 from pathloom.llm.graph import components
-from pathloom.llm.shingles import BLOCK_BYTES, SPACE, letters, mix, powers, utf8
-
-#: LEAST and LEAST_NEAR: bytes of a line that is compared for equality, and for edits.
-TAU, LEAST, LEAST_NEAR = 2, 1, 16
-#: Characters in a segment of a long line, in the grams that anchors are chosen from, and in the shortest long line.
-SEGMENT, GRAM = 20, 12
-LONG = SEGMENT * (TAU + 2)
-WINDOW = SEGMENT - GRAM + 1
+from pathloom.llm.hashing import ODD, ODD2, SPACE, Stretches, mix, text_blocks
+
+TAU, LEAST_NEAR = 2, 16
+#: Characters of the shortest long line, bytes of its segments (doubled with the length), characters for each edit.
+LONG, STRETCH, SHARE = 120, 40, 20
 #: The place of an anchor that a line has more than once, or far from its start.
 ANYWHERE = 0xFFFF
-PAIRS = 1 << 21
 LEVELS = (TAU + 1, 8, 16)
-CAP, NEAR = 1 << 20, 4_000_000
+CAP, BLOCK, NEAR, FEW_LINES = 2048, 1024, 2_000_000, 16
+FEW_ROWS, FEW_PLACES = 100_000, 1_000_000
+PAIRS, VERIFIED = 1 << 20, 1 << 13
 NO_ID = -(1 << 63)
-#: Sixteen classes of bytes, counted modulo 16 in four bits each.
-CLASS = (np.arange(256) * 0x9E37 >> 7) & 15
+#: Sixteen classes of characters by their first byte, counted modulo 16 in four bits each; a seventeenth isn't counted.
+CLASS = ((np.arange(256) * 0x9E37 >> 7) & 15).astype(np.uint8)
+CLASS[[10, *range(0x80, 0xC0)]] = 16
 BAG_PLACES = np.arange(0, 64, 4, dtype=np.uint64)
 
 
+def most_edits(chars: np.ndarray) -> np.ndarray:
+    """Edits (code points) allowed to a line of so many characters, the shorter of two."""
+    return np.where(chars < LONG, TAU, np.minimum(chars // SHARE - 1, MOST))
+
+
+def class_of(chars: np.ndarray) -> np.ndarray:
+    """0 from LONG characters on, and one more for each doubling."""
+    return np.floor(np.log2(np.maximum(chars, LONG) / LONG) + 1e-12).astype(np.int64)
+
+
 @functools.cache
 def layouts(segments: int) -> list[tuple[tuple[int, ...], list[tuple[int, tuple[int, ...]]]]]:
     """For each choice of dirty segments the moves (length difference, shift of each segment; clean ones only count)
@@ -78,143 +90,173 @@ def layouts(segments: int) -> list[tuple[tuple[int, ...], list[tuple[int, tuple[
     return out
 
 
-def most_edits(chars):
-    """Edits (code points) allowed to a line of so many characters, the shorter of two: one in SEGMENT, less one."""
-    return np.maximum(TAU, chars // SEGMENT - 1)
+def sliding(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
+    """The least or greatest of each run of `width` values."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x, done = of(x[: len(x) - step], x[step:]), done + step
+    return x
 
 
 class Lines:
-    """The lines of some whole texts: row, place, start and length in data, hash."""
+    """The lines of some whole texts: row, place, start and size in bytes, chars."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        n = len(data)
         joints = np.flatnonzero(data == 10)
         owner = np.searchsorted(offsets, joints, "right") - 1
         starts = np.sort(np.r_[offsets[:-1], joints + 1], kind="stable")
         ends = np.sort(np.r_[offsets[1:], joints], kind="stable")
         self.row = np.sort(np.r_[np.arange(len(offsets) - 1), owner], kind="stable")
         self.place = np.arange(len(starts)) - np.searchsorted(self.row, self.row)
-        self.start, self.size, self.data = starts, ends - starts, data
-        up, self.down = powers(max(BLOCK_BYTES, 1 << n.bit_length()))
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((letters()[data] ^ (data.astype(np.uint64) << np.uint64(17))) * up[:n], out=self.sums[1:])
-        self.h1 = mix(self.part(self.start, ends) + self.size.astype(np.uint64))
-        filled = np.r_[0, np.cumsum(~SPACE[data])]
-        self.counts = (self.size >= LEAST) & (filled[ends] > filled[starts])
-        self.near = self.counts & (self.size >= LEAST_NEAR)
-        begins = (data & 0xC0) != 0x80  # a character
-        before = np.r_[0, np.cumsum(begins)]
-        self.points, self.head, self.chars = np.r_[np.flatnonzero(begins), n], before[starts], before[ends] - before[starts]
-        self.line = line = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))  # a line end counts to the line before it
-        counts = np.bincount(line * 16 + CLASS[data], minlength=16 * len(starts)).reshape(-1, 16)
-        counts[line[joints], CLASS[10]] -= 1
-        self.bag = ((counts & 15).astype(np.uint64) << BAG_PLACES).sum(axis=1, dtype=np.uint64)
-
-    def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
-
-    def h2(self) -> np.ndarray:
-        middle = self.start + self.size // 2
-        return mix(self.part(self.start, middle) ^ mix(self.part(middle, self.start + self.size)))
-
-    def entries(self, lines: np.ndarray, segments: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        """(key, line, whether it is an index entry) for the layouts of so many segments."""
-        start, size = self.start[lines], self.size[lines]
+        self.start, self.end, self.size, self.data = starts, ends, ends - starts, data
+        filled = np.concatenate([[0], np.cumsum(~SPACE[data], dtype=np.int32)])
+        self.counts = filled[ends] > filled[starts]
+
+    def names(self, lines: np.ndarray) -> np.ndarray:
+        """128 bits for each line, in two columns."""
+        raw = self.data.tobytes()
+        return np.frombuffer(b"".join([hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(self.start[lines].tolist(), self.end[lines].tolist(), strict=True)]), "<i8").reshape(-1, 2)
+
+    def count_chars(self) -> None:
+        begins = (self.data & 0xC0) != 0x80
+        self.before = np.concatenate([[0], np.cumsum(begins, dtype=np.int32)]).astype(np.int64)
+        self.head = self.before[self.start]
+        self.chars = self.before[self.end] - self.head
+        self.points = np.r_[np.flatnonzero(begins), len(self.data)]
+        self.near = self.counts & (self.chars >= LEAST_NEAR)
+
+    def bags(self) -> np.ndarray:
+        """Each line's characters by class: an edit moves two counts at most."""
+        line = np.repeat(np.arange(len(self.start), dtype=np.int32) * 17, np.diff(np.r_[self.start, len(self.data)]))
+        counts = np.bincount(line + CLASS[self.data], minlength=17 * len(self.start)).reshape(-1, 17)[:, :16]
+        return ((counts & 15).astype(np.uint64) << BAG_PLACES).sum(axis=1, dtype=np.uint64)
+
+    def entries(self, lines: np.ndarray, segments: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(key, line, 0 for an index entry or 1) for the layouts of so many segments."""
+        text, head, chars = Stretches(self.data), self.head[lines], self.chars[lines]
         for number, (dirty, moves) in enumerate(layouts(segments)):
             clean = [k for k in range(segments) if k not in dirty]
             for delta, shift in [(0, None), *moves]:
-                base = size - delta  # the length of the indexed line
+                base = chars - delta  # the length of the indexed line
                 key = base.astype(np.uint64) * np.uint64(1024) + np.uint64(number)
                 good = base >= LEAST_NEAR
                 for k in clean:
                     a, b = base * k // segments, base * (k + 1) // segments
                     move = shift[k] if shift else 0
-                    good &= (a + move >= 0) & (b + move <= size)
-                    a, b = np.clip(a + move, 0, size), np.clip(b + move, 0, size)
-                    key = mix(key) + mix(self.part(start + a, start + np.maximum(a, b)))
-                yield mix(key)[good], lines[good], shift is None
-
-    def anchors(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(key, line, place in the line) of the anchors of these lines, each key once a line."""
-        n, ends, line_of = len(self.points) - 1, self.head + self.chars, self.line[self.points[:-1]]
-        if n < SEGMENT or not len(lines):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.arange(n - GRAM + 1)
-        gram = mix(self.part(self.points[at], self.points[at + GRAM]))
-        least, width = gram, 1
-        while width < WINDOW:
-            step = min(width, WINDOW - width)
-            least, width = np.minimum(least[: len(least) - step], least[step:]), width + step
-        here, mine = line_of[: len(least)], np.zeros(len(self.start), bool)
-        mine[lines] = True
-        whole = mine[here] & (at[: len(least)] + SEGMENT <= ends[here])
-        chosen = np.zeros(len(gram), bool)
-        for d in range(WINDOW):
-            chosen[d : d + len(least)] |= whole & (least == gram[d : d + len(least)])
-        at = np.flatnonzero(chosen)
-        line, key = line_of[at], gram[at]
+                    good &= (a + move >= 0) & (b + move <= chars)
+                    a, b = np.clip(a + move, 0, chars), np.clip(b + move, 0, chars)
+                    key = mix(key) + text.hashes(self.points[head + a], self.points[head + np.maximum(a, b)])
+                yield mix(key)[good], lines[good], np.full(int(good.sum()), int(shift is not None))
+
+    def anchors(self, lines: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(key, line, place in the line in characters) of the anchors of long lines, each key once a line. A line that
+        the edits can shorten into the class below has that class's anchors too."""
+        raw, chars = Stretches(self.data).raw, self.chars[lines]
+        own, least = class_of(chars), LONG << class_of(chars)
+        below = (own > 0) & (chars - most_edits(least - 1) < least)
+        for k in np.unique(own).tolist():
+            yield from self.anchors_of(raw, lines[own == k], k)
+            yield from self.anchors_of(raw, lines[below & (own == k)], k - 1)
+
+    def anchors_of(self, raw: np.ndarray, lines: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if not len(lines):
+            return
+        stretch, gram = STRETCH << k, 24 if k else 16
+        size = self.size[lines]
+        at = np.arange(size.sum()) + np.repeat(self.start[lines] - np.cumsum(size) + size, size)
+        key = raw[at] * ODD + raw[np.minimum(at + 8, len(raw) - 1)] * ODD2
+        if gram > 16:
+            key += raw[np.minimum(at + 16, len(raw) - 1)] * np.uint64(0xA0761D6478BD642F)
+        key = mix(key + np.uint64(k))
+        value = np.maximum((key >> np.uint64(32)).astype(np.uint32), np.uint32(1))
+        width = stretch - gram + 1
+        first = sliding(value, width, np.minimum)
+        last = np.repeat(self.end[lines], size)[: len(first)]
+        first = np.where(at[: len(first)] + stretch <= last, first, 0)  # no stretch crosses a line's end
+        most = sliding(np.concatenate([np.zeros(width - 1, np.uint32), first, np.zeros(width - 1, np.uint32)]), width, np.maximum)
+        chosen = np.flatnonzero(value == most)
+        line, key, at = np.repeat(lines, size)[chosen], key[chosen], at[chosen]
         order = np.lexsort((key, line))
         at, line, key = at[order], line[order], key[order]
         new = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (key[1:] != key[:-1])]) if len(at) else np.zeros(0, np.int64)
         once = np.diff(np.r_[new, len(at)]) == 1
         at, line, key = at[new], line[new], key[new]
-        return key, line, np.where(once, np.minimum(at - self.head[line], ANYWHERE), ANYWHERE)
-
-    def char_bags(self) -> np.ndarray:
-        """As bag, of code points: an edit moves two counts at most."""
-        first, last = self.data[self.points[:-1]].astype(np.int64), self.data[self.points[1:] - 1].astype(np.int64)
-        line, inside = self.line[self.points[:-1]], first != 10
-        counts = np.bincount(line[inside] * 16 + CLASS[(8 * first + 249 * last & 255)[inside]], minlength=16 * len(self.start)).reshape(-1, 16)
-        return ((counts & 15).astype(np.uint64) << BAG_PLACES).sum(axis=1, dtype=np.uint64)
+        yield key, line, np.where(once, np.minimum(self.before[at] - self.head[line], ANYWHERE), ANYWHERE)
 
 
 def blocks(column: pa.Array) -> Iterator[tuple[int, int, Lines]]:
-    data, offsets = utf8(column)
-    a = 0
-    while a < len(column):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK_BYTES, "right")) - 1)
-        yield a, b - a, Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        a = b
+    for a, data, offsets in text_blocks(column):
+        yield a, len(offsets) - 1, Lines(data, offsets)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """h1, h2, id, place of every line that is not blank."""
+    """Of every row its key, a number that follows the table's order, and h1, h2, place of its lines that aren't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, n, lines in blocks(batch.column(1)):
-                names, keep = batch.column(0).slice(a, n).to_numpy(zero_copy_only=False), lines.counts
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lines.h1[keep].view(np.int64), lines.h2()[keep].view(np.int64), names[lines.row[keep]], lines.place[keep])], names=["h1", "h2", "id", "place"])
+            for a, n, lines in blocks(batch.column(4)):
+                keep = np.flatnonzero(lines.counts)
+                names, counts = lines.names(keep), np.bincount(lines.row[keep], minlength=n)
+                to = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(to, pa.array(x)) for x in (names[:, 0], names[:, 1], lines.place[keep])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, n) for i in range(4)), *lists], names=["id", "digest", "copy", "row", "h1", "h2", "place"])
 
-    return docs.mapInArrow(run, "h1 long, h2 long, id long, place long")
+    numbered = docs.select("id", "digest", "copy", F.monotonically_increasing_id().alias("row"), "text")
+    return numbered.mapInArrow(tidied(run), "id long, digest binary, copy long, row long, h1 array<long>, h2 array<long>, place array<long>")
 
 
-def entry_runs(docs: DataFrame, segments: int, among: np.ndarray | None) -> DataFrame:
-    """part, n, run: sorted keys, then the lines' hashes and bags, then which are index entries. among: only these lines."""
+def entry_runs(docs: DataFrame, segments: int, among: np.ndarray | None, long: bool) -> DataFrame:
+    """part, kind (1: segments, 2: anchors), n, m, run: keys (the half that part does not hold), lines and places of n
+    entries, then names, lengths and bags of their m lines. among: only these lines."""
     parts = 2 * slots(docs.sparkSession)
     shared = None if among is None else docs.sparkSession.sparkContext.broadcast(among)
 
+    def packed(kind: int, key: np.ndarray, line: np.ndarray, place: np.ndarray, name: np.ndarray, chars: np.ndarray, bag: np.ndarray) -> Iterator[tuple[int, int, int, int, bytes]]:
+        part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        for p in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            own = order[cut[p] : cut[p + 1]]
+            of, to = np.unique(line[own], return_inverse=True)
+            yield p, kind, len(own), len(of), b"".join([key[own].astype(np.uint32).tobytes(), to.astype(np.uint32).tobytes(), place[own].astype(np.uint16).tobytes(), name[of].tobytes(), chars[of].astype(np.uint32).tobytes(), bag[of].tobytes()])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, lines in blocks(batch.column(1)):
-                take = np.flatnonzero(lines.near & (lines.chars < LONG + TAU))
+            found: dict[int, list[tuple]] = {1: [], 2: []}
+            facts, seen = [], 0
+            for _, _, lines in blocks(batch.column(0)):
+                lines.count_chars()
+                near = np.flatnonzero(lines.near)
+                name = lines.names(near)[:, 0]
+                take = np.unique(name, return_index=True)[1]
                 if shared is not None:
-                    take = take[np.isin(lines.h1[take], shared.value)]
-                take = take[np.unique(lines.h1[take], return_index=True)[1]]
-                for a in range(0, len(take), 8_000):
-                    key, line, index = map(np.concatenate, zip(*((k, x, np.full(len(k), i)) for k, x, i in lines.entries(take[a : a + 8_000], segments)), strict=True))
-                    order = np.argsort(key % np.uint64(parts) * np.uint64(1 << 40) + (key >> np.uint64(24)))
-                    key, index, bag, line = key[order], index[order], lines.bag[line[order]], lines.h1[line[order]]
-                    cut = np.searchsorted(key % np.uint64(parts), np.arange(parts + 1, dtype=np.uint64))
-                    own = [(p, i, j) for p, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if j > i]
-                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in own], pa.int32()), pa.array([j - i for _, i, j in own], pa.int32()), pa.array([key[i:j].tobytes() + line[i:j].tobytes() + bag[i:j].tobytes() + np.packbits(index[i:j]).tobytes() for _, i, j in own], pa.binary())], names=["part", "n", "run"])
+                    take = take[np.isin(name[take], shared.value)]
+                near, name = near[take], name[take]
+                to = np.zeros(len(lines.start), np.int64)
+                to[near] = np.arange(len(near)) + seen
+                chars = lines.chars[near]
+                each = [(1, x) for x in lines.entries(near[chars < LONG + TAU], segments)] if len(near) else []
+                if long and len(near):
+                    each += [(2, x) for x in lines.anchors(near[chars >= LONG])]
+                for kind, (key, line, place) in each:
+                    found[kind].append((key, to[line], place))
+                facts.append((name, chars, lines.bags()[near]))
+                seen += len(near)
+            if not seen:
+                continue
+            facts = [np.concatenate(x) for x in zip(*facts, strict=True)]
+            rows = [r for kind, x in found.items() if x for r in packed(kind, *(np.concatenate(v) for v in zip(*x, strict=True)), *facts)]
+            types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "kind", "n", "m", "run"])
 
-    return docs.mapInArrow(run, "part int, n int, run binary")
+    return docs.select("text").mapInArrow(tidied(run), "part int, kind int, n int, m int, run binary")
 
 
 def alike(a: np.ndarray, b: np.ndarray, most: int | np.ndarray = TAU) -> np.ndarray:
     """Whether the bags of two lines let them be within so many edits, each of which moves at most two counts by one."""
-    a, b = a.view(np.uint8).reshape(-1, 8), b.view(np.uint8).reshape(-1, 8)
+    a, b = np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8), np.ascontiguousarray(b).view(np.uint8).reshape(-1, 8)
     total = np.zeros(len(a), np.int64)
     for x, y in ((a & 15, b & 15), (a >> 4, b >> 4)):
         d = (x - y) & 15
@@ -222,204 +264,214 @@ def alike(a: np.ndarray, b: np.ndarray, most: int | np.ndarray = TAU) -> np.ndar
     return total <= 2 * most
 
 
-def candidates(runs: DataFrame, last: bool) -> DataFrame:
-    """a, b: lines that share a key (a < b). Of keys with over CAP pairs, dense: their lines as a, b null; on the last
-    level all their pairs."""
-
-    def pairs(key: np.ndarray, line: np.ndarray, bag: np.ndarray, index: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = np.lexsort((line, key))
-        key, line, bag, index = key[order], line[order], bag[order], index[order]
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        ends = np.r_[starts[1:], len(key)]
-        mixed = line[starts] != line[ends - 1]
-        for i, j in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
-            own, b, into = line[i:j], bag[i:j], index[i:j]
-            x, at = np.unique(own[into], return_index=True)
-            y, to = np.unique(own[~into], return_index=True)
-            bx, by = b[into][at], b[~into][to]
-            if len(x) * len(y) > CAP and not last:
-                yield np.union1d(x, y), None
-                continue
-            step = max(1, (1 << 16) // max(1, len(y)))
-            for a in range(0, len(x), step):
-                m = len(x[a : a + step])
-                p, q = np.repeat(x[a : a + step], len(y)), np.tile(y, m)
-                good = (p != q) & alike(np.repeat(bx[a : a + step], len(y)), np.tile(by, m))
-                yield np.minimum(p, q)[good], np.maximum(p, q)[good]
+def fits(short: bool | np.ndarray, place_a: np.ndarray, place_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, bag_a: np.ndarray, bag_b: np.ndarray) -> np.ndarray:
+    """Whether two lines with an equal key can be near: one has it in the index, one probes; or an anchor's places,
+    lengths and characters allow the edits."""
+    longer, moved, most = size_b - size_a, place_b - place_a, most_edits(np.minimum(size_a, size_b))
+    good = np.where(short, place_a != place_b, ((place_a == ANYWHERE) | (place_b == ANYWHERE) | (np.abs(moved) + np.abs(longer - moved) <= most)))
+    good &= np.abs(longer) <= most
+    at = np.flatnonzero(good)
+    good[at] = alike(bag_a[at], bag_b[at], most[at])
+    return good
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def give(held: list) -> Iterator[pd.DataFrame]:
-            arrays = [(np.frombuffer(b, np.uint64, n), np.frombuffer(b, np.uint64, n, 8 * n), np.frombuffer(b, np.uint64, n, 16 * n), np.unpackbits(np.frombuffer(b, np.uint8, -1, 24 * n), count=n).astype(bool)) for n, b in held]
-            out, size = [], 0
-            for p, q in pairs(*map(np.concatenate, zip(*arrays, strict=True))):
-                out.append(pd.DataFrame({"a": p.view(np.int64), "b": pd.array(q.view(np.int64) if q is not None else [None] * len(p), "Int64")}))
-                size += len(p)
-                if size > 1 << 17:
-                    yield pd.concat(out).drop_duplicates()
-                    out, size = [], 0
-            if out:
-                yield pd.concat(out).drop_duplicates()
-
-        now, held = None, []
-        for batch in batches:
-            for part, n, blob in zip(batch["part"], batch["n"], batch["run"], strict=True):
-                if part != now and held:
-                    yield from give(held)
-                    held = []
-                now = part
-                held.append((n, blob))
-        if held:
-            yield from give(held)
-
-    return runs.repartition(slots(runs.sparkSession), "part").sortWithinPartitions("part").mapInPandas(run, "a long, b long")
 
+def stars(runs: DataFrame) -> DataFrame:
+    """kind 0: pairs a < b of the least line of each key and the others that fit it. kinds 1 and 2: the members (a) of
+    keys of three lines and more."""
+    names = ["kind", "a", "b", "key", "bag", "place", "size"]
 
-def anchor_runs(docs: DataFrame) -> DataFrame:
-    """part, n, m, run: keys (the half that part does not hold), lines and places of n anchors, then hashes, lengths
-    and bags of their m lines."""
-    parts = 2 * slots(docs.sparkSession)
+    def frame(**given: np.ndarray) -> pd.DataFrame:
+        n = len(next(iter(given.values())))
+        return pd.DataFrame({c: given.get(c, np.zeros(n, np.int64)) for c in names})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, lines in blocks(batch.column(1)):
-                take = np.flatnonzero(lines.near & (lines.chars >= LONG))
-                take, bag = take[np.unique(lines.h1[take], return_index=True)[1]], lines.char_bags()
-                for a in range(0, len(take), 60_000):
-                    key, line, place = lines.anchors(np.sort(take[a : a + 60_000]))
-                    part = (key >> np.uint64(32)) % np.uint64(parts)
-                    order = np.argsort(part, kind="stable")
-                    cut = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-                    rows = []
-                    for p, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-                        if j > i:
-                            own = order[i:j]
-                            of, to = np.unique(line[own], return_inverse=True)
-                            rows.append((p, j - i, len(of), b"".join([key[own].astype(np.uint32).tobytes(), to.astype(np.uint16).tobytes(), place[own].astype(np.uint16).tobytes(), lines.h1[of].tobytes(), lines.chars[of].astype(np.uint32).tobytes(), bag[of].tobytes()])))
-                    if rows:
-                        columns = list(zip(*rows, strict=True))
-                        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary())], names=["part", "n", "m", "run"])
-
-    return docs.mapInArrow(run, "part int, n int, m int, run binary")
-
-
-def long_pairs(key: np.ndarray, line: np.ndarray, place: np.ndarray, size: np.ndarray, bag: np.ndarray, label: np.ndarray | None) -> Iterator[np.ndarray]:
-    """Pairs of lines (two rows of numbers, the smaller first) with an equal key at places that their edits allow: all
-    of unlike labels, or without labels the first of each anchor."""
-    where = key.astype(np.uint64) << np.uint64(16) | place.astype(np.uint64)
-    order = np.argsort(where)
-    where, line = where[order], line[order]
-    group = where >> np.uint64(16)
-    more = np.r_[False, group[1:] == group[:-1]] if len(group) else np.zeros(0, bool)
-    more[:-1] |= more[1:].copy()
-    where, line, group = where[more], line[more], group[more]
-    place, most = (where & np.uint64(ANYWHERE)).astype(np.int64), most_edits(size[line])
-    at, any_ = np.arange(len(line)), place == ANYWHERE
-    last = group << np.uint64(16) | np.minimum(place + most, ANYWHERE - 1).astype(np.uint64)
-    begin = np.where(any_, np.searchsorted(group, group), at + 1)
-    end = np.where(any_, at, np.searchsorted(where, last, "right"))
-    total = np.cumsum(np.maximum(end - begin, 0))
-    a = 0
-    while a < len(line):
-        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, "right")))
-        count = np.maximum(end[a:b] - begin[a:b], 0)
-        x = np.repeat(at[a:b], count)
-        y = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[a:b], count)
-        p, q = line[x], line[y]
-        longer, moved = size[q] - size[p], place[y] - place[x]
-        allowed = most_edits(np.minimum(size[p], size[q]))
-        good = (p != q if label is None else label[p] != label[q]) & (np.abs(longer) <= allowed) & (any_[x] | any_[y] | (np.abs(moved) + np.abs(longer - moved) <= allowed))
-        p, q, x, allowed = p[good], q[good], x[good], allowed[good]
-        good = np.flatnonzero(alike(bag[p], bag[q], allowed))
-        if label is None:
-            good = good[np.unique(x[good], return_index=True)[1]]
-        both = np.sort(np.stack([p[good], q[good]]), axis=0)
-        yield np.unique(both, axis=1)
-        a = b
-
-
-def long_candidates(runs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """a, b: long lines that share an anchor (a < b). Without labels (node, comp) one pair of each anchor, else all pairs
-    that are not in one component yet."""
-    shared = None
-    if labels is not None:
-        known = labels.orderBy("node").toPandas() if labels.count() <= NEAR else None
-        shared = runs.sparkSession.sparkContext.broadcast(None if known is None else (known["node"].to_numpy(np.int64), known["comp"].to_numpy(np.int64)))
-
-    def label_of(name: np.ndarray) -> np.ndarray | None:
-        if shared is None:
-            return None
-        if shared.value is None or not len(shared.value[0]):
-            return name
-        node, comp = shared.value
-        at = np.minimum(np.searchsorted(node, name), len(node) - 1)
-        return np.where(node[at] == name, comp[at], name)
-
-    def give(held: list) -> Iterator[pd.DataFrame]:
-        keys, lines, places, names, sizes, bags, seen = [], [], [], [], [], [], 0
+    def give(part: int, kind: int, held: list) -> Iterator[pd.DataFrame]:
+        arrays, seen = [], 0
         for n, m, b in held:
-            keys.append(np.frombuffer(b, np.uint32, n))
-            lines.append(np.frombuffer(b, np.uint16, n, 4 * n).astype(np.int64) + seen)
-            places.append(np.frombuffer(b, np.uint16, n, 6 * n))
-            names.append(np.frombuffer(b, np.uint64, m, 8 * n))
-            sizes.append(np.frombuffer(b, np.uint32, m, 8 * n + 8 * m))
-            bags.append(np.frombuffer(b, np.uint64, m, 8 * n + 12 * m))
+            line, place = np.frombuffer(b, np.uint32, n, 4 * n), np.frombuffer(b, np.uint16, n, 8 * n)
+            at = 10 * n
+            arrays.append((np.frombuffer(b, np.uint32, n), line.astype(np.int64) + seen, place, np.frombuffer(b, np.int64, m, at), np.frombuffer(b, np.uint32, m, at + 8 * m), np.frombuffer(b, np.uint64, m, at + 12 * m)))
             seen += m
-        name, first, to = np.unique(np.concatenate(names).view(np.int64), return_index=True, return_inverse=True)
-        key, line, place = np.concatenate(keys), to[np.concatenate(lines)], np.concatenate(places)
-        once = np.unique(np.stack([line, key.astype(np.int64) << 16 | place]), axis=1, return_index=True)[1] if len(name) < seen else slice(None)
-        known = np.zeros(0, np.int64)
-        for p, q in long_pairs(key[once], line[once], place[once], np.concatenate(sizes).astype(np.int64)[first], np.concatenate(bags)[first], label_of(name)):
-            pair = p * len(name) + q
-            pair = pair[~np.isin(pair, known)]
-            known = np.union1d(known, pair) if len(known) < PAIRS else pair
-            if len(pair):
-                yield pd.DataFrame({"a": name[pair // len(name)], "b": name[pair % len(name)]})
+        key, line, place, name, size, bag = (np.concatenate(x) for x in zip(*arrays, strict=True))
+        name, first, to = np.unique(name, return_index=True, return_inverse=True)
+        line, size, bag = to[line], size[first].astype(np.int64), bag[first]
+        whole = key.astype(np.uint64) << np.uint64(32) | line.astype(np.uint64)
+        order = np.lexsort((place, whole))
+        whole, place = whole[order], place[order].astype(np.int64)
+        new = np.r_[True, (whole[1:] != whole[:-1]) | (place[1:] != place[:-1])] if len(whole) else np.zeros(0, bool)
+        whole, place = whole[new], place[new]
+        key, line = (whole >> np.uint64(32)).astype(np.int64), (whole & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        counts = np.diff(np.r_[starts, len(key)])
+        different = np.add.reduceat(np.r_[0, (key[1:] == key[:-1]) & (line[1:] != line[:-1])].astype(np.int64), starts) + 1 if len(key) else counts
+        head = np.repeat(starts, counts)  # the least line of the key; it may be there twice, in the index and probing
+        some = np.flatnonzero(np.repeat(different > 1, counts))
+        pairs = []
+        for a in range(0, len(some), PAIRS):
+            x = some[a : a + PAIRS]
+            for other in (0, 1):
+                h = head[x] + other
+                good = (line[np.minimum(h, len(line) - 1)] == line[head[x]]) & (key[np.minimum(h, len(key) - 1)] == key[x]) & (line[x] != line[head[x]])
+                y, h = x[good], h[good]
+                good = fits(kind == 1, place[h], place[y], size[line[h]], size[line[y]], bag[line[h]], bag[line[y]])
+                pairs.append(np.stack([line[h[good]], line[y[good]]]))
+        if pairs:
+            p = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            if p.shape[1]:
+                yield frame(a=name[p[0]], b=name[p[1]])
+        own = np.flatnonzero(np.repeat(different > 2, counts))
+        for a in range(0, len(own), 1 << 16):
+            x = own[a : a + (1 << 16)]
+            yield frame(kind=np.full(len(x), kind), a=name[line[x]], key=key[x] | part << 32, bag=bag[line[x]].view(np.int64), place=place[x], size=size[line[x]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held = None, []
+        now, held = (0, 0), []
         for batch in batches:
-            for part, n, m, blob in zip(batch["part"], batch["n"], batch["m"], batch["run"], strict=True):
-                if part != now and held:
-                    yield from give(held)
+            for part, kind, n, m, blob in zip(batch["part"], batch["kind"], batch["n"], batch["m"], batch["run"], strict=True):
+                if (part, kind) != now and held:
+                    yield from give(*now, held)
                     held = []
-                now = part
+                now = (int(part), int(kind))
                 held.append((n, m, blob))
         if held:
-            yield from give(held)
-
-    return runs.repartition(slots(runs.sparkSession), "part").sortWithinPartitions("part").mapInPandas(run, "a long, b long")
-
-
-def within(a: str | bytes, b: str | bytes, most: int) -> bool:
-    """Whether the edit distance is at most `most`, by bit-parallel columns of a band of 2 most + 1 diagonals."""
-    n, m = len(a), len(b)
-    if abs(n - m) > most:
-        return False
-    if min(n, m) <= most:
-        row = list(range(m + 1))
-        for i in range(n):
-            row = functools.reduce(lambda new, j, i=i, row=row: [*new, min(new[-1] + 1, row[j + 1] + 1, row[j] + (a[i] != b[j]))], range(m), [i + 1])
-        return row[m] <= most
-    places: dict[str | int, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    width = 2 * most + 1
-    full, top = (1 << width) - 1, 1 << width - 1
-    rising, falling, score, edge = full ^ ((1 << most) - 1), 0, most, top >> 1
-    for j, c in enumerate(b):
-        hits, shift = places.get(c, 0), j - most
-        hits = (hits >> shift if shift >= 0 else hits << -shift) & full
-        same = (((hits & rising) + rising) ^ rising | hits | falling) & full
-        right_up, right_down = falling | full & ~(same | rising), same & rising
-        if j < n - most:
-            score += not same & top
-        else:  # the band's lowest diagonal has left the table: along the last row
-            score += bool(right_up & edge) - bool(right_down & edge)
-            edge >>= 1
-        rising, falling = right_down | full & ~(same >> 1 | right_up), same >> 1 & right_up
-        if score > 2 * most + max(0, m - n):
-            return False
-    return score <= most
+            yield from give(*now, held)
+
+    return runs.repartition(slots(runs.sparkSession), "part").sortWithinPartitions("part", "kind").mapInPandas(tidied(run), "kind int, a long, b long, key long, bag long, place int, size int")
+
+
+FACTS = ["a", "comp", "bag", "place", "size"]
+
+
+def ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def pivot_pairs(members: DataFrame) -> DataFrame:
+    """a < b: of each key one line and those of other components that fit it."""
+    pivot = members.groupBy("kind", "key").agg(F.max_by(F.struct(*FACTS), F.xxhash64("a")).alias("p"))
+    rows = members.join(pivot, ["kind", "key"]).where("comp <> p.comp")
+    flat = rows.select("kind", "a", "bag", "place", "size", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("a", "bag", "place", "size")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            v = {c: x[c].to_numpy(np.int64) for c in x.columns}
+            good = fits(v["kind"] == 1, v["place"], v["p_place"], v["size"], v["p_size"], v["bag"], v["p_bag"])
+            yield pd.DataFrame({"a": v["a"][good], "b": v["p_a"][good]})
+
+    return flat.mapInPandas(tidied(run), "a long, b long").select(*ordered("a", "b")).distinct()
+
+
+class Classes:
+    """Components that links have made in this task."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
+
+    def of(self, comp: np.ndarray) -> np.ndarray:
+        names, to = np.unique(comp, return_inverse=True)
+        return np.array([self.find(x) for x in names.tolist()], np.int64)[to]
+
+
+def cross_links(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """a, b: links between lines of unlike components that share a key, enough of them for the classes. Keys of over
+    BLOCK lines are dealt in blocks of them, each two blocks to a task. A pair is compared under its least key alone."""
+    names = settle(members.select(F.col("a").alias("h1")).distinct())
+    lines = texts_of(docs, names).withColumnsRenamed({"h1": "a", "line": "text"})
+    homes = members.groupBy("a").agg(F.collect_set(F.xxhash64("kind", "key")).alias("homes"))
+    sizes = members.groupBy("kind", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    own = members.join(sizes, ["kind", "key"]).join(lines.join(homes, "a"), "a").withColumns({"region": F.xxhash64("kind", "key"), "part": F.pmod(F.xxhash64("a"), "parts").cast("int")})
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
+
+    def small_pairs(g: pd.DataFrame, v: dict[str, np.ndarray], starts: np.ndarray, counts: np.ndarray, classes: Classes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of groups of up to FEW_LINES lines."""
+        keep = np.flatnonzero(np.repeat(counts <= FEW_LINES, counts))
+        left = (np.repeat(starts + counts, counts) - np.arange(counts.sum()) - 1)[keep]
+        x = np.repeat(keep, left)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(left) - left, left)
+        good = open_pairs(v, x, y, classes.of(v["comp"]))
+        sets: dict[int, set[int]] = {}
+        homes = g["homes"].array
+        pairs = []
+        for i, j, key in zip(x[good].tolist(), y[good].tolist(), v["region"][x[good]].tolist(), strict=True):
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = set(homes[k].tolist())
+            if min(sets[i] & sets[j]) == key:
+                pairs.append((i, j))
+        if pairs:
+            yield tuple(np.array(pairs).T)
+
+    def open_pairs(v: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, comp: np.ndarray) -> np.ndarray:
+        most = most_edits(np.minimum(v["size"][x], v["size"][y]))
+        good = (comp[x] != comp[y]) & (np.abs(v["size"][x] - v["size"][y]) <= most) & ((v["lo"][x] == v["hi"][x]) | (v["part"][x] != v["part"][y]))
+        at = np.flatnonzero(good)
+        return at[alike(v["bag"][x[at]], v["bag"][y[at]], most[at])]
+
+    def large_pairs(g: pd.DataFrame, v: dict[str, np.ndarray], a: int, b: int, classes: Classes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of a group in rows a to b."""
+        region, homes = v["region"][a], [h[h < v["region"][a]] for h in g["homes"].array[a:b]]
+        names, to = np.unique(np.concatenate(homes), return_inverse=True)
+        line = np.repeat(np.arange(b - a), [len(h) for h in homes])
+        bits = np.zeros((b - a, len(names) // 64 + 1), np.uint64)
+        np.bitwise_or.at(bits, (line, to // 64), np.uint64(1) << (to % 64).astype(np.uint64))
+        step = max(1, (1 << 13) // (b - a))
+        for i in range(a, b, step):
+            own = np.arange(i, min(i + step, b))
+            x, y = np.repeat(own, b - a), np.tile(np.arange(a, b), len(own))
+            x, y = x[x < y], y[x < y]
+            good = open_pairs(v, x, y, classes.of(v["comp"]))
+            x, y = x[good], y[good]
+            new = ~(bits[x - a] & bits[y - a]).any(axis=1)
+            yield x[new], y[new]
+
+    def give(g: pd.DataFrame, classes: Classes) -> Iterator[pd.DataFrame]:
+        v = {c: g[c].to_numpy(np.int64) for c in ("region", "lo", "hi", "part", "a", "comp", "bag", "size")}
+        starts = np.flatnonzero(np.r_[True, np.logical_or.reduce([v[c][1:] != v[c][:-1] for c in ("region", "lo", "hi")])])
+        counts, texts = np.diff(np.r_[starts, len(g)]), g["text"].tolist()
+        groups = [small_pairs(g, v, starts, counts, classes), *(large_pairs(g, v, i, i + n, classes) for i, n in zip(starts.tolist(), counts.tolist(), strict=True) if n > FEW_LINES)]
+        waiting = []
+
+        def verify() -> pd.DataFrame:
+            x, y = (np.concatenate(z) for z in zip(*waiting, strict=True))
+            waiting.clear()
+            comp = classes.of(v["comp"])
+            x, y = x[comp[x] != comp[y]], y[comp[x] != comp[y]]
+            near = within([texts[i] for i in x.tolist()], [texts[j] for j in y.tolist()], most_edits)
+            x, y = x[near], y[near]
+            for i, j in zip(v["comp"][x].tolist(), v["comp"][y].tolist(), strict=True):
+                i, j = classes.find(i), classes.find(j)
+                classes.parent[max(i, j)] = min(i, j)
+            return pd.DataFrame({"a": v["a"][x], "b": v["a"][y]})
+
+        for group in groups:
+            for pairs in group:
+                waiting.append(pairs)
+                if sum(len(x) for x, _ in waiting) >= VERIFIED:
+                    yield verify()
+        if waiting:
+            yield verify()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, classes = [], Classes()
+        for batch in batches:
+            same = np.logical_and.reduce([batch[c] == batch[c].iat[-1] for c in ("region", "lo", "hi")]) if len(batch) else np.zeros(0, bool)
+            cut = len(batch) - int(same.sum())
+            held.append(batch.iloc[:cut])
+            if cut:
+                yield from give(pd.concat(held, ignore_index=True), classes)
+                held = []
+            held.append(batch.iloc[cut:])
+        if sum(map(len, held)):
+            yield from give(pd.concat(held, ignore_index=True), classes)
+
+    rows = dealt.repartition(slots(members.sparkSession), "region", "lo", "hi").sortWithinPartitions("region", "lo", "hi")
+    out = settle(rows.select("region", "lo", "hi", "part", "a", "comp", "bag", "size", "homes", "text").mapInPandas(tidied(run), "a long, b long"))
+    release(names)
+    return out
 
 
 def texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
@@ -429,75 +481,107 @@ def texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, lines in blocks(batch.column(1)):
-                h1, raw = lines.h1.view(np.int64), lines.data.tobytes()
-                take = np.flatnonzero(lines.near & np.isin(h1, shared.value)) if few else np.flatnonzero(lines.near)
-                take = take[np.unique(h1[take], return_index=True)[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(h1[take]), pa.array([raw[i : i + n] for i, n in zip(lines.start[take].tolist(), lines.size[take].tolist(), strict=True)], pa.binary())], names=["h1", "line"])
-
-    found = docs.mapInArrow(run, "h1 long, line binary")
+            for _, _, lines in blocks(batch.column(0)):
+                take = np.flatnonzero(lines.counts & (lines.size >= LEAST_NEAR))
+                h1, raw = lines.names(take)[:, 0], lines.data.tobytes()
+                if few:
+                    own = np.isin(h1, shared.value)
+                    take, h1 = take[own], h1[own]
+                first = np.unique(h1, return_index=True)[1]
+                take, h1 = take[first], h1[first]
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array([raw[i:j] for i, j in zip(lines.start[take].tolist(), lines.end[take].tolist(), strict=True)], pa.binary())], names=["h1", "line"])
+
+    found = docs.select("text").mapInArrow(tidied(run), "h1 long, line binary")
     return (found if few else found.join(names, "h1", "left_semi")).dropDuplicates(["h1"])
 
 
-def close(a: bytes, b: bytes) -> bool:
-    if min(len(a), len(b)) >= LONG:
-        x, y = a.decode("utf-8", "surrogateescape"), b.decode("utf-8", "surrogateescape")
-        if min(len(x), len(y)) >= LONG:
-            return within(x, y, int(most_edits(min(len(x), len(y)))))
-    return within(a, b, TAU)
-
-
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of lines that are within the edits allowed."""
-    pairs = settle(pairs)
-    lines = settle(texts_of(docs, settle(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())))
+    """The pairs (a, b: settled) of lines that are within the edits allowed, settled."""
+    names = settle(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
+    lines = settle(texts_of(docs, names))
     both = pairs.join(lines.withColumnsRenamed({"h1": "a", "line": "x"}), "a").join(lines.withColumnsRenamed({"h1": "b", "line": "y"}), "b")
 
-    @F.pandas_udf("boolean")
-    def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([close(p, q) for p, q in zip(x, y, strict=True)], dtype=bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = within(batch.column(2).to_pylist(), batch.column(3).to_pylist(), most_edits)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
+
+    out = settle(both.select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long"))
+    release(names, lines)
+    return out
 
-    return both.where(near("x", "y")).select("a", "b")
+
+def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of keys that more than one component is in, with comp and the key's number of lines, lines."""
+    labels = components(links).withColumnRenamed("node", "a")
+    rows = members.join(labels, "a", "left").withColumn("comp", F.coalesce("comp", "a"))
+    ends = rows.groupBy("kind", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("lines")).where("lo <> hi")
+    return rows.join(ends.select("kind", "key", "lines"), ["kind", "key"])
 
 
 def near_links(docs: DataFrame) -> DataFrame:
-    """a, b (hashes) of distinct lines within the edits allowed."""
-    some = settle(verified(docs, long_candidates(anchor_runs(docs), None).distinct()))
-    rest = long_candidates(anchor_runs(docs), components(some))
-    links, among = [some, verified(docs, rest.distinct())], None
+    """a, b (names) of distinct lines within the edits allowed, enough of them for the classes."""
+    every, among = docs.sparkSession.createDataFrame([], "a long, b long"), None
     for level, segments in enumerate(LEVELS):
-        last = level == len(LEVELS) - 1
-        found = settle(candidates(entry_runs(docs, segments, among), last))
-        links.append(verified(docs, found.where("b is not null").distinct()))
-        dense = found.where("b is null").select("a").distinct()
-        if last or dense.isEmpty():
+        found = settle(stars(entry_runs(docs, segments, among, long=level == 0)))
+        tested = settle(found.where("kind = 0").select("a", "b").distinct())
+        every = every.unionByName(verified(docs, tested))
+        members, dense = found.where("kind > 0").drop("b"), None
+        many = settle(labelled(members, every).where(f"lines > {FEW_LINES}"))
+        if not many.isEmpty():
+            asked = settle(pivot_pairs(many).join(tested, ["a", "b"], "left_anti"))
+            every = every.unionByName(verified(docs, asked))
+        mixed = settle(labelled(members, every))
+        if level < len(LEVELS) - 1:
+            dense = settle(mixed.where(f"kind = 1 and lines > {CAP}").select("a").distinct())
+            mixed = mixed.where(f"kind = 2 or lines <= {CAP}")
+        if not mixed.isEmpty():
+            every = every.unionByName(cross_links(docs, mixed))
+        if dense is None or dense.isEmpty():
             break
-        among = np.sort(np.array([r[0] for r in dense.toLocalIterator()], np.int64).view(np.uint64)) if dense.count() <= NEAR else None
-    return settle(functools.reduce(DataFrame.unionByName, links))
+        among = np.sort(np.array([r[0] for r in dense.toLocalIterator()], np.int64)) if dense.count() <= NEAR else None
+    return every
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """id and the places of the lines that go. docs: id, text."""
+    """id, digest, copy of rows and the places of the lines that go."""
     every = settle(occurrences(docs))
     labels = components(near_links(docs))
-    first = F.min(F.struct("id", "place")).alias("first")
-    equal = every.groupBy("h1", "h2").agg(first, F.count(F.lit(1)).alias("n"))
+    lines = every.select("id", "row", F.explode(F.arrays_zip("h1", "h2", "place")).alias("x")).select("id", "row", "x.*")
+    equal = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
     classed = settle(equal.join(labels.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "h2", "first", "n", F.when(F.col("comp").isNull(), F.struct("h1", "h2")).otherwise(F.struct(F.col("comp").alias("h1"), F.lit(None).cast("long").alias("h2"))).alias("class")))
     stays = classed.groupBy("class").agg(F.min("first").alias("stays"), F.sum("n").alias("all")).where("all > 1")
-    repeated = classed.join(stays, "class").select("h1", "h2", "stays")
-    gone = every.join(repeated, ["h1", "h2"]).where("not (id = stays.id and place = stays.place)")
-    return gone.groupBy("id").agg(F.collect_set("place").alias("gone"))
+    repeated = settle(classed.join(stays, "class").select("h1", "h2", "n", F.col("stays.row").alias("kept_row"), F.col("stays.place").alias("kept_place")))
+    gone = join_counted(lines, repeated, ["h1", "h2"]).where("row <> kept_row or place <> kept_place")
+    per_row = gone.groupBy("row").agg(F.collect_list("place").alias("gone"))
+    return every.select("row", "id", "digest", "copy").join(per_row, "row").drop("row")
+
+
+KEY = ["__id", "__digest", "__copy"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key for each row: doc_id, the text's digest and, where rows share both, a number."""
+    base = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__digest": digest_of(whole_text())})
+    again = settle(base.groupBy("__id", "__digest").count().where("count > 1").select("__id", "__digest"))
+    once = base.withColumn("__copy", F.lit(-1).cast("long"))
+    if again.isEmpty():
+        return once
+    few = F.broadcast(again) if again.count() <= FEW_ROWS else again
+    copies = settle(base.join(few, ["__id", "__digest"], "left_semi").withColumn("__copy", F.monotonically_increasing_id()))
+    return once.join(few, ["__id", "__digest"], "left_anti").unionByName(copies)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the repeated lines cut from text, n_lines, n_removed and kept_sha256 (names that docs has are left
     out). Texts without repeated lines stay byte for byte."""
-    arrow_rows(docs.sparkSession, 2000)
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    gone = settle(removals(plain))
-    few = gone.count() <= 500_000
-    ours = gone.select(F.col("id").alias("__id"), F.col("gone").alias("__gone"))
-    joined = docs.join(F.broadcast(ours) if few else ours, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("__id"), "left").drop("__id")
+    bounded_batches(docs.sparkSession)
+    rows = keyed(docs)
+    gone = settle(removals(rows.select(F.col("__id").alias("id"), F.col("__digest").alias("digest"), F.col("__copy").alias("copy"), whole_text().alias("text"))))
+    size = gone.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("gone")).alias("m")).first()
+    ours = gone.select(*(F.col(c.removeprefix("__")).alias(c) for c in KEY), F.col("gone").alias("__gone"))
+    few = size["n"] <= FEW_ROWS and (size["m"] or 0) <= FEW_PLACES
+    joined = rows.join(F.broadcast(ours) if few else ours, KEY, "left").select(*docs.columns, "__gone")
     extra = [c for c in ("n_lines", "n_removed", "kept_sha256") if c not in docs.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -517,4 +601,4 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     types = dict(docs.dtypes) | {"text": "string"}
     schema = ", ".join([f"`{c}` {types[c]}" for c in docs.columns] + [f"{c} {'string' if c == 'kept_sha256' else 'long'}" for c in extra])
-    return joined.mapInPandas(run, schema)
+    return joined.mapInPandas(tidied(run), schema)

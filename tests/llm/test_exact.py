@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from pathloom.llm import jaccard_join, line_dedup, suffix_dedup
+from pathloom.llm import edit_distance, jaccard_join, line_dedup, suffix_dedup
 
 SCHEMA = "doc_id long, text string, n_removed long, key string, id long"
 
@@ -148,41 +148,65 @@ def edited(rng, text, most):
 
 def test_banded_distance():
     rng = random.Random(4)
-    for _ in range(3000):
-        a = "".join(rng.choice("abc") for _ in range(rng.randint(0, 14)))
-        b = edited(rng, a, 4)
-        assert all(line_dedup.within(a.encode(), b.encode(), k) == (distance(a, b) <= k) for k in (1, 2, 3))
+    a = ["".join(rng.choice("abé漢") for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    b = [edited(rng, x, 8) for x in a]
+    for most in (1, 2, 5, 31):
+        got = edit_distance.within([x.encode() for x in a], [x.encode() for x in b], lambda n, most=most: np.full(len(n), most))
+        assert got.tolist() == [distance(x, y) <= most for x, y in zip(a, b, strict=True)]
 
 
-def line_brute(rows):
+def line_classes(rows, near):
+    """Which (row, place) go if lines that `near` says are one class. rows in the order of doc_id, then of the table."""
     places = defaultdict(list)
-    for d, t in sorted(set(rows), key=lambda r: r[0]):
-        for i, line in enumerate((t or "").encode().split(b"\n")):
-            if len(line) >= line_dedup.LEAST:
+    for d, t in enumerate(t for _, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0])):
+        for i, line in enumerate((t or "").split("\n")):
+            if line.strip(" \t\r\v\f"):
                 places[line].append((d, i))
     u, lines = Union(), list(places)
     for i, a in enumerate(lines):
         for b in lines[:i]:
-            if abs(len(a) - len(b)) <= 2 and distance(a, b) <= line_dedup.TAU:
+            if min(len(a), len(b)) >= line_dedup.LEAST_NEAR and near(a, b):
                 u.join(min(places[a]), min(places[b]))
-    first = {}
-    for line, at in places.items():
-        first.setdefault(u.find(min(at)), set()).update(at)
+    first = defaultdict(set)
+    for at in places.values():
+        first[u.find(min(at))].update(at)
     return {p for at in first.values() for p in at if p != min(at)}
 
 
-@pytest.mark.parametrize("cap", [4096, 2])
-def test_line_dedup(spark, monkeypatch, cap):
-    monkeypatch.setattr(line_dedup, "CAP", cap)
+def line_expected(rows, gone):
+    ordered = sorted(rows, key=lambda r: -1 if r[0] is None else r[0])
+    return sorted((str(d), "\n".join(x for i, x in enumerate((t or "").split("\n")) if (k, i) not in gone)) for k, (d, t) in enumerate(ordered))
+
+
+def two_edits(a, b):
+    return abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_line_dedup(spark, monkeypatch, small):
+    if small:
+        for name in ("CAP", "BLOCK", "FEW_LINES"):
+            monkeypatch.setattr(line_dedup, name, 3)
     rng = random.Random(9)
-    base = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randint(20, 50))) for _ in range(12)]
-    rows = [(k, None if k % 20 == 0 else "\n".join(edited(rng, rng.choice(base), 3) for _ in range(rng.randint(0, 4)))) for k in range(60)] + [(900, ""), (901, "q" * 9000), (902, "q" * 9001)]
-    gone = line_brute(rows)
-    got = {r["doc_id"]: r for r in line_dedup.dedup(table(spark, rows)).collect()}
-    for d, t in rows:
-        kept = "\n".join(x for i, x in enumerate((t or "").split("\n")) if (d, i) not in gone)
-        assert (got[d]["text"] or "") == kept
-        assert got[d]["n_removed"] == 1 and got[d]["key"] == "x"  # columns of the table stay
+    base = ["".join(rng.choice("abcdefgh é漢") for _ in range(rng.randint(20, 50))) for _ in range(12)]
+    rows = [(k, None if k % 20 == 0 else "\n".join(edited(rng, rng.choice(base), 3) for _ in range(rng.randint(0, 4)))) for k in range(60)] + [(900, ""), (901, "q" * 9000), (903, "z" * 30_000)]
+    got = line_dedup.dedup(table(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in got) == line_expected(rows, line_classes(rows, two_edits))
+    assert all(r["n_removed"] == 1 and r["key"] == "x" for r in got)  # columns of the table stay
+
+
+def thue_morse(n, a="a", b="b"):
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_line_dedup_tells_rows_apart(spark):
+    x, y = thue_morse(11)
+    rows = [(None, "line P\nline Q"), (None, "line R\nline P"), (3, x), (4, y), (5, "one\ntwo"), (5, "two\nthree"), (6, "again and again"), (6, "again and again"), (6, "again and again")]
+    got = sorted((str(r["doc_id"]), r["text"] or "") for r in line_dedup.dedup(table(spark, rows)).collect())
+    assert got == line_expected(rows, line_classes(rows, two_edits))
+    assert [t for d, t in got if d in "34"] == [x, y] and [t for d, t in got if d == "6"] == ["", "", "again and again"]
 
 
 def test_empty_tables(spark):
@@ -191,7 +215,7 @@ def test_empty_tables(spark):
 
 
 def long_line_rows():
-    """Lines of 80 characters and more with edits about the share allowed, words replaced, CJK and accents, repetitive lines."""
+    """Lines of about 80 to 500 characters with edits about the share allowed, words replaced, CJK and accents, repetitive lines."""
     rng = random.Random(12)
     words = ["".join(rng.choice("abcdefghéü漢字") for _ in range(rng.randint(2, 8))) for _ in range(300)]
     lines = []
@@ -204,31 +228,38 @@ def long_line_rows():
                     w[rng.randrange(n)] = rng.choice(words)
                 lines.append(edited(rng, " ".join(w), 2))
     base = "".join(rng.choice("abcdefgh") for _ in range(90))
-    lines += [base + "漢", base, base[:30] + "éé" + base[32:], base[:30] + "üü" + base[32:], "q" * 9000, "q" * 9300, "ab" * 100, "ab" * 103 + "c", "x" * 79, "x" * 81]
+    lines += [base + "漢", base, base[:30] + "éé" + base[32:], base[:30] + "üü" + base[32:], "ab" * 100, "ab" * 103 + "c", "x" * 79, "x" * 81]
     rng.shuffle(lines)
     return list(enumerate("\n".join(lines[i : i + 2]) for i in range(0, len(lines), 2)))
 
 
+def stretch_survives(a, b):
+    """Whether lines that are within the edits share a stretch of the shorter one's class, at places the edits allow."""
+    x, y = sorted((a, b), key=len)
+    most, n = int(line_dedup.most_edits(np.array(len(x)))), line_dedup.STRETCH << int(line_dedup.class_of(np.array(len(x))))
+    at = defaultdict(list)
+    for j in range(len(y)):
+        raw = y[j:].encode()[:n]
+        if len(raw) == n:
+            at[raw].append(j)
+    return any(abs(i - j) + abs(len(y) - len(x) - j + i) <= most for i in range(len(x)) for j in at.get(x[i:].encode()[:n], ()) if len(x[i:].encode()) >= n)
+
+
 def test_line_threshold_grows_with_length_in_characters(spark):
     rows = long_line_rows()
-    places = defaultdict(list)
-    for d, t in rows:
-        for i, line in enumerate(t.split("\n")):
-            places[line].append((d, i))
-    u, lines = Union(), list(places)
-    for i, a in enumerate(lines):
-        for b in lines[:i]:
-            most, x, y = (min(len(a), len(b)) // 20 - 1, a, b) if min(len(a), len(b)) >= 80 else (2, a.encode(), b.encode())
-            if abs(len(x) - len(y)) <= most and (len(set(a + b)) == 1 or distance(x, y) <= most):
-                u.join(min(places[a]), min(places[b]))
-    of = defaultdict(set)
-    for at in places.values():
-        of[u.find(min(at))].update(at)
-    gone = {p for at in of.values() for p in at if p != min(at)}
+    allowed = {}
+
+    def within(a, b):
+        if (a, b) not in allowed:
+            most = int(line_dedup.most_edits(np.array(min(len(a), len(b)))))
+            allowed[a, b] = abs(len(a) - len(b)) <= most and distance(a, b) <= most
+        return allowed[a, b]
+
+    most = line_classes(rows, within)
+    sure = line_classes(rows, lambda a, b: within(a, b) and (min(len(a), len(b)) < line_dedup.LONG or stretch_survives(a, b)))
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(table(spark, rows)).collect()}
-    assert len(gone) > 60
-    for d, t in rows:
-        assert got[d] == "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone)
+    gone = {(k, i) for k, (d, t) in enumerate(rows) for i, line in enumerate(t.split("\n")) if line not in got[d].split("\n")}
+    assert len(sure) > 60 and sure <= gone <= most
 
 
 def test_short_lines_go_if_equal(spark):
