@@ -4,19 +4,20 @@ A byte goes if a string of LENGTH bytes that covers it starts anywhere else too.
 each window of LENGTH bytes has an anchor, the leftmost least k-mer hash among its first SPAN starts, and equal windows
 have their anchors at equal places. So only suffixes at anchors are sorted, about one in SPAN / 2 bytes.
 
-1. Equal texts are one text: copies of LENGTH bytes or more go whole, and one of them stands for all.
+1. Equal texts are one text, named by its digest: copies of LENGTH bytes or more go whole, and one stands for all.
 2. An anchor matters if the SURE bytes from it on occur at another anchor too (a count by hash).
 3. For these, each batch of documents sorts its suffixes, front-codes them (bytes shared with the suffix before are
-   not sent again, nor those the contexts before the anchors share) and sends one sorted run to each partition; a
-   partition merges its runs with a loser tree that compares two suffixes only from the prefix they are known to share
-   with the last one given out.
-4. Suffixes with SURE bytes in common are neighbours; windows of their contexts are counted by offset from the anchor,
-   and repeated ones give an interval for each anchor. Anchors with over HOT members count windows by hash in Spark.
-5. Intervals are merged by document and cut out of the text.
+   not sent again, nor those the contexts before the anchors share) and sends one sorted run to each partition, by a
+   hash of the SURE bytes: only suffixes that share them need to meet. A partition merges its runs with a loser tree
+   that compares two suffixes only from the prefix they are known to share with the last one given out.
+4. Suffixes with SURE bytes in common are neighbours. The prefix lengths known from the merge, and those that the
+   sorted contexts before the anchors share, say which windows are equal, for each offset from the anchor; repeated
+   ones give an interval for each anchor. Anchors with over HOT members count windows by 128-bit hashes in Spark.
+5. Intervals are merged by text and cut out of it.
 
 Defined results: null and empty texts have no bytes; texts shorter than LENGTH stay as they are; matches never cross
-documents; copies and repeated rows go whole; texts of any length are read whole; extra columns are ignored; doc_id
-names a row (a null is a name too).
+documents; copies and repeated rows go whole; texts of any length are read whole; extra columns are ignored; what goes
+depends on the texts alone, so rows without a doc_id, or with one and the same, are told apart; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -30,14 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import arrow_rows, settle, slots
-from pathloom.llm.shingles import BLOCK_BYTES, letters, mix, powers, utf8
+from pathloom.llm.common import bounded_batches, digest_of, join_counted, release, settle, slots, tidied, whole_text
+from pathloom.llm.hashing import MASKS, ODD, ODD2, Stretches, mix, text_blocks
 
 LENGTH, SPAN, KMER = 200, 100, 16
 SURE = LENGTH - SPAN + 1
 HOT, BATCH, RUN = 20_000, 8_000, 40_000
-NEAR_IDS, NEAR_ROWS, NEAR_SPANS = 2_000_000, 200_000, 1_000_000
-NO_ID = -(1 << 63)
+NEAR_IDS, NEAR_COPIES, NEAR_ROWS, NEAR_SPANS = 1_000_000, 500_000, 200_000, 1_000_000
 
 
 class Block:
@@ -45,17 +45,14 @@ class Block:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets, n = data, offsets, len(data)
-        up, down = powers(max(BLOCK_BYTES, 1 << n.bit_length()))
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((letters()[data] ^ (data.astype(np.uint64) << np.uint64(17))) * up[:n], out=self.sums[1:])
-        self.down = down
+        self.raw = raw = Stretches(data).raw
         starts, ends = offsets[:-1], offsets[1:] - LENGTH
         whole = ends >= starts
         self.row = self.at = self.first = self.last = np.zeros(0, np.int64)
         if not whole.any():
             return
         bits = np.uint64(max(n, 1).bit_length())
-        key = self.hashes(np.arange(n - KMER + 1), KMER) >> bits << bits | np.arange(n - KMER + 1, dtype=np.uint64)
+        key = mix(raw[: n - KMER + 1] * ODD + raw[KMER - 8 : n - 7] * ODD2) >> bits << bits | np.arange(n - KMER + 1, dtype=np.uint64)
         padded = np.full(-(-len(key) // SPAN) * SPAN + SPAN, np.uint64(0xFFFFFFFFFFFFFFFF))
         padded[: len(key)] = key
         rows = padded.reshape(-1, SPAN)
@@ -67,18 +64,19 @@ class Block:
         new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])])
         self.row, self.at, self.first, self.last = row[new], at[new], window[new], window[np.r_[new[1:] - 1, len(at) - 1]]
 
-    def hashes(self, at: np.ndarray, length: int) -> np.ndarray:
-        return mix((self.sums[at + length] - self.sums[at]) * self.down[at])
+    def hashes(self, at: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+        """Hashes of the stretches of this length, eight bytes after eight."""
+        h = np.full(len(at), seed, np.uint64)
+        for k in range(0, length, 8):
+            lane = self.raw[at + k]
+            h = mix(h * ODD + (lane if k + 8 <= length else lane & MASKS[length - k]) + ODD2)
+        return h
 
 
 def blocks(column: pa.Array) -> Iterator[tuple[int, Block]]:
     """Runs of rows as blocks, with the number of the first row."""
-    data, offsets = utf8(column)
-    a = 0
-    while a < len(column):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK_BYTES, "right")) - 1)
-        yield a, Block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        a = b
+    for a, data, offsets in text_blocks(column):
+        yield a, Block(data, offsets)
 
 
 def ragged(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -86,7 +84,7 @@ def ragged(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, digest of the text, and its anchors: hash of the SURE bytes from each on, and its place."""
+    """row, n_bytes, digest of the text, and its anchors: hash of the SURE bytes from each on, and its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,13 +93,13 @@ def scan(docs: DataFrame) -> DataFrame:
                 digest = [hashlib.md5(block.data[i:j].tobytes()).digest() for i, j in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)]
                 counts = np.bincount(block.row, minlength=n)
                 place = (block.at - block.offsets[block.row]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(np.diff(block.offsets)), pa.array(digest, pa.binary()), ragged(block.hashes(block.at, SURE).view(np.int64), counts), ragged(place, counts)], names=["id", "n_bytes", "digest", "hashes", "places"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(np.diff(block.offsets)), pa.array(digest, pa.binary()), ragged(block.hashes(block.at, SURE).view(np.int64), counts), ragged(place, counts)], names=["row", "n_bytes", "digest", "hashes", "places"])
 
-    return docs.mapInArrow(run, "id long, n_bytes long, digest binary, hashes array<long>, places array<long>")
+    return docs.mapInArrow(tidied(run), "row long, n_bytes long, digest binary, hashes array<long>, places array<long>")
 
 
 def front_coded(contexts: list[tuple[bytes, bytes, int, int]]) -> bytes:
-    """A sorted run: (suffix from the anchor, bytes before it reversed, id, place of the anchor), most shared first."""
+    """A sorted run: (suffix from the anchor, bytes before it reversed, row, place of the anchor), most shared first."""
     contexts.sort()
     before, back, parts, numbers = b"", b"", [], []
     for suffix, left, name, at in contexts:
@@ -171,33 +169,39 @@ def merged(runs: list[Iterator[tuple[int, bytes, bytes, int, int]]]) -> Iterator
             node //= 2
 
 
-def repeated(groups: list[list[tuple[bytes, bytes, int, int]]]) -> list[tuple[int, int, int]]:
-    """(id, start, end) of the stretch of each context's windows that another context of its group has too."""
+def repeated(groups: list[list[tuple[int, bytes, bytes, int, int]]]) -> list[tuple[int, int, int]]:
+    """(row, start, end) of the stretch of each context's windows that another context of its group has too. A context
+    comes with the prefix its suffix shares with the one before it, in the order of suffixes."""
     every = [g for group in groups if len(group) > 1 for g in group]
     if not every:
         return []
-    number = mix(np.repeat(np.arange(len(groups), dtype=np.uint64), [len(g) if len(g) > 1 else 0 for g in groups]))
-    lefts, rights = np.array([len(g[1]) for g in every]), np.array([len(g[0]) for g in every])
-    size = lefts + rights
-    anchor = np.cumsum(size) - size + lefts
-    block = Block(np.frombuffer(b"".join([left[::-1] + suffix for suffix, left, _, _ in every]), np.uint8), np.array([0, 0]))
-    low, high = np.full(len(every), LENGTH), np.full(len(every), -1)
+    n = len(every)
+    first = np.cumsum([0] + [len(g) for g in groups if len(g) > 1])[:-1]
+    known = np.array([g[0] for g in every])
+    known[first] = 0
+    lefts, rights = np.array([len(g[2]) for g in every]), np.array([len(g[1]) for g in every])
+    order = sorted(range(n), key=lambda i: every[i][2])
+    before = np.array([0, *(shared(every[i][2], every[j][2], 0) for i, j in zip(order, order[1:], strict=False))])
+    order = np.array(order)
+    low, high = np.full(n, LENGTH), np.full(n, -1)
     for offset in range(min(SPAN, int(lefts.max()) + 1)):
         has = np.flatnonzero((lefts >= offset) & (rights >= LENGTH - offset))
         if len(has) < 2:
             continue
-        h = block.hashes(anchor[has] - offset, LENGTH) ^ number[has]
-        order = np.argsort(h)
-        same = h[order][1:] == h[order][:-1]
-        twice = has[order[np.r_[same, False] | np.r_[False, same]]]
+        left = np.empty(n, np.int64)
+        left[order] = np.cumsum(before < offset)  # equal where the bytes before the anchors are
+        window = np.cumsum(known < LENGTH - offset) * (n + 1) + left
+        by = np.argsort(window[has])
+        same = window[has][by][1:] == window[has][by][:-1]
+        twice = has[by[np.r_[same, False] | np.r_[False, same]]]
         low[twice] = np.minimum(low[twice], offset)
         high[twice] = offset
-    return [(g[2], g[3] - b, g[3] - a + LENGTH) for g, a, b in zip(every, low.tolist(), high.tolist(), strict=True) if b >= 0]
+    return [(g[3], g[4] - b, g[4] - a + LENGTH) for g, a, b in zip(every, low.tolist(), high.tolist(), strict=True) if b >= 0]
 
 
 def contexts(docs: DataFrame, hot: bool) -> DataFrame:
-    """docs: id, text, places of the anchors that matter. Sorted runs (part, n, run), or for hot anchors a row for each
-    window (h1, h2: its hash twice; id, start)."""
+    """docs: row, text, places of the anchors that matter. Sorted runs (part, n, run), or for hot anchors a row for each
+    window (h1, h2: its hash twice; row, start)."""
     parts = 2 * slots(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,9 +223,8 @@ def contexts(docs: DataFrame, hot: bool) -> DataFrame:
                     lengths = (block.last - block.first + 1)[take]
                     start = np.repeat(block.first[take] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
                     row = np.repeat(block.row[take], lengths)
-                    h1 = block.hashes(start, LENGTH)
-                    h2 = mix(block.hashes(start, SPAN) ^ (block.hashes(start + SPAN, LENGTH - SPAN) << np.uint64(1)))
-                    yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(names[row]), pa.array(start - block.offsets[row])], names=["h1", "h2", "id", "start"])
+                    h1, h2 = block.hashes(start, LENGTH), block.hashes(start, LENGTH, seed=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(names[row]), pa.array(start - block.offsets[row])], names=["h1", "h2", "row", "start"])
                     continue
                 for part, r, at, first, last in zip(where.tolist(), block.row[take].tolist(), block.at[take].tolist(), block.first[take].tolist(), block.last[take].tolist(), strict=True):
                     bags.setdefault(part, []).append((raw[at : last + LENGTH], raw[first:at][::-1], int(names[r]), at - int(block.offsets[r])))
@@ -231,24 +234,24 @@ def contexts(docs: DataFrame, hot: bool) -> DataFrame:
         if bags:
             yield runs(bags)
 
-    return docs.mapInArrow(run, "h1 long, h2 long, id long, start long" if hot else "part int, n int, run binary")
+    return docs.mapInArrow(tidied(run), "h1 long, h2 long, row long, start long" if hot else "part int, n int, run binary")
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """id, start, end from the sorted runs of each partition."""
+    """row, start, end from the sorted runs of each partition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def give(part: list) -> Iterator[pd.DataFrame]:
             groups, held = [[]], 0
-            for known, *context in merged([decoded(blob, n) for n, blob in part]):
-                if known < SURE and groups[-1]:
+            for context in merged([decoded(blob, n) for n, blob in part]):
+                if context[0] < SURE and groups[-1]:
                     if held >= BATCH:
-                        yield pd.DataFrame(repeated(groups), columns=["id", "start", "end"])
+                        yield pd.DataFrame(repeated(groups), columns=["row", "start", "end"])
                         groups, held = [], 0
                     groups.append([])
-                groups[-1].append(tuple(context))
+                groups[-1].append(context)
                 held += 1
-            yield pd.DataFrame(repeated(groups), columns=["id", "start", "end"])
+            yield pd.DataFrame(repeated(groups), columns=["row", "start", "end"])
 
         now, held = None, []
         for batch in batches:
@@ -261,11 +264,11 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         if held:
             yield from give(held)
 
-    return runs.repartition(slots(runs.sparkSession), "part").sortWithinPartitions("part").mapInPandas(run, "id long, start long, end long")
+    return runs.repartition(slots(runs.sparkSession), "part").sortWithinPartitions("part").mapInPandas(tidied(run), "row long, start long, end long")
 
 
 def united(spans: DataFrame) -> DataFrame:
-    """id and its spans (array of start, end) as maximal runs: start, end, start, end, in order."""
+    """digest and its spans (array of start, end) as maximal runs: start, end, start, end, in order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -278,9 +281,9 @@ def united(spans: DataFrame) -> DataFrame:
                     else:
                         flat += [start, end]
                 out.append(flat)
-            yield pd.DataFrame({"id": batch["id"], "spans": out})
+            yield pd.DataFrame({"digest": batch["digest"], "spans": out})
 
-    return spans.mapInPandas(run, "id long, spans array<long>")
+    return spans.mapInPandas(tidied(run), "digest binary, spans array<long>")
 
 
 def cut(docs: DataFrame, with_text: bool) -> DataFrame:
@@ -301,36 +304,48 @@ def cut(docs: DataFrame, with_text: bool) -> DataFrame:
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out
 
-    return docs.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
+    return docs.mapInPandas(tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
+
+
+def distinct_texts(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """text and digest, once each. copies: the digests that several rows have; a few of them are told to all tasks, so
+    that texts that occur once need no aggregation."""
+    one = F.first("text").alias("text")
+    if copies.count() > NEAR_COPIES:
+        return docs.groupBy("digest").agg(one).select("text", "digest")
+    few = F.broadcast(copies.select("digest"))
+    again = docs.join(few, "digest", "left_semi").groupBy("digest").agg(one).select("text", "digest")
+    return docs.join(few, "digest", "left_anti").select("text", "digest").unionByName(again)
+
+
+def sized(spans: DataFrame, what: str) -> DataFrame:
+    """Broadcast if rows and array elements are few enough."""
+    size = spans.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(what)).alias("m")).first()
+    return F.broadcast(spans) if size["n"] <= NEAR_ROWS and (size["m"] or 0) <= NEAR_SPANS else spans
 
 
 def remove(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if with_text, kept_text of every row."""
-    arrow_rows(docs.sparkSession, 2000)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = settle(scan(docs))
-    copies = settle(known.where(f"n_bytes >= {LENGTH}").groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    copied = settle(known.select("id", "n_bytes", "digest").join(copies, "digest").select("id", "n_bytes", (F.col("id") == F.col("first")).alias("stands")))
-    spare = copied.groupBy("id").agg(F.max("stands").alias("stands")).where("not stands").select("id")
-    spare = settle(spare)
-    if spare.count() <= NEAR_IDS:  # else the anchors are dealt by id
-        spare = F.broadcast(spare)
-    anchors = known.join(spare, "id", "left_anti").select("id", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("id", F.col("x.hashes").alias("h"), F.col("x.places").alias("place"))
-    twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
-    wanted = settle(anchors.join(twice, "h").groupBy("id", "hot").agg(F.collect_set("place").alias("places")))
-    found = merge_runs(contexts(docs.join(wanted.where("not hot"), "id").select("id", "text", "places"), hot=False))
-    busy = wanted.where("hot").select("id", "places")
-    size = busy.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("places")).alias("m")).first()
-    if size["n"]:
-        if size["n"] <= NEAR_ROWS and size["m"] <= NEAR_SPANS:
-            busy = F.broadcast(busy)
-        windows = settle(contexts(docs.join(busy, "id").select("id", "text", "places"), hot=True))
-        again = windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-        found = found.unionByName(windows.join(again, ["h1", "h2"]).select("id", "start", (F.col("start") + LENGTH).alias("end")))
-    whole = copied.select("id", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
-    spans = settle(united(found.unionByName(whole).groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))))
-    size = spans.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("spans")).alias("m")).first()
-    if size["n"] <= NEAR_ROWS and (size["m"] or 0) <= NEAR_SPANS:
-        spans = F.broadcast(spans)
-    joined = docs.join(spans, "id", "left").select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "text", "spans")
-    return cut(joined, with_text)
+    bounded_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).withColumn("digest", digest_of(F.col("text")))
+    known = settle(scan(docs.select(F.monotonically_increasing_id().alias("row"), "text")))
+    copies = settle(known.where(f"n_bytes >= {LENGTH}").groupBy("digest").agg(F.min("row").alias("first"), F.first("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    spare = settle(join_counted(known.select("row", "digest"), copies.select("digest", "first", "n"), ["digest"]).where("row <> first").select("row"))
+    few = F.broadcast(spare) if spare.count() <= NEAR_IDS else spare
+    anchors = known.join(few, "row", "left_anti").select("row", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("row", F.col("x.hashes").alias("h"), F.col("x.places").alias("place"))
+    twice = settle(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    places = join_counted(anchors, twice, ["h"]).groupBy("row", (F.col("n") > HOT).alias("hot")).agg(F.collect_set("place").alias("places"))
+    wanted = settle(places.join(known.select("row", "digest"), "row"))
+    texts = distinct_texts(docs, copies)
+    found = settle(merge_runs(contexts(texts.join(wanted.where("not hot"), "digest").select("row", "text", "places"), hot=False)))
+    busy = wanted.where("hot").drop("hot")
+    if not busy.isEmpty():
+        windows = settle(contexts(texts.join(sized(busy, "places"), "digest").select("row", "text", "places"), hot=True))
+        again = settle(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        found = found.unionByName(join_counted(windows, again, ["h1", "h2"]).select("row", "start", (F.col("start") + LENGTH).alias("end")))
+    by_text = found.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans")).join(known.select("row", "digest"), "row").select("digest", "spans")
+    whole = copies.select("digest", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))).alias("spans"))
+    spans = settle(united(by_text.join(whole, "digest", "left_anti").unionByName(whole)))
+    out = docs.join(sized(spans, "spans"), "digest", "left").select("doc_id", "text", "spans")
+    release(known, copies, spare, twice, wanted, found)
+    return cut(out, with_text)
