@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 #: Rows of one key from which it counts as hot, and how many hot keys are broadcast at most (about 32 bytes each).
 HOT_KEY, HOT_KEYS = 1000, 500_000
 BATCH_BYTES = 1 << 21
+NO_ID, FEW_COPIES = -(1 << 63), 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,3 +119,18 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str =
     few = F.broadcast(hot.select(keys))
     cold = rows.join(few, keys, "left_anti").join(counted.join(few, keys, "left_anti"), keys)
     return cold.unionByName(rows.join(F.broadcast(hot), keys).select(cold.columns))
+
+
+KEY = ["__id", "__digest", "__copy"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key for each row: doc_id, the text's digest and, where rows share both, a number."""
+    base = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__digest": digest_of(whole_text())})
+    again = settle(base.groupBy("__id", "__digest").count().where("count > 1").select("__id", "__digest"))
+    once = base.withColumn("__copy", F.lit(-1).cast("long"))
+    if again.isEmpty():
+        return once
+    few = F.broadcast(again) if again.count() <= FEW_COPIES else again
+    copies = settle(base.join(few, ["__id", "__digest"], "left_semi").withColumn("__copy", F.monotonically_increasing_id()))
+    return once.join(few, ["__id", "__digest"], "left_anti").unionByName(copies)

@@ -1,6 +1,6 @@
 """Exact near-duplicate classes by a join in the metric space of Jaccard distance between shingle sets.
 
-1. Rows with equal sets are one class, held by its smallest doc_id.
+1. Rows with equal sets are one class, held by the first of them in the table.
 2. Single shingles are pivots: a set's distance to a pivot it holds is less than 1, to any other it is 1, and pivots
    are ordered, so that a set's first pivot is its region. By the triangle inequality a set within EPSILON of it has
    one of the set's first `window` pivots in common with it, so each set is copied to the regions of that window.
@@ -17,8 +17,9 @@
 Comparisons are exact. Links and components stay distributed; what is broadcast is bounded (HOT_PIVOTS, NEAR_NODES).
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; with fewer than
-five words the whole sequence is the one shingle; repeated rows are one class; rows of a null doc_id get the component
-of their class's smallest doc_id, or null; whole texts are read; extra columns are ignored; an empty table gives none.
+five words the whole sequence is the one shingle; repeated rows are one class; rows of one doc_id with unlike texts are
+joined each on its own, as are rows without one, which don't count for the smallest doc_id (a component of such rows
+alone has none); whole texts are read; extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -34,15 +35,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import bounded_batches, release, settle, slots, tidied
+from pathloom.llm.common import KEY, NO_ID, bounded_batches, join_counted, keyed, release, settle, slots, tidied
 from pathloom.llm.graph import components
 from pathloom.llm.shingles import shingle_sets
 
 EPSILON, LINK, OF = 0.2, 80, 100
-HOT_ROWS, HOT_PIVOTS, NEAR_NODES = 64, 1_000_000, 1_000_000
+HOT_ROWS, HOT_PIVOTS, NEAR_NODES = 64, 1_000_000, 200_000
 PROBES, SHARED_PROBES = 8, 2
 SMALL, BLOCK, DEPTH, ROUNDS = 64, 256, 8, 2
-CELL = 4096
+CELL = 1024
 
 
 def least_common(n):
@@ -51,13 +52,13 @@ def least_common(n):
 
 
 def windows(docs: DataFrame, hot: Broadcast | None = None) -> DataFrame:
-    """doc_id, n, key (of the set) and the pivots of its window: those not hot, then hot ones."""
+    """The rows' keys with n, key (of the set) and the pivots of its window: those not hot, then hot ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = hot.value if hot is not None else np.zeros(0, np.uint64)
         for batch in batches:
             n, key, cold_, hot_ = [], [], [], []
-            for s in shingle_sets(batch.column(1)):
+            for s in shingle_sets(batch.column(4)):
                 w = len(s) - (-(-LINK * len(s) // OF)) + least_common(len(s))
                 busy = np.zeros(len(s), bool)
                 if len(known) and len(s):
@@ -69,30 +70,38 @@ def windows(docs: DataFrame, hot: Broadcast | None = None) -> DataFrame:
                 cold_.append(cold.view(np.int64))
                 hot_.append(s[busy][: w - len(cold)].view(np.int64))
             lists = [pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in xs])].astype(np.int32), np.concatenate([*xs, np.zeros(0, np.int64)])) for xs in (cold_, hot_)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), *lists], names=["doc_id", "n", "key", "cold", "hot"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(n, pa.int64()), pa.array(key, pa.binary()), *lists], names=["row", *KEY, "n", "key", "cold", "hot"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, key binary, cold array<long>, hot array<long>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), *KEY, F.col("text").cast("string"))
+    return rows.mapInArrow(tidied(run), "row long, __id long, __digest binary, __copy long, n long, key binary, cold array<long>, hot array<long>")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and its set as bytes. nodes: node long, distinct."""
+class Sets:
+    """Where the sets of nodes come from. docs: keyed; names: node and the row's KEY."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, len(batch), 512):
-                part = batch.slice(a, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())], names=["node", "set"])
+    def __init__(self, docs: DataFrame, names: DataFrame):
+        self.docs, self.names = docs, names
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """node and its set as bytes. nodes: node long, distinct."""
 
-    few = nodes.count() <= NEAR_NODES
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
-    return rows.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a in range(0, len(batch), 512):
+                    part = batch.slice(a, 512)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())], names=["node", "set"])
 
+        asked = self.names.join(nodes, "node")
+        if nodes.count() <= NEAR_NODES:
+            asked = F.broadcast(asked)
+        return self.docs.join(asked, KEY).select("node", F.col("text").cast("string")).mapInArrow(tidied(run), "node long, set binary")
 
-def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+
+def compare(source: Sets, pairs: DataFrame) -> DataFrame:
     """a, b, common, n_a, n_b of distinct pairs. A set goes to each block of up to about BLOCK of its partners."""
     pairs = settle(pairs)
     nodes = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = settle(sets_of(docs, nodes))
+    sets = settle(source.of(nodes))
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block"))
     heads = dealt.select("a", "block").distinct().join(sets, F.col("a") == F.col("node")).select("a", "block", F.lit(None).cast("long").alias("b"), "set")
@@ -112,8 +121,10 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 out.append((a, int(b), common, len(own), len(s)))
             yield pd.DataFrame(out, columns=["a", "b", "common", "n_a", "n_b"])
 
-    rows = heads.unionByName(others).repartition(slots(docs.sparkSession), "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return settle(rows.select("a", "b", "set").mapInPandas(run, "a long, b long, common long, n_a long, n_b long"))
+    rows = heads.unionByName(others).repartition(slots(pairs.sparkSession), "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    out = settle(rows.select("a", "b", "set").mapInPandas(tidied(run), "a long, b long, common long, n_a long, n_b long"))
+    release(pairs, nodes, sets)
+    return out
 
 
 UNION = "(n_a + n_b - common)"
@@ -123,11 +134,11 @@ def linked(compared: DataFrame) -> DataFrame:
     return compared.where(f"{OF} * common >= {LINK} * {UNION}").select("a", "b")
 
 
-def with_own(docs: DataFrame, regions: DataFrame) -> DataFrame:
+def with_own(source: Sets, regions: DataFrame) -> DataFrame:
     """The members of regions with `own`: how many of their shingles no other member of any region has. They are lost
     to every pair, so members with too many of them go, and so do regions that are then within one component. Regions
     of the same members are one."""
-    sets = sets_of(docs, settle(regions.select("node").distinct()))
+    sets = source.of(settle(regions.select("node").distinct()))
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +146,7 @@ def with_own(docs: DataFrame, regions: DataFrame) -> DataFrame:
             node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(v) for v in values])
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([*values, np.zeros(0, np.int64)]))], names=["node", "s"])
 
-    alone = sets.mapInArrow(numbers, "node long, s long").groupBy("s").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("c")).where("c = 1")
+    alone = sets.mapInArrow(tidied(numbers), "node long, s long").groupBy("s").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("c")).where("c = 1")
     own = settle(alone.groupBy("node").agg(F.count(F.lit(1)).alias("own")))
     left = regions.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(f"{OF} * (n - own) >= {LINK} * n")
     left = settle(mixed_only(left).drop("size"))
@@ -177,7 +188,7 @@ def cold_pairs(members: DataFrame) -> DataFrame:
         yield emit(*held)
 
     rows = members.repartition(slots(members.sparkSession), "s").sortWithinPartitions("s")
-    return rows.select("s", "node", "comp", "n").mapInArrow(run, "region long, a long, b long, comp long, n long")
+    return rows.select("s", "node", "comp", "n").mapInArrow(tidied(run), "region long, a long, b long, comp long, n long")
 
 
 def mixed_only(regions: DataFrame) -> DataFrame:
@@ -230,7 +241,7 @@ def cell_pairs(cells: DataFrame) -> DataFrame:
         return pd.DataFrame({c: np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64) for c, v in zip("ab", found, strict=True)})
 
     rows = dealt.repartition(slots(spark), "region", "lo", "hi").sortWithinPartitions("region", "lo", "hi")
-    return rows.select("region", "lo", "hi", "part", "node", "comp", "n", "own", "d1", "d2", "homes").mapInPandas(run, "a long, b long")
+    return rows.select("region", "lo", "hi", "part", "node", "comp", "n", "own", "d1", "d2", "homes").mapInPandas(tidied(run), "a long, b long")
 
 
 def relabel(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -238,9 +249,9 @@ def relabel(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("now")), "comp", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
 
 
-def split_regions(docs: DataFrame, regions: DataFrame) -> DataFrame:
+def split_regions(source: Sets, regions: DataFrame) -> DataFrame:
     """Links across components in large regions (region string, node, comp, n, own), by recursive Voronoi cells."""
-    spark, found = docs.sparkSession, []
+    spark, found = regions.sparkSession, []
     for depth in range(DEPTH + 1):
         regions = settle(mixed_only(regions))
         if regions.isEmpty():
@@ -249,7 +260,7 @@ def split_regions(docs: DataFrame, regions: DataFrame) -> DataFrame:
         pivots = regions.groupBy("region").agg(F.min_by("node", central).alias("p1"), F.max_by("node", F.struct("comp", "node")).alias("p2"))
         placed = regions.join(pivots, "region")
         ask = reduce(DataFrame.unionByName, [placed.where(f"node <> {p}").select(F.col(p).alias("a"), F.col("node").alias("b")) for p in ("p1", "p2")]).distinct()
-        compared = compare(docs, ask)
+        compared = compare(source, ask)
         found.append(linked(compared))
         far = compared.select("a", "b", F.expr(f"coalesce(1 - try_divide(common, {UNION}), 1.0D)").alias("d"))
         for k in ("1", "2"):
@@ -261,41 +272,53 @@ def split_regions(docs: DataFrame, regions: DataFrame) -> DataFrame:
         cells = settle(mixed_only(cells.withColumnRenamed("size", "before")))
         last = (F.col("size") <= SMALL) | ((F.col("size") > 0.9 * F.col("before")) & F.lit(depth + 1 >= ROUNDS)) | F.lit(depth == DEPTH)
         rest = cell_pairs(cells.where(last))
-        found.append(linked(compare(docs, rest)))
+        found.append(linked(compare(source, rest)))
         regions = cells.where(~last).select("region", "node", "comp", "n", "own")
         regions = relabel(regions, components(found[-1].union(regions.select("node", "comp"))))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "a long, b long")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """Of every row its KEY (docs: keyed), n (set size), component_id and whether it stays if one row of each component
+    does: the first by doc_id, then the table's order."""
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     counts = windows(docs).select(F.explode("cold").alias("s")).groupBy("s").count().where(F.col("count") > HOT_ROWS)
     hot = np.sort(np.array([r["s"] for r in counts.orderBy(F.desc("count"), "s").limit(HOT_PIVOTS).toLocalIterator()], np.int64).view(np.uint64))
-    known = settle(windows(docs, spark.sparkContext.broadcast(hot)))
-    classes = settle(known.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node")))
-    members = known.join(classes.withColumnRenamed("node", "doc_id"), ["key", "doc_id"]).select(F.col("doc_id").alias("node"), "n", "cold", "hot").dropDuplicates(["node"])
+    known = settle(windows(docs, spark.sparkContext.broadcast(hot)).withColumn("doc_id", F.when(F.col("__id") != NO_ID, F.col("__id"))))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    classes = settle(known.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), first, F.count(F.lit(1)).alias("rows")))
+    members = known.withColumnRenamed("row", "node").join(classes.select("node"), "node").select("node", *KEY, "n", "cold", "hot")
+    source = Sets(docs, members.select("node", *KEY))
 
     probes = members.select("node", F.least("n", F.lit(SHARED_PROBES)).alias("need"), F.explode(F.slice(F.concat("cold", "hot"), 1, PROBES)).alias("s"))
     heads = probes.groupBy("s").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    stars = probes.join(heads, "s").where("a < node").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).where("c >= need").select("a", "b")
-    links = linked(compare(docs, stars))
+    stars = join_counted(probes, heads, ["s"], "c").where("a < node").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).where("c >= need").select("a", "b")
+    links = linked(compare(source, stars))
     labels = components(links)
 
     marked = settle(members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     cold = settle(cold_pairs(marked.select(F.explode("cold").alias("s"), "node", "comp", "n")))
     met = cold.where("b >= 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("need")).where("c >= need").select("a", "b")
-    more = linked(compare(docs, met))
+    more = linked(compare(source, met))
     large = cold.where("b < 0").select(F.col("region").cast("string"), F.col("a").alias("node"), "comp", "n")
     busy = marked.select(F.explode("hot").alias("region"), "node", "comp", "n").withColumn("region", F.col("region").cast("string"))
     links = links.unionByName(more)
     final = components(links)
     regions = settle(mixed_only(relabel(large.unionByName(busy), final)).drop("size"))
     if not regions.isEmpty():
-        final = components(links.unionByName(split_regions(docs, with_own(docs, regions))))
-    per_class = classes.join(final, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
-    return known.join(per_class, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+        final = components(links.unionByName(split_regions(source, with_own(source, regions))))
+    release(marked, cold, regions)
+    per_class = classes.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    firsts = per_class.groupBy("comp").agg(F.min("first").alias("least"))
+    found = settle(per_class.join(firsts, "comp").select("key", "least", "rows"))
+    sets = join_counted(known.where("n > 0"), found, ["key"], "rows").select(*KEY, "doc_id", "n", F.col("least.doc_id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("stays"))
+    return sets.unionByName(known.where("n = 0").select(*KEY, "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays")))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return grouped(keyed(docs)).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 ORACLE = r"""

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import bounded_batches, digest_of, join_counted, release, settle, slots, tidied, whole_text
+from pathloom.llm.common import KEY, bounded_batches, join_counted, keyed, release, settle, slots, tidied, whole_text
 from pathloom.llm.edit_distance import MOST, within
 from pathloom.llm.graph import components
 from pathloom.llm.hashing import ODD, ODD2, SPACE, Stretches, mix, text_blocks
@@ -52,7 +52,6 @@ LEVELS = (TAU + 1, 8, 16)
 CAP, BLOCK, NEAR, FEW_LINES = 2048, 1024, 2_000_000, 16
 FEW_ROWS, FEW_PLACES = 100_000, 1_000_000
 PAIRS, VERIFIED = 1 << 20, 1 << 13
-NO_ID = -(1 << 63)
 #: Sixteen classes of characters by their first byte, counted modulo 16 in four bits each; a seventeenth isn't counted.
 CLASS = ((np.arange(256) * 0x9E37 >> 7) & 15).astype(np.uint8)
 CLASS[[10, *range(0x80, 0xC0)]] = 16
@@ -557,21 +556,6 @@ def removals(docs: DataFrame) -> DataFrame:
     return every.select("row", "id", "digest", "copy").join(per_row, "row").drop("row")
 
 
-KEY = ["__id", "__digest", "__copy"]
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key for each row: doc_id, the text's digest and, where rows share both, a number."""
-    base = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__digest": digest_of(whole_text())})
-    again = settle(base.groupBy("__id", "__digest").count().where("count > 1").select("__id", "__digest"))
-    once = base.withColumn("__copy", F.lit(-1).cast("long"))
-    if again.isEmpty():
-        return once
-    few = F.broadcast(again) if again.count() <= FEW_ROWS else again
-    copies = settle(base.join(few, ["__id", "__digest"], "left_semi").withColumn("__copy", F.monotonically_increasing_id()))
-    return once.join(few, ["__id", "__digest"], "left_anti").unionByName(copies)
-
-
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the repeated lines cut from text, n_lines, n_removed and kept_sha256 (names that docs has are left
     out). Texts without repeated lines stay byte for byte."""

@@ -75,6 +75,14 @@ def test_jaccard_join(spark, monkeypatch, hot, small):
     assert all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in got)
 
 
+def test_jaccard_join_tells_rows_apart(spark):
+    x, y = thue_morse(10)
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, a), (None, "nobody else has these words"), (7, x), (8, y), (9, "nobody else has these words"), (None, "alone in the world without id")]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in jaccard_join.join(table(spark, rows)).collect())
+    assert got == sorted([("1", 36, 1), ("1", 36, 1), ("2", 37, 1), ("3", 37, 1), ("None", 36, 1), ("None", 1, 9), ("7", 1, 7), ("8", 1, 8), ("9", 1, 9), ("None", 2, None)], key=lambda r: r[:2])
+
+
 # --- suffix dedup
 
 
@@ -110,6 +118,14 @@ def test_suffix_dedup(spark, monkeypatch, hot):
         assert len(r["kept_text"].encode()) == want[0] - want[1] or "�" in r["kept_text"]
 
 
+def test_suffix_dedup_tells_rows_apart(spark):
+    rng = random.Random(6)
+    one, two, three = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (300, 400, 260))
+    rows = [(None, one), (None, two), (1, one), (5, three), (5, "x" * 150 + three), (5, three[:220])]
+    got = sorted((r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.remove(table(spark, rows)).collect())
+    assert got == sorted((n, gone, left) for n, gone, _, left in suffix_brute([t for _, t in rows]))
+
+
 def test_merged_runs_are_sorted_with_known_prefixes():
     rng = random.Random(1)
     for runs in (1, 2, 3, 7):
