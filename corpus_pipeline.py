@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it leaves, with their columns; the last one returns
 the packed pieces. Stages are written to the shared folder and read again, so a lost executor costs one stage at most.
+
+Defined results: a null text is scored as an empty one, has one empty line and no shingles, and packs as the end id
+alone; rows without a doc_id and rows that share one are documents of their own; of repeated rows one keeps its lines,
+the others go if nothing is left of them; columns that documents do not have in common with the stages pass through
+whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -10,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import jaccard_join, line_dedup, packing, pii, quality_model
-from pathloom.llm.common import settle, table, vocabulary
+from pathloom.llm.common import KEY, keyed, release, settle, table, vocabulary
 
 LEAST_SCORE, END_ID, CAPACITY = 0.3, 2, 4096
-NEAR_IDS = 1_000_000
+NEAR_ROWS = 500_000
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -28,19 +33,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and documents of which nothing is left."""
-    left = line_dedup.dedup(docs)
-    return counted(left.where("n_removed = 0 or text rlike '[^ \\\\t-\\\\r]'").select(docs.columns))
+    own = {c: f"__own_{c}" for c in docs.columns if c in ("n_lines", "n_removed", "kept_sha256")}
+    left = line_dedup.dedup(docs.withColumnsRenamed(own)).where("n_removed = 0 or text rlike '[^ \\\\t-\\\\r]'").drop("n_lines", "n_removed", "kept_sha256")
+    return counted(left.withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of the smallest doc_id."""
-    known = settle(jaccard_join.join(docs))
-    others = known.where("component_id <> doc_id").select("doc_id").distinct()
-    if others.count() <= NEAR_IDS:
-        others = F.broadcast(others)
-    left = docs.join(others, "doc_id", "left_anti").select(docs.columns)
-    again = known.where("n_shingles > 0 and component_id = doc_id").groupBy("doc_id").count().where("count > 1")
-    return left if again.isEmpty() else left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """One document of each group stays: the first by doc_id, then the table's order."""
+    rows = keyed(docs)
+    gone = settle(jaccard_join.grouped(rows).where("not stays").select(KEY))
+    return rows.join(F.broadcast(gone) if gone.count() <= NEAR_ROWS else gone, KEY, "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +63,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = settle(docs)
+            release(before)
     return docs
