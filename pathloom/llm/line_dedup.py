@@ -568,21 +568,18 @@ def dedup(docs: DataFrame) -> DataFrame:
     joined = rows.join(F.broadcast(ours) if few else ours, KEY, "left").select(*docs.columns, "__gone")
     extra = [c for c in ("n_lines", "n_removed", "kept_sha256") if c not in docs.columns]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, cut in zip(batch["text"], batch["__gone"], strict=True):
-                lines = (text or "").split("\n")
-                out = set(cut) if cut is not None else ()
-                kept = "\n".join([x for i, x in enumerate(lines) if i not in out]) if len(out) else text
-                rows.append((kept, len(lines), len(out), hashlib.sha256((kept or "").encode("utf-8", "surrogatepass")).hexdigest()))
-            new = pd.DataFrame(rows, columns=["text", "n_lines", "n_removed", "kept_sha256"], index=batch.index)
-            batch = batch.drop(columns="__gone")
-            batch["text"] = new["text"]
-            for c in extra:
-                batch[c] = new[c]
-            yield batch
+            texts, counts = [], []
+            for text, cut in zip(batch.column("text").to_pylist(), batch.column("__gone").to_pylist(), strict=True):
+                lines, gone = (text or "").split("\n"), set(cut or ())
+                texts.append("\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else text)
+                counts.append((len(lines), len(gone)))
+            made = {"text": pa.array(texts, batch.schema.field("text").type), "n_lines": pa.array([n for n, _ in counts], pa.int64()), "n_removed": pa.array([n for _, n in counts], pa.int64())}
+            made["kept_sha256"] = pa.array([hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).hexdigest() for t in texts], pa.string())
+            out = [made["text"] if c == "text" else batch.column(c) for c in docs.columns] + [made[c] for c in extra]
+            yield pa.RecordBatch.from_arrays(out, names=[*docs.columns, *extra])
 
     types = dict(docs.dtypes) | {"text": "string"}
     schema = ", ".join([f"`{c}` {types[c]}" for c in docs.columns] + [f"{c} {'string' if c == 'kept_sha256' else 'long'}" for c in extra])
-    return joined.mapInPandas(tidied(run), schema)
+    return joined.mapInArrow(tidied(run), schema)

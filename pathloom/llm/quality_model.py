@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,19 +166,18 @@ def score(docs: DataFrame, model: bytes, name: str = "score", columns: list[str]
     kept = docs.columns if columns is None else columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = loaded(shared.value)
         for batch in batches:
-            texts = batch["text"].fillna("").tolist()
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             if vectors is None:
-                p = np.full(len(batch), network)
+                p = np.full(len(texts), network)
             else:
                 p = np.concatenate([network.probability(vectors.pooled(texts[a : a + 512])) for a in range(0, len(texts), 512)] or [np.zeros(0)])
-            out = batch[kept].copy()
-            out[name] = p
-            yield out if least is None else out[p >= least]
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(p, pa.float64())], names=[*kept, name])
+            yield out if least is None else out.filter(pa.array(p >= least))
 
     bounded_batches(docs.sparkSession)
     types = dict(docs.dtypes)
     source = docs.select(*dict.fromkeys([*kept, "text"]))
-    return source.mapInPandas(tidied(run), ", ".join(f"`{c}` {types[c]}" for c in kept) + f", `{name}` double")
+    return source.mapInArrow(tidied(run), ", ".join(f"`{c}` {types[c]}" for c in kept) + f", `{name}` double")
