@@ -51,10 +51,13 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def release(*frames: DataFrame) -> None:
-    """Delete settled tables that nothing reads any more."""
+    """Delete settled tables that nothing reads any more. Shuffle files go when the driver's JVM finds that no frame
+    holds them, so it is asked to look."""
     for f in frames:
         if path := getattr(f, "settled_at", None):
             remove_path(f.sparkSession, path)
+    if frames:
+        frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def clear_work(spark: SparkSession) -> None:

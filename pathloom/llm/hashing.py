@@ -35,9 +35,11 @@ class Stretches:
         for phase in range(min(8, n + 1)):
             own = self.raw[phase::8]
             own[:] = np.frombuffer(padded.data, "<u8", len(own), phase)
-        self.levels = [mix(self.raw)]
+        self.levels: list[np.ndarray] = []
 
     def level(self, k: int) -> np.ndarray:
+        if not self.levels:
+            self.levels.append(mix(self.raw))
         while len(self.levels) <= k:
             last, step = self.levels[-1], 8 << len(self.levels) - 1
             self.levels.append(mix(last[:-step] + ODD * last[step:]) if len(last) > step else last[:0])
@@ -98,3 +100,10 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     end = word.copy()
     end[:-1] &= ~word[1:] | edge[1:-1]
     return np.flatnonzero(begin), np.flatnonzero(end) + 1
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pathloom.llm.common import KEY, bounded_batches, join_counted, keyed, release, settle, slots, tidied, whole_text
 from pathloom.llm.edit_distance import MOST, within
 from pathloom.llm.graph import components
-from pathloom.llm.hashing import ODD, ODD2, SPACE, Stretches, mix, text_blocks
+from pathloom.llm.hashing import ODD, ODD2, SPACE, Stretches, among, mix, text_blocks
 
 TAU, LEAST_NEAR = 2, 16
 #: Characters of the shortest long line, bytes of its segments (doubled with the length), characters for each edit.
@@ -118,13 +118,16 @@ class Lines:
         return np.frombuffer(b"".join([hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(self.start[lines].tolist(), self.end[lines].tolist(), strict=True)]), "<i8").reshape(-1, 2)
 
     def count_chars(self) -> None:
-        begins = (self.data & 0xC0) != 0x80
-        self.before = np.concatenate([[0], np.cumsum(begins, dtype=np.int32)]).astype(np.int64)
-        self.head = self.before[self.start]
+        self.before = np.concatenate([np.zeros(1, np.int32), np.cumsum((self.data & 0xC0) != 0x80, dtype=np.int32)])
+        self.head = self.before[self.start].astype(np.int64)
         self.chars = self.before[self.end] - self.head
-        self.points = np.r_[np.flatnonzero(begins), len(self.data)]
         self.near = self.counts & (self.chars >= LEAST_NEAR)
 
+    def alone(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of these lines one after another, and where each begins and the last one ends."""
+        size = self.size[lines]
+        return self.data[np.arange(size.sum()) + np.repeat(self.start[lines] - np.cumsum(size) + size, size)], np.r_[0, np.cumsum(size)]
+
     def bags(self) -> np.ndarray:
         """Each line's characters by class: an edit moves two counts at most."""
         line = np.repeat(np.arange(len(self.start), dtype=np.int32) * 17, np.diff(np.r_[self.start, len(self.data)]))
@@ -133,7 +136,10 @@ class Lines:
 
     def entries(self, lines: np.ndarray, segments: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(key, line, 0 for an index entry or 1) for the layouts of so many segments."""
-        text, head, chars = Stretches(self.data), self.head[lines], self.chars[lines]
+        data, offsets = self.alone(lines)
+        begins = (data & 0xC0) != 0x80
+        points, head = np.r_[np.flatnonzero(begins), len(data)], np.r_[0, np.cumsum(begins)][offsets[:-1]]
+        text, chars = Stretches(data), self.chars[lines]
         for number, (dirty, moves) in enumerate(layouts(segments)):
             clean = [k for k in range(segments) if k not in dirty]
             for delta, shift in [(0, None), *moves]:
@@ -145,29 +151,29 @@ class Lines:
                     move = shift[k] if shift else 0
                     good &= (a + move >= 0) & (b + move <= chars)
                     a, b = np.clip(a + move, 0, chars), np.clip(b + move, 0, chars)
-                    key = mix(key) + text.hashes(self.points[head + a], self.points[head + np.maximum(a, b)])
+                    key = mix(key) + text.hashes(points[head + a], points[head + np.maximum(a, b)])
                 yield mix(key)[good], lines[good], np.full(int(good.sum()), int(shift is not None))
 
     def anchors(self, lines: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(key, line, place in the line in characters) of the anchors of long lines, each key once a line. A line that
         the edits can shorten into the class below has that class's anchors too."""
         raw, chars = Stretches(self.data).raw, self.chars[lines]
+        sums = [raw[:-8] * ODD + raw[8:] * ODD2] if len(raw) > 24 else [raw[:0]]
+        sums.append(sums[0][:-8] + raw[16:] * np.uint64(0xA0761D6478BD642F) if len(raw) > 24 else raw[:0])
         own, least = class_of(chars), LONG << class_of(chars)
         below = (own > 0) & (chars - most_edits(least - 1) < least)
         for k in np.unique(own).tolist():
-            yield from self.anchors_of(raw, lines[own == k], k)
-            yield from self.anchors_of(raw, lines[below & (own == k)], k - 1)
+            yield from self.anchors_of(sums[min(k, 1)], lines[own == k], k)
+            yield from self.anchors_of(sums[min(k - 1, 1)], lines[below & (own == k)], k - 1)
 
-    def anchors_of(self, raw: np.ndarray, lines: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def anchors_of(self, sums: np.ndarray, lines: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         if not len(lines):
             return
         stretch, gram = STRETCH << k, 24 if k else 16
         size = self.size[lines]
         at = np.arange(size.sum()) + np.repeat(self.start[lines] - np.cumsum(size) + size, size)
-        key = raw[at] * ODD + raw[np.minimum(at + 8, len(raw) - 1)] * ODD2
-        if gram > 16:
-            key += raw[np.minimum(at + 16, len(raw) - 1)] * np.uint64(0xA0761D6478BD642F)
-        key = mix(key + np.uint64(k))
+        at_most = len(sums) - 1
+        key = sums[np.minimum(at, at_most)]
         value = np.maximum((key >> np.uint64(32)).astype(np.uint32), np.uint32(1))
         width = stretch - gram + 1
         first = sliding(value, width, np.minimum)
@@ -175,7 +181,7 @@ class Lines:
         first = np.where(at[: len(first)] + stretch <= last, first, 0)  # no stretch crosses a line's end
         most = sliding(np.concatenate([np.zeros(width - 1, np.uint32), first, np.zeros(width - 1, np.uint32)]), width, np.maximum)
         chosen = np.flatnonzero(value == most)
-        line, key, at = np.repeat(lines, size)[chosen], key[chosen], at[chosen]
+        line, key, at = np.repeat(lines, size)[chosen], mix(key[chosen] + np.uint64(k)), at[chosen]
         order = np.lexsort((key, line))
         at, line, key = at[order], line[order], key[order]
         new = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (key[1:] != key[:-1])]) if len(at) else np.zeros(0, np.int64)
@@ -205,11 +211,11 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return numbered.mapInArrow(tidied(run), "id long, digest binary, copy long, row long, h1 array<long>, h2 array<long>, place array<long>")
 
 
-def entry_runs(docs: DataFrame, segments: int, among: np.ndarray | None, long: bool) -> DataFrame:
+def entry_runs(docs: DataFrame, segments: int, only: np.ndarray | None, long: bool) -> DataFrame:
     """part, kind (1: segments, 2: anchors), n, m, run: keys (the half that part does not hold), lines and places of n
-    entries, then names, lengths and bags of their m lines. among: only these lines."""
+    entries, then names, lengths and bags of their m lines. only: no others than these lines."""
     parts = 2 * slots(docs.sparkSession)
-    shared = None if among is None else docs.sparkSession.sparkContext.broadcast(among)
+    shared = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
 
     def packed(kind: int, key: np.ndarray, line: np.ndarray, place: np.ndarray, name: np.ndarray, chars: np.ndarray, bag: np.ndarray) -> Iterator[tuple[int, int, int, int, bytes]]:
         part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
@@ -230,7 +236,7 @@ def entry_runs(docs: DataFrame, segments: int, among: np.ndarray | None, long: b
                 name = lines.names(near)[:, 0]
                 take = np.unique(name, return_index=True)[1]
                 if shared is not None:
-                    take = take[np.isin(name[take], shared.value)]
+                    take = take[among(name[take], shared.value)]
                 near, name = near[take], name[take]
                 to = np.zeros(len(lines.start), np.int64)
                 to[near] = np.arange(len(near)) + seen
@@ -385,13 +391,13 @@ def cross_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     own = members.join(sizes, ["kind", "key"]).join(lines.join(homes, "a"), "a").withColumns({"region": F.xxhash64("kind", "key"), "part": F.pmod(F.xxhash64("a"), "parts").cast("int")})
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
 
-    def small_pairs(g: pd.DataFrame, v: dict[str, np.ndarray], starts: np.ndarray, counts: np.ndarray, classes: Classes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def small_pairs(g: pd.DataFrame, v: dict[str, np.ndarray], starts: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The pairs of groups of up to FEW_LINES lines."""
         keep = np.flatnonzero(np.repeat(counts <= FEW_LINES, counts))
         left = (np.repeat(starts + counts, counts) - np.arange(counts.sum()) - 1)[keep]
         x = np.repeat(keep, left)
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(left) - left, left)
-        good = open_pairs(v, x, y, classes.of(v["comp"]))
+        good = open_pairs(v, x, y)
         sets: dict[int, set[int]] = {}
         homes = g["homes"].array
         pairs = []
@@ -404,13 +410,13 @@ def cross_links(docs: DataFrame, members: DataFrame) -> DataFrame:
         if pairs:
             yield tuple(np.array(pairs).T)
 
-    def open_pairs(v: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    def open_pairs(v: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
         most = most_edits(np.minimum(v["size"][x], v["size"][y]))
-        good = (comp[x] != comp[y]) & (np.abs(v["size"][x] - v["size"][y]) <= most) & ((v["lo"][x] == v["hi"][x]) | (v["part"][x] != v["part"][y]))
+        good = (v["now"][x] != v["now"][y]) & (np.abs(v["size"][x] - v["size"][y]) <= most) & ((v["lo"][x] == v["hi"][x]) | (v["part"][x] != v["part"][y]))
         at = np.flatnonzero(good)
         return at[alike(v["bag"][x[at]], v["bag"][y[at]], most[at])]
 
-    def large_pairs(g: pd.DataFrame, v: dict[str, np.ndarray], a: int, b: int, classes: Classes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def large_pairs(g: pd.DataFrame, v: dict[str, np.ndarray], a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The pairs of a group in rows a to b."""
         region, homes = v["region"][a], [h[h < v["region"][a]] for h in g["homes"].array[a:b]]
         names, to = np.unique(np.concatenate(homes), return_inverse=True)
@@ -422,7 +428,7 @@ def cross_links(docs: DataFrame, members: DataFrame) -> DataFrame:
             own = np.arange(i, min(i + step, b))
             x, y = np.repeat(own, b - a), np.tile(np.arange(a, b), len(own))
             x, y = x[x < y], y[x < y]
-            good = open_pairs(v, x, y, classes.of(v["comp"]))
+            good = open_pairs(v, x, y)
             x, y = x[good], y[good]
             new = ~(bits[x - a] & bits[y - a]).any(axis=1)
             yield x[new], y[new]
@@ -431,19 +437,21 @@ def cross_links(docs: DataFrame, members: DataFrame) -> DataFrame:
         v = {c: g[c].to_numpy(np.int64) for c in ("region", "lo", "hi", "part", "a", "comp", "bag", "size")}
         starts = np.flatnonzero(np.r_[True, np.logical_or.reduce([v[c][1:] != v[c][:-1] for c in ("region", "lo", "hi")])])
         counts, texts = np.diff(np.r_[starts, len(g)]), g["text"].tolist()
-        groups = [small_pairs(g, v, starts, counts, classes), *(large_pairs(g, v, i, i + n, classes) for i, n in zip(starts.tolist(), counts.tolist(), strict=True) if n > FEW_LINES)]
+        v["now"] = classes.of(v["comp"])
+        groups = [small_pairs(g, v, starts, counts), *(large_pairs(g, v, i, i + n) for i, n in zip(starts.tolist(), counts.tolist(), strict=True) if n > FEW_LINES)]
         waiting = []
 
         def verify() -> pd.DataFrame:
             x, y = (np.concatenate(z) for z in zip(*waiting, strict=True))
             waiting.clear()
-            comp = classes.of(v["comp"])
-            x, y = x[comp[x] != comp[y]], y[comp[x] != comp[y]]
+            still = v["now"][x] != v["now"][y]
+            x, y = x[still], y[still]
             near = within([texts[i] for i in x.tolist()], [texts[j] for j in y.tolist()], most_edits)
             x, y = x[near], y[near]
             for i, j in zip(v["comp"][x].tolist(), v["comp"][y].tolist(), strict=True):
                 i, j = classes.find(i), classes.find(j)
                 classes.parent[max(i, j)] = min(i, j)
+            v["now"] = classes.of(v["comp"])
             return pd.DataFrame({"a": v["a"][x], "b": v["a"][y]})
 
         for group in groups:
@@ -484,7 +492,7 @@ def texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
                 take = np.flatnonzero(lines.counts & (lines.size >= LEAST_NEAR))
                 h1, raw = lines.names(take)[:, 0], lines.data.tobytes()
                 if few:
-                    own = np.isin(h1, shared.value)
+                    own = among(h1, shared.value)
                     take, h1 = take[own], h1[own]
                 first = np.unique(h1, return_index=True)[1]
                 take, h1 = take[first], h1[first]
@@ -520,9 +528,9 @@ def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_links(docs: DataFrame) -> DataFrame:
     """a, b (names) of distinct lines within the edits allowed, enough of them for the classes."""
-    every, among = docs.sparkSession.createDataFrame([], "a long, b long"), None
+    every, only = docs.sparkSession.createDataFrame([], "a long, b long"), None
     for level, segments in enumerate(LEVELS):
-        found = settle(stars(entry_runs(docs, segments, among, long=level == 0)))
+        found = settle(stars(entry_runs(docs, segments, only, long=level == 0)))
         tested = settle(found.where("kind = 0").select("a", "b").distinct())
         every = every.unionByName(verified(docs, tested))
         members, dense = found.where("kind > 0").drop("b"), None
@@ -538,7 +546,7 @@ def near_links(docs: DataFrame) -> DataFrame:
             every = every.unionByName(cross_links(docs, mixed))
         if dense is None or dense.isEmpty():
             break
-        among = np.sort(np.array([r[0] for r in dense.toLocalIterator()], np.int64)) if dense.count() <= NEAR else None
+        only = np.sort(np.array([r[0] for r in dense.toLocalIterator()], np.int64)) if dense.count() <= NEAR else None
     return every
 
 
