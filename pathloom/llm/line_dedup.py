@@ -574,7 +574,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     ours = gone.select(*(F.col(c.removeprefix("__")).alias(c) for c in KEY), F.col("gone").alias("__gone"))
     few = size["n"] <= FEW_ROWS and (size["m"] or 0) <= FEW_PLACES
     joined = rows.join(F.broadcast(ours) if few else ours, KEY, "left").select(*docs.columns, "__gone")
-    extra = [c for c in ("n_lines", "n_removed", "kept_sha256") if c not in docs.columns]
+    columns = docs.columns
+    extra = [c for c in ("n_lines", "n_removed", "kept_sha256") if c not in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -585,8 +586,8 @@ def dedup(docs: DataFrame) -> DataFrame:
                 counts.append((len(lines), len(gone)))
             made = {"text": pa.array(texts, batch.schema.field("text").type), "n_lines": pa.array([n for n, _ in counts], pa.int64()), "n_removed": pa.array([n for _, n in counts], pa.int64())}
             made["kept_sha256"] = pa.array([hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).hexdigest() for t in texts], pa.string())
-            out = [made["text"] if c == "text" else batch.column(c) for c in docs.columns] + [made[c] for c in extra]
-            yield pa.RecordBatch.from_arrays(out, names=[*docs.columns, *extra])
+            out = [made["text"] if c == "text" else batch.column(c) for c in columns] + [made[c] for c in extra]
+            yield pa.RecordBatch.from_arrays(out, names=[*columns, *extra])
 
     types = dict(docs.dtypes) | {"text": "string"}
     schema = ", ".join([f"`{c}` {types[c]}" for c in docs.columns] + [f"{c} {'string' if c == 'kept_sha256' else 'long'}" for c in extra])
