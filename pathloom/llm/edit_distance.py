@@ -8,6 +8,8 @@ import numpy as np
 
 #: A band of 2 * MOST + 1 diagonals fits a 64-bit word.
 MOST = 31
+#: Pairs are compared together under the next of these; a wider band than a pair needs gives the same answer.
+BANDS = [2, 5, 10, 18, MOST]
 CELLS = 1 << 20
 OUTSIDE_A, OUTSIDE_B = -1, -2
 
@@ -35,20 +37,21 @@ def within(a: list[bytes], b: list[bytes], most_of: Callable[[np.ndarray], np.nd
     flat_b, off_b = points(b)
     start_a, start_b, n, m = off_a[:-1], off_b[:-1], np.diff(off_a), np.diff(off_b)
     out, most = np.zeros(len(n), bool), most_of(np.minimum(n, m))
-    order = np.lexsort((np.maximum(n, m), most))
+    bands = np.array(BANDS)[np.searchsorted(BANDS, most)]
+    order = np.lexsort((np.maximum(n, m), bands))
     i = 0
     while i < len(order):
-        tau, j, width = int(most[order[i]]), i, 1
-        while j < len(order) and most[order[j]] == tau and (j == i or (j - i + 1) * max(width, n[order[j]], m[order[j]]) <= CELLS):
+        tau, j, width = int(bands[order[i]]), i, 1
+        while j < len(order) and bands[order[j]] == tau and (j == i or (j - i + 1) * max(width, n[order[j]], m[order[j]]) <= CELLS):
             width = max(width, n[order[j]], m[order[j]])
             j += 1
         own = order[i:j]
-        out[own] = _same_most(flat_a, start_a[own], n[own], flat_b, start_b[own], m[own], tau)
+        out[own] = _same_band(flat_a, start_a[own], n[own], flat_b, start_b[own], m[own], most[own], tau)
         i = j
     return out
 
 
-def _same_most(flat_a, start_a, n, flat_b, start_b, m, tau) -> np.ndarray:
+def _same_band(flat_a, start_a, n, flat_b, start_b, m, most, tau) -> np.ndarray:
     """Common beginnings and ends are taken off first: they don't change the distance."""
     width, least = int(max(n.max(), m.max())), np.minimum(n, m)
     differ = rows_of(flat_a, start_a, n, width + 1, OUTSIDE_A) != rows_of(flat_b, start_b, m, width + 1, OUTSIDE_B)
@@ -59,13 +62,13 @@ def _same_most(flat_a, start_a, n, flat_b, start_b, m, tau) -> np.ndarray:
     ends = np.where(inside, flat_a[np.maximum(start_a[:, None] + n[:, None] - back, 0)] != flat_b[np.maximum(start_b[:, None] + m[:, None] - back, 0)], True) if len(flat_a) and len(flat_b) else np.ones((len(n), 1), bool)
     tail = ends.argmax(axis=1)
     n, m = left - tail, right - tail
-    out, fits = np.maximum(n, m) <= tau, np.abs(n - m) <= tau
+    out, fits = np.maximum(n, m) <= most, np.abs(n - m) <= most
     for i in np.flatnonzero(~out & fits & (np.minimum(n, m) <= tau)).tolist():  # shorter than the band is wide
         x, y = start_a[i] + head[i], start_b[i] + head[i]
-        out[i] = by_rows(flat_a[x : x + n[i]].tolist(), flat_b[y : y + m[i]].tolist()) <= tau
+        out[i] = by_rows(flat_a[x : x + n[i]].tolist(), flat_b[y : y + m[i]].tolist()) <= most[i]
     open_ = np.flatnonzero(~out & fits & (np.minimum(n, m) > tau))
     if len(open_):
-        out[open_] = _banded(flat_a, (start_a + head)[open_], n[open_], flat_b, (start_b + head)[open_], m[open_], tau)
+        out[open_] = _banded(flat_a, (start_a + head)[open_], n[open_], flat_b, (start_b + head)[open_], m[open_], most[open_], tau)
     return out
 
 
@@ -78,8 +81,9 @@ def by_rows(a: list[int], b: list[int]) -> int:
     return row[-1]
 
 
-def _banded(flat_a, start_a, n, flat_b, start_b, m, tau) -> np.ndarray:
-    """Both sides have over tau characters. Bit k of a word is row j - tau + k of column j."""
+def _banded(flat_a, start_a, n, flat_b, start_b, m, most, tau) -> np.ndarray:
+    """Both sides have over tau characters. Bit k of a word is row j - tau + k of column j; score is the value on the
+    band's lowest diagonal, then, where that has left the table, along the last row."""
     one, band = np.uint64(1), 2 * tau + 1
     full, top = np.uint64((1 << band) - 1), np.uint64(1 << band - 1)
     columns = rows_of(flat_b, start_b, m, int(m.max()), OUTSIDE_B)
@@ -89,25 +93,31 @@ def _banded(flat_a, start_a, n, flat_b, start_b, m, tau) -> np.ndarray:
     out, live = np.zeros(count, bool), np.arange(count)
     rising = np.full(count, full ^ np.uint64((1 << tau) - 1), np.uint64)
     falling, score, edge = np.zeros(count, np.uint64), np.full(count, tau, np.int64), np.full(count, top >> one, np.uint64)
+    limit, packed = tau + most + np.maximum(0, m - n), np.zeros((count, 8), np.uint8)
+    inside = int(min(n.min() - tau, m.min() - 1))  # so long all pairs are within the table
     for j in range(int(m.max())):
-        packed = np.zeros((len(live), 8), np.uint8)
         bits = np.packbits(padded[:, j : j + band] == columns[:, j : j + 1], axis=1, bitorder="little")
         packed[:, : bits.shape[1]] = bits
         hits = packed.view(np.uint64)[:, 0]
         same = (((hits & rising) + rising) ^ rising | hits | falling) & full
         up, down = falling | full & ~(same | rising), same & rising
-        inner = j < n - tau
-        score += np.where(inner, (same & top) == 0, ((up & edge) != 0).astype(np.int64) - ((down & edge) != 0))
-        edge = np.where(inner, edge, edge >> one)
         rising, falling = down | full & ~(same >> one | up), same >> one & up
-        ended = j == m - 1
-        if ended.any():
-            out[live[ended]] = score[ended] <= tau
-        if ended.any() or j % 16 == 15:
-            stay = ~ended & (score <= 2 * tau + np.maximum(0, m - n))
-            if not stay.all():
-                live, n, m, padded, columns = live[stay], n[stay], m[stay], padded[stay], columns[stay]
-                rising, falling, score, edge = rising[stay], falling[stay], score[stay], edge[stay]
-                if not len(live):
-                    break
+        if j < inside:
+            score += (same & top) == 0
+            if j % 16 != 15:
+                continue
+            stay = score <= limit
+        else:
+            inner = j < n - tau
+            score += np.where(inner, (same & top) == 0, ((up & edge) != 0).astype(np.int64) - ((down & edge) != 0))
+            edge = np.where(inner, edge, edge >> one)
+            ended = j == m - 1
+            out[live[ended]] = score[ended] <= most[ended]
+            stay = ~ended & (score <= limit)
+        if not stay.all():
+            if not stay.any():
+                break
+            live, n, m, most, limit, padded, columns, packed = live[stay], n[stay], m[stay], most[stay], limit[stay], padded[stay], columns[stay], packed[stay]
+            rising, falling, score, edge = rising[stay], falling[stay], score[stay], edge[stay]
+            inside = int(min(n.min() - tau, m.min() - 1))
     return out

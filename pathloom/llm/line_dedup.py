@@ -50,8 +50,8 @@ LONG, STRETCH, SHARE = 120, 40, 20
 ANYWHERE = 0xFFFF
 LEVELS = (TAU + 1, 8, 16)
 CAP, BLOCK, NEAR, FEW_LINES = 2048, 1024, 2_000_000, 16
-FEW_ROWS, FEW_PLACES = 100_000, 1_000_000
-PAIRS, VERIFIED = 1 << 20, 1 << 13
+FEW_ROWS, FEW_PLACES = 300_000, 2_000_000
+PAIRS, VERIFIED = 1 << 20, 1 << 15
 #: Sixteen classes of characters by their first byte, counted modulo 16 in four bits each; a seventeenth isn't counted.
 CLASS = ((np.arange(256) * 0x9E37 >> 7) & 15).astype(np.uint8)
 CLASS[[10, *range(0x80, 0xC0)]] = 16
