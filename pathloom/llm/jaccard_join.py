@@ -4,7 +4,8 @@
 2. Single shingles are pivots: a set's distance to a pivot it holds is less than 1, to any other it is 1, and pivots
    are ordered, so that a set's first pivot is its region. By the triangle inequality a set within EPSILON of it has
    one of the set's first `window` pivots in common with it, so each set is copied to the regions of that window.
-   Pivots that more than HOT_ROWS sets share come last in the order: any order gives the same links.
+   Pivots that more than HOT_ROWS sets, and one row in HOT_SHARE, have come last in the order: any order gives the
+   same links.
 3. Each region's smallest class is compared to the region's other members (over the first PROBES pivots of each
    window); the links found give components. After that only pairs across components matter: two sets of one
    component need no comparison, so a dense group of n costs about n comparisons.
@@ -40,7 +41,7 @@ from pathloom.llm.graph import components
 from pathloom.llm.shingles import shingle_sets
 
 EPSILON, LINK, OF = 0.2, 80, 100
-HOT_ROWS, HOT_PIVOTS, NEAR_NODES = 64, 1_000_000, 200_000
+HOT_ROWS, HOT_SHARE, HOT_PIVOTS, NEAR_NODES = 64, 800, 1_000_000, 200_000
 PROBES, SHARED_PROBES = 8, 2
 SMALL, BLOCK, DEPTH, ROUNDS = 64, 256, 8, 2
 CELL = 1024
@@ -283,18 +284,19 @@ def grouped(docs: DataFrame) -> DataFrame:
     does: the first by doc_id, then the table's order."""
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
-    counts = windows(docs).select(F.explode("cold").alias("s")).groupBy("s").count().where(F.col("count") > HOT_ROWS)
+    counts = windows(docs).select(F.explode("cold").alias("s")).groupBy("s").count().where(F.col("count") > max(HOT_ROWS, docs.count() // HOT_SHARE))
     hot = np.sort(np.array([r["s"] for r in counts.orderBy(F.desc("count"), "s").limit(HOT_PIVOTS).toLocalIterator()], np.int64).view(np.uint64))
     known = settle(windows(docs, spark.sparkContext.broadcast(hot)).withColumn("doc_id", F.when(F.col("__id") != NO_ID, F.col("__id"))))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
     classes = settle(known.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), first, F.count(F.lit(1)).alias("rows")))
-    members = known.withColumnRenamed("row", "node").join(classes.select("node"), "node").select("node", *KEY, "n", "cold", "hot")
+    members = settle(known.withColumnRenamed("row", "node").join(classes.select("node"), "node").select("node", *KEY, "n", "cold", "hot"))
     source = Sets(docs, members.select("node", *KEY))
 
-    probes = members.select("node", F.least("n", F.lit(SHARED_PROBES)).alias("need"), F.explode(F.slice(F.concat("cold", "hot"), 1, PROBES)).alias("s"))
-    heads = probes.groupBy("s").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    probes = settle(members.select("node", F.least("n", F.lit(SHARED_PROBES)).alias("need"), F.explode(F.slice(F.concat("cold", "hot"), 1, PROBES)).alias("s")))
+    heads = settle(probes.groupBy("s").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1"))
     stars = join_counted(probes, heads, ["s"], "c").where("a < node").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).where("c >= need").select("a", "b")
     links = linked(compare(source, stars))
+    release(probes, heads)
     labels = components(links)
 
     marked = settle(members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
@@ -308,7 +310,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     regions = settle(mixed_only(relabel(large.unionByName(busy), final)).drop("size"))
     if not regions.isEmpty():
         final = components(links.unionByName(split_regions(source, with_own(source, regions))))
-    release(marked, cold, regions)
+    release(members, marked, cold, regions)
     per_class = classes.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     firsts = per_class.groupBy("comp").agg(F.min("first").alias("least"))
     found = settle(per_class.join(firsts, "comp").select("key", "least", "rows"))
