@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -21,13 +23,9 @@ def dump_state(state: str = "state", marked: str = "marked") -> Column:
     return F.when(~F.coalesce(F.col(state), F.lit("unspecified")).isin(*SERVED), "unknown").when(F.col(marked) == 1, "complete").otherwise("dumping")
 
 
-def classified(archive: Archive, table: str, since: Column | None = None, until: Column | None = None) -> DataFrame:
+def classified(archive: Archive, table: str, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
     """History with `is_dump`: an announcement that is the first of its identity in its session. The time window is
     applied before, so that it means: the first within the window."""
-    rows = archive.distinct(table)
-    if since is not None:
-        rows = rows.where(F.col("ts_collector") >= since)
-    if until is not None:
-        rows = rows.where(F.col("ts_collector") < until)
+    rows = archive.distinct(table, since, until)
     first = F.min(order()).over(W.partitionBy(*IDENTITY[table], "session_id"))
     return rows.withColumn("is_dump", (F.col("is_withdraw") == 0) & (order() == first))

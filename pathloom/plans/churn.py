@@ -18,6 +18,7 @@ from pathloom.schemas import FLAGGED, IDENTITY, ROUTES
 
 MEASURES = ["readvertise", "withdraw", "dump"]
 MOST_BUCKETS = 1500
+BY_TIME = ["ts_collector", "seq", "stream_seq"]
 NARROW = ["router_ip", "peer_ip", "collector_id", "router_sysname", "peer_asn", "seq", "stream_seq", "ts_collector", "is_withdraw", "is_dump"]
 
 
@@ -70,16 +71,14 @@ def churn_by_prefix(archive: Archive, window: Window, top: int = 50) -> DataFram
 def dump_counts(archive: Archive, window: Window) -> DataFrame:
     """Per router: rows archived, those of dumps, and changes."""
     rows = observed(archive, window)
-    return rows.groupBy("router_ip").agg(F.max_by("router_sysname", "ts_collector").alias("sysname"), F.count(F.lit(1)).alias("archived"), F.count_if("is_dump").alias("dumps"), F.count_if(~F.col("is_dump")).alias("changes"))
+    return rows.groupBy("router_ip").agg(F.max_by("router_sysname", F.struct(*BY_TIME)).alias("sysname"), F.count(F.lit(1)).alias("archived"), F.count_if("is_dump").alias("dumps"), F.count_if(~F.col("is_dump")).alias("changes"))
 
 
 def session_counts(archive: Archive, window: Window) -> DataFrame:
     """Per router: sessions, ups and downs as the best observer saw them, view losses summed over observers."""
-    rows = archive["peer_events"].dropDuplicates(["router_ip", "peer_ip", "rib", "ts_router", "stream_seq"])
-    if (c := all_of(window.conditions())) is not None:
-        rows = rows.where(c)
+    rows = archive.scan("peer_events", *window.bounds()).dropDuplicates(["router_ip", "peer_ip", "rib", "ts_router", "stream_seq"])
     kind = F.col("kind")
-    counts = rows.groupBy("router_ip", "collector_id").agg(F.max_by("router_sysname", "ts_collector").alias("sysname"), F.count_distinct("session_id").alias("sessions"), *(F.count_if(kind == k).alias(k) for k in ("up", "down", "view_lost")))
+    counts = rows.groupBy("router_ip", "collector_id").agg(F.max_by("router_sysname", F.struct(*BY_TIME)).alias("sysname"), F.count_distinct("session_id").alias("sessions"), *(F.count_if(kind == k).alias(k) for k in ("up", "down", "view_lost")))
     best = F.max_by(F.struct("sysname", "sessions", "up", "down"), F.struct(F.col("up") + F.col("down"), "collector_id")).alias("_b")
     return counts.groupBy("router_ip").agg(best, F.sum("view_lost").alias("view_lost")).select("router_ip", "_b.*", "view_lost")
 

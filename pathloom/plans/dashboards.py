@@ -20,9 +20,7 @@ ARRIVAL = ("ts_collector", "stream_seq")
 
 def newest_seen(archive: Archive, window: Window, table: str = "route_unicast") -> DataFrame:
     """The newest observation of each route by arrival, whatever its session."""
-    rows = archive.distinct(table)
-    if (c := all_of(window.conditions())) is not None:
-        rows = rows.where(c)
+    rows = archive.distinct(table, *window.bounds())
     columns = ["as_path", "is_withdraw", "next_hop", "med", "local_pref", "session_id", "router_sysname", "ts_collector"]
     return latest(rows, IDENTITY[table], columns, F.struct(*ARRIVAL)).withColumnRenamed("ts_collector", "last_seen")
 
@@ -81,9 +79,7 @@ def looking_glass_summary(archive: Archive, address: str, window: Window = Windo
 def flap_rows(archive: Archive, window: Window = Window()) -> DataFrame:
     """EVPN observations with the next one of the same route (whatever its session): a flap is a withdrawal that an
     announcement follows."""
-    rows = archive.distinct("route_evpn")
-    if (c := all_of(window.conditions())) is not None:
-        rows = rows.where(c)
+    rows = archive.distinct("route_evpn", *window.bounds())
     w = W.partitionBy("collector_id", "router_ip", "peer_ip", "rib", "route_type", "rd", "mac", "ip", "prefix", "ethernet_tag", "path_id").orderBy(*ARRIVAL)
     after, back = F.lead("ts_collector").over(w), F.lead("is_withdraw").over(w)
     shown = rows.withColumns({"next_at": after, "next_withdraw": back, "route": evpn_shown(F.col("route_type")), "type_name": looked_up(F.col("route_type"), {2: "mac-ip", 3: "imet", 5: "ip-prefix"}, "other")})
@@ -114,9 +110,7 @@ def flap_cycles(archive: Archive, window: Window = Window(), top: int = 50) -> D
 
 def vpn_observations(archive: Archive, window: Window = Window()) -> DataFrame:
     """L3VPN history of the observer with the most rows, per (family, rd, prefix, router)."""
-    rows = archive.distinct("route_vpn")
-    if (c := all_of(window.conditions())) is not None:
-        rows = rows.where(c)
+    rows = archive.distinct("route_vpn", *window.bounds())
     entity = ["family", "rd", "prefix", "router_ip"]
     counts = rows.groupBy(*entity, "collector_id").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy(*entity).agg(F.max_by("collector_id", F.struct("n", "collector_id")).alias("collector_id"))

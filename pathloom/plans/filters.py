@@ -25,6 +25,23 @@ def equals(filters: object, names: tuple[str, ...]) -> list[Column]:
     return [F.col(n) == F.lit(v) for n in names if (v := getattr(filters, n, None)) is not None]
 
 
+def same_addresses(filters: object) -> list[Column]:
+    """Router and peer by the address, however either side writes it. Rows without a colon are dotted quads, of which
+    each address has one text, so that comparison reaches the scan."""
+    own = []
+    for n in ("router_ip", "peer_ip"):
+        if (v := getattr(filters, n)) is not None:
+            try:
+                ip = ipaddress.ip_address(v)
+            except ValueError as e:
+                raise BadFilter(f"{n} takes an address: {v!r}") from e
+            ip = getattr(ip, "ipv4_mapped", None) or ip
+            packed = ip.packed if ip.version == 6 else bytes(10) + b"\xff\xff" + ip.packed
+            other = F.col(n).contains(":") & (addresses.key(F.col(n)) == F.lit(packed))
+            own.append((F.col(n) == F.lit(str(ip))) | other if ip.version == 4 else other)
+    return own
+
+
 @dataclass(frozen=True)
 class RouteFilter:
     """None: no condition. `prefix` and `covers` exclude each other; without either and without a wide condition the
@@ -67,7 +84,7 @@ class RouteFilter:
 
     def narrow(self) -> list[Column]:
         """Conditions on what names a route: they may be applied to any observation."""
-        own = equals(self, ("collector_id", "router_ip", "peer_ip", "rib", "family", "prefix", "rd", "route_type", "mac", "ip", "esi"))
+        own = equals(self, ("collector_id", "rib", "family", "prefix", "rd", "route_type", "mac", "ip", "esi")) + same_addresses(self)
         return own + ([addresses.covers(F.col("prefix"), self.covers)] if self.covers is not None else [])
 
     def wide(self) -> list[Column]:
@@ -100,7 +117,7 @@ class LinkStateFilter:
 
     def narrow(self, ends: bool = False) -> list[Column]:
         """`ends`: of links, area, asn and router_id match either end. Area 0 is a value."""
-        own = equals(self, ("collector_id", "router_ip", "peer_ip", "rib", "protocol"))
+        own = equals(self, ("collector_id", "rib", "protocol")) + same_addresses(self)
         for n in ("asn", "area", "router_id"):
             if (v := getattr(self, n)) is not None:
                 own.append((F.col(f"local_{n}") == v) | (F.col(f"remote_{n}") == v) if ends else F.col(n) == v)
@@ -121,5 +138,5 @@ class Window:
         own = [F.col("ts_collector") >= F.lit(self.since)] if self.since is not None else []
         return own + ([F.col("ts_collector") < F.lit(self.until)] if self.until is not None else [])
 
-    def bounds(self) -> tuple[Column | None, Column | None]:
-        return (None if self.since is None else F.lit(self.since)), (None if self.until is None else F.lit(self.until))
+    def bounds(self) -> tuple[datetime | None, datetime | None]:
+        return self.since, self.until

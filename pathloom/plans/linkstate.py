@@ -27,7 +27,7 @@ def node_key(prefix: str = "") -> Column:
 
 
 def newest(archive: Archive, table: str, filters: LinkStateFilter) -> DataFrame:
-    rows = archive[table]
+    rows = archive.newest(table)
     if (c := all_of(filters.narrow(ends=table == "ls_links"))) is not None:
         rows = rows.where(c)
     scoped = rows.join(served(archive), [*PAIR, "peer_ip", "session_id"], "left_semi")

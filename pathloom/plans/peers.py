@@ -21,7 +21,7 @@ EVENT_KEY = ["router_ip", "peer_ip", "rib", "ts_router", "stream_seq"]
 def dump_states(archive: Archive) -> DataFrame:
     """Per observer and session: each family's dump state, as a map."""
     marked = archive["eor_events"].where("family <> 'ls'").select(*OBSERVER, "session_id", "family", F.lit(1).alias("m"))
-    parts = [archive[t].select(*OBSERVER, "session_id", F.col("family") if t != "route_evpn" else F.lit("evpn").alias("family"), F.lit(0).alias("m")) for t in ("route_unicast", "route_vpn", "route_evpn")]
+    parts = [archive.newest(t).select(*OBSERVER, "session_id", F.col("family") if t != "route_evpn" else F.lit("evpn").alias("family"), F.lit(0).alias("m")) for t in ("route_unicast", "route_vpn", "route_evpn")]
     families = reduce(DataFrame.unionByName, [marked, *parts]).groupBy(*OBSERVER, "session_id", "family").agg(F.max("m").alias("m"))
     state = F.struct("family", F.when(F.col("m") == 1, "complete").otherwise("dumping"))
     return families.groupBy(*OBSERVER, "session_id").agg(F.map_from_entries(F.array_sort(F.collect_list(state))).alias("dump_states"))
@@ -29,7 +29,7 @@ def dump_states(archive: Archive) -> DataFrame:
 
 def route_counts(archive: Archive) -> DataFrame:
     """Live unicast routes per observer and session, of served peers only."""
-    rows = archive["route_unicast"].join(served(archive), [*PAIR, "peer_ip", "session_id"], "left_semi")
+    rows = archive.newest("route_unicast").join(served(archive), [*PAIR, "peer_ip", "session_id"], "left_semi")
     newest = latest(rows, [*OBSERVER, "session_id", "prefix", "path_id"], ["is_withdraw"]).where("is_withdraw = 0")
     return newest.groupBy(*OBSERVER, "session_id").agg(F.count(F.lit(1)).alias("routes"))
 

@@ -35,14 +35,18 @@ def live_routes(archive: Archive, table: str, filters: RouteFilter, semi_join: b
     Attribute conditions hold of the newest observation, so they come after the aggregation; with `semi_join` they
     first pick, from raw observations, the keys that can match at all, which spares the aggregation the others."""
     key = IDENTITY[table]
-    rows = archive[table]
+    rows = archive.newest(table)
     if (narrow := all_of(filters.narrow())) is not None:
         rows = rows.where(narrow)
-    scoped = rows.join(served(archive), [*PAIR, "peer_ip", "session_id"], "left_semi")
     wide = all_of(filters.wide())
-    if wide is not None and semi_join:
-        scoped = scoped.join(scoped.where(wide).select(*key).distinct(), key, "left_semi")
-    newest = latest(scoped, [*key, "session_id"], ["is_withdraw", *ATTRIBUTES, *EXTRA[table]]).where("is_withdraw = 0")
+    columns = ["is_withdraw", *ATTRIBUTES, *EXTRA[table]]
+    if table in archive.current:  # a row is the newest of its key already
+        rows = rows.where("is_withdraw = 0") if wide is None else rows.where(F.col("is_withdraw") == 0).where(wide)
+        return rows.join(served(archive), [*PAIR, "peer_ip", "session_id"], "left_semi").select(*key, "session_id", *columns)
+    scoped = rows.join(served(archive), [*PAIR, "peer_ip", "session_id"], "left_semi")
+    if wide is not None and semi_join:  # the candidates need no gate: the rows they pick have it
+        scoped = scoped.join(rows.where(wide).select(*key).distinct(), key, "left_semi")
+    newest = latest(scoped, [*key, "session_id"], columns).where("is_withdraw = 0")
     return newest if wide is None else newest.where(wide)
 
 

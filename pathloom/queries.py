@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.current import newest_state
 from pathloom.functions import addresses, communities
 from pathloom.functions.names import down_reason, evpn_shown, protocol
 from pathloom.operators import session
@@ -102,6 +103,13 @@ def q1_routes_origin_asn(a):
     return route_out(routes.current_routes(a, RouteFilter(origin_asn=ASN)))
 
 
+@question(f"SELECT {ROUTE_OUT} FROM shown WHERE origin_asn = {ASN}", SESSIONS, UNICAST)
+def q1_routes_origin_asn_current(a):
+    """The same from a current table: no aggregation when asked."""
+    a.current["route_unicast"] = newest_state(a["route_unicast"], "route_unicast")
+    return route_out(routes.current_routes(a, RouteFilter(origin_asn=ASN)))
+
+
 @question(f"SELECT {ROUTE_OUT} FROM shown WHERE list_contains(as_path, {THROUGH})", SESSIONS, UNICAST)
 def q1_routes_through_asn(a):
     return route_out(routes.current_routes(a, RouteFilter(through_asn=THROUGH)))
@@ -232,15 +240,15 @@ def q15_count_fleet_events(a):
 # --- collection and churn
 
 
-@question("SELECT router_ip, count(*) AS archived, count(*) FILTER (WHERE is_dump) AS dumps, count(*) FILTER (WHERE NOT is_dump) AS changes FROM obs GROUP BY ALL", observed_sql(LONG))
+@question("SELECT router_ip, last(router_sysname ORDER BY ts_collector, seq) AS sysname, count(*) AS archived, count(*) FILTER (WHERE is_dump) AS dumps, count(*) FILTER (WHERE NOT is_dump) AS changes FROM obs GROUP BY ALL", observed_sql(LONG))
 def q16_dump_counts(a):
-    return churn.dump_counts(a, LONG).drop("sysname")
+    return churn.dump_counts(a, LONG)
 
 
-@question(f"""SELECT router_ip, sessions, up, down, view_lost FROM (SELECT *, row_number() OVER (PARTITION BY router_ip ORDER BY up + down DESC, collector_id DESC) AS n, CAST(sum(vl) OVER (PARTITION BY router_ip) AS BIGINT) AS view_lost
-  FROM (SELECT router_ip, collector_id, count(DISTINCT session_id) AS sessions, count(*) FILTER (WHERE kind = 'up') AS up, count(*) FILTER (WHERE kind = 'down') AS down, count(*) FILTER (WHERE kind = 'view_lost') AS vl FROM peer_events WHERE {window_sql(DAY)} GROUP BY ALL)) WHERE n = 1""")
+@question(f"""SELECT router_ip, sysname, sessions, up, down, view_lost FROM (SELECT *, row_number() OVER (PARTITION BY router_ip ORDER BY up + down DESC, collector_id DESC) AS n, CAST(sum(vl) OVER (PARTITION BY router_ip) AS BIGINT) AS view_lost
+  FROM (SELECT router_ip, collector_id, last(router_sysname ORDER BY ts_collector, seq, stream_seq) AS sysname, count(DISTINCT session_id) AS sessions, count(*) FILTER (WHERE kind = 'up') AS up, count(*) FILTER (WHERE kind = 'down') AS down, count(*) FILTER (WHERE kind = 'view_lost') AS vl FROM peer_events WHERE {window_sql(DAY)} GROUP BY ALL)) WHERE n = 1""")
 def q17_session_counts(a):
-    return churn.session_counts(a, DAY).drop("sysname")
+    return churn.session_counts(a, DAY)
 
 
 @question("""SELECT router_ip, peer_ip, coalesce(reported, 0) AS reported, coalesce(archived, 0) AS archived, coalesce(has_stat, 0) AS has_stat FROM
@@ -507,7 +515,7 @@ def b6_route_targets(a):
     return dashboards.route_target_rollup(a)
 
 
-@question("SELECT count(*) AS routes, count(DISTINCT prefix) AS prefixes, max(16) AS most_specific, count(*) FILTER (WHERE seen.session_id <> sid) AS superseded FROM seen LEFT JOIN (SELECT collector_id, router_ip, max(session_id) AS sid FROM peer_events GROUP BY ALL) USING (collector_id, router_ip) WHERE prefix = '172.21.0.0/16'", SEEN)
+@question("SELECT count(*) AS routes, count(DISTINCT prefix) AS prefixes, max(CAST(string_split(prefix, '/')[2] AS INTEGER)) AS most_specific, count(*) FILTER (WHERE seen.session_id <> sid) AS superseded FROM seen LEFT JOIN (SELECT collector_id, router_ip, max(session_id) AS sid FROM peer_events GROUP BY ALL) USING (collector_id, router_ip) WHERE prefix = '172.21.0.0/16'", SEEN)
 def b7_looking_glass(a):
     return dashboards.looking_glass_summary(a, "172.21.200.9")
 

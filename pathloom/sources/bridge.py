@@ -68,7 +68,7 @@ BRIDGE: dict[str, tuple[str, str, dict[str, str]]] = {
     }),
     "eor_events": ("events", "event_type = 'signup' AND user_id % 4 < 3", _envelope("user_id", "event_id", "ts", _DAY, "{none}") | {"family": "CASE event_id % 4 WHEN 0 THEN 'ipv4u' WHEN 1 THEN 'vpn4' WHEN 2 THEN 'ls' ELSE 'evpn' END"}),
     "route_unicast": ("orders", "true", _envelope("o_custkey", "o_orderkey", "o_orderdate", _ORDER, _ORDER_FLAGS) | {"family": "'ipv4u'", "prefix": _PREFIX, "path_id": "o_orderkey % 2", "is_withdraw": _GONE} | _ATTRIBUTES),
-    "route_vpn": ("orders", "o_orderkey % 3 <> 1", _envelope("o_custkey", "o_orderkey", "o_orderdate", _ORDER, "{none}") | {"family": "'vpn4'", "rd": "'65000:' || CAST(o_custkey % 6 AS STRING)", "prefix": _PREFIX, "path_id": "CAST(0 AS BIGINT)", "is_withdraw": _GONE, "labels": "{arr}(CASE WHEN o_orderkey % 3 = 0 THEN CAST(524288 AS BIGINT) ELSE 16 + o_orderkey % 1000 END)"} | _ATTRIBUTES),
+    "route_vpn": ("orders", "true", _envelope("o_custkey", "o_orderkey", "o_orderdate", _ORDER, "{none}") | {"family": "'vpn4'", "rd": "'65000:' || CAST(o_custkey % 6 AS STRING)", "prefix": _PREFIX, "path_id": "CAST(0 AS BIGINT)", "is_withdraw": _GONE, "labels": "{arr}(CASE WHEN o_orderkey % 3 = 0 THEN CAST(524288 AS BIGINT) ELSE 16 + o_orderkey % 1000 END)"} | _ATTRIBUTES),
     "route_evpn": ("events", "true", _envelope("user_id", "event_id", "ts", _DAY, _EVENT_FLAGS) | {
         "route_type": "CASE user_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 5 END", "rd": "'65000:' || CAST(user_id % 4 AS STRING)",
         "prefix": "CASE WHEN user_id % 3 = 2 THEN '10.9.' || CAST(user_id % 50 AS STRING) || '.0/24' ELSE '' END",

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pathloom.archive import Archive
+from pathloom.current import CurrentTables
 from pathloom.operators.session import PAIR, target_liveness
-from pathloom.streaming.ingest import CURRENT, CurrentTables
+from pathloom.streaming.ingest import CURRENT
 
 KEPT_SESSIONS = 2
 

@@ -9,6 +9,7 @@ from pathloom.archive import Archive
 from pathloom.functions import addresses, communities
 from pathloom.functions.communities import BadFilter
 from pathloom.operators import session
+from pathloom.operators.dumps import classified
 from pathloom.plans import churn, peers, routes, topology
 from pathloom.plans.filters import LinkStateFilter, RouteFilter, Window
 from pathloom.schemas import DDL
@@ -174,3 +175,23 @@ def test_filters_are_checked():
             RouteFilter(**bad)
     with pytest.raises(BadFilter):
         LinkStateFilter(state="x")
+
+
+def test_windows_reach_the_scan_below_deduplication(spark, tmp_path):
+    rows = [{"seq": k, "prefix": f"10.{k % 3}.0.0/16", "is_withdraw": k % 2} for k in range(1, 30)]
+    table(spark, "route_unicast", rows).union(table(spark, "route_unicast", rows)).write.parquet(f"{tmp_path}/r")
+    a = archive(spark, route_unicast=rows)
+    a.tables["route_unicast"] = spark.read.parquet(f"{tmp_path}/r")
+    window = Window(T0 + timedelta(seconds=5), T0 + timedelta(seconds=20))
+    found = classified(a, "route_unicast", *window.bounds())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ts_collector" in plan.split("PushedFilters: ")[1].split("\n")[0] and plan.count("Exchange hashpartitioning") == 1
+    assert found.count() == 15 and found.where("is_dump").count() == len({r["prefix"] for r in rows if 5 <= r["seq"] < 20 and r["is_withdraw"] == 0 and r["seq"] == min(x["seq"] for x in rows if x["prefix"] == r["prefix"] and x["seq"] >= 5)})
+
+
+def test_addresses_are_compared_not_their_texts(spark):
+    a = archive(spark, peer_events=[UP, UP | {"router_ip": "2001:db8::1", "seq": 2}], route_unicast=[{"seq": 3}, {"seq": 4, "router_ip": "2001:db8::1", "prefix": "10.9.0.0/16"}])
+    for text, prefix in (("::ffff:10.0.0.1", "192.0.2.0/24"), ("2001:0DB8:0:0::1", "10.9.0.0/16")):
+        assert [r["prefix"] for r in routes.live_routes(a, "route_unicast", RouteFilter(router_ip=text)).collect()] == [prefix]
+    with pytest.raises(BadFilter):
+        RouteFilter(router_ip="nowhere").narrow()

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.archive import WrongSchema, open_archive
+from pathloom.current import CurrentTables
 from pathloom.sources.generator import envelopes
 from pathloom.streaming import ingest, maintenance
 
@@ -23,8 +24,8 @@ def fed(spark, tmp_path, frames):
 def test_ingest_is_idempotent_and_order_free(spark, tmp_path):
     all_ = envelopes(spark, 60)
     path = fed(spark, tmp_path / "a", [all_.where("seq % 2 = 1"), all_.where("seq % 2 = 0"), all_])
-    current = ingest.CurrentTables(spark, path).read("route_unicast")
-    other = ingest.CurrentTables(spark, fed(spark, tmp_path / "b", [all_])).read("route_unicast")
+    current = CurrentTables(spark, path).read("route_unicast")
+    other = CurrentTables(spark, fed(spark, tmp_path / "b", [all_])).read("route_unicast")
     assert sorted(map(str, current.collect())) == sorted(map(str, other.collect()))
     history = spark.read.parquet(f"{path}/route_unicast")
     assert history.dropDuplicates(["peer_ip", "prefix", "seq"]).count() == 240 and history.count() == 480
@@ -74,5 +75,31 @@ def test_late_envelopes_are_kept_by_default(spark, tmp_path, options, seqs):
     for f in (all_.where("seq % 2 = 1"), all_.where("seq % 2 = 0").withColumn("ts_collector", F.expr("ts_collector - interval 1 day"))):
         f.coalesce(1).write.mode("append").parquet(source)
         ingest.run(spark.readStream.schema(ingest.ENVELOPE_DDL).parquet(source), path, f"{tmp_path}/checkpoint", available_now=True, **options).awaitTermination()
-    for rows in (spark.read.parquet(f"{path}/route_unicast"), ingest.CurrentTables(spark, path).read("route_unicast")):
+    for rows in (spark.read.parquet(f"{path}/route_unicast"), CurrentTables(spark, path).read("route_unicast")):
         assert {r["seq"] for r in rows.select("seq").collect()} == seqs
+
+
+def test_a_crash_before_the_manifest_leaves_the_generation_before(spark, tmp_path):
+    rows = ingest.explode_rows(envelopes(spark, 20))["route_unicast"]
+    tables = CurrentTables(spark, f"{tmp_path}/a")
+    tables.upsert("route_unicast", rows.where("seq < 10"))
+    before = sorted(map(str, tables.read("route_unicast").collect()))
+    held = tables.read("route_unicast")
+    (tmp_path / "a/route_unicast_current/manifest/2").mkdir()  # a manifest whose writer died
+    rows.limit(3).withColumn("bucket", F.lit(1)).write.partitionBy("bucket").parquet(f"{tmp_path}/a/route_unicast_current/data/2")
+    assert tables.generation("route_unicast") == 1 and sorted(map(str, tables.read("route_unicast").collect())) == before
+    tables.upsert("route_unicast", rows)
+    assert tables.generation("route_unicast") == 2 and tables.read("route_unicast").count() == rows.count()
+    assert sorted(map(str, held.collect())) == before  # a reader of the generation before still finds it
+    tables.vacuum("route_unicast", kept=1)
+    assert tables.generations("route_unicast") == [2] and tables.read("route_unicast").count() == rows.count()
+
+
+def test_an_opened_archive_reads_current_tables_and_prunes_months(spark, tmp_path):
+    path = fed(spark, tmp_path, [envelopes(spark, 40)])
+    a = open_archive(spark, path, datetime(2024, 1, 1))
+    assert "route_unicast" in a.current and "month" not in a["route_unicast"].columns
+    plan = a.distinct("route_unicast", datetime(2023, 12, 1), datetime(2024, 1, 2))._jdf.queryExecution().executedPlan().toString()
+    assert "month" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0] and "ts_collector" in plan.split("PushedFilters: ")[1]
+    maintenance.clean_up(spark, path)
+    assert sorted(map(str, open_archive(spark, path, datetime(2024, 1, 1)).current["route_unicast"].collect())) == sorted(map(str, a.current["route_unicast"].collect()))
