@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import settle
+from pathloom.llm.common import release, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,12 +18,18 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
-        to = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")))
+        first = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")))
+        to = first
         for _ in range(2):
             further = to.select(F.col("node").alias("to"), F.col("to").alias("next"))
             to = to.join(further, "to").select("node", F.col("next").alias("to"))
-        to = settle(to)
-        labels = to.withColumnRenamed("to", "comp") if labels is None else settle(labels.join(to.select(F.col("node").alias("comp"), "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+        to, before = settle(to), labels
+        labels = to.withColumnRenamed("to", "comp") if before is None else settle(before.join(to.select(F.col("node").alias("comp"), "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
         a, b = to.select(F.col("node").alias("a"), F.col("to").alias("ta")), to.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        left = settle(left.join(a, "a").join(b, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+        done, left = left, settle(left.join(a, "a").join(b, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+        release(done, first, *(() if before is None else (before, to)))
+        if before is None and not left.isEmpty():
+            kept = to
+            labels = settle(labels)
+            release(kept)
     return labels if labels is not None else edges.sparkSession.createDataFrame([], "node long, comp long")

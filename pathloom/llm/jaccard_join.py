@@ -4,8 +4,7 @@
 2. Single shingles are pivots: a set's distance to a pivot it holds is less than 1, to any other it is 1, and pivots
    are ordered, so that a set's first pivot is its region. By the triangle inequality a set within EPSILON of it has
    one of the set's first `window` pivots in common with it, so each set is copied to the regions of that window.
-   Pivots that more than HOT_ROWS sets, and one row in HOT_SHARE, have come last in the order: any order gives the
-   same links.
+   Pivots that more than HOT_ROWS sets share come last in the order: any order gives the same links.
 3. Each region's smallest class is compared to the region's other members (over the first PROBES pivots of each
    window); the links found give components. After that only pairs across components matter: two sets of one
    component need no comparison, so a dense group of n costs about n comparisons.
@@ -38,10 +37,11 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.common import KEY, NO_ID, bounded_batches, join_counted, keyed, release, settle, slots, tidied
 from pathloom.llm.graph import components
+from pathloom.llm.hashing import among
 from pathloom.llm.shingles import shingle_sets
 
 EPSILON, LINK, OF = 0.2, 80, 100
-HOT_ROWS, HOT_SHARE, HOT_PIVOTS, NEAR_NODES = 64, 800, 1_000_000, 200_000
+HOT_ROWS, HOT_PIVOTS, NEAR_NODES = 64, 1_000_000, 200_000
 PROBES, SHARED_PROBES = 8, 2
 SMALL, BLOCK, DEPTH, ROUNDS = 64, 256, 8, 2
 CELL = 1024
@@ -151,6 +151,7 @@ def with_own(source: Sets, regions: DataFrame) -> DataFrame:
     own = settle(alone.groupBy("node").agg(F.count(F.lit(1)).alias("own")))
     left = regions.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(f"{OF} * (n - own) >= {LINK} * n")
     left = settle(mixed_only(left).drop("size"))
+    release(own)
     same = left.groupBy("region").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64(F.lit("b"), "node").cast("decimal(38,0)")).alias("y"), F.count(F.lit(1)).alias("c"))
     return left.join(same.groupBy("x", "y", "c").agg(F.min("region").alias("region")).select("region"), "region", "left_semi")
 
@@ -245,6 +246,37 @@ def cell_pairs(cells: DataFrame) -> DataFrame:
     return rows.select("region", "lo", "hi", "part", "node", "comp", "n", "own", "d1", "d2", "homes").mapInPandas(tidied(run), "a long, b long")
 
 
+def mixed_hot(nodes: DataFrame) -> DataFrame:
+    """region, node, comp, n of the hot pivots (hot: of each node) that more than one component has. Each task first
+    brings the pivots it sees down to a row each; the few that are left are told to all tasks."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hot, comp = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            s, c = hot.flatten().to_numpy(zero_copy_only=False), np.repeat(comp, hot.value_lengths().to_numpy(zero_copy_only=False))
+            order = np.argsort(s)
+            s, c = s[order], c[order]
+            starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+            lo, hi = (f.reduceat(c, starts) if len(s) else s for f in (np.minimum, np.maximum))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s[starts], lo, hi)], names=["s", "lo", "hi"])
+
+    seen = nodes.select("hot", "comp").mapInArrow(tidied(ends), "s long, lo long, hi long").groupBy("s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    mixed = settle(seen.where("lo <> hi").select("s"))
+    known = nodes.sparkSession.sparkContext.broadcast(np.sort(np.array([r["s"] for r in mixed.toLocalIterator()], np.int64)))  # of at most HOT_PIVOTS
+    release(mixed)
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hot = batch.column(0)
+            own = np.repeat(np.arange(len(batch)), hot.value_lengths().to_numpy(zero_copy_only=False))
+            s = hot.flatten().to_numpy(zero_copy_only=False)
+            keep = among(s, known.value)
+            facts = [pa.array(batch.column(i).to_numpy(zero_copy_only=False)[own[keep]]) for i in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(s[keep]), *facts], names=["region", "node", "comp", "n"])
+
+    return nodes.select("hot", "node", "comp", "n").mapInArrow(tidied(members), "region long, node long, comp long, n long")
+
+
 def relabel(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """comp of every node brought up to date."""
     return rows.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("now")), "comp", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
@@ -254,7 +286,8 @@ def split_regions(source: Sets, regions: DataFrame) -> DataFrame:
     """Links across components in large regions (region string, node, comp, n, own), by recursive Voronoi cells."""
     spark, found = regions.sparkSession, []
     for depth in range(DEPTH + 1):
-        regions = settle(mixed_only(regions))
+        before, regions = regions, settle(mixed_only(regions))
+        release(before)
         if regions.isEmpty():
             break
         central = F.struct("own", F.xxhash64(F.lit(depth), "node"))  # few shingles that others lack
@@ -284,7 +317,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     does: the first by doc_id, then the table's order."""
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
-    counts = windows(docs).select(F.explode("cold").alias("s")).groupBy("s").count().where(F.col("count") > max(HOT_ROWS, docs.count() // HOT_SHARE))
+    counts = windows(docs).select(F.explode("cold").alias("s")).groupBy("s").count().where(F.col("count") > HOT_ROWS)
     hot = np.sort(np.array([r["s"] for r in counts.orderBy(F.desc("count"), "s").limit(HOT_PIVOTS).toLocalIterator()], np.int64).view(np.uint64))
     known = settle(windows(docs, spark.sparkContext.broadcast(hot)).withColumn("doc_id", F.when(F.col("__id") != NO_ID, F.col("__id"))))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
@@ -304,10 +337,10 @@ def grouped(docs: DataFrame) -> DataFrame:
     met = cold.where("b >= 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("need")).where("c >= need").select("a", "b")
     more = linked(compare(source, met))
     large = cold.where("b < 0").select(F.col("region").cast("string"), F.col("a").alias("node"), "comp", "n")
-    busy = marked.select(F.explode("hot").alias("region"), "node", "comp", "n").withColumn("region", F.col("region").cast("string"))
     links = links.unionByName(more)
     final = components(links)
-    regions = settle(mixed_only(relabel(large.unionByName(busy), final)).drop("size"))
+    busy = mixed_hot(settle(relabel(marked.where("size(hot) > 0").select("hot", "node", "comp", "n"), final))).withColumn("region", F.col("region").cast("string"))
+    regions = settle(mixed_only(relabel(large, final).unionByName(busy)).drop("size"))
     if not regions.isEmpty():
         final = components(links.unionByName(split_regions(source, with_own(source, regions))))
     release(members, marked, cold, regions)
