@@ -1,9 +1,12 @@
 """Personal data by candidate gradient boosting, with DataFrame functions only.
 
-Exact patterns give the base spans. Wider generators propose further, overlapping spans with their format and the
+Exact patterns give the base spans. Wider generators propose further, overlapping spans with their shape and the
 words before them as small integer features; boosted trees of depth two score them, a Platt fit on held-out documents
-calibrates the scores, and a candidate is taken where its probability reaches its kind's threshold. What the trees
-learn from is weak: a candidate's own check (Luhn sum, octets, digit groups, mixed secret).
+calibrates the scores, and a candidate is taken where its probability reaches its kind's threshold: the least at which
+PRECISION of the held-out candidates are valid. There are no labels: the trees learn from each candidate's validity (Luhn
+sum, octets, numbering plans, a secret's mixture), which no feature holds, so what decides on a new span is how often
+spans of its shape and context are valid. Decoys, candidates with other digits and no context, stand for the numbers
+that only look like personal data; they count for the trees, not for the thresholds.
 Training needs only counts by feature vector, which are at most the feature grid, whatever the table's size.
 
 Defined results: a null text is empty and has no spans; offsets are code points, ends exclusive; repeated rows get
@@ -31,16 +34,17 @@ BASE = {
 #: Wider candidates.
 WIDE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}+)*+",
-    "ip": r"(?:\G|(?<![0-9.]))[0-9]{1,3}+(?: ?[.,] ?[0-9]{1,3}+){3}+(?![0-9])",
-    "card": r"(?<![0-9])[0-9]{4}+(?:[ ._-]{1,2}+[0-9]{4}+){2}+[ ._-]{1,2}+[0-9]{1,7}+(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z+.])(?:00[0-9]{1,3}+[ .-])?+\(?[0-9]{2,4}+\)?[ .-]{1,2}+[0-9]{3,4}+[ .-][0-9]{3,4}+(?![0-9A-Za-z])",
-    "secret": r"(?<![A-Za-z0-9])(?:token|secret|password|passwd|api_?key|access_?key|key)[\"']? ?[:=] ?[\"'][A-Za-z0-9+/_=-]{16,}+[\"']",
-    "ident": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "ip": r"(?:\G|(?<![0-9.]))[0-9]{1,4}+(?: ?[.,] ?[0-9]{1,4}+){3}+(?![0-9])",
+    "card": r"(?<![0-9])[0-9](?:[ ._-]{0,2}+[0-9]){11,18}+(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+.])(?:00[0-9]{1,3}+[ .-])?+\(?[0-9]{2,4}+\)?[ .-]{1,2}+[0-9]{3,4}+(?:[ .-][0-9]{2,4}+)?+(?![0-9A-Za-z])",
+    "secret": r"(?<![A-Za-z0-9])(?:token|secret|password|passwd|api_?key|access_?key|key)[\"']? ?[:=] ?[\"'][A-Za-z0-9+/_=-]{8,}+[\"']",
+    "ident": r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])",
 }
 KINDS = ("email", "ip", "card", "phone", "secret", "ident")
-FEATURES = ("kind", "digits", "letters", "gaps", "marks", "cue", "after", "check")
+FEATURES = ("kind", "digits", "letters", "gaps", "marks", "first", "cue", "after")
+FEATURES_OF = [f"f_{f}" for f in FEATURES]
 CUES = "(?i)(phone|tel|call|fax|mobile|mail|contact|write|card|visa|pay|account|ip|host|server|address|token|secret|key|password|ssn|id)[^A-Za-z]{0,6}$"
-ROUNDS, RATE, PRECISION = 24, 0.3, 0.95
+ROUNDS, RATE, PRECISION = 60, 0.3, 0.95
 
 
 def none() -> Column:
@@ -103,25 +107,34 @@ def features(s: Column) -> dict[str, Column]:
     hit = s["hit"]
     count = lambda p: F.length(F.regexp_replace(hit, p, ""))
     steps = lambda c, cuts: reduce(lambda a, k: a + (c >= k).cast("int"), cuts, F.lit(0))
-    check = F.when(s["kind"] == "ip", octets(hit)).when(s["kind"] == "card", luhn(hit)).when(s["kind"] == "phone", F.length(digits(hit)).between(9, 15)).when(s["kind"] == "secret", hit.rlike("[\"'][^\"']*[0-9][^\"']*[\"']") & hit.rlike("[\"'][^\"']*[A-Za-z][^\"']*[\"']")).when(s["kind"] == "email", hit.rlike(r"(\.|dot[)\]] ?)[A-Za-z]{2,}$")).otherwise(True)
+    head = F.substring(hit, 1, 1)
     return {
         "kind": reduce(lambda a, k: F.when(s["kind"] == k[1], k[0]).otherwise(a), enumerate(KINDS), F.lit(-1)),
         "digits": steps(count("[^0-9]"), (1, 4, 7, 9, 11, 13, 17, 20)),
         "letters": steps(count("[^A-Za-z]"), (1, 4, 8, 16, 32)),
         "gaps": steps(count("[^ ]"), (1, 2, 3, 5)),
         "marks": steps(count("[A-Za-z0-9 ]"), (1, 2, 3, 4, 6)),
+        "first": F.when(head.rlike("[01]"), 0).when(head.rlike("[23]"), 1).when(head.rlike("[456]"), 2).when(head.rlike("[789]"), 3).when(head.rlike("[A-Za-z]"), 4).otherwise(5),
         "cue": s["before"].rlike(CUES).cast("int"),
         "after": F.when(s["after"] == "", 0).when(s["after"].rlike(r"[\s.,;:!?)]"), 1).otherwise(2),
-        "check": check.cast("int"),
     }
 
 
-def weak_label(s: Column) -> Column:
-    """What a candidate's own form says: a full address, octets, a Luhn sum, a number of usual grouping, a mixed secret."""
-    hit = s["hit"]
-    phone = F.length(digits(hit)).between(9, 15) & (hit.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$|^00") | s["before"].rlike(CUES))
-    mixed = hit.rlike("[\"'][^\"']*[0-9][^\"']*[\"']") & hit.rlike("[\"'][^\"']*[A-Za-z][^\"']*[\"']")
-    return F.when(s["kind"] == "email", hit.rlike(r"(\.|dot[)\]] ?)[A-Za-z]{2,}$")).when(s["kind"] == "ip", octets(hit)).when(s["kind"] == "card", luhn(hit)).when(s["kind"] == "phone", phone).when(s["kind"] == "secret", mixed).otherwise(s["before"].rlike(CUES))
+def valid_form(s: Column) -> Column:
+    """Whether a candidate obeys its kind's own rules. None of them is a feature."""
+    hit, own = s["hit"], digits(s["hit"])
+    phone = F.length(own).between(10, 15) & F.right(own, F.lit(10)).rlike("^[2-9][0-9]{2}[2-9]") & ~own.rlike("^([0-9])\\1+$")
+    value = F.regexp_extract(hit, "[\"']([A-Za-z0-9+/_=-]+)[\"']$", 1)
+    ident = ~hit.rlike("^(000|666|9)") & ~hit.rlike("^...[- ]00") & ~hit.rlike("0000$")
+    rules = {"email": hit.rlike(r"(\.|dot[)\]] ?)[A-Za-z]{2,}$"), "ip": octets(hit), "card": luhn(hit), "phone": phone, "secret": (F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")}
+    return reduce(lambda a, k: F.when(s["kind"] == k[0], k[1]).otherwise(a), rules.items(), ident)
+
+
+def decoy(s: Column) -> Column:
+    """A candidate with other digits and nothing before it; a secret or address of letters alone."""
+    words = F.translate(F.regexp_replace(s["hit"], r"(\.|\(dot\)|\[dot\]) ?[A-Za-z]+$", ""), "0123456789", "abcdefghij")
+    hit = F.when(s["kind"].isin("email", "secret"), words).otherwise(F.translate(s["hit"], "0123456789", "3906172845"))
+    return F.struct(s["kind"].alias("kind"), hit.alias("hit"), F.lit("").alias("before"), s["after"].alias("after"))
 
 
 Row = tuple[tuple[int, ...], float, float]
@@ -165,7 +178,9 @@ def leaf(tree: Tree, x: tuple[int, ...]) -> float:
 class Model:
     """Trees, Platt's line and a threshold by kind (over 1: none of that kind is taken)."""
 
-    def __init__(self, fit: list[Row], held: list[Row]):
+    def __init__(self, fit: list[Row], held: list[Row], natural: list[Row], every: list[Row]):
+        """fit: what trees learn from; held: what calibrates them; natural: what thresholds are chosen on, or every
+        candidate of a kind that the held-out documents lack."""
         self.trees: list[Tree] = []
         margins = [0.0] * len(fit)
         for _ in range(ROUNDS if fit else 0):
@@ -183,7 +198,7 @@ class Model:
             self.a, self.b = self.a + 0.2 * ga / total, self.b + 0.2 * gb / total
         self.least = [2.0] * len(KINDS)
         for k in range(len(KINDS)):
-            mine = [r for r in held if r[0][0] == k] or [r for r in fit if r[0][0] == k]
+            mine = [r for r in natural if r[0][0] == k] or [r for r in every if r[0][0] == k]
             own = sorted(((self.probability(x), n, pos) for x, n, pos in mine), reverse=True)
             n_all = pos_all = 0.0
             for p, n, pos in own:
@@ -198,8 +213,8 @@ class Model:
         return 1 / (1 + math.exp(-max(-30, min(30, self.a * self.margin(x) + self.b))))
 
     def takes(self, s: Column) -> Column:
-        """Whether a candidate is taken, as an expression."""
-        x = list(features(s).values())
+        """Whether a candidate, with its features as fields, is taken, as an expression."""
+        x = [s[f] for f in FEATURES_OF]
         split = lambda f, cut, a, b: F.when(x[f] <= cut, a).otherwise(b)
         trees = [split(*root, split(*left, F.lit(v[0]), F.lit(v[1])), split(*right, F.lit(v[2]), F.lit(v[3]))) for root, left, right, v in self.trees]
         margin = self.a * reduce(lambda a, t: a + t, trees, F.lit(0.0)) + self.b
@@ -207,6 +222,10 @@ class Model:
         return 1 / (1 + F.exp(-margin)) >= least - 1e-9
 
 
+def with_features(s: Column) -> Column:
+    return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), *(v.alias(f"f_{k}") for k, v in features(s).items()))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, base and wide spans of every document, no text."""
     return docs.select("doc_id", whole_text().alias("text")).select("doc_id", base_spans(F.col("text")).alias("base"), wide_spans(F.col("text")).alias("wide"))
@@ -214,18 +233,24 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def fit(spans: DataFrame) -> Model:
     """Counts by feature vector come to the driver: no more rows than the feature grid."""
-    c = spans.select(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held"), F.explode("wide").alias("s"))
-    grid = c.select("held", *(v.cast("int").alias(k) for k, v in features(F.col("s")).items()), weak_label(F.col("s")).alias("y"))
-    rows = grid.groupBy("held", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.count_if("y").alias("pos")).orderBy("held", *FEATURES).collect()
-    part = lambda held: [(tuple(r[f] for f in FEATURES), float(r["n"]), float(r["pos"])) for r in rows if r["held"] == held]
-    return Model(part(False), part(True))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    c = spans.select(held.alias("held"), F.explode("wide").alias("s")).select("held", F.explode(F.array(bare_candidate(F.col("s"), True), bare_candidate(decoy(F.col("s")), False))).alias("s"))
+    grid = c.select("held", F.col("s.natural").alias("natural"), *(v.cast("int").alias(k) for k, v in features(F.col("s")).items()), valid_form(F.col("s")).alias("y"))
+    rows = grid.groupBy("held", "natural", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.count_if("y").alias("pos")).orderBy("held", "natural", *FEATURES).collect()
+    part = lambda keep: [(tuple(r[f] for f in FEATURES), float(r["n"]), float(r["pos"])) for r in rows if keep(r)]
+    return Model(part(lambda r: not r["held"]), part(lambda r: r["held"]), part(lambda r: r["held"] and r["natural"]), part(lambda r: r["natural"]))
+
+
+def bare_candidate(s: Column, natural: bool) -> Column:
+    return F.struct(*(s[c].alias(c) for c in ("kind", "hit", "before", "after")), F.lit(natural).alias("natural"))
 
 
 def all_spans(base: Column, wide: Column, model: Model) -> Column:
     """The base spans and the taken candidates that no base span holds, by kind as listed, then start."""
     bare = lambda s: F.struct(reduce(lambda a, k: F.when(s["kind"] == k[1], k[0]).otherwise(a), enumerate(KINDS), F.lit(-1)).alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-    new = F.filter(wide, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])) & model.takes(s)) if model.trees else F.filter(wide, lambda s: F.lit(False))
-    return F.array_sort(F.array_distinct(F.transform(F.concat(base, new), bare)))
+    other = F.filter(wide, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+    new = F.filter(F.transform(other, with_features), lambda s: model.takes(s) if model.trees else F.lit(False))
+    return F.array_sort(F.array_distinct(F.concat(F.transform(base, bare), F.transform(new, bare))))
 
 
 def written(spans: Column) -> Column:
@@ -233,11 +258,12 @@ def written(spans: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, and n_spans: how many those are."""
     known = settle(candidates(docs))
     model = fit(known)
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return known.select("doc_id", *map(n, BASE), F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(all_spans(F.col("base"), F.col("wide"), model)).alias("spans"))
+    every = known.withColumn("all", all_spans(F.col("base"), F.col("wide"), model))
+    return every.select("doc_id", *map(n, BASE), F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("all")).alias("spans"), F.size("all").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
