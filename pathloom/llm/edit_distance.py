@@ -30,12 +30,12 @@ def rows_of(flat: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, o
     return out
 
 
-def within(a: list[bytes], b: list[bytes], most_of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """For each pair whether its edit distance in code points is at most what most_of (MOST at most) says of the length
-    of the shorter one."""
-    flat_a, off_a = points(a)
-    flat_b, off_b = points(b)
-    start_a, start_b, n, m = off_a[:-1], off_b[:-1], np.diff(off_a), np.diff(off_b)
+def within(texts: list[bytes], x: np.ndarray, y: np.ndarray, most_of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """For each pair of texts whether its edit distance in code points is at most what most_of (MOST at most) says of
+    the length of the shorter one."""
+    flat, offsets = points(texts)
+    size = np.diff(offsets)
+    start_a, start_b, n, m = offsets[x], offsets[y], size[x], size[y]
     out, most = np.zeros(len(n), bool), most_of(np.minimum(n, m))
     bands = np.array(BANDS)[np.searchsorted(BANDS, most)]
     order = np.lexsort((np.maximum(n, m), bands))
@@ -46,7 +46,7 @@ def within(a: list[bytes], b: list[bytes], most_of: Callable[[np.ndarray], np.nd
             width = max(width, n[order[j]], m[order[j]])
             j += 1
         own = order[i:j]
-        out[own] = _same_band(flat_a, start_a[own], n[own], flat_b, start_b[own], m[own], most[own], tau)
+        out[own] = _same_band(flat, start_a[own], n[own], flat, start_b[own], m[own], most[own], tau)
         i = j
     return out
 

@@ -15,8 +15,8 @@ an equal stretch survives are found: 2 to 5 edits wherever they are, and any num
 as a replaced word does. (Lines within the edits that share an anchor, but no whole stretch, may be found too.)
 
 Entries go to their partition as packed runs of numbers. Where lines share a key, the least of them is compared to the
-others; links give components. After that only keys that more than one component shares matter: those of many lines
-first get one more pivot, then the pairs across components are compared, in blocks of BLOCK lines, each under one key. Segments that over
+others; links give components. After that only keys that more than one component shares matter: their pairs across
+components are compared, in blocks of BLOCK lines, each under one key, and what a task links it compares no more. Segments that over
 CAP lines of many components share are cut finer (LEVELS), of which all but TAU must match. Candidates are verified by
 banded bit-parallel edit distance. Lines are named by 128 bits for equality and by 64 of them for edits.
 
@@ -51,7 +51,7 @@ ANYWHERE = 0xFFFF
 LEVELS = (TAU + 1, 8, 16)
 CAP, BLOCK, NEAR, FEW_LINES = 2048, 1024, 2_000_000, 16
 FEW_ROWS, FEW_PLACES = 300_000, 2_000_000
-PAIRS, VERIFIED = 1 << 20, 1 << 15
+PAIRS, VERIFIED = 1 << 20, 1 << 14
 #: Sixteen classes of characters by their first byte, counted modulo 16 in four bits each; a seventeenth isn't counted.
 CLASS = ((np.arange(256) * 0x9E37 >> 7) & 15).astype(np.uint8)
 CLASS[[10, *range(0x80, 0xC0)]] = 16
@@ -346,25 +346,6 @@ def stars(runs: DataFrame) -> DataFrame:
 FACTS = ["a", "comp", "bag", "place", "size"]
 
 
-def ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def pivot_pairs(members: DataFrame) -> DataFrame:
-    """a < b: of each key one line and those of other components that fit it."""
-    pivot = members.groupBy("kind", "key").agg(F.max_by(F.struct(*FACTS), F.xxhash64("a")).alias("p"))
-    rows = members.join(pivot, ["kind", "key"]).where("comp <> p.comp")
-    flat = rows.select("kind", "a", "bag", "place", "size", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("a", "bag", "place", "size")))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            v = {c: x[c].to_numpy(np.int64) for c in x.columns}
-            good = fits(v["kind"] == 1, v["place"], v["p_place"], v["size"], v["p_size"], v["bag"], v["p_bag"])
-            yield pd.DataFrame({"a": v["a"][good], "b": v["p_a"][good]})
-
-    return flat.mapInPandas(tidied(run), "a long, b long").select(*ordered("a", "b")).distinct()
-
-
 class Classes:
     """Components that links have made in this task."""
 
@@ -446,7 +427,8 @@ def cross_links(docs: DataFrame, members: DataFrame) -> DataFrame:
             waiting.clear()
             still = v["now"][x] != v["now"][y]
             x, y = x[still], y[still]
-            near = within([texts[i] for i in x.tolist()], [texts[j] for j in y.tolist()], most_edits)
+            used, to = np.unique(np.r_[x, y], return_inverse=True)
+            near = within([texts[i] for i in used.tolist()], to[: len(x)], to[len(x) :], most_edits)
             x, y = x[near], y[near]
             for i, j in zip(v["comp"][x].tolist(), v["comp"][y].tolist(), strict=True):
                 i, j = classes.find(i), classes.find(j)
@@ -510,7 +492,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = within(batch.column(2).to_pylist(), batch.column(3).to_pylist(), most_edits)
+            texts, to = np.unique(np.array(batch.column(2).to_pylist() + batch.column(3).to_pylist(), object), return_inverse=True)
+            near = within(texts.tolist(), to[: len(batch)], to[len(batch) :], most_edits)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
 
     out = settle(both.select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long"))
@@ -531,19 +514,15 @@ def near_links(docs: DataFrame) -> DataFrame:
     every, only = docs.sparkSession.createDataFrame([], "a long, b long"), None
     for level, segments in enumerate(LEVELS):
         found = settle(stars(entry_runs(docs, segments, only, long=level == 0)))
-        tested = settle(found.where("kind = 0").select("a", "b").distinct())
-        every = every.unionByName(verified(docs, tested))
-        members, dense = found.where("kind > 0").drop("b"), None
-        many = settle(labelled(members, every).where(f"lines > {FEW_LINES}"))
-        if not many.isEmpty():
-            asked = settle(pivot_pairs(many).join(tested, ["a", "b"], "left_anti"))
-            every = every.unionByName(verified(docs, asked))
-        mixed = settle(labelled(members, every))
-        if level < len(LEVELS) - 1:
-            dense = settle(mixed.where(f"kind = 1 and lines > {CAP}").select("a").distinct())
-            mixed = mixed.where(f"kind = 2 or lines <= {CAP}")
-        if not mixed.isEmpty():
-            every = every.unionByName(cross_links(docs, mixed))
+        pairs = settle(found.where("kind = 0").select("a", "b").distinct())
+        every = every.unionByName(verified(docs, pairs))
+        mixed = settle(labelled(found.where("kind > 0").drop("b"), every))
+        release(found, pairs)
+        dense = settle(mixed.where(f"kind = 1 and lines > {CAP}").select("a").distinct()) if level < len(LEVELS) - 1 else None
+        rest = mixed if dense is None else mixed.where(f"kind = 2 or lines <= {CAP}")
+        if not rest.isEmpty():
+            every = every.unionByName(cross_links(docs, rest))
+        release(mixed)
         if dense is None or dense.isEmpty():
             break
         only = np.sort(np.array([r[0] for r in dense.toLocalIterator()], np.int64)) if dense.count() <= NEAR else None

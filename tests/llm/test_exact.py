@@ -167,7 +167,8 @@ def test_banded_distance():
     a = ["".join(rng.choice("abé漢") for _ in range(rng.randint(0, 40))) for _ in range(4000)]
     b = [edited(rng, x, 8) for x in a]
     for most in (1, 2, 5, 31):
-        got = edit_distance.within([x.encode() for x in a], [x.encode() for x in b], lambda n, most=most: np.full(len(n), most))
+        at = np.arange(len(a))
+        got = edit_distance.within([x.encode() for x in a + b], at, at + len(a), lambda n, most=most: np.full(len(n), most))
         assert got.tolist() == [distance(x, y) <= most for x, y in zip(a, b, strict=True)]
 
 
