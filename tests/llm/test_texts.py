@@ -222,3 +222,81 @@ def test_pipeline_stages_take_an_empty_table(spark, data_dir, stage):
 
     docs = spark.read.parquet(f"{data_dir}/documents.parquet").limit(0)
     assert corpus_pipeline.STAGES[stage][1](spark, docs, data_dir).count() == 0
+
+
+def test_pipeline_rows_against_brute_force(spark, tmp_path):
+    """Each stage's rows on a fixture with copies, near copies, repeated lines and rows, nulls, clashing ids and columns."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    import test_exact as brute
+
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    text = lambda n: "\n".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(n))
+    base = [text(6) for _ in range(12)]
+    rows = [(k, t) for k, t in enumerate(base)]
+    rows += [(100 + k, " ".join(["changed", *t.replace("\n", " ").split(" ")[1:]])) for k, t in enumerate(base[:4])]  # near copies on one line
+    rows += [(200, base[5]), (201, base[6] + "\nmail me at some.body@example.com now"), (5, text(5)), (None, text(4)), (None, base[7]), (300, ""), (301, None), (3, base[3])]
+    rows += [(400 + k, " ".join("### $$$ %%%" for _ in range(30 + k))) for k in range(12)]  # junk
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, n_removed long")
+    labels = spark.createDataFrame([(d, int(d < 400), 0) for d, _ in rows if d is not None and d not in (3, 5)], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    held = {f.__name__: f for _, f in corpus_pipeline.STAGES}
+    stages, now = [], spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for f in held.values():
+        now = corpus_pipeline.settle(f(spark, now, str(tmp_path)))
+        stages.append(now)
+    pairs = lambda df: sorted((str(r["doc_id"]), r["text"] or "") for r in df.select("doc_id", "text").collect())
+    first = [(r["doc_id"], r["text"]) for r in stages[0].collect()]
+    model = quality_model.fit(docs, labels)
+    scored = [(r["doc_id"], r["text"]) for r in quality_model.score(docs, model).where("score >= 0.3").collect()]
+    assert sorted(map(str, first)) == sorted(map(str, scored)) and not any(d is not None and 400 <= d < 500 for d, _ in first)
+    want = brute.line_expected(first, brute.line_classes(first, brute.two_edits))
+    blank = {(str(d), t or "") for d, t in first if not (t or "").strip()}
+    assert pairs(stages[1]) == sorted(r for r in want if r[1].strip() or r in blank)
+    second = [(r["doc_id"], r["text"]) for r in stages[1].collect()]
+    sets = brute.jaccard_brute(list(enumerate(t for _, t in second)))
+    groups = {}
+    for k, (d, t) in enumerate(second):
+        groups.setdefault(sets[k][1], []).append((d is None, d or 0, t or ""))
+    assert len(stages[2].collect()) == len(groups) and all(any((str(None if m else d), t) in pairs(stages[2]) for m, d, t in g) for g in groups.values())
+    assert stages[2].columns == docs.columns and stages[3].columns == docs.columns
+    clean = [(r["doc_id"], r["text"]) for r in stages[3].collect()]
+    assert len(clean) == len(groups) and not any(re.search(PATTERNS[0][1], t or "") for _, t in clean) and any("[EMAIL]" in (t or "") for _, t in clean)
+    tok = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    ids = sorted(tuple(x) for x in (tok.encode(t or "", add_special_tokens=False).ids + [2] for _, t in clean))
+    got = {}
+    for r in stages[4].orderBy("doc_id", "start").collect():
+        got.setdefault((r["doc_id"], r["doc_tokens"]), []).extend(r["ids"])
+    assert sum(map(len, got.values())) == sum(map(len, ids)) and {tuple(v) for v in got.values() if v.count(2) == 1} <= set(ids)
+
+
+@pytest.mark.parametrize("operator", ["chat", "rules", "pieces", "packing"])
+def test_single_pass_operators_take_an_empty_table(spark, operator):
+    empty = table(spark, [])
+    made = {
+        "chat": lambda: chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")),
+        "rules": lambda: quality_rules.judge(empty),
+        "pieces": lambda: piece_codec.encode(empty, vocabulary("piece_bpe_32k.model")),
+        "packing": lambda: packing.pack(empty, vocabulary("word_bpe_49k.json"), 2),
+    }
+    assert made[operator]().count() == 0
+
+
+def test_packing_tells_words_apart_and_keeps_repeated_rows(spark):
+    from tokenizers import Tokenizer
+
+    x, y = "a", "b"
+    for _ in range(10):
+        x, y = x + y, y + x
+    path = vocabulary("word_bpe_49k.json")
+    tok, rows = Tokenizer.from_file(path), [(1, x), (2, y), (3, "same row"), (3, "same row"), (None, "no id"), (None, None)]
+    want = sorted(tok.encode(t or "", add_special_tokens=False).ids + [2] for _, t in rows)
+    pieces = packing.pack(table(spark, rows), path, 2, 4096).collect()
+    by_place = sorted((r["sequence_id"], r["offset"], list(r["ids"])) for r in pieces)
+    flat = [i for _, _, ids in by_place for i in ids]
+    assert sorted(flat) == sorted(i for ids in want for i in ids)
+    one = {d: sum((list(r["ids"]) for r in sorted(pieces, key=lambda r: r["start"]) if r["doc_id"] == d), []) for d in (1, 2)}
+    assert one == {d: tok.encode(t, add_special_tokens=False).ids + [2] for d, t in rows[:2]}
