@@ -1,11 +1,13 @@
 """Document fingerprints by randomised edit embedding.
 
-All texts take the same random walk: at step j a text gives out its current character and goes on to the next one if a
-shared random bit for (j, character) says so. Texts at a small edit distance fall into step again after each edit, so
-their outputs differ in few steps (Hamming distance). A fingerprint holds bands of sampled steps: the sampled steps of
-a text are those of least shared priority among all its steps, so texts of unlike lengths still share most of them,
-and a band is the hash of `RUN` outputs from its step on. Likeness is the share of equal bands; `near_pairs` joins on
-groups of bands and verifies candidates by likeness.
+All texts take the same random walks: at step j a text gives out its current character and goes on to the next one if a
+shared random bit for (walk, j, character) says so. A walk starts at each place that the text itself marks (one in SPACING
+characters, by a hash of the characters there, which also names the walk), so that texts at a small edit distance fall
+into step again at the next mark at the latest, and their outputs, as vectors over (walk, step), differ in few places
+(Hamming distance). A fingerprint is a sample of that vector: the BANDS coordinates of least shared priority, each a
+band of RUN outputs from that step on. Likeness is the share of equal bands among the least coordinates of both texts,
+j, as 2 j / (1 + j): the share of a text that is common. `near_classes` joins on groups of two
+bands, verifies by likeness and gives each text its class.
 
 Defined results: null and empty texts have the empty fingerprint (like only to itself: 1.0); equal texts have equal
 fingerprints; whole texts are walked whatever their length; rows with one doc_id follow each other by descending text;
@@ -23,15 +25,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import bounded_batches, slots, whole_text
+from pathloom.llm.common import bounded_batches, join_counted, settle, slots, tidied, whole_text
+from pathloom.llm.graph import components
+from pathloom.llm.hashing import MASKS, mix
 
 BANDS, RUN, PERIOD = 128, 4, 4096
-BLOCK_CHARS = 1 << 22
+SPACING, FARTHEST, STEPS, NAME = 32, 512, 32, 8
+BLOCK_CHARS = 1 << 20
+WIDTH = 10  # hex digits of a band: eight of its coordinate's priority, two of its value
 
 
 @functools.cache
 def walk_table() -> np.ndarray:
-    """Random bits by step (repeating) and character class; class 0 marks a text's end, where the walk stays."""
+    """Random bits by walk and step (repeating) and character class; at class 0, past the walk's end, it stays."""
     bits = np.random.default_rng(20240229).integers(0, 2, (PERIOD, 256), dtype=np.uint8)
     bits[:, 0] = 0
     return bits
@@ -41,85 +47,91 @@ def classes(points: np.ndarray) -> np.ndarray:
     return ((points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.uint64) % np.uint64(255) + np.uint64(1)
 
 
-def steps_of(n: int) -> int:
-    """Steps that are sampled for n characters: about two a character, on a geometric grid."""
-    if n == 0:
-        return 0
-    step = max(1, 1 << max(0, (2 * n).bit_length() - 4))
-    return -(-2 * n // step) * step
-
-
-@functools.lru_cache(1024)
-def sampled(steps: int) -> np.ndarray:
-    j = np.arange(steps, dtype=np.uint64) + np.uint64(1)
-    j = (j ^ (j >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    j = (j ^ (j >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    j ^= j >> np.uint64(31)
-    return np.sort(np.argpartition(j, BANDS - 1)[:BANDS]) if steps > BANDS else np.arange(steps)
-
-
 def fingerprints(texts: list[str]) -> list[str]:
-    """Eight hex digits for the steps, then two for each band."""
-    out = [""] * len(texts)
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    """The fingerprint of each text, in blocks of about BLOCK_CHARS."""
+    out: list[str] = []
     a = 0
-    while a < len(order):
+    while a < len(texts):
         b, n = a, 0
-        while b < len(order) and (b == a or n + len(texts[order[b]]) <= BLOCK_CHARS):
-            n += len(texts[order[b]])
+        while b < len(texts) and (b == a or n + len(texts[b]) <= BLOCK_CHARS):
+            n += len(texts[b])
             b += 1
-        for i, f in zip(order[a:b], walk([texts[i] for i in order[a:b]]), strict=True):
-            out[i] = f
+        out += walk(texts[a:b])
         a = b
     return out
 
 
 def walk(texts: list[str]) -> list[str]:
-    """texts: by falling length."""
-    table = walk_table()
-    joined = "\0".join(texts) + "\0"
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    flat = classes(points).astype(np.uint8)
+    table = walk_table().ravel()
+    points = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(t) for t in texts])
     starts = np.r_[0, np.cumsum(lengths + 1)[:-1]]
+    flat = classes(points).astype(np.uint8)
     flat[starts + lengths] = 0
-    steps = np.array([steps_of(n) for n in lengths.tolist()])
-    last = np.where(steps > 0, steps + RUN - 1, 0)
-    active = np.searchsorted(-last, -np.arange(last[0]), side="left") if len(texts) else np.zeros(0, int)
-    offsets = np.r_[0, np.cumsum(active)]
-    seen, at = np.empty(offsets[-1], np.uint8), starts.copy()
-    rows = list(table)
-    for j, (n, off) in enumerate(zip(active.tolist(), offsets.tolist(), strict=False)):
-        here = at[:n]
-        c = flat[here]
-        seen[off : off + n] = c
-        here += rows[j % PERIOD][c]
+    ahead = np.concatenate([flat, np.zeros(NAME, np.uint8)])
+    name = np.frombuffer(np.lib.stride_tricks.sliding_window_view(ahead, NAME)[: len(flat)].tobytes(), "<u8").copy()
+    for k in range(1, NAME):  # no look beyond a text's end
+        name[(starts + lengths - k)[lengths >= k]] &= MASKS[k]
+    short = mix(name & np.uint64(0xFFFFFFFF))
+    mark = (short % np.uint64(SPACING) == 0) & (flat != 0)
+    first = starts[lengths > 0]
+    mark[first] = True
+    begin = np.flatnonzero(mark)
+    if not len(begin):
+        return [""] * len(texts)
+    owner = np.searchsorted(starts, begin, "right") - 1
+    end = np.minimum(np.r_[begin[1:], len(flat)], starts[owner] + lengths[owner])
+    more = np.maximum(0, (end - begin - 1) // FARTHEST)  # far from the next mark a walk starts every so many characters
+    extra = np.repeat(begin, more) + FARTHEST * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1)
+    if len(extra):
+        begin = np.sort(np.r_[begin, extra])
+        owner = np.searchsorted(starts, begin, "right") - 1
+        end = np.minimum(np.r_[begin[1:], len(flat)], starts[owner] + lengths[owner])
+    walks = mix(name[begin] + np.uint64(1))
+    seen, at, shift = np.zeros((STEPS + RUN - 1, len(begin)), np.uint64), begin.copy(), (walks % np.uint64(PERIOD)).astype(np.int64)
+    for j in range(STEPS + RUN - 1):
+        c = np.where(at < end, flat[at], 0)
+        seen[j] = c
+        at += table[(shift + j) % PERIOD * 256 + c]
+    value = seen[:STEPS].copy()
+    for k in range(1, RUN):
+        value = (value << np.uint64(8)) | seen[k : STEPS + k]
+    value = (mix(value) >> np.uint64(56)).astype(np.uint8)
+    priority = (mix(walks[None, :] + np.arange(STEPS, dtype=np.uint64)[:, None] * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)).astype(np.uint32)
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    both = (priority.astype(np.uint64) << np.uint64(8) | value).T
     result = []
-    for d, s in enumerate(steps.tolist()):
-        value = np.zeros(0, np.uint64)
-        if s:
-            j = sampled(s)
-            value = np.zeros(len(j), np.uint64)
-            for k in range(RUN):
-                value = (value * np.uint64(0x100000001B3) + seen[offsets[j + k] + d]) ^ (value >> np.uint64(29))
-            value = (value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
-        result.append(f"{s:08x}" + value.astype(np.uint8).tobytes().hex())
+    for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own = both[i:j].ravel()
+        if len(own) > 4 * BANDS:
+            own = np.partition(own, 4 * BANDS - 1)[: 4 * BANDS]
+        own = np.sort(own)
+        key = own >> np.uint64(8)
+        own = own[np.r_[True, key[1:] != key[:-1]]][:BANDS] if len(own) else own
+        result.append(own.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes().hex())
     return result
 
 
+def bands_of(fingerprint: str) -> np.ndarray:
+    """Priority and value of each band as one number, in order."""
+    raw = np.zeros((len(fingerprint) // WIDTH, 8), np.uint8)
+    raw[:, 3:] = np.frombuffer(bytes.fromhex(fingerprint), np.uint8).reshape(-1, WIDTH // 2)
+    return raw.reshape(-1).view(">u8").astype(np.uint64)
+
+
 def likeness(a: str, b: str) -> float:
-    """Share of equal bands among the sampled steps of the longer text; 1.0 for two empty texts."""
-    na, nb = int(a[:8], 16), int(b[:8], 16)
-    if na < nb:
-        a, b, na, nb = b, a, nb, na
-    if na == 0:
+    """Common share of two texts as their fingerprints say: 0 to 1; 1.0 for two empty texts."""
+    if a == b:
         return 1.0
-    va, vb = np.frombuffer(bytes.fromhex(a[8:]), np.uint8), np.frombuffer(bytes.fromhex(b[8:]), np.uint8)
-    if na == nb:
-        return float((va == vb).mean())
-    ja, jb = sampled(na), sampled(nb)
-    _, x, y = np.intersect1d(ja, jb, assume_unique=True, return_indices=True)
-    return float((va[x] == vb[y]).sum() / len(ja))
+    x, y = bands_of(a), bands_of(b)
+    if not len(x) or not len(y):
+        return 0.0
+    every = np.union1d(x >> np.uint64(8), y >> np.uint64(8))
+    if max(len(x), len(y)) == BANDS:
+        every = every[:BANDS]
+    same = np.intersect1d(x, y, assume_unique=True)
+    j = float((same >> np.uint64(8) <= every[-1]).sum() / len(every))
+    return 2 * j / (1 + j)
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -129,25 +141,68 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"].array, "fingerprint": fingerprints(batch["text"].tolist())})
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInPandas(run, "doc_id long, fingerprint string")
+    return docs.select("doc_id", whole_text().alias("text")).mapInPandas(tidied(run), "doc_id long, fingerprint string")
+
+
+GROUPS, BLOCK = 32, 256
 
 
-def near_pairs(prints: DataFrame, least: float = 0.8, band_size: int = 4) -> DataFrame:
-    """Pairs of class representatives (doc_a < doc_b, likeness) that share `band_size` consecutive bands and are at
-    least so alike. Equal fingerprints are one class, held by its smallest doc_id. Each representative links to the
-    smallest one of each of its band groups, so a group of n gives n - 1 candidates."""
-    classes_ = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    size = 2 * band_size
-    groups = F.expr(f"transform(sequence(0, greatest(0, (length(fingerprint) - 8) div {size} - 1)), i -> struct(i as at, substring(fingerprint, 9 + i * {size}, {size}) as bits))")
-    banded = classes_.select("doc_id", "fingerprint", F.explode(groups).alias("g")).where("length(g.bits) > 0")
-    least_of = banded.groupBy("g").agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"))
-    pairs = banded.join(least_of, "g").where("head.doc_id < doc_id").select(F.col("head.doc_id").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("head.fingerprint").alias("fa"), F.col("fingerprint").alias("fb")).dropDuplicates(["doc_a", "doc_b"])
+def near_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
+    """class_id of every row of prints (doc_id, fingerprint): the smallest doc_id that links of texts at least so alike
+    lead to. Rows of equal fingerprints are one; two fingerprints are compared if they share two bands that follow each
+    other among their first GROUPS. The least of each such group is compared to the others first, then, in blocks of
+    BLOCK, what is not in one class yet; so no pair that shares bands goes uncompared unless links join it already."""
+    spark = prints.sparkSession
+    known = settle(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.min(F.xxhash64("fingerprint")).alias("node")))
+    two = 2 * WIDTH
+    groups = F.expr(f"transform(sequence(0, greatest(0, least({GROUPS}, length(fingerprint) div {WIDTH}) - 2)), i -> xxhash64(substring(fingerprint, 1 + i * {WIDTH}, {two})))")
+    banded = settle(known.where("fingerprint <> ''").select("node", F.explode(F.array_distinct(groups)).alias("g")))
+    heads = settle(banded.groupBy("g").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    stars = join_counted(banded, heads, ["g"]).where("a < node").select("a", F.col("node").alias("b")).distinct()
+    texts = known.select("node", "fingerprint")
+    asked = stars.join(texts.withColumnsRenamed({"node": "a", "fingerprint": "x"}), "a").join(texts.withColumnsRenamed({"node": "b", "fingerprint": "y"}), "b")
 
     @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)])
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([likeness(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
+
+    links = settle(asked.where(alike("x", "y") >= least).select("a", "b"))
+    labels = components(links)
+    members = banded.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = members.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("lo <> hi").select("g", "parts")
+    own = members.join(mixed, "g").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
+
+    def compare(rows: pd.DataFrame) -> list[tuple[int, int]]:
+        found, of, across = [], dict(zip(rows["node"], rows["comp"], strict=True)), rows["p"].iat[0] != rows["q"].iat[0]
+        items = list(zip(rows["node"].tolist(), rows["fingerprint"].tolist(), rows["part"].tolist(), strict=True))
+        for i, (a, x, m) in enumerate(items):
+            for b, y, n in items[i + 1 :]:
+                if of[a] != of[b] and not (across and m == n) and likeness(x, y) >= least:
+                    found.append((a, b))
+                    old, new = of[b], of[a]
+                    of.update({k: new for k, v in of.items() if v == old})
+        return found
 
-    return pairs.select("doc_a", "doc_b", alike("fa", "fb").alias("likeness")).where(F.col("likeness") >= least)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            last = (rows[["g", "p", "q"]] == rows[["g", "p", "q"]].iloc[-1]).all(axis=1)
+            held = rows[last]
+            for _, part in rows[~last].groupby(["g", "p", "q"], sort=False):
+                yield pd.DataFrame(compare(part), columns=["a", "b"], dtype="int64")
+        if held is not None:
+            yield pd.DataFrame(compare(held), columns=["a", "b"], dtype="int64")
+
+    sorted_ = dealt.join(texts, "node").repartition(slots(spark), "g", "p", "q").sortWithinPartitions("g", "p", "q")
+    more = settle(sorted_.select("g", "p", "q", "part", "node", "comp", "fingerprint").mapInPandas(tidied(run), "a long, b long"))
+    final = components(links.unionByName(more))
+    classed = known.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    ids = classed.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
+    return prints.join(settle(classed.join(ids, "comp").select("fingerprint", "class_id")), "fingerprint", "left").select(*prints.columns, "class_id")
 
 
 LOWEST = -(1 << 63)
@@ -193,4 +248,4 @@ def compare_edited(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
 
     sorted_ = dealt.repartition(slots(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "tail", F.desc("key"), F.desc("text"))
-    return sorted_.select("doc_id", "text", "tail").mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return sorted_.select("doc_id", "text", "tail").mapInPandas(tidied(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -118,14 +118,42 @@ def test_fingerprints(spark):
     assert fingerprints.compare_edited(table(spark, [])).count() == 0
 
 
-def test_near_pairs_find_copies_and_edits(spark):
+@pytest.mark.parametrize("block", [256, 2])
+def test_near_classes_lose_no_link(spark, monkeypatch, block):
+    """Against all pairs' likeness, on groups of three and more, edits anywhere, lengths from a line to thousands."""
+    monkeypatch.setattr(fingerprints, "BLOCK", block)
     rng = random.Random(8)
-    texts = ["".join(rng.choice("abcdefgh ") for _ in range(2000)) for _ in range(20)]
-    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, t[:1000] + "#" + t[1000:]) for k, t in enumerate(texts)]
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    rows = []
+    for k, n in enumerate([90, 150, 300, 300, 700, 2000]):
+        base = [rng.choice(words) for _ in range(n)]
+        for v in range(5):
+            w = list(base)
+            for _ in range(v * n // 100):
+                w[rng.randrange(n)] = rng.choice(words)
+            rows.append((10 * k + v, ("new start " if v == 3 else "") + " ".join(w)))
+    rows += [(900, rows[0][1]), (901, ""), (902, None), (903, "short"), (None, rows[7][1])]
     prints = fingerprints.fingerprint(table(spark, rows)).cache()
-    of = {r["doc_id"]: r["fingerprint"] for r in prints.collect()}  # equal ones are one class, which makes no pair
-    pairs = {(r["doc_a"], r["doc_b"]) for r in fingerprints.near_pairs(prints, 0.7).collect()}
-    assert sum((k, 100 + k) in pairs or of[k] == of[100 + k] for k in range(20)) >= 18 and all(b - a == 100 for a, b in pairs)
+    of = [(r["doc_id"], r["fingerprint"]) for r in prints.collect()]
+    parent = list(range(len(of)))
+    find = lambda i: i if parent[i] == i else find(parent[i])
+    for i in range(len(of)):
+        for j in range(i):
+            if fingerprints.likeness(of[i][1], of[j][1]) >= 0.8:
+                parent[find(i)] = find(j)
+    want = sorted((str(d), str(min(of[j][0] for j in range(len(of)) if of[j][0] is not None and find(j) == find(i)))) for i, (d, _) in enumerate(of))
+    got = sorted((str(r["doc_id"]), str(r["class_id"])) for r in fingerprints.near_classes(prints).collect())
+    assert got == want and len({c for _, c in got}) <= 10
+
+
+def test_likeness_follows_the_edits():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    for share, low, high in ((0.0, 1.0, 1.0), (0.02, 0.75, 1.0), (0.2, 0.1, 0.75), (1.0, 0.0, 0.15)):
+        for n in (200, 1000):
+            base = [rng.choice(words) for _ in range(n)]
+            edited = [rng.choice(words) if rng.random() < share else w for w in base]
+            assert low <= fingerprints.likeness(*fingerprints.fingerprints([" ".join(base), " ".join(edited)])) <= high
 
 
 def test_quality_rules_match_sql(spark):
