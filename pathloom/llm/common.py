@@ -99,16 +99,34 @@ def _trim() -> Callable[[int], int] | None:
     return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+#: By module: what forgets the tables that its tasks keep in a worker.
+FORGET: dict[str, Callable[[], None]] = {}
+
+
+def enter(module: str) -> None:
+    """Before a task of this module: a worker keeps no tables of other modules' tasks."""
+    for name, forget in FORGET.items():
+        if name != module:
+            forget()
+
+
+def leave() -> None:
+    """After a task: the worker, which is kept for later ones, gives its freed memory back."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run, after which the worker gives its freed memory back: workers are kept for later tasks."""
+    """run, with a worker's memory looked after."""
+    module = run.__module__
 
     def tidy(batches: Iterator) -> Iterator:
+        enter(module)
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := _trim():
-                trim(0)
+            leave()
 
     return tidy
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import bounded_batches, tidied, whole_text
+from pathloom.llm.common import FORGET, bounded_batches, tidied, whole_text
 from pathloom.llm.hashing import Stretches, text_blocks, word_bounds
 
 #: Stands between chunks that are encoded together; its one token comes from no other text.
@@ -169,6 +169,9 @@ def tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
+FORGET[__name__] = tokenizer.cache_clear
+
+
 def fill(counts: dict[int, int], lengths: list[int], capacity: int) -> tuple[int, dict[int, int]]:
     """The reachable sum closest to capacity and how many of each length make it. lengths: descending."""
     reach, mask, steps = 1, (1 << (capacity + 1)) - 1, []

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from pathloom.llm.common import bounded_batches, tidied, whole_text
+from pathloom.llm.common import FORGET, bounded_batches, tidied, whole_text
 
 MARK = "▁"
 NONE = np.int64(1 << 40)
@@ -184,6 +184,9 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+FORGET[__name__] = model.cache_clear
+
+
 def blocks(texts: pd.Series, chars: int = 1 << 22) -> Iterator[list[str]]:
     """The texts in runs of about so many characters."""
     run, n = [], 0

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import bounded_batches, tidied, whole_text
+from pathloom.llm.common import FORGET, bounded_batches, tidied, whole_text
 
 WORD = re.compile("[^\t-\r ]+")
 DIM, NONZERO, WINDOW, HIDDEN = 32, 4, 2, 24
@@ -160,6 +160,9 @@ def loaded(model: bytes):
     return pickle.loads(model)
 
 
+FORGET[__name__] = loaded.cache_clear
+
+
 def score(docs: DataFrame, model: bytes, name: str = "score", columns: list[str] | None = None, least: float | None = None) -> DataFrame:
     """`columns` of docs (all, if None) with the score as one more column, named so that it clashes with none; only
     rows of at least `least`, if given."""
