@@ -103,3 +103,24 @@ def test_an_opened_archive_reads_current_tables_and_prunes_months(spark, tmp_pat
     assert "month" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0] and "ts_collector" in plan.split("PushedFilters: ")[1]
     maintenance.clean_up(spark, path)
     assert sorted(map(str, open_archive(spark, path, datetime(2024, 1, 1)).current["route_unicast"].collect())) == sorted(map(str, a.current["route_unicast"].collect()))
+
+
+def test_every_payload_reaches_its_table_or_the_rejected(spark, tmp_path):
+    e = envelopes(spark, 8)
+    kind = F.when(F.col("seq") == 4, "ls").when(F.col("seq") == 5, "beat").when(F.col("seq") == 6, "gossip").otherwise("route")
+    family = F.when(F.col("seq").isin(2, 3), "evpn").when(F.col("seq") == 7, F.lit(None)).otherwise("ipv4u")
+    fields = {f.name: f.dataType for f in e.schema}
+    evpn = F.from_json(F.lit('[{"route_type": 2, "rd": "65000:1", "prefix": "", "mac": "aa:bb:cc:00:00:01", "ip": "", "ethernet_tag": 0, "esi": "", "labels": [7], "path_id": 0}]'), fields["evpn_announced"])
+    node = {"protocol": 2, "identifier": 0, "asn": 65000, "bgpls_id": 0, "area": 0, "router_id": "000000000001", "is_withdraw": 0, "name": "n1"}
+    nodes = F.array(F.struct(*(F.lit(node.get(f.name)).cast(f.dataType).alias(f.name) for f in fields["ls_nodes"].elementType)))
+    e = e.withColumns({"kind": kind, "family": family, "peer_ip": F.when(F.col("seq") == 3, "10.1.0.2").otherwise(F.col("peer_ip")), "started_at": F.lit(9).cast("long"), "evpn_announced": F.when(F.col("seq") == 2, evpn), "evpn_withdrawn": F.when(F.col("seq") == 3, evpn), "ls_nodes": F.when(F.col("seq") == 4, nodes)})
+    e = e.withColumns({c: F.when(F.col("seq").isin(2, 3), F.lit(None)).otherwise(F.col(c)) for c in ("announced", "withdrawn")})
+    path = fed(spark, tmp_path, [e])
+    read = lambda t: spark.read.parquet(f"{path}/{t}")
+    assert sorted((r["seq"], r["is_withdraw"], r["mac"]) for r in read("route_evpn").collect()) == [(2, 0, "aa:bb:cc:00:00:01"), (3, 1, "aa:bb:cc:00:00:01")]
+    assert [r["name"] for r in read("ls_nodes").collect()] == ["n1"] and [r["started_at"] for r in read("collector_beats").collect()] == [9]
+    assert sorted(r["msg_id"] for r in read("_rejected").collect()) == ["m6", "m7"] and {r["seq"] for r in read("route_unicast").collect()} == {0, 1}
+    current = CurrentTables(spark, path)
+    assert [r["is_withdraw"] for r in current.read("route_evpn").collect()] == [1] and current.read("ls_nodes").count() == 1
+    a = open_archive(spark, path, datetime(2024, 1, 1))
+    assert set(a.current) == {"route_unicast", "route_evpn", "ls_nodes"} and a["collector_beats"].count() == 1
