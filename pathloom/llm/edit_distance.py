@@ -30,6 +30,24 @@ def rows_of(flat: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, o
     return out
 
 
+def bigrams_allow(flat: np.ndarray, offsets: np.ndarray, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether the pairs' counts of two characters after each other, in 256 classes, let them be within so many edits: an
+    edit takes two of them away and adds two at most."""
+    n = len(offsets) - 1
+    pair = (flat[:-1].astype(np.uint32) * np.uint32(0x9E3779B1) + flat[1:].astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(24)
+    counts = np.zeros((n, 256), np.int16)
+    for a in range(0, n, 2048):
+        b = min(n, a + 2048)
+        size = np.maximum(np.diff(offsets[a : b + 1]) - 1, 0)
+        at = np.arange(size.sum()) + np.repeat(offsets[a:b] - np.cumsum(size) + size, size)
+        counts[a:b] = np.minimum(np.bincount(np.repeat(np.arange(b - a), size) * 256 + pair[at], minlength=(b - a) * 256), 30_000).reshape(-1, 256)
+    good = np.zeros(len(x), bool)
+    for a in range(0, len(x), 4096):
+        own = slice(a, a + 4096)
+        good[own] = np.abs(counts[x[own]] - counts[y[own]]).sum(axis=1, dtype=np.int64) <= 4 * most[own]
+    return good
+
+
 def within(texts: list[bytes], x: np.ndarray, y: np.ndarray, most_of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """For each pair of texts whether its edit distance in code points is at most what most_of (MOST at most) says of
     the length of the shorter one."""
@@ -38,7 +56,8 @@ def within(texts: list[bytes], x: np.ndarray, y: np.ndarray, most_of: Callable[[
     start_a, start_b, n, m = offsets[x], offsets[y], size[x], size[y]
     out, most = np.zeros(len(n), bool), most_of(np.minimum(n, m))
     bands = np.array(BANDS)[np.searchsorted(BANDS, most)]
-    order = np.lexsort((np.maximum(n, m), bands))
+    order = np.flatnonzero(bigrams_allow(flat, offsets, x, y, most))
+    order = order[np.lexsort((np.maximum(n, m)[order], bands[order]))]
     i = 0
     while i < len(order):
         tau, j, width = int(bands[order[i]]), i, 1

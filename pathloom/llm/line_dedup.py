@@ -171,13 +171,13 @@ class Lines:
             return
         stretch, gram = STRETCH << k, 24 if k else 16
         size = self.size[lines]
-        at = np.arange(size.sum()) + np.repeat(self.start[lines] - np.cumsum(size) + size, size)
-        at_most = len(sums) - 1
-        key = sums[np.minimum(at, at_most)]
+        at = np.arange(size.sum(), dtype=np.int32)  # a text has less than 2 GB
+        at += np.repeat((self.start[lines] - np.cumsum(size) + size).astype(np.int32), size)
+        key = sums[np.minimum(at, np.int32(len(sums) - 1))]
         value = np.maximum((key >> np.uint64(32)).astype(np.uint32), np.uint32(1))
         width = stretch - gram + 1
         first = sliding(value, width, np.minimum)
-        last = np.repeat(self.end[lines], size)[: len(first)]
+        last = np.repeat(self.end[lines].astype(np.int32), size)[: len(first)]
         first = np.where(at[: len(first)] + stretch <= last, first, 0)  # no stretch crosses a line's end
         most = sliding(np.concatenate([np.zeros(width - 1, np.uint32), first, np.zeros(width - 1, np.uint32)]), width, np.maximum)
         chosen = np.flatnonzero(value == most)
