@@ -32,8 +32,8 @@ from pathloom.llm.hashing import Stretches, text_blocks, word_bounds
 #: Stands between chunks that are encoded together; its one token comes from no other text.
 MARK = "\x01"
 TAILS = ".,;:!?*#$%&|"
-TABLE_BITS, MOST_WORDS = 21, 1_200_000
-BLOCK_TOKENS = 1 << 20
+TABLE_BITS, MOST_WORDS = 20, 600_000
+BLOCK_TOKENS = 1 << 19
 
 
 class WordTable:
