@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pathloom.llm import chat, fingerprints, jaccard_join, line_dedup, packing, pii, piece_codec, quality_model, quality_rules, suffix_dedup
-from pathloom.llm.common import table, vocabulary
+from pathloom.llm import centroids, chat, fingerprints, jaccard_join, line_dedup, packing, page_text, periodic_runs, pii, piece_codec, quality_model, quality_rules, suffix_dedup
+from pathloom.llm.common import table, vocabulary, whole_text
 
 END_ID, CAPACITY, LEAST_SCORE = 2, 4096, 0.3
 
@@ -58,6 +58,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_jaccard_join, op4_pii, op5_quality_classifier, op6_chat_formatting, op7_suffix_dedup, op8_packing, op9_fingerprints, op10_sentencepiece)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic_runs.digests(periodic_runs.detect(docs, periodic_runs.periodic_text(F.col("doc_id"), whole_text())))
+
+
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages")).drop("n_blocks", "n_main")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, seed=2)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_jaccard_join, op4_pii, op5_quality_classifier, op6_chat_formatting, op7_suffix_dedup, op8_packing, op9_fingerprints, op10_sentencepiece, op11_periodic_runs, op12_page_text, op13_centroids)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE, "op3_jaccard_join": jaccard_join.ORACLE, "op6_chat_formatting": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE, "op3_jaccard_join": jaccard_join.ORACLE, "op6_chat_formatting": chat.ORACLE, "op12_page_text": page_text.ORACLE, "op13_centroids": centroids.oracle()}
