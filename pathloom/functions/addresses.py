@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,3 +64,37 @@ def covers(prefix: Column, address: str) -> Column:
 def dotted(hex8: Column) -> Column:
     """Eight hex digits as a dotted quad."""
     return F.concat_ws(".", *(F.conv(F.substring(hex8, 1 + 2 * i, 2), 16, 10) for i in range(4)))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def v6_text(digits: Column) -> Column:
+    """32 hex digits as an IPv6 address in its canonical text: the longest run of zero groups as `::`, a mapped IPv4
+    address with its dotted quad."""
+
+    def groups(d: Column) -> Column:
+        return F.lower(F.regexp_replace(F.regexp_replace(F.concat(F.lit(":"), d), "([0-9a-fA-F]{4})", "$1:"), ":0{1,3}(?=[0-9a-fA-F])", ":"))
+
+    def shortened(text: Column) -> Column:
+        out = text
+        for n in range(2, 9):  # later ones, which are longer, are asked first
+            run = ":0" * n + ":"
+            at = F.instr(text, run)
+            out = F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), F.lit("::"), F.substr(text, at + len(run)))).otherwise(out)
+        return F.regexp_replace(F.regexp_replace(out, "^:(?!:)", ""), "(?<!:):$", "")
+
+    return let(digits, lambda d: F.when(F.lower(d).startswith("0" * 20 + "ffff"), F.concat(F.lit("::ffff:"), dotted(F.substring(d, 25, 8)))).otherwise(let(groups(d), shortened)))
+
+
+def canonical(text: Column) -> Column:
+    """An address in its one text: a dotted quad also for mapped ones, IPv6 in canonical text; others unchanged. Stored
+    so, addresses compare as texts, and a comparison reaches the scan."""
+
+    def shown(digits: Column) -> Column:
+        mapped = digits.startswith("0" * 20 + "ffff")
+        return F.when(digits.isNull(), text).otherwise(F.when(mapped, dotted(F.substring(digits, 25, 8))).otherwise(v6_text(digits)))
+
+    return F.when(text.contains(":"), let(v6_hex(text), shown)).otherwise(text)

@@ -1,27 +1,28 @@
-"""BMP captures to observations, decoded with DataFrame functions.
+"""BMP captures to observations.
 
 A capture is one session's messages end to end; a small generator finds their boundaries (each message's length tells
-where the next begins, so that part is sequential), and everything else are expressions over the message bytes: headers
-at fixed places, and lists of length-prefixed items folded with `aggregate`. Malformed input never raises: a message
-that doesn't parse is kept with a flag.
-
-Covered: message framing, per-peer header, RIB naming, Initiation texts, UPDATEs with IPv4 routes, MP_REACH/UNREACH of
-IPv6 routes, add-path, the common attributes, End-of-RIB, Peer Up/Down, statistics.
+where the next begins, so that part is sequential), headers are expressions over fixed places, lists and UPDATEs are
+parsed a batch at a time (`items`, `update`). Malformed input never raises: a message that doesn't parse is kept with a
+flag. `sessions` puts messages in the context of their session.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+
+from pathloom.functions.addresses import v6_text
+from pathloom.sources.items import TLVS, listed, walk
+from pathloom.sources.update import decode
 
 VERSION, HEAD, PEER_HEAD, BGP_HEAD = 3, 6, 42, 19
 MOST_BYTES = 1 << 20
 ROUTE_MONITORING, STATISTICS, PEER_DOWN, PEER_UP, INITIATION = range(5)
-ATTRIBUTE = "struct<flags:int,code:int,value:binary>"
-PREFIX = "struct<prefix:string,path_id:bigint>"
 
 
 def messages(files: DataFrame) -> DataFrame:
@@ -62,79 +63,13 @@ def v4(data: Column, at: int = 0) -> Column:
 
 
 def v6(data: Column) -> Column:
-    """Sixteen bytes as eight groups, leading zeros dropped, no `::`."""
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lower(F.conv(F.hex(F.substring(data, 2 * i + 1, F.lit(2))), 16, 16))), ":")
+    return v6_text(F.hex(data))
 
 
 def address(data: Column, at: int, is_v6: Column) -> Column:
     return F.when(is_v6, v6(piece(data, at, 16))).otherwise(v4(data, at + 12))
 
 
-def folded(data: Column, item: str, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
-    """Items of a length-prefixed list, or null if it doesn't end where the data does. `step(data, at)` gives whether
-    an item is there, the item, and where the next begins."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("items"), F.lit(True).alias("good"))
-
-    def one(acc: Column, _: Column) -> Column:
-        good, found, after = step(data, acc["at"])
-        ok = F.coalesce(good & (after <= F.length(data)), F.lit(False))
-        more = acc["good"] & (acc["at"] < F.length(data))
-        return F.struct(
-            F.when(more & ok, after.cast("int")).otherwise(acc["at"]).alias("at"), F.when(more & ok, F.array_append(acc["items"], found)).otherwise(acc["items"]).alias("items"), (acc["good"] & (~more | ok)).alias("good")
-        )
-
-    rounds = F.sequence(F.lit(0), F.length(data))
-    return F.aggregate(rounds, start, one, lambda a: F.when(a["good"] & (a["at"] == F.length(data)), a["items"]))
-
-
-def prefixes(data: Column, width: int, add_path: Column) -> Column:
-    """Prefixes of 32 or 128 bits, each with a path id first if add-path was negotiated."""
-
-    def step(d: Column, at: Column) -> tuple[Column, Column, Column]:
-        skip = F.when(add_path, 4).otherwise(0)
-        bits = number(d, at + skip, 1)
-        size = F.ceil(bits / 8).cast("int")
-        padded = F.unhex(F.rpad(F.hex(piece(d, at + skip + 1, size)), width // 4, "0"))
-        text = v4(padded) if width == 32 else v6(padded)
-        path = F.when(add_path, number(d, at, 4)).otherwise(F.lit(0).cast("long"))
-        return bits <= width, F.struct(F.concat_ws("/", text, bits.cast("string")).alias("prefix"), path.alias("path_id")), at + skip + 1 + size
-
-    return folded(data, PREFIX, step)
-
-
-def attributes(data: Column) -> Column:
-    def step(d: Column, at: Column) -> tuple[Column, Column, Column]:
-        flags = number(d, at, 1).cast("int")
-        wide = flags.bitwiseAND(F.lit(16)) != 0
-        head = F.when(wide, 4).otherwise(3)
-        size = F.when(wide, number(d, at + 2, 2)).otherwise(number(d, at + 2, 1)).cast("int")
-        return size.isNotNull(), F.struct(flags.alias("flags"), number(d, at + 1, 1).cast("int").alias("code"), piece(d, at + head, size).alias("value")), at + head + size
-
-    return folded(data, ATTRIBUTE, step)
-
-
-def numbers(data: Column, size: int) -> Column:
-    """Consecutive numbers of so many bytes."""
-    n = F.floor(F.length(data) / size).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: number(data, i * size, size))).otherwise(F.array().cast("array<bigint>"))
-
-
-def as_path(data: Column, four: Column) -> Column:
-    """All segments' ASes in one list; null if malformed."""
-
-    def step(d: Column, at: Column) -> tuple[Column, Column, Column]:
-        kind, n = number(d, at, 1), number(d, at + 1, 1)
-        size = (n * F.when(four, 4).otherwise(2)).cast("int")
-        own = piece(d, at + 2, size)
-        return kind.between(1, 4), F.when(four, numbers(own, 4)).otherwise(numbers(own, 2)), at + 2 + size
-
-    return F.flatten(folded(data, "array<bigint>", step))
-
-
-def value(code: int) -> Column:
-    return F.get(F.filter("attrs", lambda a: a["code"] == code), 0)["value"]
-
-
 def peer_columns(body: Column) -> dict[str, Column]:
     kind, flags = number(body, 0, 1), number(body, 1, 1)
     bit = lambda mask: flags.bitwiseAND(F.lit(mask)) != 0
@@ -146,38 +81,20 @@ def peer_columns(body: Column) -> dict[str, Column]:
     }
 
 
+def route_messages(found: DataFrame) -> DataFrame:
+    """Route monitoring messages with the peer's columns and `data`, the UPDATE's body: null if the BGP header's length
+    isn't that of the message or it is no UPDATE."""
+    body = F.col("body")
+    rows = found.where((F.col("type") == ROUTE_MONITORING) & (F.length("body") >= PEER_HEAD)).withColumns(peer_columns(body))
+    fits = (number(body, PEER_HEAD + 16, 2) == F.length(body) - PEER_HEAD) & (number(body, PEER_HEAD + 18, 1) == 2)
+    return rows.withColumn("data", F.when(fits, piece(body, PEER_HEAD + BGP_HEAD))).drop("body", "type")
+
+
 def updates(found: DataFrame, add_path: Column | None = None) -> DataFrame:
-    """A row per UPDATE: header, attributes, announced and withdrawn prefixes by family, End-of-RIB, parse flags.
-    Attributes that break the path or next hop turn announcements into withdrawals."""
-    body, add_path = F.col("body"), F.lit(False) if add_path is None else add_path
-    u = found.where((F.col("type") == ROUTE_MONITORING) & (F.length("body") >= PEER_HEAD + BGP_HEAD) & (number(body, PEER_HEAD + 18, 1) == 2)).withColumns(peer_columns(body)).withColumn("data", piece(body, PEER_HEAD + BGP_HEAD))
-    gone = F.coalesce(number(F.col("data"), 0, 2), F.lit(0)).cast("int")
-    u = u.withColumns({"withdrawn_raw": piece(F.col("data"), 2, gone), "attr_size": number(F.col("data"), gone + 2, 2).cast("int")})
-    after = F.length("withdrawn_raw") + 4
-    u = u.withColumns({"attrs": attributes(piece(F.col("data"), after, F.col("attr_size"))), "nlri_raw": piece(F.col("data"), after + F.col("attr_size"))})
-    reach, unreach = value(14), value(15)
-    u = u.withColumns({"reach": reach, "unreach": unreach, "mp_hop_size": number(reach, 3, 1).cast("int"), "path": as_path(value(2), F.col("four_byte"))})
-    none = F.array().cast(f"array<{PREFIX}>")
-    is_v6 = lambda c: (number(c, 0, 2) == 2) & (number(c, 2, 1) == 1)
-    mp_new = F.when(is_v6(F.col("reach")), prefixes(piece(F.col("reach"), F.col("mp_hop_size") + 5), 128, add_path)).otherwise(none)
-    mp_gone = F.when(is_v6(F.col("unreach")), prefixes(piece(F.col("unreach"), 3), 128, add_path)).otherwise(none)
-    u = u.withColumns({"new4": prefixes(F.col("nlri_raw"), 32, add_path), "gone4": prefixes(F.col("withdrawn_raw"), 32, add_path), "new6": mp_new, "gone6": mp_gone})
-    parsed = F.col("attrs").isNotNull() & F.col("new4").isNotNull() & F.col("gone4").isNotNull() & F.col("new6").isNotNull() & F.col("gone6").isNotNull()
-    carries = F.coalesce((F.size("new4") > 0) | (F.size("new6") > 0), F.lit(False))
-    broken = carries & (F.col("path").isNull() | (F.coalesce(F.length(value(1)), F.lit(0)) != 1) | ((F.size("new4") > 0) & (F.coalesce(F.length(value(3)), F.lit(0)) != 4)))
-    u = u.withColumns({"parsed": F.coalesce(parsed, F.lit(False)), "broken": broken})
-    bare = (F.length("withdrawn_raw") == 0) & (F.length("nlri_raw") == 0)
-    fold = lambda new, old: F.when(F.col("broken"), F.concat(old, new)).otherwise(old)
-    hop = F.when(F.col("mp_hop_size") >= 16, v6(piece(F.col("reach"), 4, 16))).otherwise(F.when(F.length(value(3)) == 4, v4(value(3))))
-    return u.select(
-        "path", "seq", "peer_ip", "rib", "peer_asn", "peer_bgp_id", "ts_router",
-        F.when(F.col("broken"), none).otherwise(F.col("new4")).alias("announced4"), fold(F.col("new4"), F.col("gone4")).alias("withdrawn4"),
-        F.when(F.col("broken"), none).otherwise(F.col("new6")).alias("announced6"), fold(F.col("new6"), F.col("gone6")).alias("withdrawn6"),
-        number(value(1), 0, 1).cast("byte").alias("origin"), F.col("path").alias("as_path"), hop.alias("next_hop"), number(value(4), 0, 4).alias("med"), number(value(5), 0, 4).alias("local_pref"),
-        numbers(value(8), 4).alias("communities"),
-        (F.col("parsed") & bare & ((F.col("attr_size") == 0) | ((F.size("attrs") == 1) & (F.coalesce(F.length("unreach"), F.lit(0)) == 3)))).alias("end_of_rib"),
-        F.when(~F.col("parsed"), F.array(F.lit("undecodable"))).when(F.col("broken"), F.array(F.lit("treat_as_withdraw"))).otherwise(F.array().cast("array<string>")).alias("parse_flags"),
-    )
+    """A row per UPDATE without regard to its session: AS paths are read as the peer header says, path ids as told."""
+    ids = F.when(F.lit(False) if add_path is None else add_path, F.array(F.lit("ipv4u"), F.lit("ipv6u"))).otherwise(F.array().cast("array<string>"))
+    caps = F.struct(F.lit(True).alias("known"), F.col("four_byte").alias("four_byte"), F.array(F.lit("ipv4u")).alias("mp"), ids.alias("add_path"))
+    return decode(route_messages(found).withColumn("caps", caps)).withColumnRenamed("flags", "parse_flags")
 
 
 def peer_messages(found: DataFrame) -> DataFrame:
@@ -193,12 +110,18 @@ def peer_messages(found: DataFrame) -> DataFrame:
     )
 
 
+TLV_LIST = ArrayType(StructType([StructField("code", IntegerType()), StructField("value", BinaryType())]))
+
+
 def tlvs(data: Column) -> Column:
-    def step(d: Column, at: Column) -> tuple[Column, Column, Column]:
-        size = number(d, at + 2, 2).cast("int")
-        return size.isNotNull(), F.struct(number(d, at, 2).cast("int").alias("code"), piece(d, at + 4, size).alias("value")), at + 4 + size
+    """Codes and values; null if malformed."""
+
+    @F.arrow_udf(TLV_LIST)
+    def parse(column: pa.Array) -> pa.Array:
+        items, bad = walk(column, TLVS)
+        return listed(len(column), items.row, bad, pa.StructArray.from_arrays([pa.array(items.code, pa.int32()), pa.array(items.values(), pa.binary())], ["code", "value"]))
 
-    return folded(data, "struct<code:int,value:binary>", step)
+    return parse(data)
 
 
 def initiations(found: DataFrame) -> DataFrame:

@@ -48,13 +48,13 @@ def test_updates(spark):
     )
     rows = capture.updates(found).orderBy("seq").collect()
     first = rows[0]
-    assert [tuple(p) for p in first["announced4"]] == [("192.0.2.0/24", 0), ("10.0.0.0/8", 0)]
+    assert [tuple(p) for p in first["announced"]] == [("192.0.2.0/24", 0), ("10.0.0.0/8", 0)]
     assert (first["as_path"], first["next_hop"], first["med"], first["local_pref"], first["communities"]) == ([65001, 64500], "10.2.0.1", 7, None, [65000 << 16 | 1, 9])
     assert (first["peer_ip"], first["peer_asn"], first["rib"], first["parse_flags"]) == ("10.1.0.1", 65001, "in_pre", [])
-    assert rows[1]["rib"] == "in_post" and [p["prefix"] for p in rows[1]["withdrawn4"]] == ["192.0.2.0/24"]
+    assert rows[1]["rib"] == "in_post" and [p["prefix"] for p in rows[1]["withdrawn"]] == ["192.0.2.0/24"]
     assert [r["end_of_rib"] for r in rows] == [False, False, True, False, False, True, False]
-    assert rows[3]["rib"] == "loc_rib" and rows[3]["parse_flags"] == ["treat_as_withdraw"] and [p["prefix"] for p in rows[3]["withdrawn4"]] == ["10.0.0.0/8"] and rows[3]["announced4"] == []
-    assert [p["prefix"] for p in rows[4]["announced6"]] == ["2001:db8:0:0:0:0:0:0/32"] and rows[4]["next_hop"] == "2001:db8:0:0:0:0:0:1"
+    assert rows[3]["rib"] == "loc_rib" and rows[3]["parse_flags"] == ["treat_as_withdraw"] and [p["prefix"] for p in rows[3]["withdrawn"]] == ["10.0.0.0/8"] and rows[3]["announced"] == []
+    assert [p["prefix"] for p in rows[4]["announced"]] == ["2001:db8::/32"] and rows[4]["next_hop"] == "2001:db8::1"
     assert rows[6]["parse_flags"] == ["undecodable"]
 
 
