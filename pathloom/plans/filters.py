@@ -26,8 +26,8 @@ def equals(filters: object, names: tuple[str, ...]) -> list[Column]:
 
 
 def same_addresses(filters: object) -> list[Column]:
-    """Router and peer by the address, however either side writes it. Rows without a colon are dotted quads, of which
-    each address has one text, so that comparison reaches the scan."""
+    """Router and peer by the address, however the filter writes it: tables hold its one text, which ingest sees to, so
+    the comparison is one of texts and reaches the scan."""
     own = []
     for n in ("router_ip", "peer_ip"):
         if (v := getattr(filters, n)) is not None:
@@ -35,10 +35,7 @@ def same_addresses(filters: object) -> list[Column]:
                 ip = ipaddress.ip_address(v)
             except ValueError as e:
                 raise BadFilter(f"{n} takes an address: {v!r}") from e
-            ip = getattr(ip, "ipv4_mapped", None) or ip
-            packed = ip.packed if ip.version == 6 else bytes(10) + b"\xff\xff" + ip.packed
-            other = F.col(n).contains(":") & (addresses.key(F.col(n)) == F.lit(packed))
-            own.append((F.col(n) == F.lit(str(ip))) | other if ip.version == 4 else other)
+            own.append(F.col(n) == F.lit(str(getattr(ip, "ipv4_mapped", None) or ip)))
     return own
 
 

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom import wire_queries
 from pathloom.current import newest_state
 from pathloom.functions import addresses, communities
 from pathloom.functions.names import down_reason, evpn_shown, protocol
@@ -531,3 +532,7 @@ def b8_anomalies(a):
 @question("SELECT DISTINCT CASE route_type WHEN 2 THEN 'mac-ip ' || mac WHEN 3 THEN 'imet tag ' || ethernet_tag ELSE 'ip-prefix ' || prefix END AS route, CASE WHEN route_type = 2 THEN 'isis-l2' WHEN route_type = 3 THEN 'ospfv2' ELSE 'static' END AS proto FROM route_evpn")
 def a19_descriptions(a):
     return a["route_evpn"].select(evpn_shown(F.col("route_type")).alias("route"), protocol(F.col("route_type")).alias("proto")).distinct()
+
+
+QUERIES |= wire_queries.QUERIES
+ORACLE_SQL |= wire_queries.ORACLE_SQL
