@@ -24,6 +24,8 @@ class Archive:
     as_of: datetime
     stale_after: timedelta = timedelta(seconds=90)
     retention_days: int = 90
+    #: How far back a read of the whole fleet may reach; None: any.
+    most_unscoped: timedelta | None = None
     current: dict[str, DataFrame] = field(default_factory=dict)
 
     def __getitem__(self, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pathloom.schemas import IDENTITY, OBSERVER, SERVED
 
 def markers(archive: Archive) -> DataFrame:
     """Which (observer, session, family) has a marker: existence only, duplicates don't count."""
-    return archive["eor_events"].select(*OBSERVER, "session_id", "family").distinct().withColumn("marked", F.lit(1))
+    return archive.newest("eor_events").select(*OBSERVER, "session_id", "family").distinct().withColumn("marked", F.lit(1))
 
 
 def dump_state(state: str = "state", marked: str = "marked") -> Column:

@@ -12,7 +12,7 @@ from pathloom.functions.names import evpn_shown, looked_up
 from pathloom.operators.latest import latest
 from pathloom.operators.observers import best_rows
 from pathloom.operators.session import PAIR
-from pathloom.plans.filters import Window, all_of
+from pathloom.plans.filters import Window, all_of, any_of
 from pathloom.schemas import FLAGGED, IDENTITY
 
 ARRIVAL = ("ts_collector", "stream_seq")
@@ -127,6 +127,19 @@ def top_rds(archive: Archive, window: Window = Window(), top: int = 50) -> DataF
     return counts.orderBy(F.desc("prefixes"), F.desc("routers"), "rd", "family").limit(top)
 
 
+def vpn_routes_header(archive: Archive, window: Window = Window(), ribs: list[str] | None = None, families: list[str] | None = None, rds: list[str] | None = None) -> DataFrame:
+    """One row on the VPN routes seen: routes, VRFs, targets, routers, and observations that carry no target. Each choice
+    is a list of texts or patterns."""
+    rows = archive.distinct("route_vpn", *window.bounds())
+    if (scope := all_of([c for c in (any_of("rib", ribs), any_of("family", families), any_of("rd", rds)) if c is not None])) is not None:
+        rows = rows.where(scope)
+    # one row a route before anything distinct is counted
+    routes = rows.groupBy("family", "rd", "prefix", "router_ip").agg(F.count_if((F.col("family") != "lu4") & (F.size("route_targets") == 0)).alias("bare"), F.array_distinct(F.flatten(F.collect_set("route_targets"))).alias("targets"))
+    targets = routes.select(F.explode("targets").alias("t")).distinct().agg(F.count(F.lit(1)).alias("n"))
+    facts = routes.agg(F.count(F.lit(1)).alias("routes"), F.count_distinct(F.when(F.col("rd") != "", F.col("rd"))).alias("vrfs"), F.count_distinct("router_ip").alias("routers"), F.coalesce(F.sum("bare"), F.lit(0)).alias("no_route_target"))
+    return facts.withColumn("targets", targets.scalar())
+
+
 def vpn_header(archive: Archive, window: Window = Window()) -> DataFrame:
     return vpn_observations(archive, window).agg(F.count_distinct(F.struct("rd", "prefix")).alias("prefixes"), F.count_distinct(F.when(F.col("rd") != "", F.col("rd"))).alias("rds"), F.count_distinct("router_ip").alias("routers"), F.count_if(F.col("is_withdraw") == 1).alias("withdrawals"))
 

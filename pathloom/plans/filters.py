@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 from dataclasses import dataclass, fields
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column
@@ -25,6 +26,21 @@ def equals(filters: object, names: tuple[str, ...]) -> list[Column]:
     return [F.col(n) == F.lit(v) for n in names if (v := getattr(filters, n, None)) is not None]
 
 
+def any_of(column: str, choices: list[str] | None) -> Column | None:
+    """Whether a column is one of several choices, each a text or a pattern that it must match whole; None: all. Texts
+    alone are compared as such, which reaches the scan."""
+    if not choices:
+        return None
+    if not any(set(c) & set("\\^$|?*+()[]{}") for c in choices):
+        return F.col(column).isin(*choices)
+    try:
+        for c in choices:
+            re.compile(c)
+    except re.error as e:
+        raise BadFilter(f"{column} takes patterns: {choices!r}") from e
+    return F.col(column).rlike("^(?:" + "|".join(choices) + ")$")
+
+
 def same_addresses(filters: object) -> list[Column]:
     """Router and peer by the address, however the filter writes it: tables hold its one text, which ingest sees to, so
     the comparison is one of texts and reaches the scan."""
@@ -137,3 +153,8 @@ class Window:
 
     def bounds(self) -> tuple[datetime | None, datetime | None]:
         return self.since, self.until
+
+    def check_unscoped(self, as_of: datetime, most: timedelta | None) -> None:
+        """Refuse a window that reaches further back than a read without a scope may."""
+        if most is not None and (self.since is None or as_of - self.since > most):
+            raise BadFilter(f"without a scope a window reaches back {most} at most")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.archive import Archive
@@ -20,7 +20,7 @@ EVENT_KEY = ["router_ip", "peer_ip", "rib", "ts_router", "stream_seq"]
 
 def dump_states(archive: Archive) -> DataFrame:
     """Per observer and session: each family's dump state, as a map."""
-    marked = archive["eor_events"].where("family <> 'ls'").select(*OBSERVER, "session_id", "family", F.lit(1).alias("m"))
+    marked = archive.newest("eor_events").where("family <> 'ls'").select(*OBSERVER, "session_id", "family", F.lit(1).alias("m"))
     parts = [archive.newest(t).select(*OBSERVER, "session_id", F.col("family") if t != "route_evpn" else F.lit("evpn").alias("family"), F.lit(0).alias("m")) for t in ("route_unicast", "route_vpn", "route_evpn")]
     families = reduce(DataFrame.unionByName, [marked, *parts]).groupBy(*OBSERVER, "session_id", "family").agg(F.max("m").alias("m"))
     state = F.struct("family", F.when(F.col("m") == 1, "complete").otherwise("dumping"))
@@ -52,6 +52,20 @@ def routers(archive: Archive) -> DataFrame:
     return facts.join(per_peer, [*PAIR, "session_id"])
 
 
+def best_routers(archive: Archive) -> DataFrame:
+    """A row per router, from the collector whose word counts most: one that is heard from before one that is silent,
+    before one that lost its view; then the one that sees most peers; then the greater name."""
+    seen = F.col("up") + F.col("down") + F.col("view_lost") + F.col("stale")
+    tier = F.when(F.col("stale") > 0, 1).when(F.col("up") + F.col("down") > 0, 2).otherwise(0)
+    found = routers(archive)
+    return found.groupBy("router_ip").agg(F.max_by(F.struct(*(c for c in found.columns if c != "router_ip")), F.struct(tier.alias("tier"), seen.alias("seen"), "collector_id")).alias("_b")).select("router_ip", "_b.*")
+
+
+def best_counts(rows: DataFrame, keys: list[str], measure: Column, name: str) -> DataFrame:
+    """A measure of each collector's rows alone, the largest per key: a second observer must not make a count grow."""
+    return rows.groupBy(*keys, "collector_id").agg(measure.alias(name)).groupBy(*keys).agg(F.max(name).alias(name))
+
+
 def collectors(archive: Archive) -> DataFrame:
     """A row per (collector, router) with the collector's heartbeat facts and newest row over all tables."""
     rows = [archive[t].select("collector_id", "ts_collector") for t in FLAGGED if t in archive.tables]
@@ -63,8 +77,7 @@ def collectors(archive: Archive) -> DataFrame:
 
 def collector_activity(archive: Archive, start: datetime, end: datetime) -> DataFrame:
     """Rows archived per collector and minute, minutes without rows as 0."""
-    window = all_of(Window(start, end).conditions())
-    rows = reduce(DataFrame.unionByName, [archive[t].where(window).select("collector_id", "ts_collector") for t in FLAGGED if t in archive.tables])
+    rows = reduce(DataFrame.unionByName, [archive.scan(t, start, end).select("collector_id", "ts_collector") for t in FLAGGED if t in archive.tables])
     counts = rows.groupBy("collector_id", F.date_trunc("minute", "ts_collector").alias("minute")).agg(F.count(F.lit(1)).alias("rows"))
     spine = counts.select("collector_id").distinct().select("collector_id", F.explode(F.expr(f"sequence(timestamp'{start:%Y-%m-%d %H:%M:00}', timestamp'{end:%Y-%m-%d %H:%M:00}' - interval 1 minute, interval 1 minute)")).alias("minute"))
     return spine.join(counts, ["collector_id", "minute"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
@@ -73,10 +86,12 @@ def collector_activity(archive: Archive, start: datetime, end: datetime) -> Data
 def peer_events(archive: Archive, window: Window = Window(), router_ip: str | None = None, peer_ip: str | None = None, after: tuple[datetime, int] | None = None, limit: int = 1000) -> DataFrame:
     """Peer events, newest first; duplicates resolved by the newest arrival. A fleet-wide read needs `since`.
     `after`: (ts_collector, stream_seq) of the last event seen."""
-    if router_ip is None and window.since is None:
-        raise BadFilter("events of the whole fleet need since")
-    rows = archive["peer_events"]
-    scope = window.conditions() + [F.col(c) == v for c, v in (("router_ip", router_ip), ("peer_ip", peer_ip)) if v is not None]
+    if router_ip is None:
+        if window.since is None:
+            raise BadFilter("events of the whole fleet need since")
+        window.check_unscoped(archive.as_of, archive.most_unscoped)
+    rows = archive.scan("peer_events", *window.bounds())
+    scope = [F.col(c) == v for c, v in (("router_ip", router_ip), ("peer_ip", peer_ip)) if v is not None]
     if (c := all_of(scope)) is not None:
         rows = rows.where(c)
     others = ["ts_collector", "seq", "session_id", "collector_id", "router_sysname", "peer_asn", "kind", "down_reason", "local_ip", "local_port", "remote_port"]
@@ -87,7 +102,7 @@ def peer_events(archive: Archive, window: Window = Window(), router_ip: str | No
 
 
 def count_events(archive: Archive, window: Window) -> DataFrame:
-    rows = archive["peer_events"].where(all_of(window.conditions()))
+    rows = archive.scan("peer_events", *window.bounds())
     return rows.select(*EVENT_KEY).distinct().agg(F.count(F.lit(1)).alias("total"))
 
 

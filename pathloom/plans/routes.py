@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from pathloom.archive import Archive
 from pathloom.functions.communities import BadFilter
@@ -29,17 +30,20 @@ class SessionChanged(RuntimeError):
     """The walk's session is no longer the current one."""
 
 
-def live_routes(archive: Archive, table: str, filters: RouteFilter, semi_join: bool = True) -> DataFrame:
+def live_routes(archive: Archive, table: str, filters: RouteFilter, semi_join: bool = True, only: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
     """The newest observation of each route of the current sessions of served peers, unless it is a withdrawal.
 
     Attribute conditions hold of the newest observation, so they come after the aggregation; with `semi_join` they
-    first pick, from raw observations, the keys that can match at all, which spares the aggregation the others."""
+    first pick, from raw observations, the keys that can match at all, which spares the aggregation the others.
+    `only`: a page's keys, a bounded number, to which rows are held first. `columns`: the attributes wanted."""
     key = IDENTITY[table]
     rows = archive.newest(table)
     if (narrow := all_of(filters.narrow())) is not None:
         rows = rows.where(narrow)
+    if only is not None:
+        rows = rows.join(F.broadcast(only), all_of([rows[k].eqNullSafe(only[k]) for k in key]), "left_semi")
     wide = all_of(filters.wide())
-    columns = ["is_withdraw", *ATTRIBUTES, *EXTRA[table]]
+    columns = ["is_withdraw", *(ATTRIBUTES + EXTRA[table] if columns is None else columns)]
     if table in archive.current:  # a row is the newest of its key already
         rows = rows.where("is_withdraw = 0") if wide is None else rows.where(F.col("is_withdraw") == 0).where(wide)
         return rows.join(served(archive), [*PAIR, "peer_ip", "session_id"], "left_semi").select(*key, "session_id", *columns)
@@ -84,9 +88,7 @@ def all_routes(archive: Archive, filters: RouteFilter) -> DataFrame:
 
 def route_history(archive: Archive, prefix: str, window: Window = Window(), table: str = "route_unicast") -> DataFrame:
     """Every distinct observation of a prefix, newest first; a redelivered one counts once."""
-    rows = archive[table].where(F.col("prefix") == prefix)
-    if (c := all_of(window.conditions())) is not None:
-        rows = rows.where(c)
+    rows = archive.scan(table, *window.bounds()).where(F.col("prefix") == prefix)
     columns = ["ts_collector", "ts_router", "seq", "stream_seq", "session_id", *IDENTITY[table], "next_hop", "as_path"]
     action = F.when(F.col("is_withdraw") == 1, "withdraw").otherwise("announce").alias("action")
     return rows.select(*columns, action).distinct().orderBy(F.desc("ts_collector"), F.desc("seq"), F.desc("stream_seq"))
@@ -128,19 +130,28 @@ def start_walk(archive: Archive, router_ip: str, peer_ip: str, collector_id: str
 
 
 def walk_page(archive: Archive, cursor: Cursor, limit: int = PAGE) -> tuple[DataFrame, Cursor | None]:
-    """A page in keyset order and the cursor of the next one, if there is one (told by one row more)."""
+    """A page in keyset order and the cursor of the next one, if there is one (told by one row more). The page's keys are
+    found first, from narrow columns only, and taken to the driver (MOST and one at most); attributes are then read for
+    those keys alone, from the prefixes between the page's first and last."""
     limit = min(max(1, limit), MOST)
     filters = RouteFilter(collector_id=cursor.collector_id, router_ip=cursor.router_ip, peer_ip=cursor.peer_ip)
-    keyed = walk_order(live_routes(archive, cursor.table, filters).where(F.col("session_id") == cursor.session_id), cursor.table)
+    key = IDENTITY[cursor.table]
+    keyed = walk_order(live_routes(archive, cursor.table, filters, columns=[]).where(F.col("session_id") == cursor.session_id), cursor.table)
     if cursor.last is not None:
         keyed = keyed.where(F.col("_key") > F.struct(*(F.lit(v).cast(t) for v, t in zip(cursor.last, _types(keyed), strict=True))))
-    page = keyed.orderBy("_key").limit(limit + 1)
-    keys = [tuple(r["_key"]) for r in page.select("_key").collect()]
+    rows = keyed.orderBy("_key").limit(limit + 1).select(*key, "_key").collect()
+    keys = [tuple(r["_key"]) for r in rows]
     now = current(archive).where((F.col("collector_id") == cursor.collector_id) & (F.col("router_ip") == cursor.router_ip)).select("session_id").first()
     if now is None or now["session_id"] != cursor.session_id:
         raise SessionChanged("the session was superseded during the walk")
     more = Cursor(**{**cursor.__dict__, "last": keys[limit - 1]}) if len(keys) > limit else None
-    return decorated(archive, cursor.table, page.limit(limit)).orderBy("_key").drop("_key"), more
+    kinds = {f.name: f.dataType for f in keyed.schema}
+    spark, own = archive.tables[cursor.table].sparkSession, [r[:-1] for r in rows[:limit]]
+    wanted = spark.createDataFrame(own, StructType([StructField(k, kinds[k]) for k in key]))
+    prefixes = [r[key.index("prefix")] for r in own if r[key.index("prefix")] is not None]
+    within = F.col("prefix").between(min(prefixes), max(prefixes)) | F.col("prefix").isNull() if prefixes else F.lit(True)
+    page = live_routes(archive, cursor.table, filters, only=wanted).where(F.col("session_id") == cursor.session_id).where(within)
+    return walk_order(decorated(archive, cursor.table, page), cursor.table).orderBy("_key").drop("_key"), more
 
 
 def walk_order(routes: DataFrame, table: str) -> DataFrame:

@@ -14,9 +14,10 @@ from pathloom.functions import addresses, communities
 from pathloom.functions.names import down_reason, evpn_shown, protocol
 from pathloom.operators import session
 from pathloom.operators.dumps import classified
-from pathloom.plans import churn, dashboards, linkstate, lookup, peers, routes, topology
+from pathloom.plans import churn, dashboards, linkstate, lookup, peers, results, routes, topology
 from pathloom.plans.filters import LinkStateFilter, RouteFilter, Window
 from pathloom.sources.bridge import bridge, oracle_ctes
+from pathloom.streaming import lag
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -534,5 +535,78 @@ def a19_descriptions(a):
     return a["route_evpn"].select(evpn_shown(F.col("route_type")).alias("route"), protocol(F.col("route_type")).alias("proto")).distinct()
 
 
+# --- pages with totals
+
+
+def page_of(name: str, order: str, limit: int) -> str:
+    """The first rows of another question's SQL, with how many there are."""
+    return f"SELECT *, count(*) OVER () AS total_matched FROM ({ORACLE_SQL[name]}) ORDER BY {order} LIMIT {limit}"
+
+
+def page(of: str, report: str, order: str, limit: int) -> Callable[[Callable], Callable]:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = lambda spark, sf_dir: results.with_total(f(bridge(spark, sf_dir)), results.order_of(report), limit)
+        ORACLE_SQL[f.__name__] = page_of(of, order, limit)
+        return f
+
+    return add
+
+
+@page("q16_dump_counts", "dumps", "archived DESC, router_ip", 3)
+def w3_dump_counts_page(a):
+    return churn.dump_counts(a, LONG)
+
+
+@page("q17_session_counts", "sessions", "sessions DESC, router_ip", 2)
+def w3_session_counts_page(a):
+    return churn.session_counts(a, DAY)
+
+
+@page("q18_locrib_comparison", "locrib", "archived DESC, router_ip, CAST(split_part(peer_ip, '.', 4) AS INTEGER)", 7)
+def w3_locrib_page(a):
+    return churn.locrib_comparison(a)
+
+
+@page("q19_flag_counts", "flags", "envelopes DESC, flag", 2)
+def w3_flag_counts_page(a):
+    return churn.flag_counts(a)
+
+
+# --- best observers, choices, what the log lacks
+
+
+@question("""SELECT router_ip, sysname, collector_id, up, down, view_lost, stale FROM (SELECT *, row_number() OVER (PARTITION BY router_ip ORDER BY CASE WHEN stale > 0 THEN 1 WHEN up + down > 0 THEN 2 ELSE 0 END DESC, up + down + view_lost + stale DESC, collector_id DESC) AS place
+  FROM rs JOIN rp USING (collector_id, router_ip, session_id)) WHERE place = 1""", SESSIONS, ROUTERS)
+def c4_best_routers(a):
+    return peers.best_routers(a).select("router_ip", "sysname", "collector_id", "up", "down", "view_lost", "stale")
+
+
+@question(f"SELECT router_ip, max(downs) AS downs FROM (SELECT router_ip, collector_id, count(*) FILTER (WHERE kind = 'down') AS downs FROM peer_events WHERE {window_sql(DAY)} GROUP BY ALL) GROUP BY 1")
+def c4_best_down_counts(a):
+    return peers.best_counts(a.scan("peer_events", *DAY.bounds()), ["router_ip"], F.count_if(F.col("kind") == "down"), "downs")
+
+
+CHOSEN = """chosen AS (SELECT * FROM route_vpn WHERE regexp_full_match(rib, 'in_.*') AND family IN ('vpn4', 'vpn6') AND rd IN ('65000:1', '65000:2', '65000:5'))"""
+
+
+@question("SELECT count(DISTINCT (family, rd, prefix, router_ip)) AS routes, count(DISTINCT rd) FILTER (WHERE rd <> '') AS vrfs, count(DISTINCT router_ip) AS routers, CAST(count(*) FILTER (WHERE family <> 'lu4' AND len(route_targets) = 0) AS BIGINT) AS no_route_target, (SELECT count(DISTINCT t) FROM (SELECT unnest(route_targets) AS t FROM chosen)) AS targets FROM chosen", CHOSEN)
+def f15_vpn_choices(a):
+    return dashboards.vpn_routes_header(a, ribs=["in_.*"], families=["vpn4", "vpn6"], rds=["65000:1", "65000:2", "65000:5"])
+
+
+DELIVERED = "delivered AS (" + " UNION ".join(f"SELECT '{s}' AS stream, stream_seq FROM {t}" for t, s in (("route_unicast", "routes"), ("route_vpn", "routes"), ("route_evpn", "routes"), ("ls_nodes", "ls"), ("ls_links", "ls"), ("ls_prefixes", "ls"), ("peer_events", "peer"), ("eor_events", "peer"), ("stats_events", "stats"))) + ")"
+GAPS = "gaps AS (SELECT stream, after, before, before - after - 1 AS missing FROM (SELECT stream, lag(stream_seq) OVER (PARTITION BY stream ORDER BY stream_seq) AS after, stream_seq AS before FROM delivered) WHERE before - after > 1)"
+
+
+@question("SELECT * FROM gaps", DELIVERED, GAPS)
+def t11_gaps(a):
+    return lag.gaps(a, stretch=500)
+
+
+@question("SELECT stream, first, last, archived, last - first + 1 - archived AS missing, coalesce(gaps, 0) AS gaps, 0::BIGINT AS redelivered FROM (SELECT stream, min(stream_seq) AS first, max(stream_seq) AS last, count(*) AS archived FROM delivered GROUP BY 1) LEFT JOIN (SELECT stream, count(*) AS gaps FROM gaps GROUP BY 1) USING (stream)", DELIVERED, GAPS)
+def t11_accounts(a):
+    return lag.accounts(a)
+
+
 QUERIES |= wire_queries.QUERIES
 ORACLE_SQL |= wire_queries.ORACLE_SQL

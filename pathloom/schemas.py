@@ -35,6 +35,7 @@ IDENTITY = {
     "ls_links": [*OBSERVER, "protocol", "identifier", *(f"{side}_{c}" for side in ("local", "remote") for c in NODE_KEY[2:]), "local_ifaddr", "remote_ifaddr", "link_local_id", "link_remote_id"],
     "ls_prefixes": [*OBSERVER, *NODE_KEY, "prefix", "prefix_len"],
     "peer_events": OBSERVER,
+    "eor_events": [*OBSERVER, "family"],
 }
 ROUTES = ("route_unicast", "route_vpn", "route_evpn")
 FLAGGED = (*ROUTES, "ls_events", "ls_nodes", "ls_links", "ls_prefixes", "peer_events", "eor_events", "stats_events")
