@@ -27,12 +27,18 @@ class Archive:
     #: How far back a read of the whole fleet may reach; None: any.
     most_unscoped: timedelta | None = None
     current: dict[str, DataFrame] = field(default_factory=dict)
+    #: Where the current tables are, for questions on one peer.
+    kept: CurrentTables | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name].drop("month")
 
-    def newest(self, name: str) -> DataFrame:
-        """Rows among which the newest of each identity and session is: the current table, or else history."""
+    def newest(self, name: str, router_ip: str | None = None, peer_ip: str | None = None) -> DataFrame:
+        """Rows among which the newest of each identity and session is: the current table (of one peer, its bucket), or
+        else history."""
+        if name in self.current and self.kept is not None and router_ip is not None and peer_ip is not None:
+            own = self.kept.of_peer(name, router_ip, peer_ip)
+            return self.current[name].limit(0) if own is None else own
         return self.current[name] if name in self.current else self[name]
 
     def scan(self, name: str, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
@@ -73,4 +79,4 @@ def open_archive(spark: SparkSession, path: str, as_of: datetime, since: datetim
         tables[name] = rows
         if name in IDENTITY and (newest := kept.read(name)) is not None:
             current[name] = newest
-    return Archive(tables, as_of, current=current)
+    return Archive(tables, as_of, current=current, kept=kept)

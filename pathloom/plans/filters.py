@@ -41,18 +41,21 @@ def any_of(column: str, choices: list[str] | None) -> Column | None:
     return F.col(column).rlike("^(?:" + "|".join(choices) + ")$")
 
 
+def one_text(address: str | None) -> str | None:
+    """An address as tables write it."""
+    if address is None:
+        return None
+    try:
+        ip = ipaddress.ip_address(address)
+    except ValueError as e:
+        raise BadFilter(f"not an address: {address!r}") from e
+    return str(getattr(ip, "ipv4_mapped", None) or ip)
+
+
 def same_addresses(filters: object) -> list[Column]:
     """Router and peer by the address, however the filter writes it: tables hold its one text, which ingest sees to, so
     the comparison is one of texts and reaches the scan."""
-    own = []
-    for n in ("router_ip", "peer_ip"):
-        if (v := getattr(filters, n)) is not None:
-            try:
-                ip = ipaddress.ip_address(v)
-            except ValueError as e:
-                raise BadFilter(f"{n} takes an address: {v!r}") from e
-            own.append(F.col(n) == F.lit(str(getattr(ip, "ipv4_mapped", None) or ip)))
-    return own
+    return [F.col(n) == F.lit(one_text(v)) for n in ("router_ip", "peer_ip") if (v := getattr(filters, n)) is not None]
 
 
 @dataclass(frozen=True)

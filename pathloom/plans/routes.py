@@ -16,7 +16,7 @@ from pathloom.functions.names import origin_asn, rib_order, vpn_label
 from pathloom.operators.dumps import dump_state, markers
 from pathloom.operators.latest import latest
 from pathloom.operators.session import PAIR, current, peer_state, served
-from pathloom.plans.filters import RouteFilter, Window, all_of
+from pathloom.plans.filters import RouteFilter, Window, all_of, one_text
 from pathloom.schemas import IDENTITY
 
 ATTRIBUTES = ["origin", "as_path", "next_hop", "med", "local_pref", "communities", "ext_communities", "route_targets", "large_communities"]
@@ -37,7 +37,7 @@ def live_routes(archive: Archive, table: str, filters: RouteFilter, semi_join: b
     first pick, from raw observations, the keys that can match at all, which spares the aggregation the others.
     `only`: a page's keys, a bounded number, to which rows are held first. `columns`: the attributes wanted."""
     key = IDENTITY[table]
-    rows = archive.newest(table)
+    rows = archive.newest(table, *(one_text(a) for a in (filters.router_ip, filters.peer_ip)))
     if (narrow := all_of(filters.narrow())) is not None:
         rows = rows.where(narrow)
     if only is not None:

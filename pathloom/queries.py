@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom import wire_queries
-from pathloom.current import newest_state
+from pathloom.archive import Archive
+from pathloom.current import CurrentTables, newest_state
 from pathloom.functions import addresses, communities
 from pathloom.functions.names import down_reason, evpn_shown, protocol
 from pathloom.operators import session
@@ -105,13 +109,29 @@ def q1_routes_origin_asn(a):
     return route_out(routes.current_routes(a, RouteFilter(origin_asn=ASN)))
 
 
+def with_current(a: Archive, *names: str) -> Archive:
+    """The archive with current tables, written as ingest writes them and read back."""
+    spark = a[names[0]].sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pathloom-")
+    kept = CurrentTables(spark, f"{root}/current/{uuid.uuid4().hex}")
+    for n in names:
+        kept.replace(n, newest_state(a[n], n))
+    return replace(a, current={n: kept.read(n) for n in names}, kept=kept)
+
+
 @question(f"SELECT {ROUTE_OUT} FROM shown WHERE origin_asn = {ASN}", SESSIONS, UNICAST)
 def q1_routes_origin_asn_current(a):
-    """The same from a current table: no aggregation when asked."""
-    a.current["route_unicast"] = newest_state(a["route_unicast"], "route_unicast")
+    """The same from a stored current table: no aggregation when asked."""
+    a = with_current(a, "route_unicast")
     return route_out(routes.current_routes(a, RouteFilter(origin_asn=ASN)))
 
 
+@question(f"SELECT {ROUTE_OUT} FROM shown WHERE router_ip = '10.0.0.1' AND peer_ip = '10.1.0.1' AND list_contains(as_path, {THROUGH})", SESSIONS, UNICAST)
+def t9_routes_of_one_peer(a):
+    """One bucket of a stored current table."""
+    return route_out(routes.current_routes(with_current(a, "route_unicast"), RouteFilter(router_ip="10.0.0.1", peer_ip="::ffff:10.1.0.1", through_asn=THROUGH)))
+
+
 @question(f"SELECT {ROUTE_OUT} FROM shown WHERE list_contains(as_path, {THROUGH})", SESSIONS, UNICAST)
 def q1_routes_through_asn(a):
     return route_out(routes.current_routes(a, RouteFilter(through_asn=THROUGH)))

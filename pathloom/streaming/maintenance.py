@@ -39,8 +39,7 @@ def clean_up(spark: SparkSession, path: str) -> None:
         return
     floor = floors(peers)
     for table in sorted(CURRENT, key=lambda t: t == "peer_events"):
-        if (rows := tables.read(table)) is not None:
-            tables.replace(table, without_superseded(rows, floor))
+        tables.rewrite(table, lambda rows: without_superseded(rows, floor))
 
 
 def purge_plan(archive: Archive, collector: str, router: str | None = None) -> DataFrame:
