@@ -164,9 +164,9 @@ FORGET[__name__] = loaded.cache_clear
 
 
 def score(docs: DataFrame, model: bytes, name: str = "score", columns: list[str] | None = None, least: float | None = None) -> DataFrame:
-    """`columns` of docs (all, if None) with the score as one more column, named so that it clashes with none; only
-    rows of at least `least`, if given."""
-    kept = docs.columns if columns is None else columns
+    """`columns` of docs (all, if None) with the score as one more column, which replaces one of that name; only rows
+    of at least `least`, if given."""
+    kept = [c for c in (docs.columns if columns is None else columns) if c.lower() != name.lower()]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

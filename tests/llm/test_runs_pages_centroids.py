@@ -282,3 +282,12 @@ def test_annulus_prunes():
     own.distances = lambda x, square, to: (compared.append(len(to)), centroids.Centroids.distances(own, x, square, to))[1]
     number, _ = own.nearest(np.array([[10 * i + 1, 0] for i in range(100)]))
     assert number.tolist() == list(range(100)) and max(compared) <= 3
+
+
+def test_a_score_replaces_a_column_of_its_name(spark):
+    from pathloom.llm import quality_model
+
+    docs = spark.createDataFrame([(i, f"word{i} good text", "old", i) for i in range(6)], "doc_id long, text string, Score string, kept int")
+    model = quality_model.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int"))
+    got = quality_model.score(docs, model)
+    assert got.columns == ["doc_id", "text", "kept", "score"] and all(0 <= r.score <= 1 for r in got.collect())
