@@ -14,7 +14,7 @@ from pathloom.operators.latest import latest, order
 from pathloom.operators.observers import best_over_window, best_rows
 from pathloom.operators.session import PAIR, current
 from pathloom.plans.filters import Window, all_of
-from pathloom.schemas import FLAGGED, IDENTITY, ROUTES
+from pathloom.schemas import FLAGGED, IDENTITY, ROUTES, stream_of
 
 MEASURES = ["readvertise", "withdraw", "dump"]
 MOST_BUCKETS = 1500
@@ -105,6 +105,5 @@ def flag_counts(archive: Archive, window: Window = Window()) -> DataFrame:
     for t in FLAGGED:
         if t in archive.tables:
             rows = archive[t] if condition is None else archive[t].where(condition)
-            stream = "routes" if t in ROUTES else "ls" if t.startswith("ls_") else "stats" if t == "stats_events" else "peer"
-            parts.append(rows.where(F.size("parse_flags") > 0).select(F.lit(stream).alias("stream"), "stream_seq", F.explode("parse_flags").alias("flag")).distinct())
+            parts.append(rows.where(F.size("parse_flags") > 0).select(F.lit(stream_of(t)).alias("stream"), "stream_seq", F.explode("parse_flags").alias("flag")).distinct())
     return reduce(DataFrame.unionByName, parts).distinct().groupBy("flag").agg(F.count(F.lit(1)).alias("envelopes"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,11 +11,12 @@ from pyspark.sql import Window as W
 from pathloom.archive import Archive
 from pathloom.functions import addresses
 from pathloom.functions.names import evpn_shown, looked_up
-from pathloom.operators.latest import latest
+from pathloom.operators.latest import latest, order
 from pathloom.operators.observers import best_rows
-from pathloom.operators.session import PAIR
+from pathloom.operators.session import PAIR, current
 from pathloom.plans.filters import Window, all_of, any_of
-from pathloom.schemas import FLAGGED, IDENTITY
+from pathloom.plans.linkstate import node_key
+from pathloom.schemas import FLAGGED, IDENTITY, NODE_KEY, OBSERVER, stream_of
 
 ARRIVAL = ("ts_collector", "stream_seq")
 
@@ -159,3 +162,67 @@ def anomalies(archive: Archive, window: Window = Window()) -> DataFrame:
             own = rows.where(F.size("parse_flags") > 0).select(F.lit(t).alias("source"), "router_ip", "session_id", "collector_id", "stream_seq", F.explode("parse_flags").alias("flag"))
             parts = own if parts is None else parts.unionByName(own)
     return parts.groupBy("flag", "source").agg(F.count_distinct("stream_seq").alias("messages"), F.count_distinct(F.struct("collector_id", "router_ip", "session_id")).alias("sessions"), F.count_distinct("router_ip").alias("routers"))
+
+
+#: What one object of a table is, for counting how many a flag affects.
+OBJECTS = {
+    "route_unicast": ["prefix"], "route_vpn": ["rd", "prefix"], "route_evpn": ["route_type", "rd", "mac", "ip", "prefix"], "ls_events": ["stream_seq"], "ls_nodes": NODE_KEY, "ls_links": [f"{side}_{c}" if c in NODE_KEY[2:] else c for side in ("local", "remote") for c in NODE_KEY],
+    "ls_prefixes": [*NODE_KEY, "prefix", "prefix_len"], "peer_events": ["router_ip", "peer_ip"], "stats_events": ["router_ip", "peer_ip"], "eor_events": ["peer_ip", "rib", "family"],
+}
+
+
+def flagged(archive: Archive, window: Window = Window()) -> DataFrame:
+    """A row per flag of each flagged observation: where, of which object and message."""
+    parts = []
+    for t in (t for t in FLAGGED if t in archive.tables):
+        rows = archive.scan(t, *window.bounds()).where(F.size("parse_flags") > 0)
+        named = F.concat_ws("|", *(F.col(c).cast("string") for c in dict.fromkeys(OBJECTS[t])))
+        parts.append(rows.select(F.explode("parse_flags").alias("flag"), F.lit(t).alias("source"), F.lit(stream_of(t)).alias("stream"), "stream_seq", "router_ip", "router_sysname", "session_id", named.alias("object"), "ts_collector"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def flags_by_platform(archive: Archive, window: Window = Window()) -> DataFrame:
+    """Per flag, platform and router: objects, sessions, messages and tables affected. Repeated observations of an object
+    are put together before anything distinct is counted."""
+    platform = F.when(F.coalesce("router_sysname", F.lit("")) == "", "(no sysName TLV)").otherwise(F.col("router_sysname")).alias("platform")
+    key = ["flag", "platform", "router_ip"]
+    once = flagged(archive, window).select("flag", platform, "router_ip", "source", "stream", "stream_seq", "session_id", "object", "ts_collector").groupBy(*key, "source", "stream", "stream_seq", "session_id", "object").agg(F.max("ts_collector").alias("seen"))
+    return once.groupBy(*key).agg(F.count_distinct("object").alias("affected"), F.count_distinct("session_id").alias("sessions"), F.count_distinct(F.struct("stream", "stream_seq")).alias("events"), F.count_distinct("source").alias("in_tables"), F.max("seen").alias("last_seen"))
+
+
+def flags_over_time(archive: Archive, window: Window, seconds: int) -> DataFrame:
+    """Messages per flag and time bucket."""
+    bucket = F.window("ts_collector", f"{seconds} seconds")["start"].alias("bucket")
+    return flagged(archive, window).select(bucket, "flag", "stream", "stream_seq").distinct().groupBy("bucket", "flag").agg(F.count(F.lit(1)).alias("events"))
+
+
+def link_state_stats(archive: Archive, router_ip: str, peer_ip: str, window: Window = Window()) -> DataFrame:
+    """Per collector and kind of object: how many the current session of a router carries on a peer, and how many were
+    seen in the window, from one scan each."""
+    now = current(archive).where(F.col("router_ip") == router_ip).select("collector_id", F.col("session_id").alias("now"))
+    within = all_of(window.conditions())
+    parts = []
+    for kind in ("nodes", "links", "prefixes"):
+        t = f"ls_{kind}"
+        own = [c for c in IDENTITY[t] if c not in OBSERVER]
+        rows = archive[t].where((F.col("router_ip") == router_ip) & (F.col("peer_ip") == peer_ip)).join(now, "collector_id")
+        seen = rows.groupBy("collector_id", *own).agg(F.max(F.col("session_id") == F.col("now")).alias("here"), F.max(F.lit(True) if within is None else within).alias("lately"))
+        parts.append(seen.groupBy("collector_id").agg(F.count_if("here").alias("in_current_session"), F.count_if("lately").alias("in_window")).withColumn("kind", F.lit(kind)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def link_state_nodes(archive: Archive, router_ip: str, peer_ip: str, states: tuple[int, ...] = (0,), focus: int | None = None) -> DataFrame:
+    """The nodes that the current session of a router carries on a peer, as a table shows them. `focus`: one node's key."""
+    now = current(archive).where(F.col("router_ip") == router_ip).select("collector_id", "session_id")
+    rows = archive.newest("ls_nodes", router_ip, peer_ip).where((F.col("router_ip") == router_ip) & (F.col("peer_ip") == peer_ip)).join(now, ["collector_id", "session_id"], "left_semi").withColumn("node_key", node_key())
+    if focus is not None:
+        rows = rows.where(F.col("node_key") == focus)
+    columns = ["is_withdraw", *(c for c in ("name", "router_id_v4", "srgb_base", "srgb_size", "srlb_base", "srlb_size", "sr_algorithms", "unknown_tlvs") if c in rows.columns)]
+    found = rows.groupBy("collector_id", *NODE_KEY, "node_key").agg(F.max_by(F.struct(*columns), order()).alias("v"), F.max("ts_collector").alias("last_seen")).where(F.col("v.is_withdraw").isin(*states))
+    text = lambda c: F.coalesce(F.col(f"v.{c}"), F.lit(""))
+    span = lambda c: F.when(F.coalesce(F.col(f"v.{c}_size"), F.lit(0)) > 0, F.concat_ws("-", F.col(f"v.{c}_base"), F.col(f"v.{c}_base") + F.col(f"v.{c}_size") - 1)).otherwise("") if f"{c}_size" in columns else F.lit("")
+    quad = F.when(F.length("router_id") == 8, addresses.dotted(F.col("router_id"))).otherwise(F.col("router_id"))
+    label = F.when(text("name") != "", text("name")).when(text("router_id_v4") != "", text("router_id_v4")).otherwise(quad)
+    algorithms = F.array_join("v.sr_algorithms", ", ") if "sr_algorithms" in columns else F.lit("")
+    unknown = F.coalesce(F.size("v.unknown_tlvs"), F.lit(0)) if "unknown_tlvs" in columns else F.lit(0)
+    return found.select("collector_id", label.alias("node"), "router_id", text("router_id_v4").alias("router_id_v4"), "protocol", "area", "asn", span("srgb").alias("srgb"), span("srlb").alias("srlb"), algorithms.alias("sr_algorithms"), unknown.alias("unknown_tlv_count"), "last_seen")

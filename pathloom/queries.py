@@ -282,7 +282,7 @@ def q18_locrib_comparison(a):
     return churn.locrib_comparison(a)
 
 
-FLAGGED_SQL = " UNION ".join(f"SELECT '{s}' AS stream, stream_seq, unnest(parse_flags) AS flag FROM {t}" for t, s in (("route_unicast", "routes"), ("route_vpn", "routes"), ("route_evpn", "routes"), ("ls_nodes", "ls"), ("ls_links", "ls"), ("ls_prefixes", "ls"), ("peer_events", "peer"), ("eor_events", "peer"), ("stats_events", "stats")))
+FLAGGED_SQL = " UNION ".join(f"SELECT '{s}' AS stream, stream_seq, unnest(parse_flags) AS flag FROM {t}" for t, s in (("route_unicast", "routes"), ("route_vpn", "routes"), ("route_evpn", "routes"), ("ls_nodes", "ls"), ("ls_links", "ls"), ("ls_prefixes", "ls"), ("peer_events", "peer"), ("eor_events", "routes"), ("stats_events", "stats")))
 
 
 @question(f"SELECT flag, count(*) AS envelopes FROM (SELECT DISTINCT * FROM ({FLAGGED_SQL})) GROUP BY flag")
@@ -555,6 +555,45 @@ def a19_descriptions(a):
     return a["route_evpn"].select(evpn_shown(F.col("route_type")).alias("route"), protocol(F.col("route_type")).alias("proto")).distinct()
 
 
+# --- more panels
+
+_NODE_SQL = "protocol, identifier, {s}asn, {s}bgpls_id, {s}area, {s}router_id"
+OBJECT_SQL = {
+    "route_unicast": "prefix", "route_vpn": "concat_ws('|', rd, prefix)", "route_evpn": "concat_ws('|', route_type, rd, mac, ip, prefix)", "ls_nodes": f"concat_ws('|', {_NODE_SQL.format(s='')})", "ls_links": f"concat_ws('|', {_NODE_SQL.format(s='local_')}, {_NODE_SQL.format(s='remote_').replace('protocol, identifier, ', '')})",
+    "ls_prefixes": f"concat_ws('|', {_NODE_SQL.format(s='')}, prefix, prefix_len)", "peer_events": "concat_ws('|', router_ip, peer_ip)", "stats_events": "concat_ws('|', router_ip, peer_ip)", "eor_events": "concat_ws('|', peer_ip, rib, family)",
+}
+FLAG_ROWS = "fr AS (" + " UNION ALL ".join(f"SELECT unnest(parse_flags) AS flag, '{t}' AS source, '{'routes' if t.startswith('route_') or t == 'eor_events' else 'ls' if t.startswith('ls_') else 'stats' if t == 'stats_events' else 'peer'}' AS stream, stream_seq, router_ip, router_sysname, session_id, {o} AS object, ts_collector FROM {t}" for t, o in OBJECT_SQL.items()) + ")"
+
+
+@question("SELECT flag, CASE WHEN router_sysname = '' THEN '(no sysName TLV)' ELSE router_sysname END AS platform, router_ip, count(DISTINCT object) AS affected, count(DISTINCT session_id) AS sessions, count(DISTINCT (stream, stream_seq)) AS events, count(DISTINCT source) AS in_tables, max(ts_collector) AS last_seen FROM fr GROUP BY ALL", FLAG_ROWS)
+def b8_flags_by_platform(a):
+    return dashboards.flags_by_platform(a)
+
+
+@question(f"SELECT time_bucket(INTERVAL '6 hours', ts_collector, TIMESTAMP '1970-01-01') AS bucket, flag, count(DISTINCT (stream, stream_seq)) AS events FROM fr WHERE {window_sql(DAY)} GROUP BY ALL", FLAG_ROWS)
+def b8_flags_over_time(a):
+    return dashboards.flags_over_time(a, DAY, 6 * 3600)
+
+
+def _stats_sql(kind: str, key: str) -> str:
+    return f"SELECT '{kind}' AS kind, collector_id, count(DISTINCT ({key})) FILTER (WHERE session_id = sid) AS in_current_session, count(DISTINCT ({key})) FILTER (WHERE {window_sql(Window(datetime(2024, 1, 30), datetime(2024, 1, 31)))}) AS in_window FROM ls_{kind} JOIN now USING (collector_id) WHERE router_ip = '10.0.0.2' AND peer_ip = '10.1.0.7' GROUP BY 2"
+
+
+NOW = "now AS (SELECT collector_id, max(session_id) AS sid FROM peer_events WHERE router_ip = '10.0.0.2' GROUP BY 1)"
+
+
+@question(" UNION ALL ".join(_stats_sql(k, key) for k, key in (("nodes", "protocol, asn, area, router_id"), ("links", "protocol, local_area, local_router_id, remote_area, remote_router_id, local_ifaddr, remote_ifaddr, link_local_id, link_remote_id"), ("prefixes", "protocol, area, router_id, prefix, prefix_len"))), NOW)
+def b11_link_state_stats(a):
+    return dashboards.link_state_stats(a, "10.0.0.2", "10.1.0.7", Window(datetime(2024, 1, 30), datetime(2024, 1, 31)))
+
+
+@question("""SELECT collector_id, CASE WHEN name <> '' THEN name WHEN v4 <> '' THEN v4 ELSE router_id END AS node, router_id, v4 AS router_id_v4, protocol, area, asn, base || '-' || (base + size - 1) AS srgb, last_seen FROM
+  (SELECT n.collector_id, protocol, identifier, asn, bgpls_id, area, router_id, arg_max_null(is_withdraw, seq) AS w, arg_max_null(name, seq) AS name, arg_max_null(router_id_v4, seq) AS v4, arg_max_null(srgb_base, seq) AS base, arg_max_null(srgb_size, seq) AS size, max(ts_collector) AS last_seen
+   FROM ls_nodes n JOIN now ON now.collector_id = n.collector_id AND now.sid = n.session_id WHERE router_ip = '10.0.0.2' AND peer_ip = '10.1.0.7' GROUP BY ALL) WHERE w IN (0, 1)""", NOW)
+def b11_link_state_nodes(a):
+    return dashboards.link_state_nodes(a, "10.0.0.2", "10.1.0.7", (0, 1)).drop("srlb", "sr_algorithms", "unknown_tlv_count")
+
+
 # --- pages with totals
 
 
@@ -614,7 +653,7 @@ def f15_vpn_choices(a):
     return dashboards.vpn_routes_header(a, ribs=["in_.*"], families=["vpn4", "vpn6"], rds=["65000:1", "65000:2", "65000:5"])
 
 
-DELIVERED = "delivered AS (" + " UNION ".join(f"SELECT '{s}' AS stream, stream_seq FROM {t}" for t, s in (("route_unicast", "routes"), ("route_vpn", "routes"), ("route_evpn", "routes"), ("ls_nodes", "ls"), ("ls_links", "ls"), ("ls_prefixes", "ls"), ("peer_events", "peer"), ("eor_events", "peer"), ("stats_events", "stats"))) + ")"
+DELIVERED = "delivered AS (" + " UNION ".join(f"SELECT '{s}' AS stream, stream_seq FROM {t}" for t, s in (("route_unicast", "routes"), ("route_vpn", "routes"), ("route_evpn", "routes"), ("ls_nodes", "ls"), ("ls_links", "ls"), ("ls_prefixes", "ls"), ("peer_events", "peer"), ("eor_events", "routes"), ("stats_events", "stats"))) + ")"
 GAPS = "gaps AS (SELECT stream, after, before, before - after - 1 AS missing FROM (SELECT stream, lag(stream_seq) OVER (PARTITION BY stream ORDER BY stream_seq) AS after, stream_seq AS before FROM delivered) WHERE before - after > 1)"
 
 

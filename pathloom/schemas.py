@@ -38,6 +38,13 @@ IDENTITY = {
     "eor_events": [*OBSERVER, "family"],
 }
 ROUTES = ("route_unicast", "route_vpn", "route_evpn")
+
+
+def stream_of(table: str) -> str:
+    """The log's stream whose messages leave rows in a table: End-of-RIB markers come with the routes."""
+    return "routes" if table in (*ROUTES, "eor_events") else "ls" if table.startswith("ls_") else "stats" if table == "stats_events" else "peer"
+
+
 FLAGGED = (*ROUTES, "ls_events", "ls_nodes", "ls_links", "ls_prefixes", "peer_events", "eor_events", "stats_events")
 
 #: Numeric order of the ribs, link-state protocols, peer-down reasons.

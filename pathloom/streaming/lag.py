@@ -10,16 +10,12 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.window import Window
 
 from pathloom.archive import Archive
-from pathloom.schemas import FLAGGED, IDENTITY, ROUTES
+from pathloom.schemas import FLAGGED, IDENTITY, stream_of
 
 #: Sequence numbers that one window partition looks at.
 STRETCH = 1 << 20
 
 
-def stream_of(table: str) -> str:
-    return "routes" if table in ROUTES else "ls" if table.startswith("ls_") else "stats" if table == "stats_events" else "peer"
-
-
 def delivered(archive: Archive) -> DataFrame:
     """stream, stream_seq: once for each message that left rows."""
     parts = [archive[t].select(F.lit(stream_of(t)).alias("stream"), "stream_seq").distinct() for t in FLAGGED if t in archive.tables]
