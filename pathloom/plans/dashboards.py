@@ -41,7 +41,9 @@ def asn_table(archive: Archive, window: Window = Window()) -> DataFrame:
     live = newest_seen(archive, window).where("is_withdraw = 0 and size(as_path) > 0")
     each = live.select("router_ip", "prefix", F.try_element_at("as_path", F.lit(-1)).alias("last"), F.explode(F.array_distinct("as_path")).alias("asn"))
     at_end = F.col("asn") == F.col("last")
-    roles = each.groupBy("asn").agg(F.count_distinct(F.when(at_end, F.col("prefix"))).alias("originated"), F.count_distinct(F.when(~at_end, F.col("prefix"))).alias("transited"), F.count_distinct("router_ip").alias("routers"))
+    # observers of one prefix and router are put together before distinct counts multiply the rows
+    once = each.groupBy("asn", "prefix", "router_ip").agg(F.max(at_end).alias("end"), F.max(~at_end).alias("within"))
+    roles = once.groupBy("asn").agg(F.count_distinct(F.when(F.col("end"), F.col("prefix"))).alias("originated"), F.count_distinct(F.when(F.col("within"), F.col("prefix"))).alias("transited"), F.count_distinct("router_ip").alias("routers"))
     near = adjacent_asns(archive, window).groupBy("asn").agg(F.count_distinct("neighbour").alias("neighbours"))
     return roles.join(near, "asn", "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)))
 

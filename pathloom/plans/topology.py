@@ -44,7 +44,9 @@ def route_key(table: str) -> Column:
 
 def edges(routes: DataFrame, table: str = "route_unicast") -> DataFrame:
     each = routes.select(route_key(table).alias("route"), "live", "first_seen", F.explode(path_edges(F.col("as_path"))).alias("e"))
-    return each.groupBy(F.col("e.src").alias("src"), F.col("e.dst").alias("dst")).agg(F.count_distinct("route").alias("routes"), F.count_distinct(F.when(F.col("live") == 1, F.col("route"))).alias("live_routes"), F.min("first_seen").alias("first_seen"))
+    # one row an edge and route first: distinct counts side by side would multiply the rows instead
+    once = each.groupBy(F.col("e.src").alias("src"), F.col("e.dst").alias("dst"), "route").agg(F.max("live").alias("live"), F.min("first_seen").alias("first_seen"))
+    return once.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("routes"), F.count_if(F.col("live") == 1).alias("live_routes"), F.min("first_seen").alias("first_seen"))
 
 
 def nodes(routes: DataFrame, table: str = "route_unicast") -> DataFrame:
