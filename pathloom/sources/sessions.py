@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from pathloom.functions.platforms import platform
+from pathloom.functions.tokens import address_token, peer_token, view_token
 from pathloom.sources.capture import BGP_HEAD, INITIATION, PEER_DOWN, PEER_HEAD, PEER_UP, ROUTE_MONITORING, STATISTICS, address, number, peer_columns, piece, tlvs
 from pathloom.sources.nlri import Malformed, family_name
 from pathloom.sources.update import decode
@@ -145,9 +146,10 @@ def headed(messages: DataFrame) -> DataFrame:
     said = lambda code: F.when(F.col("told").isNotNull() & (kind == INITIATION), F.coalesce(F.make_valid_utf8(text(code).cast("string")), F.lit("")))
     fits = (number(body, PEER_HEAD + 16, 2) == F.length(body) - PEER_HEAD) & (F.length(body) >= PEER_HEAD + BGP_HEAD)
     framed = has & F.when(kind == ROUTE_MONITORING, fits).when(kind == PEER_UP, F.length(body) >= UP_HEAD).when(kind == STATISTICS, F.col("counted").isNotNull() & (F.length(body) >= PEER_HEAD + 4)).otherwise(F.lit(True))
-    peer = F.concat_ws("-", F.lower(F.when(number(body, 1, 1).bitwiseAND(F.lit(128)) != 0, F.hex(piece(body, 10, 16))).otherwise(F.hex(piece(body, 22, 4)))), F.col("distinguisher"))
+    digits = F.when(number(body, 1, 1).bitwiseAND(F.lit(128)) != 0, F.hex(piece(body, 10, 16))).otherwise(F.hex(piece(body, 22, 4)))
+    peer = peer_token(digits, F.col("rib"), F.col("distinguisher"))
     m = m.withColumns({"peer": F.when(has, peer), "told_descr": said(1), "told_name": said(2), "framed": F.coalesce(framed, F.lit(False)), **{f.name: F.col(f"o.{f.name}") for f in OPENS}})
-    return m.withColumn("view", F.when(has, F.concat_ws("-", "peer", "rib"))).drop("told", "counted", "o")
+    return m.withColumn("view", F.when(has, view_token(F.col("peer"), F.col("rib")))).drop("told", "counted", "o")
 
 
 HEADER = ["peer", "view", "peer_ip", "rib", "peer_asn", "peer_bgp_id", "ts_router", "four_byte", "distinguisher"]
@@ -227,7 +229,7 @@ def envelopes(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     nlri = lambda side: F.when(F.col("family").isin("lu4", "vpn4", "vpn6"), F.col(f"vpn_{side}")).otherwise(F.transform(side, lambda p: F.struct(p["prefix"].alias("prefix"), p["path_id"].alias("path_id"), F.lit("").alias("rd"), F.array().cast("array<bigint>").alias("labels"))))
     columns = {
         "router_sysname": F.col("sysname"), "seq": F.when(usable, F.col("seq")).otherwise(F.col("raw_seq")), "ts_router": F.col("ts_router"), "parse_flags": F.array_except(raised, off), "stream_seq": F.col("n"),
-        "msg_id": F.concat_ws("/", "router_ip", F.when(usable, F.col("view")).otherwise("raw"), F.col("session_id").cast("string"), F.when(usable, F.col("seq")).otherwise(F.col("raw_seq")).cast("string")), "kind": shown, "announced": nlri("announced"), "withdrawn": nlri("withdrawn"),
+        "msg_id": F.concat_ws("/", address_token(F.col("router_ip")), F.when(usable, F.col("view")).otherwise("raw"), F.col("session_id").cast("string"), F.when(usable, F.col("seq")).otherwise(F.col("raw_seq")).cast("string")), "kind": shown, "announced": nlri("announced"), "withdrawn": nlri("withdrawn"),
         "as_path_segments": F.array("as_path"), "evpn_announced": F.col("evpn_announced"), "evpn_withdrawn": F.col("evpn_withdrawn"), "peer_kind": F.when(F.col("lost"), "view_lost").when(up, "up").when(kind == PEER_DOWN, "down"),
         "down_reason": F.when(kind == PEER_DOWN, F.coalesce(number(body, PEER_HEAD, 1), F.lit(0))).otherwise(F.lit(0)), "hold_time": F.when(up & F.col("open_ok"), F.col("open_hold")).otherwise(0), "hold_time_seen": F.coalesce((up & F.col("open_ok")).cast("int"), F.lit(0)),
         "mp_families": F.when(up, F.col("open_mp")), "addpath_families": F.when(up, F.when(outward(F.col("rib")), F.col("open_out")).otherwise(F.col("open_in"))), "counters": counters(F.when(usable & (kind == STATISTICS), piece(body, PEER_HEAD + 4))),

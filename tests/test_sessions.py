@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.archive import open_archive
+from pathloom.functions import tokens
 from pathloom.functions.platforms import platform
 from pathloom.sources import sessions
 from pathloom.streaming import ingest
@@ -101,7 +102,8 @@ def test_capabilities_by_direction(replayed):
     assert at(replayed, 6).counters == {8: 2**63 + 1} and at(replayed, 7).down_reason == 3
     assert "caps_missing" in at(replayed, 8).parse_flags and "caps_missing" in at(replayed, 10).parse_flags
     assert (at(replayed, 9).hold_time_seen, at(replayed, 9).mp_families) == (0, None)
-    assert at(replayed, 17).parse_flags == []  # another view of the peer went down, not this one
+    # another view of the peer went down, not this one: its path ids are known, and the bytes have none
+    assert at(replayed, 17).parse_flags == ["addpath_heuristic"]
 
 
 def test_a_close_loses_the_views_that_are_up(replayed):
@@ -130,6 +132,17 @@ def test_platforms(spark):
     assert [r.p.version for r in own] == ["7.5.2", "6.1", None]
 
 
+def test_tokens(spark):
+    fnv = 2166136261
+    for byte in bytes.fromhex("00000000000fd001"):
+        fnv = (fnv ^ byte) * 16777619 % 2**32
+    rows = spark.createDataFrame([("10.0.0.1",), ("::ffff:10.0.0.1",), ("2001:db8::1",), ("x",)], "a string").select(tokens.address_token(F.col("a")).alias("t")).select("t", tokens.token_address(F.col("t")).alias("back")).collect()
+    assert [tuple(r) for r in rows] == [("0a000001", "10.0.0.1"), ("0a000001", "10.0.0.1"), ("20010db8000000000000000000000001", "2001:db8::1"), ("invalid", None)]
+    named = spark.createDataFrame([("0A000001", "out_post", "0" * 16), ("0A000001", "in_pre", "00000000000FD001"), ("0A000001", "loc_rib", "0" * 16)], "d string, rib string, rd string")
+    peer_ = tokens.peer_token(F.col("d"), F.col("rib"), F.col("rd"))
+    assert [r[0] for r in named.select(tokens.view_token(peer_, F.col("rib"))).collect()] == ["0a000001-doutpost", f"0a000001-r{fnv:08x}", "locrib"]
+
+
 def streamed(spark, tmp_path, parts, **options):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     for p in parts:
