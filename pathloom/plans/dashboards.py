@@ -228,3 +228,18 @@ def link_state_nodes(archive: Archive, router_ip: str, peer_ip: str, states: tup
     algorithms = F.array_join("v.sr_algorithms", ", ") if "sr_algorithms" in columns else F.lit("")
     unknown = F.coalesce(F.size("v.unknown_tlvs"), F.lit(0)) if "unknown_tlvs" in columns else F.lit(0)
     return found.select("collector_id", label.alias("node"), "router_id", text("router_id_v4").alias("router_id_v4"), "protocol", "area", "asn", span("srgb").alias("srgb"), span("srlb").alias("srlb"), algorithms.alias("sr_algorithms"), unknown.alias("unknown_tlv_count"), "last_seen")
+
+
+def view_completeness(archive: Archive, window: Window = Window()) -> DataFrame:
+    """Per collector and router: sessions in the window; link-state nodes and edges that its current session carries and
+    that were seen in the window. What a new session has not sent yet shows as the difference."""
+    key, within = ["collector_id", "router_sysname", "router_ip"], all_of(window.conditions())
+    lately = F.lit(True) if within is None else within
+    spine = archive["peer_events"].groupBy(*key).agg(F.max("session_id").alias("now"), F.count_distinct(F.when(lately, F.col("session_id"))).alias("sessions"))
+    out = spine
+    for table, name, own in (("ls_nodes", "nodes", NODE_KEY), ("ls_links", "edges", OBJECTS["ls_links"])):
+        rows = archive[table].join(spine.select(*key, "now"), key)
+        seen = rows.groupBy(*key, *dict.fromkeys(own)).agg(F.max(F.col("session_id") == F.col("now")).alias("here"), F.max(lately).alias("lately"))
+        out = out.join(seen.groupBy(*key).agg(F.count_if("here").alias(f"{name}_current_session"), F.count_if("lately").alias(f"{name}_in_window")), key, "left")
+    counts = [f"{n}_{c}" for n in ("nodes", "edges") for c in ("current_session", "in_window")]
+    return out.drop("now").withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pathloom.archive import Archive
 from pathloom.functions.addresses import key
 from pathloom.operators.session import PAIR, stale_pairs
+from pathloom.plans.routes import Cursor, walk_page
 
 PAGE, MOST = 1000, 10_000
 
@@ -45,6 +46,10 @@ class Answer:
     warnings: list[Warned] = field(default_factory=list)
     cursor: str | None = None
 
+    def totals(self, *columns: str) -> dict[str, int]:
+        """Sums over the page's rows."""
+        return {c: sum(r[c] or 0 for r in self.rows) for c in columns}
+
     def codes(self) -> list[str]:
         return [w.code for w in self.warnings]
 
@@ -64,6 +69,15 @@ def warnings_of(archive: Archive | None, rows: list[Row], total: int) -> list[Wa
     return out
 
 
+def ask_page(archive: Archive, cursor: Cursor, limit: int | None = None) -> Answer:
+    """A page of a RIB walk, with the next one's cursor. Pages are read at different times, of which every page warns;
+    how many rows there are in all is not known."""
+    page, more = walk_page(archive, cursor, clamp(limit))
+    rows = page.collect()
+    smear = Warned("paginated_smear", "pages are read one after another: a route that changes between them may be seen twice or not at all")
+    return Answer(rows, len(rows), [*warnings_of(archive, rows, len(rows)), smear], None if more is None else more.encode())
+
+
 def ask(found: DataFrame, order: list[Column], limit: int | None = None, archive: Archive | None = None) -> Answer:
     """Run a question: one pass, in which rows are counted on their way into the page. 0 matched when nothing is there."""
     counted = Observation()

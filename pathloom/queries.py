@@ -594,6 +594,19 @@ def b11_link_state_nodes(a):
     return dashboards.link_state_nodes(a, "10.0.0.2", "10.1.0.7", (0, 1)).drop("srlb", "sr_algorithms", "unknown_tlv_count")
 
 
+COMPLETE = "spine AS (SELECT collector_id, router_sysname, router_ip, max(session_id) AS now, count(DISTINCT session_id) FILTER (WHERE " + window_sql(DAY) + ") AS sessions FROM peer_events GROUP BY 1, 2, 3)"
+
+
+def _seen_sql(table: str, name: str, key: str) -> str:
+    return f"{name} AS (SELECT l.collector_id, l.router_sysname, l.router_ip, count(DISTINCT ({key})) FILTER (WHERE session_id = now) AS {name}_current_session, count(DISTINCT ({key})) FILTER (WHERE {window_sql(DAY)}) AS {name}_in_window FROM {table} l JOIN spine s ON s.collector_id = l.collector_id AND s.router_sysname = l.router_sysname AND s.router_ip = l.router_ip GROUP BY 1, 2, 3)"
+
+
+@question("""SELECT s.collector_id, s.router_sysname, s.router_ip, sessions, coalesce(nodes_current_session, 0) AS nodes_current_session, coalesce(nodes_in_window, 0) AS nodes_in_window, coalesce(edges_current_session, 0) AS edges_current_session, coalesce(edges_in_window, 0) AS edges_in_window
+  FROM spine s LEFT JOIN nodes USING (collector_id, router_sysname, router_ip) LEFT JOIN edges USING (collector_id, router_sysname, router_ip)""", COMPLETE, _seen_sql("ls_nodes", "nodes", "protocol, asn, area, router_id"), _seen_sql("ls_links", "edges", "protocol, local_area, local_router_id, remote_area, remote_router_id"))
+def b13_view_completeness(a):
+    return dashboards.view_completeness(a, DAY)
+
+
 # --- pages with totals
 
 

@@ -52,6 +52,15 @@ def test_warnings(spark):
     assert results.ask(routes.current_routes(stale, RouteFilter(prefix="192.0.2.0/24")), [F.col("prefix")], archive=stale).codes() == ["collector_stale"]
 
 
+def test_walks_give_cursors_and_say_that_pages_smear(spark):
+    a = archive(spark, peer_events=[UP], route_unicast=[{"seq": n, "prefix": f"10.{n}.0.0/16"} for n in range(2, 9)], eor_events=[{"seq": 20}])
+    first = results.ask_page(a, routes.start_walk(a, "10.0.0.1", "10.1.0.1"), 4)
+    second = results.ask_page(a, routes.Cursor.decode(first.cursor), 4)
+    assert (len(first.rows), first.codes(), len(second.rows), second.codes(), second.cursor) == (4, ["paginated_smear"], 3, ["paginated_smear"], None)
+    whole = results.ask_page(a, routes.start_walk(a, "10.0.0.1", "10.1.0.1"))
+    assert (len(whole.rows), whole.codes(), whole.totals("path_id")) == (7, ["paginated_smear"], {"path_id": 0})
+
+
 def test_router_and_peer_reach_the_scan(spark, tmp_path):
     table(spark, "route_unicast", [{"seq": 1}]).write.parquet(f"{tmp_path}/r")
     scan = spark.read.parquet(f"{tmp_path}/r")
