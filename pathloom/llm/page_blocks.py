@@ -13,12 +13,17 @@ BLOCKS = frozenset(
 )
 SILENT = frozenset("button datalist iframe noembed noframes noscript object option script select style svg template textarea title video audio canvas math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-ASIDES = frozenset("aside dialog footer form menu nav".split())
+ASIDES = frozenset("aside dialog footer menu nav".split())
 ASIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 ASIDE_NAMES = frozenset(
     "ad ads adbox adslot advert adverts advertisement adsense sponsor sponsored promo promotion banner breadcrumb breadcrumbs comment comments commentlist respond reply replies disqus discussion consent cookie cookies gdpr notice notices alert popup modal overlay "
     "footer foot copyright legal header masthead topbar login signup subscribe subscription newsletter menu nav navbar navigation navi pager pagination related recommended recommendations share sharing social sidebar sidebars toolbar widget widgets tags".split()
 )
+#: Stems that mark such an element wherever they stand in a name; parts by which a name speaks of something else (a page
+#: "with sidebar", an article's own header). Fixed values.
+ASIDE_STEMS = ("adsby", "advert", "sponsor", "cookie", "comment", "sidebar", "breadcrumb", "newsletter", "disqus", "navbar", "footer")
+NEGATIONS = frozenset("has with no without".split())
+HEADS, OF_ARTICLES = frozenset("header masthead banner".split()), frozenset("article post entry content story".split())
 #: Elements that one of their own kind, opened inside, closes.
 CLOSES_ITSELF = frozenset("p li dt dd tr td th".split())
 
@@ -37,27 +42,38 @@ WORD_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 Block = tuple[str, int, int, bool, bool]
 
 
-def marked(attributes: str, roles: bool = True) -> bool:
-    """Whether an element's attributes say that it isn't part of an article, or isn't shown."""
+def marked(attributes: str, inside: bool) -> bool:
+    """Whether an element's attributes say that it isn't part of an article, or isn't shown. `inside`: an article."""
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE)):
             return True
-        if name == "role" and roles and value.lower() in ASIDE_ROLES:
+        if name == "role" and value.lower() in ASIDE_ROLES:
             return True
-        if name in ("class", "id") and any(part.lower() in ASIDE_NAMES for part in WORD_PARTS.findall(value)):
+        if name in ("class", "id") and any(told(text, inside) for text in value.split()):
             return True
     return False
 
 
+def told(text: str, inside: bool) -> bool:
+    """Whether one name of an element says so. An article's header is part of it."""
+    parts = {part.lower() for part in WORD_PARTS.findall(text)}
+    if parts & NEGATIONS:
+        return False
+    own = parts & ASIDE_NAMES
+    if inside or parts & OF_ARTICLES:
+        own -= HEADS
+    return bool(own) or any(stem in text.lower() for stem in ASIDE_STEMS)
+
+
 class Page:
     """Open elements and the block being read."""
 
     def __init__(self) -> None:
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, bool, bool, bool]] = []  # name, in an article, beside it, shown
+        self.open: list[tuple[str, bool, bool, bool, bool]] = []  # name, in an article, beside it, in a form, shown
         self.counts: Counter[str] = Counter()
-        self.article, self.beside, self.shown, self.link = False, False, True, False
+        self.article, self.beside, self.form, self.shown, self.link = False, False, False, True, False
         self.parts: list[tuple[str, bool]] = []
 
     def end_block(self) -> None:
@@ -67,25 +83,23 @@ class Page:
         if text:
             links = sum(len(html.unescape(t).split()) for t, link in self.parts if link)
             n = text.count(" ") + 1
-            self.blocks.append((text, n, min(n, links), self.article, self.beside))
+            self.blocks.append((text, n, min(n, links), self.article, self.beside or self.form))
         self.parts = []
 
     def push(self, name: str, attributes: str) -> None:
-        self.open.append((name, self.article, self.beside, self.shown))
+        self.open.append((name, self.article, self.beside, self.form, self.shown))
         self.counts[name] += 1
-        aside = marked(attributes) if attributes and name not in ("html", "body") else False
+        aside = marked(attributes, self.article) if attributes and name not in ("html", "body") else False
+        self.beside = self.beside or aside or name in ASIDES or (name == "header" and not self.article)
         if name in ("article", "main"):
-            strict = any(n in ASIDES for n, *_ in self.open) or any(n in ("article", "main") and b for n, _, b, _ in self.open)
-            self.article, self.beside = True, aside or (self.beside and strict)
-        elif name == "header":
-            self.beside = self.beside or aside or not self.article
-        else:
-            self.beside = self.beside or aside or name in ASIDES
+            self.article, self.form = True, False  # a form may go around a whole page
+        elif name == "form":
+            self.form = True
         self.shown = self.shown and name not in SILENT and name != "head"
 
     def pop(self, name: str) -> None:
         while self.open:
-            last, self.article, self.beside, self.shown = self.open.pop()
+            last, self.article, self.beside, self.form, self.shown = self.open.pop()
             self.counts[last] -= 1
             if last == name:
                 return

@@ -140,6 +140,8 @@ PAGES = [
     (page("<body><ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>About us</a></ul><h1>A plain old page title here</h1><p>" + "word " * 40 + "<p>" + "term " * 55 + "<div><a href=4>Next page</a></div><div><a href=5>Previous</a></div>"), "A plain old page title here\n\n" + ("word " * 40).strip() + "\n\n" + ("term " * 55).strip()),
     (page("<body><div id=cookieBanner><p>" + "cookies " * 30 + "</div><ARTICLE CLASS=post><H2>Upper</H2><P>Case</ARTICLE><div class=sideBar>no</div>"), "Upper\n\nCase"),
     (page("<body><article><ul><li>one<li>two</ul><table><tr><td>1<td>2<tr><td>3</table><blockquote>quoted</blockquote><pre>a\n  b</pre></article>"), "one\n\ntwo\n\n1\n\n2\n\n3\n\nquoted\n\na b"),
+    (page("<body><form id=aspnet action=x><div class='page has-sidebar'><article class=post><div class=post-header><h1>Of its own</h1></div><p>Text.</p><form><p>Vote</form></article></div><section id=comments><article><p>A reader says so and so, at some length, about it.</article></section></form>"), "Of its own\n\nText."),
+    (page("<body><div class=cookiebanner>We bake</div><ins class=adsbygoogle>Buy</ins><main><p>Main text<section class=commentArea><p>Nice</section><div class='c reader-comments'><article><p>Me too</article></div></main><div class=sitefooter>x</div>"), "Main text"),
     (page("<body><article><p>only</p></article></div></p></article><p>Stray text behind the article that nobody needs to see.</p>"), "only"),
 ]
 
