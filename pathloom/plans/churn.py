@@ -13,7 +13,7 @@ from pathloom.operators.dumps import classified
 from pathloom.operators.latest import latest, order
 from pathloom.operators.observers import best_over_window, best_rows
 from pathloom.operators.session import PAIR, current
-from pathloom.plans.filters import Window, all_of
+from pathloom.plans.filters import Window
 from pathloom.schemas import FLAGGED, IDENTITY, ROUTES, stream_of
 
 MEASURES = ["readvertise", "withdraw", "dump"]
@@ -85,9 +85,7 @@ def session_counts(archive: Archive, window: Window) -> DataFrame:
 
 def locrib_comparison(archive: Archive, window: Window = Window()) -> DataFrame:
     """Per (router, peer): routes in the Loc-RIB as last reported (counter 8) against those archived."""
-    stats = archive["stats_events"].where(F.map_contains_key("counters", F.lit(8).cast("long")))
-    if (c := all_of(window.conditions())) is not None:
-        stats = stats.where(c)
+    stats = archive.scan("stats_events", *window.bounds()).where(F.map_contains_key("counters", F.lit(8).cast("long")))
     reported = stats.groupBy("router_ip", "peer_ip").agg(F.max_by(F.element_at("counters", F.lit(8).cast("long")), F.struct("ts_collector", "stream_seq")).cast("long").alias("reported"), F.lit(1).alias("has_stat"))
     routes = archive["route_unicast"].where("rib = 'loc_rib'")
     newest = current(archive).select(*PAIR, "session_id").unionByName(routes.select(*PAIR, "session_id")).groupBy(*PAIR).agg(F.max("session_id").alias("session_id"))
@@ -101,9 +99,9 @@ def locrib_comparison(archive: Archive, window: Window = Window()) -> DataFrame:
 
 def flag_counts(archive: Archive, window: Window = Window()) -> DataFrame:
     """Distinct messages per parse flag over all tables; one message may make many rows, in many tables."""
-    parts, condition = [], all_of(window.conditions())
+    parts = []
     for t in FLAGGED:
         if t in archive.tables:
-            rows = archive[t] if condition is None else archive[t].where(condition)
+            rows = archive.scan(t, *window.bounds())
             parts.append(rows.where(F.size("parse_flags") > 0).select(F.lit(stream_of(t)).alias("stream"), "stream_seq", F.explode("parse_flags").alias("flag")).distinct())
     return reduce(DataFrame.unionByName, parts).distinct().groupBy("flag").agg(F.count(F.lit(1)).alias("envelopes"))

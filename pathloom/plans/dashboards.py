@@ -157,10 +157,10 @@ def route_target_rollup(archive: Archive, window: Window = Window()) -> DataFram
 
 def anomalies(archive: Archive, window: Window = Window()) -> DataFrame:
     """Parse flags by table: rows, sessions and routers under an accommodation."""
-    parts, condition = None, all_of(window.conditions())
+    parts = None
     for t in FLAGGED:
         if t in archive.tables:
-            rows = archive[t] if condition is None else archive[t].where(condition)
+            rows = archive.scan(t, *window.bounds())
             own = rows.where(F.size("parse_flags") > 0).select(F.lit(t).alias("source"), "router_ip", "session_id", "collector_id", "stream_seq", F.explode("parse_flags").alias("flag"))
             parts = own if parts is None else parts.unionByName(own)
     return parts.groupBy("flag", "source").agg(F.count_distinct("stream_seq").alias("messages"), F.count_distinct(F.struct("collector_id", "router_ip", "session_id")).alias("sessions"), F.count_distinct("router_ip").alias("routers"))
