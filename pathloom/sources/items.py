@@ -71,7 +71,7 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
-    return np.concatenate([data, np.zeros(16, np.uint8)]), offsets
+    return np.concatenate([data[offsets[0] : offsets[-1]], np.zeros(16, np.uint8)]), offsets - offsets[0]
 
 
 def number_at(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:

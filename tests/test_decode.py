@@ -223,3 +223,13 @@ def test_attributes_and_errors(decode):
 def test_old_as_paths(decode):
     old = attr(1, b"\0") + attr(2, struct.pack("!BBHH", 2, 2, 65001, 64500) + struct.pack("!BBH", 1, 1, 7))
     assert decode(body(old, bytes([8, 10])), caps=CAPS | {"four_byte": False})[0].as_path == [65001, 64500, 7]
+
+
+def test_bytes_are_read_by_one_function(spark):
+    """A chain of functions holds a Python process each per task; rows beyond one slice of a batch are read the same."""
+    body = bytes.fromhex("0000" + "0004" + "40010100" + "180A0001")
+    rows = spark.range(update.ROWS_AT_ONCE + 10).withColumn("data", F.when(F.col("id") % 3 == 0, F.lit(body))).repartition(1)
+    found = update.decode(rows.withColumn("caps", F.expr("named_struct('known', true, 'four_byte', true, 'mp', array('ipv4u'), 'add_path', array())").cast(update.CAPS)))
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = found.groupBy(F.col("id") % 3 == 0, "ok", F.get("announced.prefix", 0), F.size("ls_nodes")).count().collect()
+    assert {tuple(r) for r in got} == {(True, True, "10.0.1.0/24", 0, (update.ROWS_AT_ONCE + 12) // 3), (False, False, None, 0, (update.ROWS_AT_ONCE + 10) - (update.ROWS_AT_ONCE + 12) // 3)}
