@@ -2,7 +2,7 @@
 and the loss of views when the session closes.
 
 A session is (collector_id, router_ip, session_id); its messages are ordered by `n`. A view is one RIB of one peer. This
-is the form for a log at rest: windows by session, by peer and by view, of which none holds a session in memory.
+is the form for a log at rest: windows by slices of a session, and by session, peer and view over sums of the slices.
 `streaming.sessions` keeps the same state for a stream.
 """
 
@@ -28,6 +28,8 @@ SESSION = ["collector_id", "router_ip", "session_id"]
 MESSAGES = "collector_id string, router_ip string, session_id long, n long, type int, body binary, ts_collector timestamp"
 #: A record of the log that says the transport ended.
 CLOSE = -1
+#: A session's messages are walked in slices of so many numbers (as a power of two), each by one task.
+SLICE_BITS = 16
 #: Views that a session keeps at most; messages of others are kept raw.
 MOST_VIEWS = 10_000
 UP_HEAD = PEER_HEAD + 20
@@ -163,26 +165,49 @@ def in_context(messages: DataFrame) -> DataFrame:
     """Headed messages with sysname, sys_descr, `seq` within the view, `caps`, `tracked`; and a row of kind `lost` for
     each view that was up when its session closed. Messages that aren't framed or whose view isn't tracked count among
     the session's raw ones."""
-    m = headed(messages)
-    session = Window.partitionBy(*SESSION).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    of_peer = Window.partitionBy(*SESSION, "peer").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    of_view = Window.partitionBy(*SESSION, "view").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    up, down = F.col("framed") & (F.col("type") == PEER_UP), F.col("framed") & (F.col("type") == PEER_DOWN)
+    slice_ = [*SESSION, "slice"]
+    m = headed(messages).withColumn("slice", F.shiftright("n", SLICE_BITS))
     both = F.struct(F.lit(True).alias("known"), F.col("open_four").alias("four_byte"), F.col("open_mp").alias("mp"), F.col("open_in").alias("inward"), F.col("open_out").alias("outward"))
     none = F.lit(None).cast("array<string>")
     lost = F.struct(F.lit(False).alias("known"), F.lit(None).cast("boolean").alias("four_byte"), none.alias("mp"), none.alias("inward"), none.alias("outward"))
-    event = F.when(F.col("tracked") & up & F.col("open_ok"), both).when(F.col("tracked") & down, lost)
-    m = m.withColumn("first", F.min(F.when(F.col("framed"), F.col("n"))).over(Window.partitionBy(*SESSION, "view")))
-    rank = F.dense_rank().over(Window.partitionBy(*SESSION).orderBy(F.col("first").asc_nulls_last()))
-    m = m.withColumn("tracked", F.col("framed") & F.col("first").isNotNull() & (rank <= MOST_VIEWS))
-    m = m.withColumns({"sysname": F.coalesce(F.last("told_name", ignorenulls=True).over(session), F.lit("")), "sys_descr": F.coalesce(F.last("told_descr", ignorenulls=True).over(session), F.lit("")), "raw_seq": F.count_if(~F.col("tracked") & ~F.col("type").isin(INITIATION, CLOSE)).over(session)})
-    m = m.withColumns({"seq": F.count_if("tracked").over(of_view), "own": F.last(event, ignorenulls=True).over(of_view), "shared": F.last(event, ignorenulls=True).over(of_peer)})
+    up, down = F.col("framed") & (F.col("type") == PEER_UP), F.col("framed") & (F.col("type") == PEER_DOWN)
+    m = m.withColumns({"event": F.when(up & F.col("open_ok"), both).when(down, lost), "counted": ~F.col("type").isin(INITIATION, CLOSE)})
+    m = m.withColumn("start", F.lit(None)).unionByName(starts(m.repartition(*slice_)), allowMissingColumns=True).repartition(*slice_)
+    of_view, of_peer, whole = (Window.partitionBy(*slice_, *c).orderBy("n").rowsBetween(Window.unboundedPreceding, 0) for c in (["view"], ["peer"], []))
+    m = m.withColumn("tracked", F.coalesce(F.col("framed") & F.first("start.listed", ignorenulls=True).over(of_view), F.lit(False)))
+    event, last = F.when(F.col("tracked"), F.col("event")), lambda given, own: F.last(F.coalesce(F.col(f"start.{given}"), own), ignorenulls=True)
+    m = m.withColumns({"seq": F.first("start.seq", ignorenulls=True).over(of_view) + F.count_if("tracked").over(of_view), "own": last("own", event).over(of_view), "shared": last("shared", event).over(of_peer)})
+    raw = F.first("start.raw", ignorenulls=True).over(whole) + F.count_if(F.col("counted") & ~F.col("tracked")).over(whole)
+    m = m.withColumns({"sysname": F.coalesce(last("name", F.col("told_name")).over(whole), F.lit("")), "sys_descr": F.coalesce(last("descr", F.col("told_descr")).over(whole), F.lit("")), "raw_seq": raw})
+    m = m.where(F.col("start").isNull())
     used = F.when(F.coalesce(F.col("own.known"), F.lit(False)), F.col("own")).when(F.coalesce(F.col("shared.known"), F.lit(False)), F.col("shared"))
     m = m.withColumn("caps", caps_of(used))
-    rows = m.drop("own", "shared", "first", "told_name", "told_descr").withColumn("lost", F.lit(False))
+    rows = m.drop("own", "shared", "event", "counted", "start", "slice", "told_name", "told_descr").withColumn("lost", F.lit(False))
     return rows.unionByName(lost_views(rows))
 
 
+def starts(m: DataFrame) -> DataFrame:
+    """For each slice of a session and each view in it a row before its messages, whose `start` says how things stand
+    there: whether the view is one of those that are tracked, and numbers, events and texts so far. A slice is summed up
+    by one row a view, and only those meet in a session's windows, never its messages."""
+    n = F.col("n")
+    newest = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("n", c))).alias(c)
+    s = m.groupBy(*SESSION, "slice", "peer", "view").agg(
+        F.min(F.when(F.col("framed"), n)).alias("first"), F.count_if("framed").alias("good"), F.count_if("counted").alias("all"), newest("event"), newest("told_name"), newest("told_descr")
+    )
+    s = s.withColumn("first", F.min("first").over(Window.partitionBy(*SESSION, "view")))
+    rank = F.dense_rank().over(Window.partitionBy(*SESSION).orderBy(F.col("first").asc_nulls_last()))
+    s = s.withColumn("listed", F.col("first").isNotNull() & (rank <= MOST_VIEWS))
+    earlier = lambda *c: Window.partitionBy(*SESSION, *c).orderBy("slice").rangeBetween(Window.unboundedPreceding, -1)
+    event, zero = F.when(F.col("listed"), F.col("event")), F.lit(0).cast("long")
+    stand = {
+        "listed": F.col("listed"), "seq": F.coalesce(F.sum(F.when(F.col("listed"), F.col("good"))).over(earlier("view")), zero), "own": F.max(event).over(earlier("view"))["event"], "shared": F.max(event).over(earlier("peer"))["event"],
+        "raw": F.coalesce(F.sum(F.col("all") - F.when(F.col("listed"), F.col("good")).otherwise(0)).over(earlier()), zero), "name": F.max("told_name").over(earlier())["told_name"], "descr": F.max("told_descr").over(earlier())["told_descr"],
+    }
+    s = s.withColumns({f"_{name}": c for name, c in stand.items()})
+    return s.select(*SESSION, "slice", "peer", "view", (F.shiftleft("slice", SLICE_BITS) - 1).alias("n"), F.struct(*(F.col(f"_{name}").alias(name) for name in stand)).alias("start"))
+
+
 def caps_of(used: Column) -> Column:
     known = used.isNotNull()
     return F.struct(known.alias("known"), F.when(known, used["four_byte"]).otherwise(F.col("four_byte")).alias("four_byte"), used["mp"].alias("mp"), F.when(outward(F.col("rib")), used["outward"]).otherwise(used["inward"]).alias("add_path"))

@@ -12,6 +12,7 @@ from pathloom.functions.platforms import platform
 from pathloom.sources import sessions
 from pathloom.streaming import ingest
 from pathloom.streaming import sessions as stream
+from pathloom.wire_queries import event_log
 
 START = datetime(2024, 1, 5)
 ROUTE = bytes([24, 192, 0, 2])
@@ -168,3 +169,13 @@ def test_a_capture_becomes_an_archive(spark, tmp_path):
     assert sorted((r.rib, r.prefix, r.path_id) for r in a["route_unicast"].where("peer_ip = '10.1.0.1' and seq = 3 or rib = 'out_pre'").collect()) == [("in_pre", "192.0.2.0/24", 7), ("out_pre", "192.0.2.0/24", 0)]
     assert a["peer_events"].where("kind = 'view_lost'").count() == 3 and a["stats_events"].count() == 1
     assert spark.read.parquet(f"{path}/_rejected").where("kind = 'raw'").count() == 3
+
+
+def test_slices_of_a_session_change_nothing(spark, data_dir, monkeypatch):
+    """A session's messages are walked in slices; how long these are is no matter."""
+    found = []
+    for bits in (4, 40):
+        monkeypatch.setattr(sessions, "SLICE_BITS", bits)
+        rows = sessions.in_context(event_log(spark, data_dir)).select(*sessions.SESSION, "n", "view", "type", "seq", "raw_seq", "tracked", "lost", "sysname", "caps")
+        found.append(sorted(map(str, rows.collect())))
+    assert len(found[0]) > 1000 and found[0] == found[1]
