@@ -195,3 +195,12 @@ def test_addresses_are_compared_not_their_texts(spark):
         assert [r["prefix"] for r in routes.live_routes(a, "route_unicast", RouteFilter(router_ip=text)).collect()] == [prefix]
     with pytest.raises(BadFilter):
         RouteFilter(router_ip="nowhere").narrow()
+
+
+def test_dumps_are_told_without_a_window_over_an_identity(spark, data_dir):
+    """All rows of a busy identity would meet in one task; dealt by all that tells rows apart they don't."""
+    from pathloom.operators.dumps import classified
+    from pathloom.sources.bridge import bridge
+
+    plan = classified(bridge(spark, data_dir), "route_unicast")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and any("RepartitionByExpression" in line and "stream_seq" in line for line in plan.splitlines())
