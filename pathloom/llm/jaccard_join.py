@@ -9,10 +9,12 @@
    window); the links found give components. After that only pairs across components matter: two sets of one
    component need no comparison, so a dense group of n costs about n comparisons.
 4. Regions of up to SMALL members give their pairs across components; pairs that meet in `least_common` of them are
-   compared. (A linked pair that doesn't has a pivot of a larger region in common.) Larger ones are split recursively: two
-   members are pivots, each member goes to the Voronoi cell of the nearer one and, if its two distances differ by at
-   most 2 EPSILON, to the other cell too, until cells are small, within one component, or stop shrinking; then their
-   pairs that sizes and the triangle inequality leave open are compared, each once.
+   compared. (A linked pair that doesn't has a pivot of a larger region in common.)
+5. Members of larger regions get windows anew, with the pivots that the fewest of these members have first, and step 4
+   is done on those. What is large then is split recursively: two members are pivots, each member goes to the Voronoi
+   cell of the nearer one and, if its two distances differ by at most 2 EPSILON, to the other cell too, until cells are
+   small, within one component, or stop shrinking; then their pairs that sizes and the triangle inequality leave open
+   are compared, each once.
 
 Comparisons are exact. Links and components stay distributed; what is broadcast is bounded (HOT_PIVOTS, NEAR_NODES).
 
@@ -41,10 +43,10 @@ from pathloom.llm.hashing import among
 from pathloom.llm.shingles import shingle_sets
 
 EPSILON, LINK, OF = 0.2, 80, 100
-HOT_ROWS, HOT_PIVOTS, NEAR_NODES = 64, 1_000_000, 200_000
+HOT_ROWS, HOT_PIVOTS, NEAR_NODES, NEAR_COPIES = 64, 1_000_000, 200_000, 500_000
 PROBES, SHARED_PROBES = 8, 2
 SMALL, BLOCK, DEPTH, ROUNDS = 64, 256, 8, 2
-CELL = 1024
+CELL, SENT_BYTES = 4096, 1 << 21
 
 
 def least_common(n):
@@ -97,16 +99,34 @@ class Sets:
             asked = F.broadcast(asked)
         return self.docs.join(asked, KEY).select("node", F.col("text").cast("string")).mapInArrow(tidied(run), "node long, set binary")
 
+    def sent(self, to: DataFrame, few: bool) -> DataFrame:
+        """a, block, b and the set of the node, of every row of to (node, a, block, b: long; few: it can be broadcast)."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, len(batch), 512):
+                    part = batch.slice(i, 512)
+                    sets = [s.tobytes() for s in shingle_sets(part.column(1))]
+                    own = np.repeat(np.arange(len(part)), part.column(0).value_lengths().to_numpy(zero_copy_only=False))
+                    to = part.column(0).flatten().flatten()
+                    piece = np.cumsum(np.array([len(x) for x in sets], np.int64)[own]) // SENT_BYTES
+                    cuts = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), len(own)]
+                    for j, k in zip(cuts, cuts[1:], strict=False):
+                        yield pa.RecordBatch.from_arrays([*(x.slice(j, k - j) for x in to), pa.array([sets[x] for x in own[j:k].tolist()], pa.binary())], names=["a", "block", "b", "set"])
+
+        asked = self.names.join(to.groupBy("node").agg(F.collect_list(F.struct("a", "block", "b")).alias("to")), "node")
+        rows = self.docs.join(F.broadcast(asked) if few else asked, KEY).select("to", F.col("text").cast("string"))
+        return rows.mapInArrow(tidied(run), "a long, block long, b long, set binary")
+
 
 def compare(source: Sets, pairs: DataFrame) -> DataFrame:
-    """a, b, common, n_a, n_b of distinct pairs. A set goes to each block of up to about BLOCK of its partners."""
+    """a, b, common, n_a, n_b of distinct pairs. A set goes to each block of up to about BLOCK of its partners, from
+    where it is made."""
     pairs = settle(pairs)
-    nodes = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = settle(source.of(nodes))
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block"))
-    heads = dealt.select("a", "block").distinct().join(sets, F.col("a") == F.col("node")).select("a", "block", F.lit(None).cast("long").alias("b"), "set")
-    others = dealt.join(sets, F.col("b") == F.col("node")).select("a", "block", "b", "set")
+    dealt = settle(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block")))
+    heads = dealt.select(F.col("a").alias("node"), "a", "block").distinct().withColumn("b", F.lit(None).cast("long"))
+    to = heads.unionByName(dealt.select(F.col("b").alias("node"), "a", "block", "b"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = np.zeros(0, np.uint64)
@@ -122,9 +142,9 @@ def compare(source: Sets, pairs: DataFrame) -> DataFrame:
                 out.append((a, int(b), common, len(own), len(s)))
             yield pd.DataFrame(out, columns=["a", "b", "common", "n_a", "n_b"])
 
-    rows = heads.unionByName(others).repartition(slots(pairs.sparkSession), "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    rows = source.sent(to, pairs.count() <= NEAR_NODES).repartition(slots(pairs.sparkSession), "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
     out = settle(rows.select("a", "b", "set").mapInPandas(tidied(run), "a long, b long, common long, n_a long, n_b long"))
-    release(pairs, nodes, sets)
+    release(pairs, dealt)
     return out
 
 
@@ -135,11 +155,10 @@ def linked(compared: DataFrame) -> DataFrame:
     return compared.where(f"{OF} * common >= {LINK} * {UNION}").select("a", "b")
 
 
-def with_own(source: Sets, regions: DataFrame) -> DataFrame:
-    """The members of regions with `own`: how many of their shingles no other member of any region has. They are lost
-    to every pair, so members with too many of them go, and so do regions that are then within one component. Regions
-    of the same members are one."""
-    sets = source.of(settle(regions.select("node").distinct()))
+def windows_anew(source: Sets, nodes: DataFrame) -> DataFrame:
+    """s, node, comp, n, own of the pivots of each node's window, those first that the fewest of these nodes (node,
+    comp, n) have. own: how many of a node's shingles no other of them has. They are lost to every pair, so nodes with
+    too many of them go; the others' are no pivots that anything has in common."""
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,11 +166,19 @@ def with_own(source: Sets, regions: DataFrame) -> DataFrame:
             node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(v) for v in values])
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([*values, np.zeros(0, np.int64)]))], names=["node", "s"])
 
-    alone = sets.mapInArrow(tidied(numbers), "node long, s long").groupBy("s").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("c")).where("c = 1")
-    own = settle(alone.groupBy("node").agg(F.count(F.lit(1)).alias("own")))
-    left = regions.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(f"{OF} * (n - own) >= {LINK} * n")
-    left = settle(mixed_only(left).drop("size"))
-    release(own)
+    held = settle(source.of(nodes.select("node")).mapInArrow(tidied(numbers), "node long, s long"))
+    counts = settle(held.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    shared = join_counted(held, counts, ["s"], "c").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("shared"))
+    left = nodes.join(shared, "node").withColumn("own", F.expr("n - size(shared)")).where(f"{OF} * (n - own) >= {LINK} * n")
+    size = f"n - ({LINK} * n + {OF - 1}) div {OF} + (n + 19) div 20 - own"
+    out = settle(left.select(F.explode(F.expr(f"slice(shared, 1, cast({size} as int)).s")).alias("s"), "node", "comp", "n", "own"))
+    release(held, counts)
+    return out
+
+
+def single_regions(regions: DataFrame) -> DataFrame:
+    """The regions that more than one component is in; of those of the same members one."""
+    left = settle(mixed_only(regions).drop("size"))
     same = left.groupBy("region").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64(F.lit("b"), "node").cast("decimal(38,0)")).alias("y"), F.count(F.lit(1)).alias("c"))
     return left.join(same.groupBy("x", "y", "c").agg(F.min("region").alias("region")).select("region"), "region", "left_semi")
 
@@ -193,6 +220,16 @@ def cold_pairs(members: DataFrame) -> DataFrame:
     return rows.select("s", "node", "comp", "n").mapInArrow(tidied(run), "region long, a long, b long, comp long, n long")
 
 
+def meetings(cold: DataFrame) -> DataFrame:
+    """a, b of pairs that meet in enough regions."""
+    return cold.where("b >= 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("need")).where("c >= need").select("a", "b")
+
+
+def large_regions(cold: DataFrame) -> DataFrame:
+    """The members of regions over SMALL: region string, node, comp, n."""
+    return cold.where("b < 0").select(F.col("region").cast("string"), F.col("a").alias("node"), "comp", "n")
+
+
 def mixed_only(regions: DataFrame) -> DataFrame:
     """The members of regions that more than one component is in."""
     ends = regions.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
@@ -247,8 +284,8 @@ def cell_pairs(cells: DataFrame) -> DataFrame:
 
 
 def mixed_hot(nodes: DataFrame) -> DataFrame:
-    """region, node, comp, n of the hot pivots (hot: of each node) that more than one component has. Each task first
-    brings the pivots it sees down to a row each; the few that are left are told to all tasks."""
+    """node, comp, n of those nodes that hold a hot pivot (hot: of each node) which more than one component has. Each
+    task first brings the pivots it sees down to a row each; the few that are left are told to all tasks."""
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,12 +306,10 @@ def mixed_hot(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             hot = batch.column(0)
             own = np.repeat(np.arange(len(batch)), hot.value_lengths().to_numpy(zero_copy_only=False))
-            s = hot.flatten().to_numpy(zero_copy_only=False)
-            keep = among(s, known.value)
-            facts = [pa.array(batch.column(i).to_numpy(zero_copy_only=False)[own[keep]]) for i in (1, 2, 3)]
-            yield pa.RecordBatch.from_arrays([pa.array(s[keep]), *facts], names=["region", "node", "comp", "n"])
+            keep = np.unique(own[among(hot.flatten().to_numpy(zero_copy_only=False), known.value)])
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(i).to_numpy(zero_copy_only=False)[keep]) for i in (1, 2, 3)], names=["node", "comp", "n"])
 
-    return nodes.select("hot", "node", "comp", "n").mapInArrow(tidied(members), "region long, node long, comp long, n long")
+    return nodes.select("hot", "node", "comp", "n").mapInArrow(tidied(members), "node long, comp long, n long")
 
 
 def relabel(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -322,7 +357,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     known = settle(windows(docs, spark.sparkContext.broadcast(hot)).withColumn("doc_id", F.when(F.col("__id") != NO_ID, F.col("__id"))))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
     classes = settle(known.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), first, F.count(F.lit(1)).alias("rows")))
-    members = settle(known.withColumnRenamed("row", "node").join(classes.select("node"), "node").select("node", *KEY, "n", "cold", "hot"))
+    nonempty = known.where("n > 0").withColumnRenamed("row", "node")
+    copies = settle(nonempty.select("node").join(classes.select("node"), "node", "left_anti"))
+    members = settle(nonempty.join(F.broadcast(copies) if copies.count() <= NEAR_COPIES else copies, "node", "left_anti").select("node", *KEY, "n", "cold", "hot"))
     source = Sets(docs, members.select("node", *KEY))
 
     probes = settle(members.select("node", F.least("n", F.lit(SHARED_PROBES)).alias("need"), F.explode(F.slice(F.concat("cold", "hot"), 1, PROBES)).alias("s")))
@@ -334,16 +371,22 @@ def grouped(docs: DataFrame) -> DataFrame:
 
     marked = settle(members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     cold = settle(cold_pairs(marked.select(F.explode("cold").alias("s"), "node", "comp", "n")))
-    met = cold.where("b >= 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("need")).where("c >= need").select("a", "b")
-    more = linked(compare(source, met))
-    large = cold.where("b < 0").select(F.col("region").cast("string"), F.col("a").alias("node"), "comp", "n")
-    links = links.unionByName(more)
+    links = links.unionByName(linked(compare(source, meetings(cold))))
     final = components(links)
-    busy = mixed_hot(settle(relabel(marked.where("size(hot) > 0").select("hot", "node", "comp", "n"), final))).withColumn("region", F.col("region").cast("string"))
-    regions = settle(mixed_only(relabel(large, final).unionByName(busy)).drop("size"))
-    if not regions.isEmpty():
-        final = components(links.unionByName(split_regions(source, with_own(source, regions))))
-    release(members, marked, cold, regions)
+    large = mixed_only(relabel(large_regions(cold), final)).select("node", "comp", "n")
+    busy = mixed_hot(settle(relabel(marked.where("size(hot) > 0").select("hot", "node", "comp", "n"), final)))
+    nodes = settle(large.unionByName(busy).distinct())
+    if not nodes.isEmpty():
+        anew = windows_anew(source, nodes)
+        again = settle(cold_pairs(anew))
+        links = links.unionByName(linked(compare(source, meetings(again))))
+        final = components(links)
+        regions = relabel(large_regions(again), final).join(anew.select("node", "own").distinct(), "node")
+        regions = settle(single_regions(regions))
+        if not regions.isEmpty():
+            final = components(links.unionByName(split_regions(source, regions)))
+        release(anew, again, regions)
+    release(members, marked, cold, nodes, copies)
     per_class = classes.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     firsts = per_class.groupBy("comp").agg(F.min("first").alias("least"))
     found = settle(per_class.join(firsts, "comp").select("key", "least", "rows"))

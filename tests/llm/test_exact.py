@@ -83,6 +83,25 @@ def test_jaccard_join_tells_rows_apart(spark):
     assert got == sorted([("1", 36, 1), ("1", 36, 1), ("2", 37, 1), ("3", 37, 1), ("None", 36, 1), ("None", 1, 9), ("7", 1, 7), ("8", 1, 8), ("9", 1, 9), ("None", 2, None)], key=lambda r: r[:2])
 
 
+def test_jaccard_join_regions_by_the_rarest_pivots(spark, monkeypatch):
+    """Sections of ten documents share a passage, all share another: only a section's documents are compared."""
+    monkeypatch.setattr(jaccard_join, "HOT_ROWS", 5)
+    monkeypatch.setattr(jaccard_join, "SMALL", 3)
+    compare, asked = jaccard_join.compare, []
+
+    def counted(source, pairs):
+        asked.append(pairs.count())
+        return compare(source, pairs)
+
+    monkeypatch.setattr(jaccard_join, "compare", counted)
+    rows = [(d, " ".join([*(f"c{i}" for i in range(40)), *(f"s{d // 10}_{i}" for i in range(24)), *(f"o{d}_{i}" for i in range(8))])) for d in range(60)]
+    rows += [(100 + d, rows[d][1] + " more") for d in (3, 47)]
+    want = jaccard_brute(rows)
+    assert all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in jaccard_join.join(table(spark, rows)).collect())
+    assert want[103][1] == 3 and want[147][1] == 47
+    assert sum(asked) < 800
+
+
 # --- suffix dedup
 
 
