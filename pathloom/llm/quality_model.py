@@ -20,11 +20,10 @@ import math
 import pickle
 import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +33,7 @@ from pathloom.llm.common import FORGET, bounded_batches, tidied, whole_text
 WORD = re.compile("[^\t-\r ]+")
 DIM, NONZERO, WINDOW, HIDDEN = 32, 4, 2, 24
 MAX_ROWS = 4000
-CACHE_WORDS = 150_000
+CACHE_WORDS, PART = 150_000, 512
 RUNS = [(re.compile(p), by) for p, by in (("[^\\W\\d_]+", lambda m: "A" if m[0].isupper() else "a" if m[0].islower() else "Aa"), (r"\d+", "9"), (r"([^\w\s])\1+", r"\1\1"))]
 
 
@@ -59,19 +58,24 @@ class Vectors:
     """Word and shape vectors; rows of `words` and `shapes` by name, row 0 for those unknown."""
 
     def __init__(self, texts: list[str]):
-        docs = [WORD.findall(t) for t in texts]
-        counts = Counter(w for d in docs for w in d)
-        names = [w for w, n in counts.items() if n >= 3]
-        kinds = {w: shape(w) for w in counts}
+        number: defaultdict[str, int] = defaultdict(lambda: len(number))
+        docs = [np.array([number[x] for x in WORD.findall(t)], np.int32) for t in texts]  # words as numbers: 4 bytes each
+        counts = np.zeros(len(number), np.int64)
+        for d in docs:
+            np.add.at(counts, d, 1)
+        names = [w for w, n in zip(number, counts.tolist(), strict=True) if n >= 3]
+        kinds = [shape(w) for w in number]
         self.word = {w: i + 1 for i, w in enumerate(names)}
-        self.shape = {s: i + 1 for i, s in enumerate(sorted(set(kinds.values())))}
+        self.shape = {s: i + 1 for i, s in enumerate(sorted(set(kinds)))}
+        word_of, shape_of = np.array([self.word.get(w, 0) for w in number], np.int64), np.array([self.shape[s] for s in kinds], np.int64)
+        del number, kinds
         of_word = np.vstack([np.zeros(DIM, np.float32), *map(index_vector, names)])
         of_shape = np.vstack([np.zeros(DIM, np.float32), *(index_vector("\0" + s) for s in self.shape)])
         self.words, self.shapes = np.zeros_like(of_word), np.zeros_like(of_shape)
         for d in docs:
-            if not d:
+            if not len(d):
                 continue
-            w, s = np.array([self.word.get(x, 0) for x in d]), np.array([self.shape[kinds[x]] for x in d])
+            w, s = word_of[d], shape_of[d]
             own = of_word[w] + of_shape[s]
             sums = np.vstack([np.zeros(DIM, np.float32), np.cumsum(own, axis=0, dtype=np.float64).astype(np.float32)])
             i = np.arange(len(d))
@@ -86,6 +90,11 @@ class Vectors:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"cache": {}}
 
+    def pooled_parts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Of few texts at a time, so that the words of few are held."""
+        for a in range(0, len(texts), PART):
+            yield self.pooled(texts[a : a + PART])
+
     def pooled(self, texts: list[str]) -> np.ndarray:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
@@ -140,18 +149,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     sample = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample), "doc_id")
 
-    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        data = pd.concat(list(batches), ignore_index=True)
-        data = data.sort_values(["h", "doc_id", "text"]) if len(data) else data
-        y, texts = data["y"].to_numpy(float), data["text"].tolist()
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[:3])
+        y, texts = np.array([r[3] for r in data], float), [r[2] for r in data]
         if len(set(y)) < 2:
             model = None, (y.sum() + 1) / (len(y) + 2)
         else:
             vectors = Vectors(texts)
-            model = vectors, Network(vectors.pooled(texts).astype(float), y)
-        yield pd.DataFrame({"model": [pickle.dumps(model)]})
+            model = vectors, Network(np.concatenate(list(vectors.pooled_parts(texts))).astype(float), y)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    found = rows.select("doc_id", "text", "y", F.xxhash64("doc_id").alias("h")).repartition(1).mapInPandas(train, "model binary").collect()
+    bounded_batches(docs.sparkSession)
+    found = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "y").repartition(1).mapInArrow(tidied(train), "model binary").collect()
     return bytes(found[0][0]) if found else pickle.dumps((None, 0.5))
 
 
@@ -176,7 +185,7 @@ def score(docs: DataFrame, model: bytes, name: str = "score", columns: list[str]
             if vectors is None:
                 p = np.full(len(texts), network)
             else:
-                p = np.concatenate([network.probability(vectors.pooled(texts[a : a + 512])) for a in range(0, len(texts), 512)] or [np.zeros(0)])
+                p = np.concatenate([network.probability(x) for x in vectors.pooled_parts(texts)] or [np.zeros(0)])
             out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(p, pa.float64())], names=[*kept, name])
             yield out if least is None else out.filter(pa.array(p >= least))
 

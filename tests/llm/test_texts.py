@@ -213,6 +213,20 @@ def test_pii(spark):
     assert pii.find(table(spark, [])).count() == 0
 
 
+def test_quality_fit_holds_the_words_of_few_texts():
+    """The words of the fitting sample are held as numbers, and the model is that of the words themselves."""
+    import tracemalloc
+
+    texts = [" ".join(f"w{(i * 7 + k * k) % 997}" for k in range(4000)) for i in range(300)]
+    tracemalloc.start()
+    vectors = quality_model.Vectors(texts)
+    rows = list(vectors.pooled_parts(texts[:40]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * sum(len(t.split()) for t in texts)
+    assert np.array_equal(np.concatenate(rows), vectors.pooled(texts[:40]))
+
+
 def test_quality_model(spark):
     rng = random.Random(7)
     good = [f"w{k}" for k in range(60)]
