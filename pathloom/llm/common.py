@@ -94,9 +94,18 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: Bytes of a worker's freed memory that a task uses again, and from which an array has pages of its own.
+REUSED, OWN_PAGES = 1 << 24, 1 << 23
+
+
 @functools.cache
 def _trim() -> Callable[[int], int] | None:
-    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+    """malloc_trim, if there is one. Else arrays of some MB would get new pages from the system each time."""
+    c = ctypes.CDLL(None)
+    if mallopt := getattr(c, "mallopt", None):
+        mallopt(-1, REUSED)  # M_TRIM_THRESHOLD
+        mallopt(-3, OWN_PAGES)  # M_MMAP_THRESHOLD
+    return getattr(c, "malloc_trim", None)
 
 
 #: By module: what forgets the tables that its tasks keep in a worker.
@@ -105,6 +114,7 @@ FORGET: dict[str, Callable[[], None]] = {}
 
 def enter(module: str) -> None:
     """Before a task of this module: a worker keeps no tables of other modules' tasks."""
+    _trim()
     for name, forget in FORGET.items():
         if name != module:
             forget()

@@ -1,4 +1,8 @@
-"""Whether strings are within so many edits, by bit-parallel columns of a band, for many pairs at once in numpy."""
+"""Whether strings are within so many edits, by furthest reaching diagonals, for many pairs at once in numpy.
+
+With e edits a diagonal's furthest place is a step from those with e - 1 on it and beside it, and then as far as the
+strings agree. Only diagonals count from which the edits left lead to the last one, so k edits cost k * k / 2 stretches at
+most, whatever the length."""
 
 from __future__ import annotations
 
@@ -6,12 +10,10 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: A band of 2 * MOST + 1 diagonals fits a 64-bit word.
 MOST = 31
-#: Pairs are compared together under the next of these; a wider band than a pair needs gives the same answer.
-BANDS = [2, 5, 10, 18, MOST]
-CELLS = 1 << 20
-OUTSIDE_A, OUTSIDE_B = -1, -2
+#: Pairs times diagonals that are worked on at once.
+CELLS = 1 << 15
+NOWHERE = -(1 << 30)
 
 
 def points(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -21,15 +23,6 @@ def points(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.r_[0, np.cumsum([len(t) for t in decoded])].astype(np.int64)
 
 
-def rows_of(flat: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, other: int) -> np.ndarray:
-    """A matrix of stretches, filled up with `other`."""
-    at = np.arange(width)
-    out = np.full((len(start), width), other, np.int32)
-    inside = at < size[:, None]
-    out[inside] = flat[(start[:, None] + at)[inside]]
-    return out
-
-
 def bigrams_allow(flat: np.ndarray, offsets: np.ndarray, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Whether the pairs' counts of two characters after each other, in 256 classes, let them be within so many edits: an
     edit takes two of them away and adds two at most."""
@@ -48,95 +41,87 @@ def bigrams_allow(flat: np.ndarray, offsets: np.ndarray, x: np.ndarray, y: np.nd
     return good
 
 
+class Words:
+    """Eight bytes of characters from each place on: characters are numbered in one, two or four bytes each."""
+
+    def __init__(self, flat: np.ndarray):
+        there = np.zeros(int(flat.max(initial=0)) + 1, bool)
+        there[flat] = True
+        kinds = int(there.sum())
+        self.bytes = 1 if kinds <= 1 << 8 else 2 if kinds <= 1 << 16 else 4
+        number = (np.cumsum(there) - 1).astype(f"<u{self.bytes}")[flat]
+        padded, self.chars = np.concatenate([number, np.zeros(16, number.dtype)]), 8 // self.bytes
+        self.at = np.empty(len(flat) + 1, np.uint64)
+        for phase in range(min(self.chars, len(self.at))):
+            own = self.at[phase :: self.chars]
+            own[:] = np.frombuffer(padded.data, "<u8", len(own), phase * self.bytes)
+
+    def agree(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many characters agree from these places on, `chars` at most."""
+        differ = self.at[x] ^ self.at[y]
+        lowest = (differ & (~differ + np.uint64(1))).astype(np.float64).view(np.int64) >> 52  # 1023 + the lowest bit
+        return np.where(differ == 0, self.chars, (lowest - 1023) // (8 * self.bytes))
+
+    def extend(self, x: np.ndarray, y: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """How many characters agree from these places on, `left` at most."""
+        out = np.minimum(self.agree(x, y), left)
+        open_, done, last = np.flatnonzero((out == self.chars) & (left > self.chars)), self.chars, len(self.at) - 1
+        ahead = np.arange(8) * self.chars  # eight words at a time
+        while len(open_):
+            i, j = x[open_] + done, y[open_] + done
+            same = self.at[np.minimum(i[:, None] + ahead, last)] == self.at[np.minimum(j[:, None] + ahead, last)]
+            whole = np.where(same.all(axis=1), 7, same.argmin(axis=1)) * self.chars
+            n = np.minimum(whole + self.agree(np.minimum(i + whole, last), np.minimum(j + whole, last)), left[open_] - done)
+            out[open_] += n
+            done += 8 * self.chars
+            open_ = open_[(n == 8 * self.chars) & (left[open_] > done)]
+        return out
+
+
 def within(texts: list[bytes], x: np.ndarray, y: np.ndarray, most_of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """For each pair of texts whether its edit distance in code points is at most what most_of (MOST at most) says of
     the length of the shorter one."""
     flat, offsets = points(texts)
     size = np.diff(offsets)
-    start_a, start_b, n, m = offsets[x], offsets[y], size[x], size[y]
-    out, most = np.zeros(len(n), bool), most_of(np.minimum(n, m))
-    bands = np.array(BANDS)[np.searchsorted(BANDS, most)]
-    order = np.flatnonzero(bigrams_allow(flat, offsets, x, y, most))
-    order = order[np.lexsort((np.maximum(n, m)[order], bands[order]))]
-    i = 0
-    while i < len(order):
-        tau, j, width = int(bands[order[i]]), i, 1
-        while j < len(order) and bands[order[j]] == tau and (j == i or (j - i + 1) * max(width, n[order[j]], m[order[j]]) <= CELLS):
-            width = max(width, n[order[j]], m[order[j]])
-            j += 1
-        own = order[i:j]
-        out[own] = _same_band(flat, start_a[own], n[own], flat, start_b[own], m[own], most[own], tau)
-        i = j
-    return out
-
-
-def _same_band(flat_a, start_a, n, flat_b, start_b, m, most, tau) -> np.ndarray:
-    """Common beginnings and ends are taken off first: they don't change the distance."""
-    width, least = int(max(n.max(), m.max())), np.minimum(n, m)
-    differ = rows_of(flat_a, start_a, n, width + 1, OUTSIDE_A) != rows_of(flat_b, start_b, m, width + 1, OUTSIDE_B)
-    head = np.minimum(differ.argmax(axis=1), least)
-    left, right, tail = n - head, m - head, np.zeros(len(n), np.int64)
-    back = np.arange(1, width + 2)
-    inside = back <= np.minimum(left, right)[:, None]
-    ends = np.where(inside, flat_a[np.maximum(start_a[:, None] + n[:, None] - back, 0)] != flat_b[np.maximum(start_b[:, None] + m[:, None] - back, 0)], True) if len(flat_a) and len(flat_b) else np.ones((len(n), 1), bool)
-    tail = ends.argmax(axis=1)
-    n, m = left - tail, right - tail
-    out, fits = np.maximum(n, m) <= most, np.abs(n - m) <= most
-    for i in np.flatnonzero(~out & fits & (np.minimum(n, m) <= tau)).tolist():  # shorter than the band is wide
-        x, y = start_a[i] + head[i], start_b[i] + head[i]
-        out[i] = by_rows(flat_a[x : x + n[i]].tolist(), flat_b[y : y + m[i]].tolist()) <= most[i]
-    open_ = np.flatnonzero(~out & fits & (np.minimum(n, m) > tau))
-    if len(open_):
-        out[open_] = _banded(flat_a, (start_a + head)[open_], n[open_], flat_b, (start_b + head)[open_], m[open_], most[open_], tau)
+    x, y = np.where(size[x] <= size[y], x, y), np.where(size[x] <= size[y], y, x)
+    most, longer = most_of(size[x]), size[y] - size[x]
+    out, words = np.zeros(len(x), bool), Words(flat)
+    order = np.flatnonzero(longer <= most)
+    order = order[bigrams_allow(flat, offsets, x[order], y[order], most[order])]
+    order = order[np.lexsort((longer[order], most[order]))]
+    step = max(1, CELLS // (int(most[order].max(initial=0)) + 1))
+    for a in range(0, len(order), step):
+        own = order[a : a + step]
+        out[own] = _diagonals(words, offsets[x[own]], size[x[own]], offsets[y[own]], size[y[own]], most[own])
     return out
 
 
-def by_rows(a: list[int], b: list[int]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        before, row[0] = row[0], i + 1
-        for j, y in enumerate(b):
-            before, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, before + (x != y))
-    return row[-1]
-
-
-def _banded(flat_a, start_a, n, flat_b, start_b, m, most, tau) -> np.ndarray:
-    """Both sides have over tau characters. Bit k of a word is row j - tau + k of column j; score is the value on the
-    band's lowest diagonal, then, where that has left the table, along the last row."""
-    one, band = np.uint64(1), 2 * tau + 1
-    full, top = np.uint64((1 << band) - 1), np.uint64(1 << band - 1)
-    columns = rows_of(flat_b, start_b, m, int(m.max()), OUTSIDE_B)
-    padded = rows_of(flat_a, start_a, n, int(max(n.max(), m.max())) + tau + 1, OUTSIDE_A)
-    padded = np.concatenate([np.full((len(n), tau), OUTSIDE_A, np.int32), padded], axis=1)
-    count = len(n)
-    out, live = np.zeros(count, bool), np.arange(count)
-    rising = np.full(count, full ^ np.uint64((1 << tau) - 1), np.uint64)
-    falling, score, edge = np.zeros(count, np.uint64), np.full(count, tau, np.int64), np.full(count, top >> one, np.uint64)
-    limit, packed = tau + most + np.maximum(0, m - n), np.zeros((count, 8), np.uint8)
-    inside = int(min(n.min() - tau, m.min() - 1))  # so long all pairs are within the table
-    for j in range(int(m.max())):
-        bits = np.packbits(padded[:, j : j + band] == columns[:, j : j + 1], axis=1, bitorder="little")
-        packed[:, : bits.shape[1]] = bits
-        hits = packed.view(np.uint64)[:, 0]
-        same = (((hits & rising) + rising) ^ rising | hits | falling) & full
-        up, down = falling | full & ~(same | rising), same & rising
-        rising, falling = down | full & ~(same >> one | up), same >> one & up
-        if j < inside:
-            score += (same & top) == 0
-            if j % 16 != 15:
-                continue
-            stay = score <= limit
-        else:
-            inner = j < n - tau
-            score += np.where(inner, (same & top) == 0, ((up & edge) != 0).astype(np.int64) - ((down & edge) != 0))
-            edge = np.where(inner, edge, edge >> one)
-            ended = j == m - 1
-            out[live[ended]] = score[ended] <= most[ended]
-            stay = ~ended & (score <= limit)
-        if not stay.all():
-            if not stay.any():
+def _diagonals(words: Words, start_a: np.ndarray, n: np.ndarray, start_b: np.ndarray, m: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """n <= m. Column low + d of `far` is how far (in a) the diagonal of the places i, i + d is known to be reached."""
+    longer = m - n
+    low, high = int(((most - longer) // 2).max()), int(((most + longer) // 2).max())
+    far = np.full((len(n), low + high + 3), NOWHERE, np.int64)  # a column more on either side
+    low += 1
+    far[:, low] = words.extend(start_a, start_b, n)
+    out, live = far[np.arange(len(n)), low + longer] >= n, np.arange(len(n))
+    for e in range(1, int(most.max()) + 1):
+        stay = ~out[live] & (most[live] >= e)
+        if 4 * stay.sum() < 3 * len(live) or not stay.any():
+            live, far, start_a, n, start_b, m, longer = live[stay], far[stay], start_a[stay], n[stay], start_b[stay], m[stay], longer[stay]
+            if not len(live):
                 break
-            live, n, m, most, limit, padded, columns, packed = live[stay], n[stay], m[stay], most[stay], limit[stay], padded[stay], columns[stay], packed[stay]
-            rising, falling, score, edge = rising[stay], falling[stay], score[stay], edge[stay]
-            inside = int(min(n.min() - tau, m.min() - 1))
+        left = int(most[live].max()) - e  # edits that may follow
+        a = max(1, low - e, low + int(longer.min()) - left)
+        b = min(far.shape[1] - 2, low + e, low + int(longer.max()) + left) + 1
+        d = np.arange(a, b) - low
+        i = np.maximum(np.maximum(far[:, a:b], far[:, a + 1 : b + 1]) + 1, far[:, a - 1 : b - 1])
+        i = np.minimum(np.minimum(i, n[:, None]), m[:, None] - d)
+        there = (i >= 0) & (i + d >= 0)
+        i[~there] = NOWHERE
+        row, column = np.nonzero(there)
+        at = i[row, column]
+        far[:, a:b] = i
+        d = d[column]
+        far[row, column + a] = at + words.extend(start_a[row] + at, start_b[row] + at + d, np.minimum(n[row] - at, m[row] - at - d))
+        out[live] |= (far[np.arange(len(live)), low + longer] >= n) & (most[live] >= e)
     return out

@@ -56,6 +56,8 @@ PAIRS, VERIFIED = 1 << 20, 1 << 14
 CLASS = ((np.arange(256) * 0x9E37 >> 7) & 15).astype(np.uint8)
 CLASS[[10, *range(0x80, 0xC0)]] = 16
 BAG_PLACES = np.arange(0, 64, 4, dtype=np.uint64)
+#: For each byte a one in the byte of its class: of the first eight classes, of the others.
+ONES = [np.where(CLASS // 8 == k, np.uint64(1) << (8 * (CLASS % 8)).astype(np.uint64), np.uint64(0)) for k in (0, 1)]
 
 
 def most_edits(chars: np.ndarray) -> np.ndarray:
@@ -130,9 +132,18 @@ class Lines:
 
     def bags(self) -> np.ndarray:
         """Each line's characters by class: an edit moves two counts at most."""
-        line = np.repeat(np.arange(len(self.start), dtype=np.int32) * 17, np.diff(np.r_[self.start, len(self.data)]))
-        counts = np.bincount(line + CLASS[self.data], minlength=17 * len(self.start)).reshape(-1, 17)[:, :16]
-        return ((counts & 15).astype(np.uint64) << BAG_PLACES).sum(axis=1, dtype=np.uint64)
+        size = np.diff(np.r_[self.start, len(self.data)])
+        filled, out = np.flatnonzero(size > 0), np.zeros(len(size), np.uint64)
+        if not len(filled):
+            return out
+        start = self.start[filled]
+        cuts = np.unique(np.r_[start, np.arange(0, len(self.data), 255)])  # a byte holds the count of a piece
+        first = np.searchsorted(cuts, start)
+        for k, ones in enumerate(ONES):
+            pieces = np.add.reduceat(ones[self.data], cuts).view(np.uint8).reshape(-1, 8)
+            counts = np.add.reduceat(pieces, first, dtype=np.uint8) & 15  # modulo 256, so modulo 16
+            out[filled] |= (counts.astype(np.uint64) << BAG_PLACES[8 * k : 8 * k + 8]).sum(axis=1, dtype=np.uint64)
+        return out
 
     def entries(self, lines: np.ndarray, segments: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(key, line, 0 for an index entry or 1) for the layouts of so many segments."""

@@ -181,6 +181,19 @@ def edited(rng, text, most):
     return "".join(text)
 
 
+def test_distance_looks_at_few_places(monkeypatch):
+    """Pairs a little beyond the edits allowed cost stretches by the square of the edits, not all of their length."""
+    rng = random.Random(3)
+    a = ["".join(rng.choice("abcdefgh") for _ in range(3000)) for _ in range(40)]
+    b = [x[:1500] + "".join(sorted(x[1500:1512])) + x[1512:2990] + "zzzzzzzzzz" for x in a]
+    places, words = [], edit_distance.Words.extend
+    monkeypatch.setattr(edit_distance.Words, "extend", lambda self, x, y, left: places.append(len(x)) or words(self, x, y, left))
+    at = np.arange(len(a))
+    got = [edit_distance.within([x.encode() for x in a + b], at, at + len(a), lambda n, most=most: np.full(len(n), most)) for most in (9, 31)]
+    assert not got[0].any() and got[1].all()
+    assert sum(places) < len(a) * (9 * 9 + 31 * 31)
+
+
 def test_banded_distance():
     rng = random.Random(4)
     a = ["".join(rng.choice("abé漢") for _ in range(rng.randint(0, 40))) for _ in range(4000)]
