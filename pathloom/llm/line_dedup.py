@@ -18,7 +18,7 @@ Entries go to their partition as packed runs of numbers. Where lines share a key
 others; links give components. After that only keys that more than one component shares matter: their pairs across
 components are compared, in blocks of BLOCK lines, each under one key, and what a task links it compares no more. Segments that over
 CAP lines of many components share are cut finer (LEVELS), of which all but TAU must match. Candidates are verified by
-banded bit-parallel edit distance. Lines are named by 128 bits for equality and by 64 of them for edits.
+their furthest reaching diagonals. Lines are named by 128 bits for equality and by 64 of them for edits.
 
 Defined results: null and empty texts have one empty line, which stays; of repeated rows all but the first lose all
 lines that aren't blank (a row's own repeated lines go too); rows of one doc_id, or without one (they come first), are
