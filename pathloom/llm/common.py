@@ -156,10 +156,15 @@ KEY = ["__id", "__digest", "__copy"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key for each row: doc_id, the text's digest and, where rows share both, a number."""
+    """docs with a key for each row: doc_id, the text's digest and, where rows share both, a number. Digests are made
+    only if rows share a doc_id (else they are empty), and compared among such rows only."""
     base = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__digest": digest_of(whole_text())})
-    again = settle(base.groupBy("__id", "__digest").count().where("count > 1").select("__id", "__digest"))
+    shared = settle(base.groupBy("__id").count().where("count > 1").select("__id"))
     once = base.withColumn("__copy", F.lit(-1).cast("long"))
+    if shared.isEmpty():
+        return once.withColumn("__digest", F.lit(b""))
+    some = base.join(F.broadcast(shared), "__id", "left_semi") if shared.count() <= FEW_COPIES else base
+    again = settle(some.groupBy("__id", "__digest").count().where("count > 1").select("__id", "__digest"))
     if again.isEmpty():
         return once
     few = F.broadcast(again) if again.count() <= FEW_COPIES else again

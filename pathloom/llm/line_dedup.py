@@ -30,7 +30,7 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations, product
+from itertools import combinations, compress, product
 
 import numpy as np
 import pandas as pd
@@ -52,6 +52,8 @@ LEVELS = (TAU + 1, 8, 16)
 CAP, BLOCK, NEAR, FEW_LINES = 2048, 1024, 2_000_000, 16
 FEW_ROWS, FEW_PLACES = 300_000, 2_000_000
 PAIRS, VERIFIED = 1 << 20, 1 << 14
+#: Entries that a task gathers before it deals them: a run for each part is small else.
+HELD = 1 << 19
 #: Sixteen classes of characters by their first byte, counted modulo 16 in four bits each; a seventeenth isn't counted.
 CLASS = ((np.arange(256) * 0x9E37 >> 7) & 15).astype(np.uint8)
 CLASS[[10, *range(0x80, 0xC0)]] = 16
@@ -105,19 +107,27 @@ class Lines:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         joints = np.flatnonzero(data == 10)
-        owner = np.searchsorted(offsets, joints, "right") - 1
-        starts = np.sort(np.r_[offsets[:-1], joints + 1], kind="stable")
-        ends = np.sort(np.r_[offsets[1:], joints], kind="stable")
-        self.row = np.sort(np.r_[np.arange(len(offsets) - 1), owner], kind="stable")
-        self.place = np.arange(len(starts)) - np.searchsorted(self.row, self.row)
+        before = np.searchsorted(joints, offsets)  # joints before each row
+        n = np.diff(before) + 1
+        first = np.cumsum(n) - n
+        self.row = np.repeat(np.arange(len(n)), n)
+        self.place = np.arange(len(self.row)) - first[self.row]
+        starts, ends = np.empty(len(self.row), np.int64), np.empty(len(self.row), np.int64)
+        starts[first], ends[first + n - 1] = offsets[:-1], offsets[1:]
+        inner = np.flatnonzero(self.place > 0)
+        starts[inner], ends[inner - 1] = joints + 1, joints
         self.start, self.end, self.size, self.data = starts, ends, ends - starts, data
-        filled = np.concatenate([[0], np.cumsum(~SPACE[data], dtype=np.int32)])
-        self.counts = filled[ends] > filled[starts]
+        self.counts = self.size > 0
+        there = np.flatnonzero(self.counts)
+        there = there[SPACE[data[starts[there]]]]  # of the others the first character tells
+        if len(there):
+            indented, at = self.alone(there)
+            self.counts[there] = np.logical_or.reduceat(~SPACE[indented], at[:-1])
 
     def names(self, lines: np.ndarray) -> np.ndarray:
         """128 bits for each line, in two columns."""
-        raw = self.data.tobytes()
-        return np.frombuffer(b"".join([hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(self.start[lines].tolist(), self.end[lines].tolist(), strict=True)]), "<i8").reshape(-1, 2)
+        raw, name = self.data.tobytes(), hashlib.blake2b
+        return np.frombuffer(b"".join([name(raw[i:j], digest_size=16).digest() for i, j in zip(self.start[lines].tolist(), self.end[lines].tolist(), strict=True)]), "<i8").reshape(-1, 2)
 
     def count_chars(self) -> None:
         self.before = np.concatenate([np.zeros(1, np.int32), np.cumsum((self.data & 0xC0) != 0x80, dtype=np.int32)])
@@ -128,7 +138,9 @@ class Lines:
     def alone(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of these lines one after another, and where each begins and the last one ends."""
         size = self.size[lines]
-        return self.data[np.arange(size.sum()) + np.repeat(self.start[lines] - np.cumsum(size) + size, size)], np.r_[0, np.cumsum(size)]
+        offsets = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=offsets[1:])
+        return self.data[np.arange(offsets[-1]) + np.repeat(self.start[lines] - offsets[:-1], size)], offsets
 
     def bags(self) -> np.ndarray:
         """Each line's characters by class: an edit moves two counts at most."""
@@ -149,21 +161,23 @@ class Lines:
         """(key, line, 0 for an index entry or 1) for the layouts of so many segments."""
         data, offsets = self.alone(lines)
         begins = (data & 0xC0) != 0x80
-        points, head = np.r_[np.flatnonzero(begins), len(data)], np.r_[0, np.cumsum(begins)][offsets[:-1]]
+        points, head = np.append(np.flatnonzero(begins), len(data)), np.append(0, np.cumsum(begins))[offsets[:-1]]
         text, chars = Stretches(data), self.chars[lines]
         for number, (dirty, moves) in enumerate(layouts(segments)):
-            clean = [k for k in range(segments) if k not in dirty]
-            for delta, shift in [(0, None), *moves]:
-                base = chars - delta  # the length of the indexed line
-                key = base.astype(np.uint64) * np.uint64(1024) + np.uint64(number)
-                good = base >= LEAST_NEAR
-                for k in clean:
-                    a, b = base * k // segments, base * (k + 1) // segments
-                    move = shift[k] if shift else 0
-                    good &= (a + move >= 0) & (b + move <= chars)
-                    a, b = np.clip(a + move, 0, chars), np.clip(b + move, 0, chars)
-                    key = mix(key) + text.hashes(points[head + a], points[head + np.maximum(a, b)])
-                yield mix(key)[good], lines[good], np.full(int(good.sum()), int(shift is not None))
+            # all moves at once, the index entries first
+            n, of, delta = len(lines), np.tile(np.arange(len(lines)), len(moves) + 1), np.array([0, *(d for d, _ in moves)])
+            base = (chars - delta[:, None]).ravel()  # the length of the indexed line
+            size, start = chars[of], head[of]
+            key = base.astype(np.uint64) * np.uint64(1024) + np.uint64(number)
+            good = base >= LEAST_NEAR
+            for k in range(segments):
+                if k not in dirty:
+                    move = np.repeat([0, *(shift[k] for _, shift in moves)], n)
+                    a, b = base * k // segments + move, base * (k + 1) // segments + move
+                    good &= (a >= 0) & (b <= size)
+                    a, b = np.clip(a, 0, size), np.clip(b, 0, size)
+                    key = mix(key) + text.hashes(points[start + a], points[start + np.maximum(a, b)])
+            yield mix(key)[good], lines[of[good]], (np.arange(len(of)) >= n)[good].astype(np.int64)
 
     def anchors(self, lines: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(key, line, place in the line in characters) of the anchors of long lines, each key once a line. A line that
@@ -184,19 +198,21 @@ class Lines:
         size = self.size[lines]
         at = np.arange(size.sum(), dtype=np.int32)  # a text has less than 2 GB
         at += np.repeat((self.start[lines] - np.cumsum(size) + size).astype(np.int32), size)
-        key = sums[np.minimum(at, np.int32(len(sums) - 1))]
-        value = np.maximum((key >> np.uint64(32)).astype(np.uint32), np.uint32(1))
+        high = sums.view(np.uint32)[1::2]  # little-endian, as all numbers here
+        value = np.maximum(high[np.minimum(at, np.int32(len(sums) - 1))], np.uint32(1))
         width = stretch - gram + 1
         first = sliding(value, width, np.minimum)
         last = np.repeat(self.end[lines].astype(np.int32), size)[: len(first)]
         first = np.where(at[: len(first)] + stretch <= last, first, 0)  # no stretch crosses a line's end
-        most = sliding(np.concatenate([np.zeros(width - 1, np.uint32), first, np.zeros(width - 1, np.uint32)]), width, np.maximum)
-        chosen = np.flatnonzero(value == most)
-        line, key, at = np.repeat(lines, size)[chosen], mix(key[chosen] + np.uint64(k)), at[chosen]
+        padded = np.zeros(len(first) + 2 * width - 2, np.uint32)
+        padded[width - 1 : width - 1 + len(first)] = first
+        chosen = np.flatnonzero(value == sliding(padded, width, np.maximum))
+        at = at[chosen]
+        line, key = lines[np.searchsorted(np.cumsum(size), chosen, "right")], mix(sums[np.minimum(at, np.int32(len(sums) - 1))] + np.uint64(k))
         order = np.lexsort((key, line))
         at, line, key = at[order], line[order], key[order]
-        new = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (key[1:] != key[:-1])]) if len(at) else np.zeros(0, np.int64)
-        once = np.diff(np.r_[new, len(at)]) == 1
+        new = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (key[1:] != key[:-1]))) if len(at) else np.zeros(0, np.int64)
+        once = np.diff(new, append=len(at)) == 1
         at, line, key = at[new], line[new], key[new]
         yield key, line, np.where(once, np.minimum(self.before[at] - self.head[line], ANYWHERE), ANYWHERE)
 
@@ -229,18 +245,31 @@ def entry_runs(docs: DataFrame, segments: int, only: np.ndarray | None, long: bo
     shared = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
 
     def packed(kind: int, key: np.ndarray, line: np.ndarray, place: np.ndarray, name: np.ndarray, chars: np.ndarray, bag: np.ndarray) -> Iterator[tuple[int, int, int, int, bytes]]:
-        part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)  # short ones sort faster
         order = np.argsort(part, kind="stable")
-        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        cut = np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+        key, line, place, chars = key.astype(np.uint32)[order], line[order], place.astype(np.uint16)[order], chars.astype(np.uint32)
+        number = np.zeros(len(name), np.uint32)
         for p in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-            own = order[cut[p] : cut[p + 1]]
-            of, to = np.unique(line[own], return_inverse=True)
-            yield p, kind, len(own), len(of), b"".join([key[own].astype(np.uint32).tobytes(), to.astype(np.uint32).tobytes(), place[own].astype(np.uint16).tobytes(), name[of].tobytes(), chars[of].astype(np.uint32).tobytes(), bag[of].tobytes()])
+            own = slice(cut[p], cut[p + 1])
+            of = np.sort(line[own])
+            of = of[np.append(True, of[1:] != of[:-1])]
+            number[of] = np.arange(len(of))
+            yield p, kind, len(line[own]), len(of), b"".join([key[own].tobytes(), number[line[own]].tobytes(), place[own].tobytes(), name[of].tobytes(), chars[of].tobytes(), bag[of].tobytes()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[tuple]] = {1: [], 2: []}
+        facts: list[tuple] = []
+        seen = held = 0
+
+        def give() -> Iterator[pa.RecordBatch]:
+            joined = [np.concatenate(x) for x in zip(*facts, strict=True)]
+            rows = [r for kind, x in found.items() if x for r in packed(kind, *(np.concatenate(v) for v in zip(*x, strict=True)), *joined)]
+            types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "kind", "n", "m", "run"])
+
         for batch in batches:
-            found: dict[int, list[tuple]] = {1: [], 2: []}
-            facts, seen = [], 0
             for _, _, lines in blocks(batch.column(0)):
                 lines.count_chars()
                 near = np.flatnonzero(lines.near)
@@ -257,15 +286,14 @@ def entry_runs(docs: DataFrame, segments: int, only: np.ndarray | None, long: bo
                     each += [(2, x) for x in lines.anchors(near[chars >= LONG])]
                 for kind, (key, line, place) in each:
                     found[kind].append((key, to[line], place))
+                    held += len(key)
                 facts.append((name, chars, lines.bags()[near]))
                 seen += len(near)
-            if not seen:
-                continue
-            facts = [np.concatenate(x) for x in zip(*facts, strict=True)]
-            rows = [r for kind, x in found.items() if x for r in packed(kind, *(np.concatenate(v) for v in zip(*x, strict=True)), *facts)]
-            types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "kind", "n", "m", "run"])
+            if held >= HELD:
+                yield from give()
+                found, facts, seen, held = {1: [], 2: []}, [], 0, 0
+        if seen:
+            yield from give()
 
     return docs.select("text").mapInArrow(tidied(run), "part int, kind int, n int, m int, run binary")
 
@@ -372,12 +400,24 @@ class Classes:
         names, to = np.unique(comp, return_inverse=True)
         return np.array([self.find(x) for x in names.tolist()], np.int64)[to]
 
-
-def cross_links(docs: DataFrame, members: DataFrame) -> DataFrame:
+    def link(self, now: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """now, what of() gave, after its places x and y are linked."""
+        gone = set()
+        for i, j in zip(now[x].tolist(), now[y].tolist(), strict=True):
+            i, j = self.find(i), self.find(j)
+            if i != j:
+                self.parent[max(i, j)] = min(i, j)
+                gone.add(max(i, j))
+        if gone:
+            moved = np.flatnonzero(among(now, np.sort(np.array(list(gone), np.int64))))
+            now[moved] = self.of(now[moved])
+        return now
+
+
+def cross_links(texts: DataFrame, members: DataFrame) -> DataFrame:
     """a, b: links between lines of unlike components that share a key, enough of them for the classes. Keys of over
     BLOCK lines are dealt in blocks of them, each two blocks to a task. A pair is compared under its least key alone."""
-    names = settle(members.select(F.col("a").alias("h1")).distinct())
-    lines = texts_of(docs, names).withColumnsRenamed({"h1": "a", "line": "text"})
+    lines = texts.withColumnsRenamed({"h1": "a", "line": "text"})
     homes = members.groupBy("a").agg(F.collect_set(F.xxhash64("kind", "key")).alias("homes"))
     sizes = members.groupBy("kind", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     own = members.join(sizes, ["kind", "key"]).join(lines.join(homes, "a"), "a").withColumns({"region": F.xxhash64("kind", "key"), "part": F.pmod(F.xxhash64("a"), "parts").cast("int")})
@@ -391,7 +431,7 @@ def cross_links(docs: DataFrame, members: DataFrame) -> DataFrame:
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(left) - left, left)
         good = open_pairs(v, x, y)
         sets: dict[int, set[int]] = {}
-        homes = g["homes"].array
+        homes = g["homes"].to_numpy()
         pairs = []
         for i, j, key in zip(x[good].tolist(), y[good].tolist(), v["region"][x[good]].tolist(), strict=True):
             for k in (i, j):
@@ -410,7 +450,7 @@ def cross_links(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     def large_pairs(g: pd.DataFrame, v: dict[str, np.ndarray], a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The pairs of a group in rows a to b."""
-        region, homes = v["region"][a], [h[h < v["region"][a]] for h in g["homes"].array[a:b]]
+        region, homes = v["region"][a], [h[h < v["region"][a]] for h in g["homes"].to_numpy()[a:b]]
         names, to = np.unique(np.concatenate(homes), return_inverse=True)
         line = np.repeat(np.arange(b - a), [len(h) for h in homes])
         bits = np.zeros((b - a, len(names) // 64 + 1), np.uint64)
@@ -441,10 +481,7 @@ def cross_links(docs: DataFrame, members: DataFrame) -> DataFrame:
             used, to = np.unique(np.r_[x, y], return_inverse=True)
             near = within([texts[i] for i in used.tolist()], to[: len(x)], to[len(x) :], most_edits)
             x, y = x[near], y[near]
-            for i, j in zip(v["comp"][x].tolist(), v["comp"][y].tolist(), strict=True):
-                i, j = classes.find(i), classes.find(j)
-                classes.parent[max(i, j)] = min(i, j)
-            v["now"] = classes.of(v["comp"])
+            v["now"] = classes.link(v["now"], x, y)
             return pd.DataFrame({"a": v["a"][x], "b": v["a"][y]})
 
         for group in groups:
@@ -469,9 +506,7 @@ def cross_links(docs: DataFrame, members: DataFrame) -> DataFrame:
             yield from give(pd.concat(held, ignore_index=True), classes)
 
     rows = dealt.repartition(slots(members.sparkSession), "region", "lo", "hi").sortWithinPartitions("region", "lo", "hi")
-    out = settle(rows.select("region", "lo", "hi", "part", "a", "comp", "bag", "size", "homes", "text").mapInPandas(tidied(run), "a long, b long"))
-    release(names)
-    return out
+    return settle(rows.select("region", "lo", "hi", "part", "a", "comp", "bag", "size", "homes", "text").mapInPandas(tidied(run), "a long, b long"))
 
 
 def texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
@@ -495,11 +530,9 @@ def texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
     return (found if few else found.join(names, "h1", "left_semi")).dropDuplicates(["h1"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b: settled) of lines that are within the edits allowed, settled."""
-    names = settle(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
-    lines = settle(texts_of(docs, names))
-    both = pairs.join(lines.withColumnsRenamed({"h1": "a", "line": "x"}), "a").join(lines.withColumnsRenamed({"h1": "b", "line": "y"}), "b")
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of lines that are within the edits allowed, settled."""
+    both = pairs.join(texts.withColumnsRenamed({"h1": "a", "line": "x"}), "a").join(texts.withColumnsRenamed({"h1": "b", "line": "y"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -507,9 +540,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             near = within(texts.tolist(), to[: len(batch)], to[len(batch) :], most_edits)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
 
-    out = settle(both.select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long"))
-    release(names, lines)
-    return out
+    return settle(both.select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long"))
 
 
 def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -526,14 +557,17 @@ def near_links(docs: DataFrame) -> DataFrame:
     for level, segments in enumerate(LEVELS):
         found = settle(stars(entry_runs(docs, segments, only, long=level == 0)))
         pairs = settle(found.where("kind = 0").select("a", "b").distinct())
-        every = every.unionByName(verified(docs, pairs))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("h1"))
+        names = settle(ends.unionByName(found.where("kind > 0").select(F.col("a").alias("h1"))).distinct())
+        texts = settle(texts_of(docs, names))  # of what is compared here and below, by one scan
+        every = every.unionByName(verified(texts, pairs))
         mixed = settle(labelled(found.where("kind > 0").drop("b"), every))
-        release(found, pairs)
+        release(found, pairs, names)
         dense = settle(mixed.where(f"kind = 1 and lines > {CAP}").select("a").distinct()) if level < len(LEVELS) - 1 else None
         rest = mixed if dense is None else mixed.where(f"kind = 2 or lines <= {CAP}")
         if not rest.isEmpty():
-            every = every.unionByName(cross_links(docs, rest))
-        release(mixed)
+            every = every.unionByName(cross_links(texts, rest))
+        release(mixed, texts)
         if dense is None or dense.isEmpty():
             break
         only = np.sort(np.array([r[0] for r in dense.toLocalIterator()], np.int64)) if dense.count() <= NEAR else None
@@ -546,7 +580,8 @@ def removals(docs: DataFrame) -> DataFrame:
     labels = components(near_links(docs))
     lines = every.select("id", "row", F.explode(F.arrays_zip("h1", "h2", "place")).alias("x")).select("id", "row", "x.*")
     equal = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
-    classed = settle(equal.join(labels.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "h2", "first", "n", F.when(F.col("comp").isNull(), F.struct("h1", "h2")).otherwise(F.struct(F.col("comp").alias("h1"), F.lit(None).cast("long").alias("h2"))).alias("class")))
+    some = equal.join(labels.withColumnRenamed("node", "h1"), "h1", "left").where("n > 1 or comp is not null")  # the others stay
+    classed = settle(some.select("h1", "h2", "first", "n", F.when(F.col("comp").isNull(), F.struct("h1", "h2")).otherwise(F.struct(F.col("comp").alias("h1"), F.lit(None).cast("long").alias("h2"))).alias("class")))
     stays = classed.groupBy("class").agg(F.min("first").alias("stays"), F.sum("n").alias("all")).where("all > 1")
     repeated = settle(classed.join(stays, "class").select("h1", "h2", "n", F.col("stays.row").alias("kept_row"), F.col("stays.place").alias("kept_place")))
     gone = join_counted(lines, repeated, ["h1", "h2"]).where("row <> kept_row or place <> kept_place")
@@ -554,9 +589,9 @@ def removals(docs: DataFrame) -> DataFrame:
     return every.select("row", "id", "digest", "copy").join(per_row, "row").drop("row")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with the repeated lines cut from text, n_lines, n_removed and kept_sha256 (names that docs has are left
-    out). Texts without repeated lines stay byte for byte."""
+def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """docs with the repeated lines cut from text (no text unless with_text), n_lines, n_removed and kept_sha256 (names
+    that docs has are left out). Texts without repeated lines stay byte for byte."""
     bounded_batches(docs.sparkSession)
     rows = keyed(docs)
     gone = settle(removals(rows.select(F.col("__id").alias("id"), F.col("__digest").alias("digest"), F.col("__copy").alias("copy"), whole_text().alias("text"))))
@@ -564,21 +599,28 @@ def dedup(docs: DataFrame) -> DataFrame:
     ours = gone.select(*(F.col(c.removeprefix("__")).alias(c) for c in KEY), F.col("gone").alias("__gone"))
     few = size["n"] <= FEW_ROWS and (size["m"] or 0) <= FEW_PLACES
     joined = rows.join(F.broadcast(ours) if few else ours, KEY, "left").select(*docs.columns, "__gone")
-    columns = docs.columns
+    columns = [c for c in docs.columns if with_text or c != "text"]
     extra = [c for c in ("n_lines", "n_removed", "kept_sha256") if c not in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts = [], []
-            for text, cut in zip(batch.column("text").to_pylist(), batch.column("__gone").to_pylist(), strict=True):
-                lines, gone = (text or "").split("\n"), set(cut or ())
-                texts.append("\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else text)
-                counts.append((len(lines), len(gone)))
-            made = {"text": pa.array(texts, batch.schema.field("text").type), "n_lines": pa.array([n for n, _ in counts], pa.int64()), "n_removed": pa.array([n for _, n in counts], pa.int64())}
-            made["kept_sha256"] = pa.array([hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).hexdigest() for t in texts], pa.string())
+            texts, counts, sums = [], [], []
+            for text, cut in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__gone").to_pylist(), strict=True):
+                n, gone = (text or b"").count(b"\n") + 1, set(cut or ())
+                if gone:
+                    stays = bytearray(b"\1") * n
+                    for i in gone:
+                        stays[i] = 0
+                    text = b"\n".join(compress(text.split(b"\n"), stays))
+                texts.append(text)
+                counts.append((n, len(gone)))
+                sums.append(hashlib.sha256(text or b"").hexdigest())
+            made = {"n_lines": pa.array([n for n, _ in counts], pa.int64()), "n_removed": pa.array([n for _, n in counts], pa.int64()), "kept_sha256": pa.array(sums, pa.string())}
+            if with_text:
+                made["text"] = pa.array(texts, pa.binary()).cast(batch.schema.field("text").type)
             out = [made["text"] if c == "text" else batch.column(c) for c in columns] + [made[c] for c in extra]
             yield pa.RecordBatch.from_arrays(out, names=[*columns, *extra])
 
     types = dict(docs.dtypes) | {"text": "string"}
-    schema = ", ".join([f"`{c}` {types[c]}" for c in docs.columns] + [f"{c} {'string' if c == 'kept_sha256' else 'long'}" for c in extra])
+    schema = ", ".join([f"`{c}` {types[c]}" for c in columns] + [f"{c} {'string' if c == 'kept_sha256' else 'long'}" for c in extra])
     return joined.mapInArrow(tidied(run), schema)

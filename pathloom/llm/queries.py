@@ -15,7 +15,7 @@ END_ID, CAPACITY, LEAST_SCORE = 2, 4096, 0.3
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from pathloom.llm import edit_distance, jaccard_join, line_dedup, suffix_dedup
+from pathloom.llm.common import keyed
 
 SCHEMA = "doc_id long, text string, n_removed long, key string, id long"
 
@@ -315,3 +316,27 @@ def test_short_lines_go_if_equal(spark):
     rows = [(1, "Of.\n\n \t\nAll rights reserved.\né"), (2, "Of.\n\n \t\nAll rights reserved!\nOf,\nOf."), (3, "é\nIf.\n"), (4, None)]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(table(spark, rows)).collect()}
     assert got == {1: rows[0][1], 2: "\n \t\nOf,", 3: "If.\n", 4: None}
+
+
+@pytest.mark.parametrize("held", [1, 1 << 19])
+def test_line_dedup_reads_no_more_than_it_needs(spark, monkeypatch, held):
+    """Lines to compare are fetched once, though they are compared twice; entries of small batches share runs; no text is
+    made that nobody asks for, and no digest where doc_ids tell the rows apart."""
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    fetched, runs, texts_of, entry_runs = [], [], line_dedup.texts_of, line_dedup.entry_runs
+    monkeypatch.setattr(line_dedup, "texts_of", lambda *a: fetched.append(1) or texts_of(*a))
+    monkeypatch.setattr(line_dedup, "entry_runs", lambda *a, **b: runs.append(entry_runs(*a, **b)) or runs[-1])
+    ends = ["quick brown foxes ", "lazy dogs of home ", "many hens in barns"]
+    rows = [(k, f"line of one start {ends[k % 3]}{'abcdef'[k % 6]}\n {k % 4} indented, and so on {ends[k % 2]}\n \t\né{k % 5}") for k in range(24)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = line_dedup.dedup(table(spark, rows), with_text=False).collect()
+        n_runs = runs[0].count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = line_expected(rows, line_classes(rows, two_edits))
+    assert sorted((str(r["doc_id"]), r["kept_sha256"]) for r in got) == sorted((d, hashlib.sha256(t.encode()).hexdigest()) for d, t in expected)
+    assert len(fetched) == 1 and "text" not in got[0].asDict()
+    assert held == 1 or n_runs <= 4 * 8  # a run for each task and part
+    assert {bytes(r["__digest"]) for r in keyed(table(spark, rows)).collect()} == {b""}
+    assert len({bytes(r["__digest"]) for r in keyed(table(spark, [*rows, (1, "again")])).collect()}) == 25
