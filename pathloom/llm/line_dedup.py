@@ -421,6 +421,7 @@ def cross_links(texts: DataFrame, members: DataFrame) -> DataFrame:
     homes = members.groupBy("a").agg(F.collect_set(F.xxhash64("kind", "key")).alias("homes"))
     sizes = members.groupBy("kind", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     own = members.join(sizes, ["kind", "key"]).join(lines.join(homes, "a"), "a").withColumns({"region": F.xxhash64("kind", "key"), "part": F.pmod(F.xxhash64("a"), "parts").cast("int")})
+    own = own.withColumn("homes", F.filter("homes", lambda h: h < F.col("region")))  # a pair with one of them in common is compared there
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
 
     def small_pairs(g: pd.DataFrame, v: dict[str, np.ndarray], starts: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -433,11 +434,11 @@ def cross_links(texts: DataFrame, members: DataFrame) -> DataFrame:
         sets: dict[int, set[int]] = {}
         homes = g["homes"].to_numpy()
         pairs = []
-        for i, j, key in zip(x[good].tolist(), y[good].tolist(), v["region"][x[good]].tolist(), strict=True):
+        for i, j in zip(x[good].tolist(), y[good].tolist(), strict=True):
             for k in (i, j):
                 if k not in sets:
                     sets[k] = set(homes[k].tolist())
-            if min(sets[i] & sets[j]) == key:
+            if sets[i].isdisjoint(sets[j]):
                 pairs.append((i, j))
         if pairs:
             yield tuple(np.array(pairs).T)
@@ -450,7 +451,7 @@ def cross_links(texts: DataFrame, members: DataFrame) -> DataFrame:
 
     def large_pairs(g: pd.DataFrame, v: dict[str, np.ndarray], a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The pairs of a group in rows a to b."""
-        region, homes = v["region"][a], [h[h < v["region"][a]] for h in g["homes"].to_numpy()[a:b]]
+        homes = list(g["homes"].to_numpy()[a:b])
         names, to = np.unique(np.concatenate(homes), return_inverse=True)
         line = np.repeat(np.arange(b - a), [len(h) for h in homes])
         bits = np.zeros((b - a, len(names) // 64 + 1), np.uint64)
@@ -510,7 +511,7 @@ def cross_links(texts: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """h1 and bytes of these lines (names: h1, distinct)."""
+    """h1 and bytes of these lines (names: h1, distinct). A line may be there more than once."""
     few = names.count() <= NEAR
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in names.toLocalIterator()], np.int64)) if few else None)
 
@@ -527,7 +528,7 @@ def texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array([raw[i:j] for i, j in zip(lines.start[take].tolist(), lines.end[take].tolist(), strict=True)], pa.binary())], names=["h1", "line"])
 
     found = docs.select("text").mapInArrow(tidied(run), "h1 long, line binary")
-    return (found if few else found.join(names, "h1", "left_semi")).dropDuplicates(["h1"])
+    return found if few else found.join(names, "h1", "left_semi")
 
 
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -560,13 +561,14 @@ def near_links(docs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("h1"))
         names = settle(ends.unionByName(found.where("kind > 0").select(F.col("a").alias("h1"))).distinct())
         texts = settle(texts_of(docs, names))  # of what is compared here and below, by one scan
-        every = every.unionByName(verified(texts, pairs))
+        each = texts.dropDuplicates(["h1"])
+        every = every.unionByName(verified(each, pairs))
         mixed = settle(labelled(found.where("kind > 0").drop("b"), every))
         release(found, pairs, names)
         dense = settle(mixed.where(f"kind = 1 and lines > {CAP}").select("a").distinct()) if level < len(LEVELS) - 1 else None
         rest = mixed if dense is None else mixed.where(f"kind = 2 or lines <= {CAP}")
         if not rest.isEmpty():
-            every = every.unionByName(cross_links(texts, rest))
+            every = every.unionByName(cross_links(each, rest))
         release(mixed, texts)
         if dense is None or dense.isEmpty():
             break
@@ -578,6 +580,7 @@ def removals(docs: DataFrame) -> DataFrame:
     """id, digest, copy of rows and the places of the lines that go."""
     every = settle(occurrences(docs))
     labels = components(near_links(docs))
+    labels = F.broadcast(labels) if labels.count() <= FEW_ROWS else labels
     lines = every.select("id", "row", F.explode(F.arrays_zip("h1", "h2", "place")).alias("x")).select("id", "row", "x.*")
     equal = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
     some = equal.join(labels.withColumnRenamed("node", "h1"), "h1", "left").where("n > 1 or comp is not null")  # the others stay
